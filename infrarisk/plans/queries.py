@@ -2,7 +2,8 @@
 
 Every function takes ``(spark, sf_dir)`` and returns a DataFrame whose columns match the
 corresponding oracle SQL in ``oracle_queries.py``.  Arrays are shown joined with `` | `` so both
-engines print them the same way.
+engines print them the same way; aggregates over doubles are rounded to 6 decimals (their
+summation order is not fixed across engines).
 """
 
 from __future__ import annotations
@@ -10,43 +11,447 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import validate as V
 from ..functions.exprs import py_round
+from ..operators import features as FE
+from ..operators import infer as IN
+from ..operators import labels as LB
+from ..operators import metrics as M
+from ..operators import overlay as OV
 from ..operators import rules
-from ..schema import SYSTEMS
+from ..operators import splits as SP
+from ..operators import stats as ST
+from ..operators import weather as WE
+from ..schema import MODEL_NUMERIC_FEATURES, REQUEST, SYSTEM_SYNONYMS, SYSTEMS, TARGET_COLUMNS, TARGET_TO_SYSTEM
 from ..sources import fixtures as fx
 
 SEP = " | "
+R6 = 6
 
 
 def joined(c: str):
-    return F.array_join(F.col(c), SEP)
+    return F.array_join(F.col(c), SEP).alias(c)
 
 
 def scored_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.score(fx.telemetry(spark, sf_dir))
 
 
+# ---------------------------------------------------------------------------
+# Rules and texts
+# ---------------------------------------------------------------------------
 def q_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count and mean overall score of telemetry by city and level."""
     s = scored_telemetry(spark, sf_dir)
     return s.groupBy("city", "overall_level").agg(
-        F.count(F.lit(1)).alias("n"), py_round(F.avg("overall_score"), 6).alias("mean_overall_score"))
+        F.count(F.lit(1)).alias("n"), py_round(F.avg("overall_score"), R6).alias("mean_overall_score"))
 
 
 def q_r1_r4_system_scores(spark, sf_dir):
     s = scored_telemetry(spark, sf_dir)
     cols = [F.col("telemetry_id")]
-    for sys_ in SYSTEMS:
-        if sys_ == "traffic_infrastructure":
-            continue
+    for sys_ in SYSTEMS[:3]:
         cols += [F.col(f"{sys_}_risk_score"), F.col(f"{sys_}_level"), F.col(f"{sys_}_hits"),
-                 joined(f"{sys_}_drivers").alias(f"{sys_}_drivers"), joined(f"{sys_}_flags").alias(f"{sys_}_flags")]
+                 joined(f"{sys_}_drivers"), joined(f"{sys_}_flags")]
     cols += [py_round("traffic_base_score", 2).alias("traffic_base_score"), F.col("traffic_infrastructure_hits"),
-             joined("traffic_infrastructure_drivers").alias("traffic_infrastructure_drivers")]
+             joined("traffic_infrastructure_drivers")]
     return s.select(*cols)
 
 
+def q_r5_r7_cascades_overall(spark, sf_dir):
+    s = scored_telemetry(spark, sf_dir)
+    return s.select("telemetry_id", joined("cascades"), "cascade_multiplier",
+                    py_round("traffic_adjustment", 4).alias("traffic_adjustment"),
+                    "traffic_infrastructure_risk_score", "traffic_infrastructure_level",
+                    joined("traffic_infrastructure_flags"), "overall_risk_score", "overall_level")
+
+
+def q_r8_confidence(spark, sf_dir):
+    s = scored_telemetry(spark, sf_dir)
+    return s.select("telemetry_id", joined("missing_fields"), "confidence_score")
+
+
+def q_r9_r10_projection_zones(spark, sf_dir):
+    s = scored_telemetry(spark, sf_dir)
+    return s.select("telemetry_id", py_round("projected_score", 2).alias("projected_score"),
+                    "hour_72_projection", joined("priority_zones"))
+
+
+def q_t1_t5_texts(spark, sf_dir):
+    s = scored_telemetry(spark, sf_dir)
+    return s.select(
+        "telemetry_id",
+        F.array_join(F.transform("ranked_systems", lambda x: x["name"]), SEP).alias("ranked_systems"),
+        "hour_24_outlook", "executive_summary",
+        *[rules.top_drivers_text(x).alias(f"{x}_top_drivers") for x in SYSTEMS])
+
+
+# ---------------------------------------------------------------------------
+# Validation, sources, features
+# ---------------------------------------------------------------------------
+def q_f1_validation(spark, sf_dir):
+    v = V.validate(fx.telemetry(spark, sf_dir))
+    return v.select("telemetry_id", "valid", joined("violations"))
+
+
+def q_f3_incident_systems(spark, sf_dir):
+    inc = fx.incidents(spark, sf_dir)
+    norm = LB.normalize_system("system")
+    return inc.select("incident_id", norm.alias("system_norm"),
+                      *[F.coalesce(norm.isin(*names), F.lit(False)).alias(t) for t, names in SYSTEM_SYNONYMS.items()])
+
+
+def q_f5_bool_coercion(spark, sf_dir):
+    ev = fx.table(spark, sf_dir, "events")
+    txt = F.expr("CASE event_id % 9 WHEN 0 THEN '1' WHEN 1 THEN ' Yes' WHEN 2 THEN 'n' WHEN 3 THEN 'FALSE' "
+                 "WHEN 4 THEN '' WHEN 5 THEN 'maybe' WHEN 6 THEN '0.0' WHEN 7 THEN ' t ' ELSE NULL END")
+    return ev.select("event_id", txt.alias("raw"), V.to_bool(txt).alias("flag"),
+                     V.to_bool(F.col("value") - F.floor("value"), "double").alias("value_flag"))
+
+
+def q_s1_p1_json_roundtrip(spark, sf_dir):
+    """S1 + U5 + P1: telemetry -> nested request JSON -> typed record -> flat columns."""
+    t = fx.telemetry(spark, sf_dir)
+    nested = t.select("telemetry_id", F.to_json(F.struct(
+        "city", "timestamp",
+        F.struct("temperature_c", "humidity_percent", "heatwave_alert", "rainfall_mm").alias("weather"),
+        F.struct("current_load_percent", "peak_load_percent", "historical_failure_rate_percent",
+                 "transformer_age_years").alias("power_grid"),
+        F.struct("pressure_variance_percent", "pipeline_age_years", "recent_repairs_last_30_days").alias("water_system"),
+        F.struct("congestion_index", "signal_failure_reports_last_7_days").alias("traffic_system"),
+        "population_density_per_km2")).alias("json"))
+    parsed = nested.select("telemetry_id", F.from_json("json", REQUEST).alias("r")).select("telemetry_id", "r.*")
+    flat = V.flatten(parsed)
+    return flat.drop("timestamp")
+
+
+def q_p3_features(spark, sf_dir):
+    return FE.feature_frame(fx.telemetry(spark, sf_dir), keep=["telemetry_id"])
+
+
+# ---------------------------------------------------------------------------
+# Joins: labels, next incident, trailing counts, weather as-of
+# ---------------------------------------------------------------------------
+def labeled(spark, sf_dir):
+    return LB.label(fx.telemetry(spark, sf_dir), fx.incidents(spark, sf_dir))
+
+
+def q_j1_labels(spark, sf_dir):
+    return labeled(spark, sf_dir).select("telemetry_id", *TARGET_COLUMNS)
+
+
+def q_j1b_next_incident(spark, sf_dir):
+    out = LB.next_incident(fx.telemetry(spark, sf_dir), fx.incidents(spark, sf_dir))
+    return out.select("telemetry_id", *[(F.col(f"next_{t}") - F.col("__t_us")).alias(f"next_{t}_delta_us")
+                                        for t in TARGET_COLUMNS])
+
+
+def q_w8_trailing_counts(spark, sf_dir):
+    t = fx.telemetry(spark, sf_dir)
+    t = LB.trailing_count(t, fx.repair_events(spark, sf_dir), 30, "repairs_30d")
+    t = LB.trailing_count(t, fx.signal_events(spark, sf_dir), 7, "signal_reports_7d")
+    return t.select("telemetry_id", "repairs_30d", "signal_reports_7d")
+
+
+def weather_checked(spark, sf_dir, df=None):
+    df = df if df is not None else fx.telemetry(spark, sf_dir)
+    j = WE.asof_weather(df.withColumn("__wk", WE.city_key("city")), fx.weather_obs(spark, sf_dir))
+    return WE.weather_check(j.withColumn("__wk", WE.city_key("city")), fx.city_coords(spark, sf_dir))
+
+
+def q_j2_v3_weather(spark, sf_dir):
+    w = weather_checked(spark, sf_dir)
+    return w.select("telemetry_id", "obs_id", "weather_status", "temperature_delta_c", "rainfall_delta_mm",
+                    "weather_anomaly_flag")
+
+
+def q_v4_weather_uplift(spark, sf_dir):
+    w = weather_checked(spark, sf_dir, scored_telemetry(spark, sf_dir))
+    u = WE.anomaly_uplift(w)
+    return u.select("telemetry_id", "overall_risk_score", "overall_level",
+                    F.endswith("executive_summary", F.lit(WE.UPLIFT_SUFFIX)).alias("uplift_note"))
+
+
+# ---------------------------------------------------------------------------
+# Statistics and pinned-model inference
+# ---------------------------------------------------------------------------
+def features_of(spark, sf_dir):
+    return FE.feature_frame(fx.telemetry(spark, sf_dir), keep=["telemetry_id"])
+
+
+def q_a1_a2_stats(spark, sf_dir):
+    """A1 + A2: medians (one aggregate; 29 numbers reach the driver), then means and population
+    stds of the imputed features (a second aggregate), as a long table."""
+    f = features_of(spark, sf_dir)
+    meds = ST.medians(f)
+    mom = f.agg(*[x for c in MODEL_NUMERIC_FEATURES for x in (
+        F.avg(F.coalesce(F.col(c).cast("double"), F.lit(meds[c]))).alias(f"m_{c}"),
+        F.stddev_pop(F.coalesce(F.col(c).cast("double"), F.lit(meds[c]))).alias(f"s_{c}"))])
+    out = mom.select(F.inline(F.array(*[F.struct(
+        F.lit(c).alias("feature"), F.lit(meds[c]).alias("median"), F.col(f"m_{c}").alias("mean"),
+        F.col(f"s_{c}").alias("std")) for c in MODEL_NUMERIC_FEATURES])))
+    return out.select("feature", py_round("median", R6).alias("median"), py_round("mean", R6).alias("mean"),
+                      py_round(F.when(F.col("std") > 1e-9, F.col("std")).otherwise(F.lit(1.0)), R6).alias("std"))
+
+
+def q_a3_city_categories(spark, sf_dir):
+    return ST.city_categories(features_of(spark, sf_dir))
+
+
+def q_a4_a5_class_balance(spark, sf_dir):
+    b = ST.class_balance(labeled(spark, sf_dir), TARGET_COLUMNS)
+    return b.select("target", "n", "positives", py_round("prevalence", R6).alias("prevalence"),
+                    py_round("pos_weight", R6).alias("pos_weight"), py_round("neg_weight", R6).alias("neg_weight"),
+                    "has_two_classes")
+
+
+# Pinned demonstration model: statistics from the data (rounded to 6 places so that every
+# engine reads the same numbers), weights from a fixed rule, city weights from the city code.
+def pinned_weight(j: int, ti: int) -> float:
+    return ((j * 7 + ti * 3) % 13 - 6) / 20.0
+
+
+def pinned_bias(ti: int) -> float:
+    return -0.5 + 0.1 * ti
+
+
+def pinned_models(spark, sf_dir, feats: DataFrame | None = None) -> list[IN.LinearModel]:
+    feats = feats if feats is not None else features_of(spark, sf_dir)
+    pre = ST.fit_preprocessor(feats, collect_cities=False)
+    pre.medians = {c: round(v, 6) for c, v in pre.medians.items()}
+    pre.means = {c: round(v, 6) for c, v in pre.means.items()}
+    pre.stds = {c: (round(v, 6) or 1.0) for c, v in pre.stds.items()}
+    cities = ST.city_categories(feats)
+    models = []
+    for ti, t in enumerate(TARGET_COLUMNS):
+        cw = cities.select("city", ((F.expr("try_cast(substr(city, 6) AS INT)") * 13 + ti * 5) % 21 - 10)
+                           .cast("double").alias("w0")).select("city", (F.col("w0") / F.lit(100.0)).alias("weight"))
+        models.append(IN.LinearModel(t, pre, {c: pinned_weight(j, ti) for j, c in enumerate(pre.numeric_features)},
+                                     pinned_bias(ti), cw.where(F.col("weight").isNotNull())))
+    return models
+
+
+def q_m2_probabilities(spark, sf_dir):
+    f = features_of(spark, sf_dir)
+    out = IN.predict(f, pinned_models(spark, sf_dir, f))
+    return out.select("telemetry_id", *[py_round(f"p_{t}", R6).alias(f"p_{t}") for t in TARGET_COLUMNS])
+
+
+def q_m3_top_features(spark, sf_dir):
+    f = features_of(spark, sf_dir)
+    m = pinned_models(spark, sf_dir, f)[0]
+    out = IN.top_contributions(f, m)
+    return out.select("telemetry_id", F.posexplode("top_features").alias("rank0", "x")).select(
+        "telemetry_id", (F.col("rank0") + 1).alias("rank"), "x.feature", "x.impact", "x.direction",
+        "x.logit_contribution")
+
+
+def rule_long(spark, sf_dir, s: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
+    """(telemetry_id, target, y, p) with the rule probability p = rounded score / 100."""
+    s = s if s is not None else rules.score(labeled(spark, sf_dir))
+    items = [F.struct(F.lit(TARGET_COLUMNS[0]).alias("target"), F.col(TARGET_COLUMNS[0]).alias("y"),
+                      (F.col("overall_risk_score") / F.lit(100.0)).alias("p"))]
+    for t, sys_ in TARGET_TO_SYSTEM.items():
+        items.append(F.struct(F.lit(t).alias("target"), F.col(t).alias("y"),
+                              (F.col(f"{sys_}_risk_score") / F.lit(100.0)).alias("p")))
+    return s.select("telemetry_id", *(keep or []), F.inline(F.array(*items)))
+
+
+def q_m4_metric_context(spark, sf_dir):
+    met = M.classification_metrics(rule_long(spark, sf_dir), ["target"])
+    ctx = IN.metric_context(met)
+    return ctx.select(*[py_round(c, R6).alias(c) for c in ctx.columns])
+
+
+def q_m5_rule_probabilities(spark, sf_dir):
+    s = scored_telemetry(spark, sf_dir)
+    cols = [IN.rule_probability(F.col("overall_risk_score"), 0.01, 0.94).alias(f"prob_{TARGET_COLUMNS[0]}")]
+    cols += [IN.rule_probability(F.col(f"{x}_risk_score"), 0.02, 0.92).alias(f"prob_{t}")
+             for t, x in TARGET_TO_SYSTEM.items()]
+    return s.select("telemetry_id", *cols)
+
+
+# ---------------------------------------------------------------------------
+# Overlay, impact, districts, stress
+# ---------------------------------------------------------------------------
+BLEND = 0.5929935889
+QUALITY = 0.357484
+
+
+def q_v1_v2_overlay(spark, sf_dir):
+    t = fx.telemetry(spark, sf_dir)
+    f = FE.feature_frame(t, keep=["telemetry_id"])
+    probs = IN.predict(f, pinned_models(spark, sf_dir, f)).select(
+        F.col("telemetry_id").alias("__id"), *[py_round(f"p_{x}", R6).alias(f"p_{x}") for x in TARGET_COLUMNS])
+    s = rules.score(t).join(probs, F.col("telemetry_id") == F.col("__id")).drop("__id")
+    o = OV.ml_overlay(s, BLEND, QUALITY)
+    cols = ["telemetry_id"]
+    for x in SYSTEMS:
+        cols += [f"{x}_risk_score", f"{x}_level", joined(f"{x}_flags")]
+    return o.select(*cols, "overall_risk_score", "overall_level", "confidence_score", "executive_summary")
+
+
+def q_v5_impact(spark, sf_dir):
+    out = OV.impact(scored_telemetry(spark, sf_dir))
+    return out.select("telemetry_id", "estimated_cost_avoided_usd_72h", "estimated_outage_hours_avoided_72h",
+                      "estimated_response_time_gain_percent")
+
+
+def q_v7_zone_scores(spark, sf_dir):
+    return OV.zone_scores(scored_telemetry(spark, sf_dir)).select(
+        "telemetry_id", "zone_id", "zone_score", "zone_level")
+
+
+def q_v8_zone_flows(spark, sf_dir):
+    return OV.zone_flows(scored_telemetry(spark, sf_dir)).select(
+        "telemetry_id", "flow_from", "flow_to", "flow_label", "flow_strength")
+
+
+def q_v9_stress(spark, sf_dir):
+    st = OV.stress_scenarios(fx.telemetry(spark, sf_dir), "telemetry_id")
+    s = rules.score(st)
+    return s.select("telemetry_id", "scenario_type", "overall_risk_score", "overall_level",
+                    *[f"{x}_risk_score" for x in SYSTEMS])
+
+
+# ---------------------------------------------------------------------------
+# Metrics
+# ---------------------------------------------------------------------------
+def rounded(df: DataFrame, keep: list[str]) -> DataFrame:
+    types = dict(df.dtypes)
+    return df.select(*[F.col(c) if c in keep or types[c] != "double" else py_round(c, R6).alias(c) for c in df.columns])
+
+
+def predictions_long(spark, sf_dir):
+    """The fixture ``predictions`` view: (telemetry_id, y, p) with y the 72 h overall label."""
+    lab = labeled(spark, sf_dir)
+    return lab.select("telemetry_id", F.col(TARGET_COLUMNS[0]).alias("y"),
+                      ((F.col("telemetry_id") * 7919 % 1001) / F.lit(1e3)).alias("p"),
+                      F.lit("predictions").alias("source"))
+
+
+def q_e1_e2_rule_confusion(spark, sf_dir):
+    c = M.confusion(rule_long(spark, sf_dir), ["target"], 0.5)
+    return rounded(c, ["target"])
+
+
+def q_e3_e4_prediction_calibration(spark, sf_dir):
+    r = M.reliability(predictions_long(spark, sf_dir), ["source"])
+    return rounded(r, ["source", "range_low", "range_high"])
+
+
+def q_e3_rule_ece(spark, sf_dir):
+    return rounded(M.ece(rule_long(spark, sf_dir), ["target"]), ["target"])
+
+
+def q_e5_e7_prediction_curves(spark, sf_dir):
+    return rounded(M.curve_metrics(predictions_long(spark, sf_dir), ["source"]), ["source"])
+
+
+def q_e5_e7_rule_curves(spark, sf_dir):
+    return rounded(M.curve_metrics(rule_long(spark, sf_dir), ["target"]), ["target"])
+
+
+def q_e8_e9_e12_rule_macro(spark, sf_dir):
+    met = M.classification_metrics(rule_long(spark, sf_dir), ["target"])
+    agg = met.agg(F.avg("pr_auc").alias("macro_pr_auc"), F.avg("positive_rate").alias("macro_random_baseline"))
+    agg = agg.withColumns({"macro_uplift": F.col("macro_pr_auc") - F.col("macro_random_baseline"),
+                           "blend_weight": M.blend_weight(F.col("macro_pr_auc"))})
+    return rounded(agg, [])
+
+
+# ---------------------------------------------------------------------------
+# Splits, backtest, comparison, history
+# ---------------------------------------------------------------------------
+ORDER = ["timestamp", "city", "telemetry_id"]
+
+
+def indexed_labeled(spark, sf_dir):
+    lab = labeled(spark, sf_dir)
+    return SP.global_index(lab, ORDER)
+
+
+def q_w1_w2_split(spark, sf_dir):
+    idx = indexed_labeled(spark, sf_dir)
+    n = idx.count()
+    split = SP.holdout_split_point(n, 0.2)
+    return idx.select("telemetry_id", "row_idx",
+                      F.when(F.col("row_idx") < split, F.lit("train")).otherwise(F.lit("holdout")).alias("split"))
+
+
+def q_w3_e10_rule_backtest(spark, sf_dir):
+    """Expanding windows (W3); rule-probability metrics on each test range; mean/std over windows."""
+    idx = indexed_labeled(spark, sf_dir)
+    n = idx.count()
+    tests = SP.window_test_membership(idx, n)
+    long = rule_long(spark, sf_dir, rules.score(tests), keep=["window_id"])
+    per = M.classification_metrics(long, ["target", "window_id"], 0.5)
+    ms = M.mean_std(per, ["target"], ["roc_auc", "pr_auc", "brier", "f1", "ece_10_bins"])
+    return rounded(ms, ["target"])
+
+
+def q_w6_w7_l6_rule_compare(spark, sf_dir, stride: int = 15, max_rows: int = 1200):
+    """L6 rule-only arm: holdout (last 20 %), every 15th row, even downsample to <= 1200 rows,
+    metrics at threshold .5 against the labels, macro PR-AUC vs the random baseline."""
+    idx = indexed_labeled(spark, sf_dir)
+    n = idx.count()
+    split = SP.holdout_split_point(n, 0.2, min_train=0)
+    hold = idx.where(F.col("row_idx") >= split).withColumn("h_idx", F.col("row_idx") - F.lit(split))
+    strided = SP.stride_sample(hold, stride, "h_idx").withColumn("s_idx", F.col("h_idx") / F.lit(stride))
+    s_len = (n - split + stride - 1) // stride
+    sample = SP.even_downsample(strided.withColumn("s_idx", F.col("s_idx").cast("long")), s_len, max_rows, "s_idx")
+    long = rule_long(spark, sf_dir, rules.score(sample))
+    met = M.classification_metrics(long, ["target"], 0.5)
+    out = met.select("target", "n", "positive_rate", "pr_auc", "roc_auc", "brier", "f1", "accuracy")
+    return rounded(out, ["target"])
+
+
+def q_k1_history_newest(spark, sf_dir, limit: int = 20):
+    """K1: newest-N assessments (newest first) with deterministic ids; the limit is the feature."""
+    s = scored_telemetry(spark, sf_dir)
+    hist = s.select(F.concat(F.lit("asm_"), F.substring(F.sha2(F.concat_ws("|", F.col("telemetry_id").cast("string"),
+                                                                          F.col("city")), 256), 1, 12)).alias("assessment_id"),
+                    "telemetry_id", "city", "timestamp", "overall_risk_score")
+    return hist.orderBy(F.col("timestamp").desc(), F.col("assessment_id")).limit(limit).drop("timestamp")
+
+
 REGISTRY = {
     "flagship_city_level": q_flagship,
     "r1_r4_system_scores": q_r1_r4_system_scores,
+    "r5_r7_cascades_overall": q_r5_r7_cascades_overall,
+    "r8_confidence": q_r8_confidence,
+    "r9_r10_projection_zones": q_r9_r10_projection_zones,
+    "t1_t5_texts": q_t1_t5_texts,
+    "f1_validation": q_f1_validation,
+    "f3_incident_systems": q_f3_incident_systems,
+    "f5_bool_coercion": q_f5_bool_coercion,
+    "s1_p1_json_roundtrip": q_s1_p1_json_roundtrip,
+    "p3_features": q_p3_features,
+    "j1_labels": q_j1_labels,
+    "j1b_next_incident": q_j1b_next_incident,
+    "w8_trailing_counts": q_w8_trailing_counts,
+    "j2_v3_weather": q_j2_v3_weather,
+    "v4_weather_uplift": q_v4_weather_uplift,
+    "a1_a2_stats": q_a1_a2_stats,
+    "a3_city_categories": q_a3_city_categories,
+    "a4_a5_class_balance": q_a4_a5_class_balance,
+    "m2_probabilities": q_m2_probabilities,
+    "m3_top_features": q_m3_top_features,
+    "m4_metric_context": q_m4_metric_context,
+    "m5_rule_probabilities": q_m5_rule_probabilities,
+    "v1_v2_overlay": q_v1_v2_overlay,
+    "v5_impact": q_v5_impact,
+    "v7_zone_scores": q_v7_zone_scores,
+    "v8_zone_flows": q_v8_zone_flows,
+    "v9_stress": q_v9_stress,
+    "e1_e2_rule_confusion": q_e1_e2_rule_confusion,
+    "e3_e4_prediction_calibration": q_e3_e4_prediction_calibration,
+    "e3_rule_ece": q_e3_rule_ece,
+    "e5_e7_prediction_curves": q_e5_e7_prediction_curves,
+    "e5_e7_rule_curves": q_e5_e7_rule_curves,
+    "e8_e9_e12_rule_macro": q_e8_e9_e12_rule_macro,
+    "w1_w2_split": q_w1_w2_split,
+    "w3_e10_rule_backtest": q_w3_e10_rule_backtest,
+    "w6_w7_l6_rule_compare": q_w6_w7_l6_rule_compare,
+    "k1_history_newest": q_k1_history_newest,
 }
