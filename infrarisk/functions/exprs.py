@@ -17,7 +17,7 @@ def col(c) -> Column:
 
 def fmt(c, n: int) -> Column:
     """Text of ``c`` with ``n`` decimals, as Python's ``f"{c:.nf}"``."""
-    return F.regexp_replace(F.format_number(col(c), n), ",", "")
+    return F.replace(F.format_number(col(c), n), F.lit(","), F.lit(""))
 
 
 def py_round(c, n: int) -> Column:
@@ -68,3 +68,13 @@ def level(score) -> Column:
 def nan_to_null(c) -> Column:
     c = col(c)
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
+
+
+def compact(items: list[Column]) -> Column:
+    """Array of the non-null string items, in order.
+
+    ``array_compact`` is a higher-order function (no whole-stage codegen, and it drags its whole
+    projection into interpreted mode); ``array_remove`` of a sentinel keeps the stage compiled.
+    Items are never empty strings here.
+    """
+    return F.array_remove(F.array(*[F.coalesce(x, F.lit("")) for x in items]), "")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .exprs import compact
 from ..schema import DENSITY_RANGE, INT_FIELDS, NESTED_FIELDS, RAW_INPUT_COLUMNS, TIME_COLUMN
 
 NUMERIC_INPUTS = [c for c in RAW_INPUT_COLUMNS if c not in ("city", "heatwave_alert")]
@@ -72,7 +73,7 @@ def range_violations() -> Column:
     c = F.col("population_density_per_km2")
     items.append(F.when(c.isNotNull() & ((c < DENSITY_RANGE[0]) | (c > DENSITY_RANGE[1])),
                         F.lit("population_density_per_km2")))
-    return F.array_compact(F.array(*items))
+    return compact(items)
 
 
 def validate(df: DataFrame) -> DataFrame:

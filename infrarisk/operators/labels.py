@@ -19,7 +19,7 @@ DAY_US = 24 * HOUR_US
 def normalize_system(c) -> Column:
     """T4: strip, lower, spaces to underscores."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(F.lower(F.trim(c)), " ", "_")
+    return F.translate(F.lower(F.trim(c)), " ", "_")
 
 
 def incident_groups(incidents: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import add_all, clip, flag, fmt, level, nz, py_round
+from ..functions.exprs import add_all, clip, compact, flag, fmt, level, nz, py_round
 from ..schema import NESTED_FIELDS, SYSTEMS
 
 # ---------------------------------------------------------------------------
@@ -89,13 +89,24 @@ RULES = {
 }
 
 
-def _x(name: str) -> Column:
+INPUTS = ["current_load_percent", "peak_load_percent", "historical_failure_rate_percent", "transformer_age_years",
+          "heatwave_alert", "rainfall_mm", "pressure_variance_percent", "pipeline_age_years",
+          "recent_repairs_last_30_days", "congestion_index", "signal_failure_reports_last_7_days",
+          "population_density_per_km2"]
+
+
+def _input(name: str) -> Column:
     """Rule input: null -> 0 (heatwave null -> false)."""
     if name == "heatwave_alert":
         return flag(F.col(name))
     return nz(name)
 
 
+def _x(name: str) -> Column:
+    """Reference to the prepared rule input (see ``score``: inputs are computed once)."""
+    return F.col(f"__x_{name}")
+
+
 def _pred(name: str, thr) -> Column:
     return _x(name) if thr is None else _x(name) > F.lit(thr)
 
@@ -155,7 +166,7 @@ def missing_fields() -> Column:
     """``parent.field`` of every null input, request order, then density."""
     names = [(f"{parent}.{field}", field) for parent, field, _, _ in NESTED_FIELDS]
     names.append(("population_density_per_km2", "population_density_per_km2"))
-    return F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(n)) for n, c in names]))
+    return compact([F.when(F.col(c).isNull(), F.lit(n)) for n, c in names])
 
 
 def system_columns(system: str) -> dict[str, Column]:
@@ -169,7 +180,7 @@ def system_columns(system: str) -> dict[str, Column]:
     raw = (_base(system) + bonus) * mult
     if extra_mult != 1.0:
         raw = raw * F.when(cond, F.lit(extra_mult)).otherwise(F.lit(1.0))
-    drivers = F.array_compact(F.array(*[F.when(p, F.lit(d)) for p, (d, _, _, _) in zip(preds, rules)]))
+    drivers = compact([F.when(p, F.lit(d)) for p, (d, _, _, _) in zip(preds, rules)])
     flag_items = [F.when(hits >= 2, F.concat(F.lit(FLAG_PREFIX[system]), pct, F.lit("pct")))]
     if cond is not None:
         flag_items.append(F.when(cond, F.lit(text)))
@@ -177,7 +188,7 @@ def system_columns(system: str) -> dict[str, Column]:
         f"{system}_hits": hits,
         f"{system}_score": clip(raw),
         f"{system}_drivers": F.when(F.size(drivers) == 0, F.array(F.lit(DEFAULT_DRIVER[system]))).otherwise(drivers),
-        f"{system}_flags": F.array_compact(F.array(*flag_items)),
+        f"{system}_flags": compact(flag_items),
     }
 
 
@@ -185,20 +196,21 @@ def _ranked_systems(scores: dict[str, Column]) -> Column:
     """Systems by score desc; ties keep power, transformer, water, traffic order."""
     items = [F.struct((-scores[s]).alias("k"), F.lit(i).alias("o"), F.lit(s).alias("name"), scores[s].alias("score"))
              for i, s in enumerate(SYSTEMS)]
-    return F.array_sort(F.array(*items))
+    return F.sort_array(F.array(*items))
 
 
 def pretty(name: Column) -> Column:
     """T4: underscores to spaces."""
-    return F.regexp_replace(name, "_", " ")
+    return F.translate(name, "_", " ")
 
 
 def score(df: DataFrame) -> DataFrame:
     """R1-R10, F2, F4, T1-T3 over flat telemetry."""
+    out = df.withColumns({f"__x_{c}": _input(c) for c in INPUTS})
     layer1 = {"missing_fields": missing_fields()}
     for s in SYSTEMS:
         layer1.update(system_columns(s))
-    out = df.withColumns(layer1)
+    out = out.withColumns(layer1)
 
     # R5/R6 cascades, from pre-cascade power/water scores
     P, W = F.col("power_grid_score"), F.col("water_pipeline_score")
@@ -212,14 +224,14 @@ def score(df: DataFrame) -> DataFrame:
     adj = F.when(c_power, imp_p).otherwise(F.lit(0.0)) + F.when(c_water, imp_w).otherwise(F.lit(0.0))
     mult = add_all([F.lit(1.0)] + [F.when(c, F.lit(v)).otherwise(F.lit(0.0))
                                    for c, v in ((c_power, 0.03), (c_water, 0.03), (c_cong, 0.02), (c_dense, 0.05))])
-    cascades = F.array_compact(F.array(
+    cascades = compact([
         F.when(c_power, F.concat(F.lit(CASCADE_TEXT["power"].split("{}")[0]), fmt(imp_p, 1),
                                  F.lit(CASCADE_TEXT["power"].split("{}")[1]))),
         F.when(c_water, F.concat(F.lit(CASCADE_TEXT["water"].split("{}")[0]), fmt(imp_w, 1),
                                  F.lit(CASCADE_TEXT["water"].split("{}")[1]))),
         F.when(c_cong, F.lit(CASCADE_TEXT["congestion"])),
         F.when(c_dense, F.lit(CASCADE_TEXT["density"])),
-    ))
+    ])
     out = out.withColumns({
         "traffic_adjustment": adj,
         "cascade_multiplier": mult,
@@ -286,13 +298,13 @@ def score(df: DataFrame) -> DataFrame:
     for lv, text in reversed(list(OUTLOOK_TEXT.items())):
         a, b = text.split("{}")
         outlook_text = F.when(outlook == lv, F.concat(F.lit(a), F.col("top_two"), F.lit(b))).otherwise(outlook_text)
-    zones = F.array_compact(F.array(
+    zones = compact([
         F.when(sc["power_grid"] >= 66, F.lit(ZONE_TEXT[0])),
         F.when(sc["transformer_overload"] >= 66, F.lit(ZONE_TEXT[1])),
         F.when(sc["water_pipeline"] >= 66, F.lit(ZONE_TEXT[2])),
         F.when(sc["traffic_infrastructure"] >= 66, F.lit(ZONE_TEXT[3])),
         F.when(_dense_aging(), F.lit(ZONE_TEXT[4])),
-    ))
+    ])
     r0, r1 = F.col("ranked_systems")[0], F.col("ranked_systems")[1]
     cascade_clause = F.when(
         F.size("cascades") > 0,
@@ -320,7 +332,7 @@ def score(df: DataFrame) -> DataFrame:
         "priority_zones": F.when(F.size(zones) == 0, F.array(F.lit(ZONE_DEFAULT))).otherwise(zones),
         "executive_summary": summary,
     })
-    return out.drop("top_two")
+    return out.drop("top_two", *[f"__x_{c}" for c in INPUTS])
 
 
 def top_drivers_text(system: str) -> Column:

@@ -81,7 +81,7 @@ def q_t1_t5_texts(spark, sf_dir):
     s = scored_telemetry(spark, sf_dir)
     return s.select(
         "telemetry_id",
-        F.array_join(F.transform("ranked_systems", lambda x: x["name"]), SEP).alias("ranked_systems"),
+        F.array_join(F.col("ranked_systems.name"), SEP).alias("ranked_systems"),
         "hour_24_outlook", "executive_summary",
         *[rules.top_drivers_text(x).alias(f"{x}_top_drivers") for x in SYSTEMS])
 
@@ -415,6 +415,44 @@ def q_k1_history_newest(spark, sf_dir, limit: int = 20):
     return hist.orderBy(F.col("timestamp").desc(), F.col("assessment_id")).limit(limit).drop("timestamp")
 
 
+# ---------------------------------------------------------------------------
+# Model fitting on MLlib (rows-only checks: converged MLlib fits are not SQL)
+# ---------------------------------------------------------------------------
+def q_l1_l4_train_report(spark, sf_dir):
+    from . import train as TR
+    bundle = TR.train_models(labeled(spark, sf_dir), cv=False)
+    return TR.report_table(bundle)
+
+
+def q_l2_config_choice(spark, sf_dir):
+    from . import train as TR
+    feats = FE.feature_frame(labeled(spark, sf_dir), include_targets=True, keep=["timestamp", "telemetry_id"])
+    idx = SP.global_index(feats, ["timestamp", "city", "telemetry_id"])
+    n = idx.count()
+    train, _, split = SP.split_train_holdout(idx, n, 0.2)
+    cfg, cv, folds = TR.choose_config(train, split, TARGET_COLUMNS[0])
+    return spark.createDataFrame([(TARGET_COLUMNS[0], float(cfg["l2"]), float(cv), len(folds))],
+                                 "target string, l2 double, cv_pr_auc double, folds int")
+
+
+def q_l5_backtest(spark, sf_dir):
+    from . import backtest as BT
+    _, summary, _ = BT.backtest(labeled(spark, sf_dir), cv=False)
+    return summary
+
+
+def q_l6_compare(spark, sf_dir):
+    from . import backtest as BT
+    from . import train as TR
+    lab = labeled(spark, sf_dir)
+    met, _, _, _ = BT.compare(lab, TR.train_models(lab, cv=False))
+    return met.select("target", "model", "n", "pr_auc", "roc_auc", "brier", "f1", "ece_10_bins")
+
+
+def q_u6_reasoning_prompt(spark, sf_dir):
+    return rules.reasoning_prompt(scored_telemetry(spark, sf_dir)).select("telemetry_id", "reasoning_prompt")
+
+
 REGISTRY = {
     "flagship_city_level": q_flagship,
     "r1_r4_system_scores": q_r1_r4_system_scores,
@@ -454,4 +492,9 @@ REGISTRY = {
     "w3_e10_rule_backtest": q_w3_e10_rule_backtest,
     "w6_w7_l6_rule_compare": q_w6_w7_l6_rule_compare,
     "k1_history_newest": q_k1_history_newest,
+    "u6_reasoning_prompt": q_u6_reasoning_prompt,
+    "l1_l4_train_report": q_l1_l4_train_report,
+    "l2_config_choice": q_l2_config_choice,
+    "l5_backtest": q_l5_backtest,
+    "l6_compare": q_l6_compare,
 }
