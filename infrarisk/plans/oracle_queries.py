@@ -570,3 +570,7 @@ SELECT 'asm_' || substr(sha256(concat_ws('|', CAST(telemetry_id AS VARCHAR), cit
  telemetry_id, city, overall_risk_score
 FROM scored ORDER BY timestamp DESC, assessment_id LIMIT 20
 """
+
+ORACLE["x1_stream_assessment"] = with_scored("telemetry") + """
+SELECT telemetry_id, overall_risk_score, overall_level, confidence_score FROM scored
+"""

@@ -453,6 +453,22 @@ def q_u6_reasoning_prompt(spark, sf_dir):
     return rules.reasoning_prompt(scored_telemetry(spark, sf_dir)).select("telemetry_id", "reasoning_prompt")
 
 
+# ---------------------------------------------------------------------------
+# Streaming (X1): the batch scoring applied to a file stream, driven to completion
+# ---------------------------------------------------------------------------
+def q_x1_stream_assessment(spark, sf_dir):
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..streaming import stream as X
+
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/x1-{uuid.uuid4().hex}"
+    tel = X.telemetry_stream(X.events_stream(spark, sf_dir))
+    out = rules.score(tel).select("telemetry_id", "overall_risk_score", "overall_level", "confidence_score")
+    X.run_available_now(out, f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out")
+
+
 REGISTRY = {
     "flagship_city_level": q_flagship,
     "r1_r4_system_scores": q_r1_r4_system_scores,
@@ -497,4 +513,5 @@ REGISTRY = {
     "l2_config_choice": q_l2_config_choice,
     "l5_backtest": q_l5_backtest,
     "l6_compare": q_l6_compare,
+    "x1_stream_assessment": q_x1_stream_assessment,
 }
