@@ -62,26 +62,28 @@ def predict(df: DataFrame, models: list[LinearModel], prefix: str = "p_") -> Dat
 
 
 def top_contributions(df: DataFrame, model: LinearModel, k: int = 5, name: str = "top_features") -> DataFrame:
-    """M3: top-k |x_j w_j| of one model as an array of structs (feature, impact, direction,
-    logit_contribution); ties keep feature order.  Row-local: arrays, no shuffle, no collect."""
+    """M3: top-k |x_j w_j| of one model as an array of structs (rank, feature, impact, direction,
+    logit_contribution); ties keep feature order.  Row-local: arrays, no shuffle, no collect.
+
+    Uses higher-order functions (interpreted, not whole-stage codegen'd) on purpose: element-wise
+    access to a sorted array makes the optimizer copy the sort into every access.
+    """
     out = _with_city_weight(df, model, "__cw")
-    items = []
-    for i, c in enumerate(model.pre.numeric_features):
-        v = standardized(model.pre, c) * F.lit(model.weights[c])
-        items.append(F.struct((-F.abs(v)).alias("k"), F.lit(i).alias("pos"), F.lit(c).alias("feature"), v.alias("c")))
-    cv = F.col("__cw")
-    items.append(F.struct((-F.abs(cv)).alias("k"), F.lit(len(items)).alias("pos"),
-                          F.concat(F.lit("city="), F.col("city")).alias("feature"), cv.alias("c")))
-    # sort_array (not array_sort / transform / aggregate): keeps the stage in whole-stage codegen
-    out = out.withColumn("__ranked", F.sort_array(F.array(*items)))
-    n = len(items)
-    denom = add_all([F.abs(F.col("__ranked")[i]["c"]) for i in range(n)])  # summed in ranked order
+    items = [F.struct(F.lit(i).alias("pos"), F.lit(c).alias("feature"),
+                      (standardized(model.pre, c) * F.lit(model.weights[c])).alias("c"))
+             for i, c in enumerate(model.pre.numeric_features)]
+    items.append(F.struct(F.lit(len(items)).alias("pos"), F.concat(F.lit("city="), F.col("city")).alias("feature"),
+                          F.col("__cw").alias("c")))
+    ranked = F.array_sort(F.transform(F.array(*items), lambda s: F.struct(
+        (-F.abs(s["c"])).alias("k"), s["pos"].alias("pos"), s["feature"].alias("feature"), s["c"].alias("c"))))
+    out = out.withColumn("__ranked", ranked)
+    denom = F.aggregate("__ranked", F.lit(0.0), lambda acc, s: acc + F.abs(s["c"]))
     out = out.withColumn("__denom", F.when(denom == 0, F.lit(1.0)).otherwise(denom))
-    top = F.array(*[F.struct(
-        F.col("__ranked")[i]["feature"].alias("feature"),
-        py_round(F.abs(F.col("__ranked")[i]["c"]) / F.col("__denom"), 4).alias("impact"),
-        F.when(F.col("__ranked")[i]["c"] >= 0, F.lit("increases_risk")).otherwise(F.lit("reduces_risk")).alias("direction"),
-        py_round(F.col("__ranked")[i]["c"], 4).alias("logit_contribution")) for i in range(min(k, n))])
+    top = F.transform(F.slice("__ranked", 1, k), lambda s, i: F.struct(
+        (i + 1).alias("rank"), s["feature"].alias("feature"),
+        py_round(F.abs(s["c"]) / F.col("__denom"), 4).alias("impact"),
+        F.when(s["c"] >= 0, F.lit("increases_risk")).otherwise(F.lit("reduces_risk")).alias("direction"),
+        py_round(s["c"], 4).alias("logit_contribution")))
     return out.withColumn(name, top).drop("__cw", "__ranked", "__denom")
 
 

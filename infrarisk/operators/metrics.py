@@ -21,27 +21,44 @@ def safe_div(a: Column, b: Column) -> Column:
     return F.when(F.abs(b) < F.lit(EPS), F.lit(0.0)).otherwise(a.cast("double") / b.cast("double"))
 
 
-def confusion(df: DataFrame, group: list[str], threshold=0.5, y: str = "y", p: str = "p") -> DataFrame:
+def points(df: DataFrame, group: list[str], y: str = "y", p: str = "p") -> DataFrame:
+    """One row per (group, distinct p): tp = positives, cnt = rows.  Labels are 0/1.
+
+    Every metric below is computed from this table, so the scored rows are read and shuffled once
+    (partial aggregation map-side); identical sub-plans share one exchange.
+    """
+    return df.groupBy(*group, p).agg(F.sum(F.col(y).cast("long")).alias("tp"), F.count(F.lit(1)).alias("cnt"))
+
+
+def confusion(df: DataFrame, group: list[str], threshold=0.5, y: str = "y", p: str = "p",
+              pts: DataFrame | None = None) -> DataFrame:
     """E1 + E2: counts at ``p >= threshold``, accuracy, precision, recall, F1, Brier, log loss, positive rate.
 
-    ``threshold`` is a number or the name of a column of ``df`` (e.g. a per-target threshold).
+    ``threshold`` is a number or the name of a column that is constant within each group.
     """
+    keys = group + ([threshold] if isinstance(threshold, str) else [])
+    pts = pts if pts is not None else points(df, keys, y, p)
     thr = F.col(threshold) if isinstance(threshold, str) else F.lit(float(threshold))
-    yc, pc = F.col(y), F.col(p)
+    pc, tp, cnt = F.col(p), F.col("tp"), F.col("cnt")
+    neg = cnt - tp
     pred = pc >= thr
-    pos = yc == 1
     pcl = F.least(F.greatest(pc, F.lit(EPS)), F.lit(1.0 - EPS))
     qcl = F.least(F.greatest(F.lit(1.0) - pc, F.lit(EPS)), F.lit(1.0 - EPS))
-    agg = df.groupBy(*group).agg(
-        F.sum((pred & pos).cast("long")).alias("tp"),
-        F.sum((~pred & ~pos).cast("long")).alias("tn"),
-        F.sum((pred & ~pos).cast("long")).alias("fp"),
-        F.sum((~pred & pos).cast("long")).alias("fn"),
-        F.count(F.lit(1)).alias("n"),
-        F.avg((pc - yc) * (pc - yc)).alias("brier"),
-        (-F.avg(yc * F.log(pcl) + (F.lit(1) - yc) * F.log(qcl))).alias("log_loss"),
-        F.avg(yc.cast("double")).alias("positive_rate"),
+    agg = pts.groupBy(*keys).agg(
+        F.sum(F.when(pred, tp).otherwise(F.lit(0))).alias("tp"),
+        F.sum(F.when(~pred, neg).otherwise(F.lit(0))).alias("tn"),
+        F.sum(F.when(pred, neg).otherwise(F.lit(0))).alias("fp"),
+        F.sum(F.when(~pred, tp).otherwise(F.lit(0))).alias("fn"),
+        F.sum(cnt).alias("n"),
+        F.sum(tp * (pc - F.lit(1.0)) * (pc - F.lit(1.0)) + neg * pc * pc).alias("__se"),
+        F.sum(tp * F.log(pcl) + neg * F.log(qcl)).alias("__ll"),
+        F.sum(tp).alias("__pos"),
     )
+    agg = agg.withColumns({
+        "brier": F.col("__se") / F.col("n"),
+        "log_loss": -(F.col("__ll") / F.col("n")),
+        "positive_rate": F.col("__pos") / F.col("n"),
+    }).drop("__se", "__ll", "__pos")
     prec = safe_div(F.col("tp"), F.col("tp") + F.col("fp"))
     rec = safe_div(F.col("tp"), F.col("tp") + F.col("fn"))
     agg = agg.withColumns({
@@ -49,8 +66,9 @@ def confusion(df: DataFrame, group: list[str], threshold=0.5, y: str = "y", p: s
         "precision": prec,
         "recall": rec,
     })
-    return agg.withColumn("f1", safe_div(F.lit(2.0) * F.col("precision") * F.col("recall"),
-                                         F.col("precision") + F.col("recall")))
+    out = agg.withColumn("f1", safe_div(F.lit(2.0) * F.col("precision") * F.col("recall"),
+                                        F.col("precision") + F.col("recall")))
+    return out.drop(threshold) if isinstance(threshold, str) else out
 
 
 def calibration_bin(p: Column) -> Column:
@@ -63,14 +81,21 @@ def calibration_bin(p: Column) -> Column:
     return out
 
 
-def reliability(df: DataFrame, group: list[str], y: str = "y", p: str = "p") -> DataFrame:
+def _bins(pts: DataFrame, group: list[str], p: str) -> DataFrame:
+    return (pts.withColumn("bin", calibration_bin(F.col(p)))
+            .groupBy(*group, "bin").agg(F.sum("cnt").alias("nb"), F.sum(F.col(p) * F.col("cnt")).alias("__ps"),
+                                        F.sum("tp").alias("__ys"))
+            .withColumns({"pm": F.col("__ps") / F.col("nb"), "ym": F.col("__ys") / F.col("nb")}))
+
+
+def reliability(df: DataFrame, group: list[str], y: str = "y", p: str = "p", pts: DataFrame | None = None) -> DataFrame:
     """One row per group and bin (empty bins as zeros): bin, range_low, range_high, count,
     predicted_mean, observed_rate."""
-    binned = (df.withColumn("bin", calibration_bin(F.col(p))).where(F.col("bin").isNotNull())
-              .groupBy(*group, "bin").agg(F.count(F.lit(1)).alias("count"), F.avg(p).alias("predicted_mean"),
-                                          F.avg(F.col(y).cast("double")).alias("observed_rate")))
+    pts = pts if pts is not None else points(df, group, y, p)
+    binned = _bins(pts, group, p).where(F.col("bin").isNotNull()).select(
+        *group, "bin", F.col("nb").alias("count"), F.col("pm").alias("predicted_mean"), F.col("ym").alias("observed_rate"))
     edges = F.array(*[F.lit(e) for e in BIN_EDGES])
-    dims = (df.select(*group).distinct()
+    dims = (pts.select(*group).distinct()
             .withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(9))))
             .withColumn("range_low", F.element_at(edges, F.col("bin") + 1))
             .withColumn("range_high", F.element_at(edges, F.col("bin") + 2)))
@@ -81,13 +106,11 @@ def reliability(df: DataFrame, group: list[str], y: str = "y", p: str = "p") ->
                       F.coalesce("observed_rate", F.lit(0.0)).alias("observed_rate"))
 
 
-def ece(df: DataFrame, group: list[str], y: str = "y", p: str = "p") -> DataFrame:
+def ece(df: DataFrame, group: list[str], y: str = "y", p: str = "p", pts: DataFrame | None = None) -> DataFrame:
     """Sum over non-empty bins of |mean p - mean y| * n_bin / n."""
-    bins = (df.withColumn("bin", calibration_bin(F.col(p)))
-            .groupBy(*group, "bin").agg(F.count(F.lit(1)).alias("nb"), F.avg(p).alias("pm"),
-                                        F.avg(F.col(y).cast("double")).alias("ym")))
+    pts = pts if pts is not None else points(df, group, y, p)
     w = Window.partitionBy(*group)
-    return (bins.withColumn("n", F.sum("nb").over(w)).where(F.col("bin").isNotNull())
+    return (_bins(pts, group, p).withColumn("n", F.sum("nb").over(w)).where(F.col("bin").isNotNull())
             .groupBy(*group).agg(F.sum(F.abs(F.col("pm") - F.col("ym")) * (F.col("nb") / F.col("n"))).alias("ece_10_bins")))
 
 
@@ -113,19 +136,19 @@ def running_sums(df: DataFrame, group: list[str], order: str, sums: list[str], d
     return out.select(*df.columns, *[(F.col(f"__l_{s}") + F.col(f"__o_{s}")).alias(f"c{s}") for s in sums])
 
 
-def curve(df: DataFrame, group: list[str], y: str = "y", p: str = "p") -> DataFrame:
+def curve(df: DataFrame, group: list[str], y: str = "y", p: str = "p", pts: DataFrame | None = None) -> DataFrame:
     """Tie-grouped curve: one row per (group, distinct p desc) with tp, cnt, ctp, ccnt, pos, tot."""
-    g = df.groupBy(*group, p).agg(F.sum(F.col(y).cast("long")).alias("tp"), F.count(F.lit(1)).alias("cnt"))
-    cur = running_sums(g, group, p, ["tp", "cnt"], descending=True)
-    tot = df.groupBy(*group).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count(F.lit(1)).alias("tot"))
+    g = pts if pts is not None else points(df, group, y, p)
+    cur = running_sums(g.select(*group, p, "tp", "cnt"), group, p, ["tp", "cnt"], descending=True)
+    tot = g.groupBy(*group).agg(F.sum("tp").alias("pos"), F.sum("cnt").alias("tot"))
     return cur.join(tot, on=group, how="inner")
 
 
-def curve_metrics(df: DataFrame, group: list[str], y: str = "y", p: str = "p") -> DataFrame:
+def curve_metrics(df: DataFrame, group: list[str], y: str = "y", p: str = "p", pts: DataFrame | None = None) -> DataFrame:
     """E5 ROC-AUC (mid-ranks; null for one class), E6 average precision (step; 0 without
     positives), E7 F1-optimal threshold (smallest p with the best F1, clipped to [.05, .95];
     .5 when one class)."""
-    c = curve(df, group, y, p)
+    c = curve(df, group, y, p, pts)
     prec = F.col("ctp") / F.col("ccnt")
     rec = safe_div(F.col("ctp"), F.col("pos"))
     f1 = safe_div(F.lit(2.0) * prec * rec, prec + rec)
@@ -149,10 +172,13 @@ def curve_metrics(df: DataFrame, group: list[str], y: str = "y", p: str = "p") -
 
 
 def classification_metrics(df: DataFrame, group: list[str], threshold=0.5, y: str = "y", p: str = "p") -> DataFrame:
-    """E1-E7 in one table per group."""
-    base = confusion(df, group, threshold, y, p)
-    return (base.join(curve_metrics(df, group, y, p).drop("threshold"), on=group, how="left")
-            .join(ece(df, group, y, p), on=group, how="left")
+    """E1-E7 in one table per group, all from one (group, p) aggregate of ``df``."""
+    keys = group + ([threshold] if isinstance(threshold, str) else [])
+    pts = points(df, keys, y, p)
+    base = confusion(df, group, threshold, y, p, pts)
+    gp = pts.drop(threshold) if isinstance(threshold, str) else pts  # threshold is constant per group
+    return (base.join(curve_metrics(df, group, y, p, gp).drop("threshold"), on=group, how="left")
+            .join(ece(df, group, y, p, gp), on=group, how="left")
             .withColumn("ece_10_bins", F.coalesce("ece_10_bins", F.lit(0.0))))
 
 

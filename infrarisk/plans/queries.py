@@ -241,9 +241,7 @@ def q_m3_top_features(spark, sf_dir):
     f = features_of(spark, sf_dir)
     m = pinned_models(spark, sf_dir, f)[0]
     out = IN.top_contributions(f, m)
-    return out.select("telemetry_id", F.posexplode("top_features").alias("rank0", "x")).select(
-        "telemetry_id", (F.col("rank0") + 1).alias("rank"), "x.feature", "x.impact", "x.direction",
-        "x.logit_contribution")
+    return out.select("telemetry_id", F.inline("top_features"))
 
 
 def rule_long(spark, sf_dir, s: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
