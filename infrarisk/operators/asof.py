@@ -77,7 +77,9 @@ def nearest(
               .where(F.col("__side") == 0)
               .select(F.col(key).alias("__k"), F.col("__b").alias("__bb"), *[f"__out_{i}" for i in range(len(names))]))
 
-    out = within.join(beyond, on=[F.col(key).eqNullSafe(F.col("__k")), F.col("__b") == F.col("__bb")], how="left")
+    # plain equality: a null key has no right rows anyway, and equi-keys (key, bucket) let the join reuse
+    # the window's hash partitioning of the big side instead of shuffling it again
+    out = within.join(beyond, on=[F.col(key) == F.col("__k"), F.col("__b") == F.col("__bb")], how="left")
     return out.select(
         *left.columns,
         *[F.coalesce(F.col(f"__in_{i}"), F.col(f"__out_{i}")).alias(n) for i, n in enumerate(names)],
