@@ -23,7 +23,8 @@ class LinearModel:
     pre: Preprocessor
     weights: dict[str, float]
     bias: float
-    city_weights: DataFrame | None = None  # (city, weight); unknown city -> 0
+    city_weights: DataFrame | None = None  # (city, <weight column>); unknown city -> 0
+    city_weight_col: str = "weight"        # several models may share one table, one column each
 
 
 def standardized(pre: Preprocessor, c: str) -> Column:
@@ -39,26 +40,47 @@ def sigmoid(z: Column) -> Column:
 
 
 def _with_city_weight(df: DataFrame, model: LinearModel, name: str) -> DataFrame:
-    if model.city_weights is None:
-        return df.withColumn(name, F.lit(0.0))
-    cw = model.city_weights.select(F.col("city").alias(f"{name}_k"), F.col("weight").alias(name))
-    out = df.join(cw, F.col("city") == F.col(f"{name}_k"), "left").drop(f"{name}_k")
-    return out.withColumn(name, F.coalesce(F.col(name), F.lit(0.0)))
+    return _with_city_weights(df, [model], [name])
 
 
-def logit(model: LinearModel, city_weight_col: str) -> Column:
-    terms = [F.lit(model.weights[c]) * standardized(model.pre, c) for c in model.pre.numeric_features]
+def _with_city_weights(df: DataFrame, models: list[LinearModel], names: list[str]) -> DataFrame:
+    """One left join per distinct city-weight table (a dimension: one row per known city)."""
+    tables: dict[int, tuple[DataFrame, list[tuple[str, str]]]] = {}
+    out = df
+    for m, name in zip(models, names):
+        if m.city_weights is None:
+            out = out.withColumn(name, F.lit(0.0))
+        else:
+            tables.setdefault(id(m.city_weights), (m.city_weights, []))[1].append((m.city_weight_col, name))
+    for k, (tbl, cols) in enumerate(tables.values()):
+        key = f"__ck{k}"
+        dim = tbl.select(F.col("city").alias(key), *[F.col(c).alias(n) for c, n in cols])
+        out = out.join(dim, F.col("city") == F.col(key), "left").drop(key)
+        out = out.withColumns({n: F.coalesce(F.col(n), F.lit(0.0)) for _, n in cols})
+    return out
+
+
+def logit(model: LinearModel, city_weight_col: str, z: dict[str, str] | None = None) -> Column:
+    """x.w + b in a fixed order; ``z`` names precomputed standardised columns (shared by models
+    with the same preprocessor, so the projection does not repeat them per model)."""
+    terms = [F.lit(model.weights[c]) * (F.col(z[c]) if z else standardized(model.pre, c))
+             for c in model.pre.numeric_features]
     return add_all(terms + [F.col(city_weight_col), F.lit(model.bias)])
 
 
 def predict(df: DataFrame, models: list[LinearModel], prefix: str = "p_") -> DataFrame:
     """M2: one probability column per model: sigmoid(clip(x.w + b, -35, 35)), clipped to [0, 1]."""
-    out = df
-    for i, m in enumerate(models):
-        cw = f"__cw{i}"
-        out = _with_city_weight(out, m, cw)
-        out = out.withColumn(f"{prefix}{m.target}", clip(sigmoid(logit(m, cw)), 0.0, 1.0)).drop(cw)
-    return out
+    out, zmaps = df, {}
+    for m in models:
+        if id(m.pre) not in zmaps:
+            k = len(zmaps)
+            zmaps[id(m.pre)] = {c: f"__z{k}_{j}" for j, c in enumerate(m.pre.numeric_features)}
+            out = out.withColumns({name: standardized(m.pre, c) for c, name in zmaps[id(m.pre)].items()})
+    cws = [f"__cw{i}" for i in range(len(models))]
+    out = _with_city_weights(out, models, cws)
+    out = out.withColumns({f"{prefix}{m.target}": clip(sigmoid(logit(m, cw, zmaps[id(m.pre)])), 0.0, 1.0)
+                           for m, cw in zip(models, cws)})
+    return out.drop(*cws, *[n for zm in zmaps.values() for n in zm.values()])
 
 
 def top_contributions(df: DataFrame, model: LinearModel, k: int = 5, name: str = "top_features") -> DataFrame:

@@ -155,7 +155,7 @@ def curve_metrics(df: DataFrame, group: list[str], y: str = "y", p: str = "p", p
     midrank = (F.col("tot") - F.col("ccnt")).cast("double") + (F.col("cnt") + F.lit(1)).cast("double") / F.lit(2.0)
     agg = c.groupBy(*group).agg(
         F.first("pos").alias("pos"), F.first("tot").alias("tot"),
-        F.sum(prec * (F.col("tp") / F.col("pos"))).alias("ap"),
+        F.sum(prec * safe_div(F.col("tp"), F.col("pos"))).alias("ap"),
         F.sum(F.col("tp") * midrank).alias("rank_sum"),
         F.max_by(F.col(p), F.struct(f1, -F.col(p))).alias("best_p"),
     )
@@ -195,6 +195,14 @@ def mean_std(df: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(*aggs)
 
 
+def stability(per_window_summary: DataFrame, per_target_metrics: DataFrame, model_col: str = "model") -> tuple[DataFrame, DataFrame]:
+    """PR-AUC std per target (from the E10 summary) and mean ECE across targets per model."""
+    prauc_std = per_window_summary.select("target", "pr_auc_std")
+    by = [model_col] if model_col in per_target_metrics.columns else []
+    mean_ece = per_target_metrics.groupBy(*by).agg(F.avg("ece_10_bins").alias("mean_ece_10_bins"))
+    return prauc_std, mean_ece
+
+
 def blend_weight(macro_pr_auc: Column) -> Column:
     """clip(.45 + .40 * macro, .40, .75)."""
     return F.least(F.greatest(F.lit(0.45) + F.lit(0.40) * macro_pr_auc, F.lit(0.40)), F.lit(0.75))

@@ -114,3 +114,12 @@ def even_downsample(df: DataFrame, length: int, max_rows: int, idx: str) -> Data
         F.when(F.col("id") == max_rows - 1, F.lit(length - 1))
         .otherwise(F.floor(F.col("id").cast("double") * F.lit(step))).cast("long").alias("__pick")))
     return df.join(F.broadcast(picks), F.col(idx) == F.col("__pick"), "left_semi")
+
+
+def sort_by_city_time(df: DataFrame, city: str = "city", time: str = "timestamp", id_col: str | None = None,
+                      num_partitions: int | None = None) -> DataFrame:
+    """K2: total order by (city, timestamp[, id]).  Range partitioning on the full key spreads a hot
+    city over many partitions (a hash ``repartition(city)`` would put it in one task)."""
+    keys = [city, time] + ([id_col] if id_col else [])
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)

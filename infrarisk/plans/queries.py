@@ -221,14 +221,15 @@ def pinned_models(spark, sf_dir, feats: DataFrame | None = None) -> list[IN.Line
     pre.medians = {c: round(v, 6) for c, v in pre.medians.items()}
     pre.means = {c: round(v, 6) for c, v in pre.means.items()}
     pre.stds = {c: (round(v, 6) or 1.0) for c, v in pre.stds.items()}
-    cities = ST.city_categories(feats)
-    models = []
-    for ti, t in enumerate(TARGET_COLUMNS):
-        cw = cities.select("city", ((F.expr("try_cast(substr(city, 6) AS INT)") * 13 + ti * 5) % 21 - 10)
-                           .cast("double").alias("w0")).select("city", (F.col("w0") / F.lit(100.0)).alias("weight"))
-        models.append(IN.LinearModel(t, pre, {c: pinned_weight(j, ti) for j, c in enumerate(pre.numeric_features)},
-                                     pinned_bias(ti), cw.where(F.col("weight").isNotNull())))
-    return models
+    # model parameters: one row per known city (the model's size), five weight columns
+    rows = []
+    for (city,) in ST.city_categories(feats).collect():
+        code = city[5:]
+        if code.isdigit():
+            rows.append((city, *[((int(code) * 13 + ti * 5) % 21 - 10) / 100.0 for ti in range(len(TARGET_COLUMNS))]))
+    cw = spark.createDataFrame(rows, "city string, " + ", ".join(f"w_{ti} double" for ti in range(len(TARGET_COLUMNS))))
+    return [IN.LinearModel(t, pre, {c: pinned_weight(j, ti) for j, c in enumerate(pre.numeric_features)},
+                           pinned_bias(ti), cw, f"w_{ti}") for ti, t in enumerate(TARGET_COLUMNS)]
 
 
 def q_m2_probabilities(spark, sf_dir):

@@ -80,3 +80,21 @@ def run_available_now(df: DataFrame, out_path: str, checkpoint: str, fmt: str =
     q = (df.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", checkpoint)
          .option("path", out_path).trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def stream_history(assessed: DataFrame, path: str, checkpoint: str, request_cols: list[str],
+                   response_cols: list[str], available_now: bool = True):
+    """Append assessments to the history store exactly once per micro-batch.
+
+    Ids are a hash of (city, timestamp), so a replayed batch rewrites the same ids; the file sink's
+    commit log (under ``checkpoint``, on shared storage) makes each batch visible once.
+    """
+    from ..sources.io import to_history
+
+    hist = to_history(assessed, request_cols, response_cols, ("city", "timestamp"))
+    w = (hist.writeStream.format("json").outputMode("append").partitionBy("date")
+         .option("checkpointLocation", checkpoint).option("path", path))
+    q = (w.trigger(availableNow=True) if available_now else w).start()
+    if available_now:
+        q.awaitTermination()
+    return q

@@ -87,3 +87,26 @@ def test_stream_live_labels_match_batch_positives(spark):
     lab = X.labels_from_matches(matches)
     batch = LB.label(tel, inc).select("telemetry_id", "overall_failure_72h_label", "power_failure_72h_label")
     assert lab.select("telemetry_id", "overall_failure_72h_label", "power_failure_72h_label").exceptAll(batch).count() == 0
+
+
+def test_stream_history_exactly_once(spark):
+    base = scratch(spark)
+    tel = X.telemetry_stream(X.events_stream(spark, SF))
+    assessed = rules.score(tel)
+    X.stream_history(assessed, f"{base}/hist", f"{base}/ck", ["city", "timestamp"], ["overall_risk_score"])
+    # a second run with the same checkpoint finds nothing new: no duplicates
+    X.stream_history(rules.score(X.telemetry_stream(X.events_stream(spark, SF))), f"{base}/hist", f"{base}/ck",
+                     ["city", "timestamp"], ["overall_risk_score"])
+    back = io.read_history(spark, f"{base}/hist")
+    assert back.count() == fx.telemetry(spark, SF).count()
+
+
+def test_parse_timestamps_and_sort(spark):
+    import pytest
+    from infrarisk.operators import splits as SP
+    df = spark.createDataFrame([("2024-01-01 00:00:00", "b"), ("2024-01-02 00:00:00", "a")], "timestamp string, city string")
+    parsed = V.parse_timestamps(df)
+    assert dict(parsed.dtypes)["timestamp"] == "timestamp"
+    assert [r["city"] for r in SP.sort_by_city_time(parsed).collect()] == ["a", "b"]
+    with pytest.raises(ValueError):
+        V.parse_timestamps(spark.createDataFrame([("not a time",)], "timestamp string"))
