@@ -22,6 +22,8 @@ def get_spark(master: str | None = None, app: str = "infrarisk", shuffle_partiti
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # no Python call-site capture per Column call (plan building of the wide scoring projections)
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master and master.startswith("local"):
         # local mode: the driver JVM is the only executor
