@@ -17,7 +17,6 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
 
 from infrarisk.operators import labels as LB  # noqa: E402
 from infrarisk.operators import metrics as M  # noqa: E402

@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from infrarisk.operators import metrics as M
 from infrarisk.operators import splits as SP

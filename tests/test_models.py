@@ -1,7 +1,6 @@
 """MLlib fit reaches the same optimum as the weighted gradient objective; inference path."""
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from infrarisk.operators import features as FE

@@ -1,7 +1,6 @@
 """Rule scoring: goldens for the example request, threshold boundaries, properties."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from infrarisk.functions.validate import flatten
 from infrarisk.operators import overlay as OV
