@@ -574,3 +574,40 @@ FROM scored ORDER BY timestamp DESC, assessment_id LIMIT 20
 ORACLE["x1_stream_assessment"] = with_scored("telemetry") + """
 SELECT telemetry_id, overall_risk_score, overall_level, confidence_score FROM scored
 """
+
+
+def _blend(score: str, p: str) -> str:
+    return f"least(1e2, greatest(0e0, {_RW} * {score} + {_A} * least(1e2, greatest(0e0, {p} * 1e2))))"
+
+
+_OV_CTE = f"""
+ov AS (SELECT s.*,
+ {r(_blend(r('p_score', 2), 'p_power_failure_72h_label'), 2)} AS fp,
+ {r(_blend(r('t_score', 2), 'p_transformer_overload_72h_label'), 2)} AS ft,
+ {r(_blend(r('w_score', 2), 'p_water_failure_72h_label'), 2)} AS fw,
+ {r(_blend(r('r_score', 2), 'p_traffic_failure_72h_label'), 2)} AS fr,
+ {_OBL} AS ob,
+ CAST(least(1e2, greatest(0e0, confidence_score + CAST(round_even(({_Q} - 5e1) / 1e1, 0) AS INTEGER))) AS INTEGER) AS conf2
+ FROM scored s JOIN probs USING (telemetry_id))
+"""
+
+_DF2 = "greatest(6e-1, least(25e-1, CASE WHEN x_dens > 0 THEN x_dens / 1e4 ELSE 1e0 END))"
+_AV2 = (f"((34e-2 * fp + 16e-2 * ft + 24e-2 * fw + 26e-2 * fr) / 1e2) * (65e-1 * {_DF2}) * (1e0 + least(6e-1, 12e-2 * {_N}))"
+        f" * (22e-2 + 28e-2 * (CAST(conf2 AS DOUBLE) / 1e2))")
+
+# the assessment blends the unrounded probabilities (no 6-place snapshot as in m2/v1)
+PROBS_RAW_CTE = "probs AS (SELECT f.telemetry_id, " + ", ".join(
+    f"{prob_sql(ti)} AS p_{t}" for ti, t in enumerate(TGT)) + " FROM feat f CROSS JOIN pst LEFT JOIN cw ON f.city = cw.city)\n"
+_PIN_W = oracle_with("telemetry", "weather_obs", "city_coords") + "," + FEAT_CTE + "," + pinned_ctes() + "," + PROBS_RAW_CTE
+
+ORACLE["v6_assessment"] = _PIN_W + "," + scored_ctes("telemetry") + "," + _OV_CTE + "," + weather_ctes("ov") + f"""
+SELECT telemetry_id,
+ CASE WHEN hit THEN {r('least(1e2, ' + r('ob', 2) + ' + 15e-1)', 2)} ELSE {r('ob', 2)} END AS overall_risk_score,
+ CASE WHEN hit THEN {lvl('least(1e2, ' + r('ob', 2) + ' + 15e-1)')} ELSE {lvl('ob')} END AS overall_level,
+ conf2 AS confidence_score, weather_status,
+ {r(f'greatest(0e0, ({_AV2}) * (45000e0 * {_DF2}))', 2)} AS estimated_cost_avoided_usd_72h,
+ {r(f'greatest(0e0, {_AV2})', 2)} AS estimated_outage_hours_avoided_72h,
+ {r(f'greatest(0e0, least(45e0, 5e0 + (21e-2 * fr) + (18e-1 * {_N})))', 2)} AS estimated_response_time_gain_percent,
+ CAST(5 AS INTEGER) AS n_top_features
+FROM (SELECT *, weather_status = 'ok' AND weather_anomaly_flag AS hit FROM wx)
+"""

@@ -452,6 +452,18 @@ def q_u6_reasoning_prompt(spark, sf_dir):
     return rules.reasoning_prompt(scored_telemetry(spark, sf_dir)).select("telemetry_id", "reasoning_prompt")
 
 
+def q_v6_assessment(spark, sf_dir):
+    """V6 end to end: rules -> pinned-model overlay -> as-of weather uplift -> impact (rows-only)."""
+    from .assess import assess
+
+    t = fx.telemetry(spark, sf_dir)
+    out = assess(t, pinned_models(spark, sf_dir), BLEND, QUALITY, fx.weather_obs(spark, sf_dir),
+                 fx.city_coords(spark, sf_dir), top_features=True)
+    return out.select("telemetry_id", "overall_risk_score", "overall_level", "confidence_score", "weather_status",
+                      "estimated_cost_avoided_usd_72h", "estimated_outage_hours_avoided_72h",
+                      "estimated_response_time_gain_percent", F.size("top_features").alias("n_top_features"))
+
+
 # ---------------------------------------------------------------------------
 # Streaming (X1): the batch scoring applied to a file stream, driven to completion
 # ---------------------------------------------------------------------------
@@ -513,4 +525,5 @@ REGISTRY = {
     "l5_backtest": q_l5_backtest,
     "l6_compare": q_l6_compare,
     "x1_stream_assessment": q_x1_stream_assessment,
+    "v6_assessment": q_v6_assessment,
 }
