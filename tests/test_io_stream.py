@@ -127,3 +127,20 @@ def test_stream_live_labels_driven(spark):
     joined = got.join(want, "telemetry_id")
     assert joined.count() > 0
     assert joined.where(F.col("overall_failure_72h_label") != F.col("want")).count() == 0
+
+
+def test_stream_dedupe_and_trailing_counts(spark):
+    """X5 keeps one row per (city, timestamp); X4 emits day-aligned 30-day window counts that never
+    exceed the batch total of the city."""
+    base = scratch(spark)
+    tel = X.telemetry_stream(X.events_stream(spark, SF))
+    X.run_available_now(X.dedupe(tel).select("telemetry_id", "city", "timestamp"), f"{base}/dd", f"{base}/ck1")
+    dd = spark.read.parquet(f"{base}/dd")
+    assert dd.count() == dd.select("city", "timestamp").distinct().count() == fx.telemetry(spark, SF).count()
+    rep = spark.sql(fx.VIEW_SQL["repair_events"], events=X.events_stream(spark, SF))
+    counts = X.trailing_counts_stream(rep, 30, "1 day", "1 day").select("city", "window.start", "n")
+    X.run_available_now(counts, f"{base}/tc", f"{base}/ck2")
+    out = spark.read.parquet(f"{base}/tc")
+    totals = fx.repair_events(spark, SF).groupBy("city").count()
+    assert out.count() > 0
+    assert out.join(totals, "city").where(F.col("n") > F.col("count")).count() == 0
