@@ -36,7 +36,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
-    spark = get_spark(f"local[{cpus}]", app="infrarisk-bench", shuffle_partitions=cpus * 2)
+    spark = get_spark(f"local[{cpus}]", app="infrarisk-bench", shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus * 2)))
     spark.sparkContext.setLogLevel("ERROR")
 
     tel = fx.telemetry(spark, sf_dir)
