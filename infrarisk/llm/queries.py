@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import quality, substrings
 from .common import importable
 
 _QUERIES = {
     "op5_quality": quality.q_op5,
+    "op8_substrings": substrings.q_op8,
 }
 
 
@@ -20,4 +21,6 @@ def _registered(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 REGISTRY = {name: _registered(q) for name, q in _QUERIES.items()}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_substrings": substrings.SQL,
+}
