@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, substrings
+from . import minhash, quality, substrings
 from .common import importable
 
 _QUERIES = {
+    "op2_minhash": minhash.q_op2,
     "op5_quality": quality.q_op5,
     "op8_substrings": substrings.q_op8,
 }
@@ -22,5 +23,6 @@ def _registered(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
 REGISTRY = {name: _registered(q) for name, q in _QUERIES.items()}
 
 ORACLE: dict[str, str] = {
+    "op2_minhash": minhash.SQL,
     "op8_substrings": substrings.SQL,
 }
