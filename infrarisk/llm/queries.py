@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, quality, substrings
+from . import chat, minhash, mixing, quality, substrings
 from .common import importable
 
 _QUERIES = {
     "op2_minhash": minhash.q_op2,
     "op5_quality": quality.q_op5,
     "op8_substrings": substrings.q_op8,
+    "op9_mixing": mixing.q_op9,
+    "op10_chat": chat.q_op10,
 }
 
 
@@ -25,4 +27,5 @@ REGISTRY = {name: _registered(q) for name, q in _QUERIES.items()}
 ORACLE: dict[str, str] = {
     "op2_minhash": minhash.SQL,
     "op8_substrings": substrings.SQL,
+    "op10_chat": chat.SQL,
 }
