@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, minhash, mixing, quality, substrings
+from . import chat, minhash, mixing, quality, spotsigs, substrings
 from .common import importable
 
 _QUERIES = {
     "op2_minhash": minhash.q_op2,
     "op5_quality": quality.q_op5,
+    "op6_spotsigs": spotsigs.q_op6,
     "op8_substrings": substrings.q_op8,
     "op9_mixing": mixing.q_op9,
     "op10_chat": chat.q_op10,
