@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, minhash, mixing, pii, quality, spotsigs, substrings
+from . import chat, minhash, mixing, pieces, pii, quality, spotsigs, substrings
 from .common import importable
 
 _QUERIES = {
     "op1_pii": pii.q_op1,
     "op2_minhash": minhash.q_op2,
+    "op4_sentencepiece": pieces.q_op4,
     "op5_quality": quality.q_op5,
     "op6_spotsigs": spotsigs.q_op6,
     "op8_substrings": substrings.q_op8,
