@@ -39,6 +39,7 @@ from .words import chained, slices
 
 WINDOW = 20
 BUCKET_BYTES = 16 << 20  # bytes of text whose hashes one bucket holds
+LEAST_BUCKETS = 64  # small inputs are spread as well; answers come back in at most one row a bucket and document
 STRETCH = 1_500_000  # entries that a task resolves together
 #: Perfect difference sets: every difference modulo v occurs between members.
 COVERS = {13: (0, 1, 3, 9), 7: (0, 1, 3), 3: (0, 1), 1: (0,)}
@@ -246,7 +247,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """``carry`` columns (``id_col`` by default), ``n_words``, ``n_removed`` and ``kept_text`` (words joined by a space)."""
     carry = [id_col] if carry is None else carry
     period, cover, anchor = cover_of(window)
-    buckets = max(8, -(-text_bytes(docs, text) // BUCKET_BYTES))
+    buckets = max(LEAST_BUCKETS, -(-text_bytes(docs, text) // BUCKET_BYTES))
     source = keyed(docs, id_col, text, carry)
     slim = source.select("id", "th", "text")
 
