@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, minhash, mixing, pieces, pii, quality, spotsigs, substrings
+from . import chat, minhash, mixing, pages, pieces, pii, quality, spotsigs, substrings, tokens
 from .common import importable
 
 _QUERIES = {
     "op1_pii": pii.q_op1,
     "op2_minhash": minhash.q_op2,
+    "op3_html": pages.q_op3,
     "op4_sentencepiece": pieces.q_op4,
     "op5_quality": quality.q_op5,
     "op6_spotsigs": spotsigs.q_op6,
+    "op7_tokens": tokens.q_op7,
     "op8_substrings": substrings.q_op8,
     "op9_mixing": mixing.q_op9,
     "op10_chat": chat.q_op10,
