@@ -3,13 +3,13 @@
 Each source has a target number of words; a document of a source with ratio ``r`` = target / source size is
 taken ``floor(r)`` times for sure and once more with probability ``r - floor(r)``.  Which documents get the
 additional copy is decided by balanced sampling: inclusion probabilities move through the null space of the
-constraints (number of documents, number of words) until all but two of a block are 0 or 1, so both totals
+constraints (number of documents, number of words) until all but a few of a block are 0 or 1, so both totals
 keep their expected values.  Blocks hold at most ``BLOCK`` documents of one source; what they leave undecided
 forms the blocks of the next level, until one block a source remains, whose last two documents are landed
 by trying their roundings against the word total and turning single documents over.
 
-Scale: blocks are salted by a hash of the document, so a hot source is many blocks; each level keeps two
-of ``BLOCK`` rows, so there are log(rows) / log(BLOCK / 2) levels.  Only numbers are shuffled, never texts.  Targets come
+Scale: blocks are salted by a hash of the document, so a hot source is many blocks; each level keeps ten
+of ``BLOCK`` rows, so there are log(rows) / log(BLOCK / 10) levels.  Only numbers are shuffled, never texts.  Targets come
 from a table of one row a source, by window sums over that table.
 
 Defined cases: null texts have size 0; null sources are one source, sorted last; sources without words get target 0
@@ -29,6 +29,7 @@ from .common import table, written
 WEIGHTS = (5, 2, 1)
 MOST = 3  # copies of a document, and of a source's size, at most
 BLOCK = 512
+HELD = 8  # smallest documents of a block that stay open for the next level, so that the landing has a choice
 WORD = r"[^\x20\x09-\x0D]+"
 _EPS = 1e-9
 
@@ -118,9 +119,11 @@ def _block(level: int):
         size = rows["size"].to_numpy(float)
         rng = np.random.Generator(np.random.PCG64([level, int(rows["rank"].iloc[0]), int(rows["block"].iloc[0])]))
         start = rows["p"].to_numpy(float)
-        p = flight(start, size, rng.random)
         if rows["blocks"].iloc[0] == 1:
-            p = landing(p, size, start)
+            p = landing(flight(start, size, rng.random), size, start)
+        else:
+            moved = max(0, len(start) - HELD)
+            p = np.concatenate([flight(start[:moved], size[:moved], rng.random), start[moved:]])
         return rows.assign(p=p)
 
     return run
