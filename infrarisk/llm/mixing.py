@@ -29,6 +29,7 @@ from .common import table, written
 WEIGHTS = (5, 2, 1)
 MOST = 3  # copies of a document, and of a source's size, at most
 BLOCK = 512
+MANY_SOURCES = 50_000  # a table of one row a source is broadcast up to this many
 HELD = 8  # smallest documents of a block that stay open for the next level, so that the landing has a choice
 WORD = r"[^\x20\x09-\x0D]+"
 _EPS = 1e-9
@@ -132,7 +133,8 @@ def _block(level: int):
 def _levelled(rows: DataFrame, level: int) -> DataFrame:
     """One flight over all blocks of ``rows``; a source of one block is decided wholly."""
     blocks = rows.groupBy("rank").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.drop("blocks", "block").join(blocks, "rank").withColumn("block", F.pmod(F.xxhash64("key", "salt", F.lit(level)), "blocks").cast("int"))
+    small = blocks.limit(MANY_SOURCES + 1).count() <= MANY_SOURCES  # then rows stay where they are; else the join deals them out
+    dealt = rows.drop("blocks", "block").join(F.broadcast(blocks) if small else blocks, "rank").withColumn("block", F.pmod(F.xxhash64("key", "salt", F.lit(level)), "blocks").cast("int"))
     return written(dealt.groupBy("rank", "block").applyInPandas(_block(level), dealt.schema), "flight")
 
 
