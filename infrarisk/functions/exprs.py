@@ -7,7 +7,7 @@ number-to-text go through it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -78,3 +78,16 @@ def compact(items: list[Column]) -> Column:
     Items are never empty strings here.
     """
     return F.array_remove(F.array(*[F.coalesce(x, F.lit("")) for x in items]), "")
+
+
+def slice_edges(df: DataFrame, key: Column, slices: int) -> list:
+    """Distinct values of ``key`` at (approximate) equal shares of the rows; fewer than ``slices`` values."""
+    shares = F.lit([i / slices for i in range(1, slices)]).cast("array<double>")
+    return sorted(set(df.agg(F.percentile_approx(key, shares, 20 * slices).alias("e")).first()["e"] or []))
+
+
+def edge_slice(key: Column, edges: list) -> Column:
+    """Number of edges up to ``key``; null keys are in slice -1, as they sort first."""
+    if not edges:
+        return F.when(key.isNull(), F.lit(-1)).otherwise(F.lit(0))
+    return F.when(key.isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= key)))

@@ -61,14 +61,15 @@ def nearest(
     # 1. inside the bucket: running min/max over the time-ordered union
     order = F.col("__t").desc() if forward else F.col("__t").asc()
     w = Window.partitionBy(key, "__b").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    within = lft.unionByName(r, allowMissingColumns=True)
+    keyed = lft.where(F.col(key).isNotNull())  # rows without a key match nothing and go round the windows
+    within = keyed.unionByName(r, allowMissingColumns=True)
     within = within.withColumns({
         f"__in_{i}": agg_fn(F.when(F.col("__side") == 1, F.col(tmp[n]))).over(w) for i, n in enumerate(names)
     }).where(F.col("__side") == 0)
 
     # 2. across buckets: per-bucket summaries of the right side, then a running window per key
     summary = r.groupBy(key, "__b").agg(*[agg_fn(tmp[n]).alias(tmp[n]) for n in names]).withColumn("__side", F.lit(1))
-    keys = lft.select(key, "__b").distinct().withColumn("__side", F.lit(0))
+    keys = keyed.select(key, "__b").distinct().withColumn("__side", F.lit(0))
     border = F.col("__b").desc() if forward else F.col("__b").asc()
     wb = Window.partitionBy(key).orderBy(border, F.col("__side").asc()).rowsBetween(Window.unboundedPreceding, -1)
     beyond = (keys.unionByName(summary, allowMissingColumns=True)
@@ -80,7 +81,8 @@ def nearest(
     # plain equality: a null key has no right rows anyway, and equi-keys (key, bucket) let the join reuse
     # the window's hash partitioning of the big side instead of shuffling it again
     out = within.join(beyond, on=[F.col(key) == F.col("__k"), F.col("__b") == F.col("__bb")], how="left")
-    return out.select(
+    matched = out.select(
         *left.columns,
         *[F.coalesce(F.col(f"__in_{i}"), F.col(f"__out_{i}")).alias(n) for i, n in enumerate(names)],
     )
+    return matched.unionByName(left.where(F.col(key).isNull()), allowMissingColumns=True)

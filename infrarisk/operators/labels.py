@@ -17,9 +17,9 @@ DAY_US = 24 * HOUR_US
 
 
 def normalize_system(c) -> Column:
-    """T4: strip, lower, spaces to underscores."""
+    """T4: strip all white space, lower, spaces to underscores."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.translate(F.lower(F.trim(c)), " ", "_")
+    return F.translate(F.lower(F.regexp_replace(c, r"^\s+|\s+$", "")), " ", "_")
 
 
 def incident_groups(incidents: DataFrame) -> DataFrame:
@@ -51,22 +51,29 @@ def label(telemetry: DataFrame, incidents: DataFrame, horizon_hours: int = 72, k
     return out.drop(*drop)
 
 
-def trailing_count(telemetry: DataFrame, events: DataFrame, days: int, name: str) -> DataFrame:
-    """Events of the same city with ``t - days <= te <= t``, per telemetry row.
+def trailing_count(telemetry: DataFrame, events: DataFrame, days: int, name: str, id_col: str = "telemetry_id", parts: int = 8) -> DataFrame:
+    """Events of the same city with ``t - days <= te <= t``, per telemetry row (0 without a city).
 
-    Buckets of width ``days``; every event is also copied into the next bucket, so the
-    window ``[t - days, t]`` of a row in bucket b is covered by the rows of group b alone.
-    One shuffle on (city, bucket); a hot city is spread over its buckets.
+    The count is (events up to t) minus (events before t - days): two running counts, linear in the rows.  Both
+    questions are narrow points (id, city, time); time is cut into buckets of ``days / parts``, running counts inside a
+    bucket are completed by prefix counts over a table of one row per (city, bucket), so a hot city is spread
+    over its buckets.  Rows without a city never enter the windows; wide rows are only joined back by id.
     """
     width = days * DAY_US
-    left = (telemetry.withColumn("__t", epoch_us("timestamp"))
-            .withColumn("__b", F.floor(F.col("__t") / F.lit(width))).withColumn("__side", F.lit(0)))
-    ev = (events.where(F.col("city").isNotNull())
-          .select("city", epoch_us("timestamp").alias("__t"))
-          .withColumn("__b0", F.floor(F.col("__t") / F.lit(width)))
-          .withColumn("__b", F.explode(F.array(F.col("__b0"), F.col("__b0") + 1)))
-          .drop("__b0").withColumn("__side", F.lit(1)))
-    w = Window.partitionBy("city", "__b").orderBy("__t").rangeBetween(-width, 0)
-    u = left.unionByName(ev, allowMissingColumns=True)
-    u = u.withColumn(name, F.sum(F.col("__side")).over(w).cast("int"))
-    return u.where(F.col("__side") == 0).drop("__t", "__b", "__side")
+    t = epoch_us("timestamp")
+    points = telemetry.where(F.col("city").isNotNull() & F.col("timestamp").isNotNull()).select(F.col(id_col).alias("__id"), F.col("city").alias("__city"), t.alias("__at")).distinct()
+    # an event at the asked time counts up to t and does not count before t - days: kind orders equal times
+    asks = points.select("__id", "__city", "__at", F.inline(F.array(
+        F.struct(F.col("__at").alias("__t"), F.lit(2).alias("__kind")), F.struct((F.col("__at") - F.lit(width)).alias("__t"), F.lit(0).alias("__kind")))))
+    ev = events.where(F.col("city").isNotNull() & F.col("timestamp").isNotNull()).select(F.col("city").alias("__city"), t.alias("__t"), F.lit(1).alias("__kind"))
+    line = asks.unionByName(ev, allowMissingColumns=True).withColumn("__b", F.floor(F.col("__t") / F.lit(width // parts)))
+    one = F.when(F.col("__kind") == 1, F.lit(1)).otherwise(F.lit(0))
+    w = Window.partitionBy("__city", "__b").orderBy("__t", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = line.withColumn("__in", F.sum(one).over(w)).where(F.col("__kind") != 1)
+    wb = Window.partitionBy("__city").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = line.groupBy("__city", "__b").agg(F.sum(one).alias("__n")).select("__city", "__b", F.coalesce(F.sum("__n").over(wb), F.lit(0)).alias("__before"))
+    seen = inside.join(before, ["__city", "__b"])  # reuses the window's partitioning
+    signed = (F.col("__kind") - 1) * (F.col("__in") + F.col("__before"))
+    counts = seen.groupBy("__id", "__city", "__at").agg(F.sum(signed).cast("int").alias("__count"))
+    same = (F.col(id_col) == F.col("__id")) & (F.col("city") == F.col("__city")) & (t == F.col("__at"))
+    return telemetry.join(counts, same, "left").select(*telemetry.columns, F.coalesce("__count", F.lit(0)).alias(name))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import edge_slice, slice_edges
+
 EPS = 1e-12
 
 # 10 calibration bins on linspace(0, 1, 11), exact binary edges; last bin is closed.
@@ -114,32 +116,46 @@ def ece(df: DataFrame, group: list[str], y: str = "y", p: str = "p", pts: DataFr
             .groupBy(*group).agg(F.sum(F.abs(F.col("pm") - F.col("ym")) * (F.col("nb") / F.col("n"))).alias("ece_10_bins")))
 
 
+SLICES = 1024  # fixed cuts of [0, 1]; many more than tasks, so uneven slices even out
+
+
+def unit_slice(p: Column, slices: int = SLICES) -> Column:
+    """Number of the equal cut of [0, 1] that holds ``p``; values outside fall into the end slices, null into -1."""
+    return F.coalesce(F.least(F.greatest(F.floor(p * F.lit(slices)), F.lit(0)), F.lit(slices - 1)), F.lit(-1)).cast("int")
+
+
 def running_sums(df: DataFrame, group: list[str], order: str, sums: list[str], descending: bool = True,
-                 num_partitions: int | None = None) -> DataFrame:
+                 num_partitions: int | None = None, unit: bool = False) -> DataFrame:
     """Global running sums of ``sums`` per ``group`` in ``order`` (unique within a group).
 
-    Range-partition on (group, order) so each task holds a contiguous slice; take local running
-    sums inside each (slice, group); add the totals of earlier slices, computed on a table with
-    one row per (slice, group).  No task ever holds a whole group.
+    The slice of a row is a function of its own ``order`` value (with ``unit`` a fixed cut of [0, 1], else a cut at
+    quantile edges that are read once and stand as literals), so every branch of the plan and every
+    recomputation agree on it.  Local running sums inside (group, slice), plus the totals of the
+    slices before, from a table with one row per (group, slice).  No task ever holds a whole group, and
+    the join reuses the window's partitioning.
     """
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    o = F.col(order).desc() if descending else F.col(order).asc()
-    ranged = df.repartitionByRange(n, *[F.col(g) for g in group], o).withColumn("__slice", F.spark_partition_id())
-    wl = Window.partitionBy("__slice", *group).orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.withColumns({f"__l_{s}": F.sum(s).over(wl) for s in sums})
-    totals = local.groupBy("__slice", *group).agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
-    wo = Window.partitionBy(*group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("__slice", *group, *[F.coalesce(F.sum(f"__t_{s}").over(wo), F.lit(0)).alias(f"__o_{s}")
-                                                  for s in sums])
-    # offsets has at most (#slices x #groups) rows: a proven bound, safe to broadcast
-    out = local.join(F.broadcast(offsets), on=["__slice", *group], how="inner")
+    if unit:
+        at = unit_slice(F.col(order))
+    else:
+        n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        at = edge_slice(F.col(order), slice_edges(df, F.col(order), 4 * n))
+    cut = df.withColumn("__slice", at)
+    o, so = (F.col(order).desc(), F.col("__slice").desc()) if descending else (F.col(order).asc(), F.col("__slice").asc())
+    wl = Window.partitionBy(*group, "__slice").orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = cut.withColumns({f"__l_{s}": F.sum(s).over(wl) for s in sums})
+    totals = cut.groupBy(*group, "__slice").agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
+    wo = Window.partitionBy(*group).orderBy(so).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__slice").alias("__s"),
+                            *[F.coalesce(F.sum(f"__t_{s}").over(wo), F.lit(0)).alias(f"__o_{s}") for s in sums])
+    same = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)] + [F.col("__slice") == F.col("__s")]
+    out = local.join(offsets, on=same, how="inner")
     return out.select(*df.columns, *[(F.col(f"__l_{s}") + F.col(f"__o_{s}")).alias(f"c{s}") for s in sums])
 
 
 def curve(df: DataFrame, group: list[str], y: str = "y", p: str = "p", pts: DataFrame | None = None) -> DataFrame:
     """Tie-grouped curve: one row per (group, distinct p desc) with tp, cnt, ctp, ccnt, pos, tot."""
     g = pts if pts is not None else points(df, group, y, p)
-    cur = running_sums(g.select(*group, p, "tp", "cnt"), group, p, ["tp", "cnt"], descending=True)
+    cur = running_sums(g.select(*group, p, "tp", "cnt"), group, p, ["tp", "cnt"], descending=True, unit=True)
     tot = g.groupBy(*group).agg(F.sum("tp").alias("pos"), F.sum("cnt").alias("tot"))
     return cur.join(tot, on=group, how="inner")
 

@@ -1,46 +1,49 @@
 """Chronological index, splits and sampling.
 
 W1 gives every row its global position in (timestamp, city, id) order without a one-partition
-window: range-partition on the full (unique) key, number rows inside each slice, add the row
-counts of earlier slices (a table with one row per slice).  The slice layout is checkpointed to
-the shared checkpoint dir so a recomputation after executor loss sees the same slices.
+window: time is cut at quantile edges that are read once and then stand as literals in the plan, rows are
+numbered inside each slice, and the row counts of earlier slices (a table of one row per slice) are
+added.  The slice is a function of the row, so recomputation after executor loss gives the same index.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..functions.exprs import edge_slice, slice_edges
 
-LOCAL_BITS = 33  # monotonically_increasing_id = (partition << 33) + row in partition
+SLICES_PER_PARTITION = 4
 
 
-def global_index(df: DataFrame, order: list[str], name: str = "row_idx", num_partitions: int | None = None,
-                 checkpoint: bool = True) -> DataFrame:
-    """0-based position of each row in ``order`` (make the key unique, e.g. add an id)."""
+def global_index(df: DataFrame, order: list[str], name: str = "row_idx", num_partitions: int | None = None) -> DataFrame:
+    """0-based position of each row in ``order`` (make the key unique, e.g. add an id; the first key is a time)."""
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    if checkpoint:
-        ranged = cut_lineage(ranged)
-    mid = ranged.withColumn("__mid", F.monotonically_increasing_id())
-    mid = mid.withColumns({"__slice": F.shiftright("__mid", LOCAL_BITS),
-                           "__local": F.col("__mid").bitwiseAND(F.lit((1 << LOCAL_BITS) - 1))})
-    counts = mid.groupBy("__slice").agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per slice: the only single-partition window here is over #slices rows
-    offsets = counts.select("__slice", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
-    out = mid.join(F.broadcast(offsets), "__slice")
-    return out.withColumn(name, F.col("__off") + F.col("__local")).drop("__mid", "__slice", "__local", "__off")
+    key = F.unix_micros(F.col(order[0]).cast("timestamp"))
+    edges = slice_edges(df, key, max(2, n * SLICES_PER_PARTITION))
+    cut = df.withColumn("__slice", edge_slice(key, edges))
+    counts = df.select(edge_slice(key, edges).alias("__s")).groupBy("__s").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per slice: the only single-partition window here is over #slices rows, and so is the broadcast
+    offsets = counts.select("__s", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
+    inside = F.row_number().over(Window.partitionBy("__slice").orderBy(*order)) - 1
+    out = cut.withColumn("__local", inside).join(F.broadcast(offsets), F.col("__slice") == F.col("__s"))
+    return out.select(*df.columns, (F.col("__off") + F.col("__local")).alias(name))
+
+
+def held_out(n: int, fraction: float = 0.2) -> int:
+    """Number of rows at the end that are held out, one at least."""
+    return max(1, math.floor(n * fraction))
 
 
 def holdout_split_point(n: int, holdout_fraction: float = 0.2, min_train: int = 100) -> int:
-    """Last max(1, int(n*f)) rows held out; error if fewer than ``min_train`` train rows."""
-    holdout = max(1, int(n * holdout_fraction))
-    split = n - holdout
-    if split < min_train:
-        raise ValueError("dataset too small for reliable training; require at least 100 train samples")
-    return split
+    """First row of the holdout."""
+    left = n - held_out(n, holdout_fraction)
+    if left < min_train:
+        raise ValueError(f"{left} training rows are left of {n}; {min_train} are needed")
+    return left
 
 
 def split_train_holdout(indexed: DataFrame, n: int, holdout_fraction: float = 0.2, idx: str = "row_idx"):
@@ -50,15 +53,14 @@ def split_train_holdout(indexed: DataFrame, n: int, holdout_fraction: float = 0.
 
 def expanding_windows(n: int, min_train_ratio: float = 0.5, test_ratio: float = 0.1,
                       step_ratio: float = 0.1) -> list[tuple[int, int, int, int]]:
-    """(train_start, train_end, test_start, test_end) per window; at most a handful of rows."""
-    min_train = max(150, int(n * min_train_ratio))
-    test_size = max(40, int(n * test_ratio))
-    step = max(20, int(n * step_ratio))
-    out, end = [], min_train
-    while end + test_size <= n:
-        out.append((0, end, end, end + test_size))
-        end += step
-    return out
+    """(train_start, train_end, test_start, test_end) of each window.
+
+    First training length, test length and step are shares of n with floors of 150, 40 and 20 rows; window k
+    trains on the first ``first + k * step`` rows, and the last is the last whose test range still fits.
+    """
+    first, test, step = (max(floor, math.floor(n * share)) for floor, share in ((150, min_train_ratio), (40, test_ratio), (20, step_ratio)))
+    count = max(0, (n - first - test) // step + 1)
+    return [(0, e, e, e + test) for e in (first + k * step for k in range(count))]
 
 
 def window_test_membership(indexed: DataFrame, n: int, idx: str = "row_idx", **ratios) -> DataFrame:
@@ -80,19 +82,27 @@ def window_test_membership(indexed: DataFrame, n: int, idx: str = "row_idx", **r
 
 
 def calibration_split_point(length: int) -> int:
-    """max(80, int(.85 len)), bounded by len - 1."""
-    split = max(80, int(length * 0.85))
-    return length - 1 if split >= length else split
+    """Rows before the calibration part: 85 %, 80 at least, and never all of them."""
+    return min(max(80, math.floor(0.85 * length)), length - 1)
 
 
-def cv_folds(n: int, n_splits: int = 4, valid_size: int = 40) -> list[tuple[int, int]]:
-    """(train_end, valid_end) per fold; train ends on integer-truncated linspace; none if n < 160."""
+VALID_SHARE = 0.1  # of the training rows, for each validation fold
+VALID_LEAST = 40
+
+
+def cv_folds(n: int, n_splits: int = 4, valid_size: int | None = None) -> list[tuple[int, int]]:
+    """(train_end, valid_end) of each expanding fold.
+
+    The first fold trains on half the rows, the last one ends with the rows, those between are spaced evenly (integer
+    ends).  A fold validates on ``valid_size`` rows; by default a share of n (VALID_SHARE, VALID_LEAST at least),
+    so that the choice of a configuration does not hang on 40 rows of a large corpus.  Fewer than 160 rows give no folds.
+    """
     if n < 160:
         return []
-    lo, hi = int(n * 0.5), n - valid_size
-    step = (hi - lo) / (n_splits - 1)
-    ends = [int(lo + k * step) if k < n_splits - 1 else hi for k in range(n_splits)]
-    return [(e, min(n, e + valid_size)) for e in ends if min(n, e + valid_size) > e]
+    size = max(VALID_LEAST, math.floor(n * VALID_SHARE)) if valid_size is None else valid_size
+    lo, hi = n // 2, n - size
+    ends = [lo + (hi - lo) * k // (n_splits - 1) for k in range(n_splits)]
+    return [(e, e + size) for e in ends if e + size <= n]
 
 
 def stride_sample(df: DataFrame, k: int, idx: str) -> DataFrame:
@@ -109,9 +119,9 @@ def even_downsample(df: DataFrame, length: int, max_rows: int, idx: str) -> Data
     if max_rows <= 0 or length <= max_rows:
         return df
     spark = df.sparkSession
-    step = (length - 1) / (max_rows - 1)
+    step = (length - 1) / max(1, max_rows - 1)
     picks = (spark.range(max_rows).select(
-        F.when(F.col("id") == max_rows - 1, F.lit(length - 1))
+        F.when((F.col("id") == max_rows - 1) & F.lit(max_rows > 1), F.lit(length - 1))
         .otherwise(F.floor(F.col("id").cast("double") * F.lit(step))).cast("long").alias("__pick")))
     return df.join(F.broadcast(picks), F.col(idx) == F.col("__pick"), "left_semi")
 

@@ -105,3 +105,29 @@ def test_asof_staleness_limit(spark):
     stale = out.where(F.col("observed_at").isNotNull() &
                       (F.col("timestamp").cast("long") - F.col("observed_at").cast("long") > 6 * 3600)).count()
     assert stale == 0
+
+
+def test_trailing_counts_are_linear_and_ignore_null_cities(spark):
+    """One hot city: twice the rows take about twice the time; rows without a city count 0."""
+    import time
+
+    def made(n):
+        tel = spark.range(n).select(F.col("id").alias("telemetry_id"), F.when(F.col("id") % 50 == 0, F.lit(None)).otherwise(F.lit("a")).alias("city"),
+                                    F.timestamp_seconds(F.col("id") * 60).alias("timestamp"))
+        ev = spark.range(n).select(F.lit("a").alias("city"), F.timestamp_seconds(F.col("id") * 60).alias("timestamp"))
+        start = time.time()
+        rows = LB.trailing_count(tel, ev, 30, "n").agg(F.sum("n"), F.count(F.lit(1)), F.max("n"), F.sum(F.when(F.col("city").isNull(), F.col("n")))).first()
+        return time.time() - start, rows
+
+    made(2000)
+    one, _ = made(30_000)
+    two, rows = made(60_000)
+    assert rows[1] == 60_000 and rows[2] == 43_201 and rows[3] == 0
+    assert two < 3 * one + 2
+
+
+def test_null_keys_go_round_the_windows(spark):
+    tel = spark.createDataFrame([(1, None, 10), (2, "a", 10), (3, None, 5)], "telemetry_id long, city string, h int").withColumn("timestamp", F.timestamp_seconds(F.col("h") * 3600)).drop("h")
+    inc = spark.createDataFrame([(None, "power", 10), ("a", "power\t", 12)], "city string, system string, h int").withColumn("timestamp", F.timestamp_seconds(F.col("h") * 3600)).drop("h")
+    got = {r.telemetry_id: r.power_failure_72h_label for r in LB.label(tel, inc).collect()}
+    assert got == {1: 0, 2: 1, 3: 0}

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from infrarisk.operators import metrics as M
 from infrarisk.operators import splits as SP
@@ -90,8 +91,8 @@ def test_global_index_matches_sort(spark):
 def test_windows_and_folds():
     w = SP.expanding_windows(52560)
     assert len(w) == 5 and w[0][1] == 26280 and all(b[3] - b[2] == 5256 for b in w)
-    assert SP.cv_folds(100) == []
-    folds = SP.cv_folds(1000)
+    assert SP.cv_folds(100, valid_size=40) == []
+    folds = SP.cv_folds(1000, valid_size=40)
     assert [f[0] for f in folds] == [int(x) for x in np.linspace(500, 960, 4, dtype=int)]
     assert SP.calibration_split_point(90) == 80 and SP.calibration_split_point(80) == 79
     assert SP.calibration_split_point(1000) == 850
@@ -111,3 +112,36 @@ def test_even_downsample_matches_linspace(spark):
     df = spark.range(length).withColumnRenamed("id", "i")
     got = sorted(r[0] for r in SP.even_downsample(df, length, m, "i").collect())
     assert got == sorted(set(np.linspace(0, length - 1, num=m, dtype=int).tolist()))
+
+
+def test_running_sums_without_exchange_reuse(spark):
+    """Wide rows, and no shared exchange: equal to a plain cumulative sum."""
+    import numpy as np
+
+    n = 200_000
+    df = (spark.range(n).select((F.col("id") % 2).alias("g"), (F.xxhash64("id") % 1_000_003 / 2_000_006 + 0.5).alias("p0"), F.lit(1).alias("cnt"), (F.col("id") % 3 == 0).cast("int").alias("tp"),
+                                *[F.xxhash64("id", F.lit(k)).alias(f"x{k}") for k in range(6)])
+          .groupBy("g", F.col("p0").alias("p")).agg(F.sum("tp").alias("tp"), F.sum("cnt").alias("cnt"), F.max("x0").alias("x0"), F.max("x1").alias("x1")))
+    before = spark.conf.get("spark.sql.exchange.reuse", "true")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = M.running_sums(df, ["g"], "p", ["tp", "cnt"]).select("g", "p", "tp", "cnt", "ctp", "ccnt").toPandas()
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", before)
+    got = got.sort_values(["g", "p"], ascending=[True, False])
+    for _, part in got.groupby("g"):
+        assert np.array_equal(part.ctp, part.tp.cumsum()) and np.array_equal(part.ccnt, part.cnt.cumsum())
+    assert got.cnt.sum() == n
+
+
+def test_even_downsample_of_one(spark):
+    df = spark.range(50)
+    assert SP.even_downsample(df, 50, 1, "id").count() == 1
+    assert SP.even_downsample(df, 50, 7, "id").count() == 7
+
+
+def test_folds():
+    for n in (160, 399, 400, 1000, 54321):
+        folds = SP.cv_folds(n)
+        assert len(folds) == 4 and folds[0][0] == n // 2 and folds[-1][1] == n and all(v - e == max(40, int(n * 0.1)) for e, v in folds)
+    assert SP.cv_folds(159) == [] and SP.cv_folds(400, valid_size=40)[0] == (200, 240)
