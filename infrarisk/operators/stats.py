@@ -1,6 +1,6 @@
 """Preprocessing statistics (A1-A5).
 
-Two aggregate jobs: one for all medians, one for all means / population stds on the imputed
+Medians by distributed rank selection, then one aggregate for all means / population stds on the imputed
 frame.  Results are a handful of numbers per feature (bounded by the feature count), the only
 thing brought to the driver.
 """
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import MODEL_NUMERIC_FEATURES
@@ -24,17 +24,39 @@ class Preprocessor:
     city_categories: list[str] = field(default_factory=list)
 
 
-def medians(df: DataFrame, features: list[str] = MODEL_NUMERIC_FEATURES, exact: bool = True) -> dict[str, float]:
-    """A1: interpolated median per feature, all-null -> 0.
+MEDIAN_SLICES = 64
 
-    ``exact`` uses ``percentile`` (holds value counts per feature: fine for rounded telemetry);
-    above ~1e9 rows with continuous values use ``exact=False`` (``percentile_approx``).
+
+def grouped_medians(df: DataFrame, features: list[str] = MODEL_NUMERIC_FEATURES, group: list[str] | None = None) -> DataFrame:
+    """A1: (group..., feature, median), exact and interpolated; features without a value are absent.
+
+    Values are counted by (group, feature, value), running counts are taken inside value slices (edges at
+    approximate quantiles, a few numbers a feature) and completed by the counts of the slices before; the middle
+    ranks are then picked.  No task holds all values of a feature, and only the edges reach the driver.
     """
-    def med(c):
-        x = F.col(c).cast("double")
-        return F.median(x) if exact else F.percentile_approx(x, 0.5, 100000).cast("double")
-    row = df.agg(*[med(c).alias(c) for c in features]).first()
-    return {c: (float(row[c]) if row[c] is not None else 0.0) for c in features}
+    group = group or []
+    shares = F.lit([i / MEDIAN_SLICES for i in range(1, MEDIAN_SLICES)]).cast("array<double>")
+    edge = df.agg(*[F.percentile_approx(F.col(c).cast("double"), shares, 1000).alias(c) for c in features]).first()
+    edges = df.sparkSession.createDataFrame([(c, sorted(set(edge[c] or []))) for c in features], "feature string, edges array<double>")
+    value = lambda c: F.when(F.isnan(F.col(c).cast("double")), F.lit(None)).otherwise(F.col(c).cast("double"))
+    long = df.select(*group, F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), value(c).alias("value")) for c in features]))).where("value IS NOT NULL")
+    points = long.groupBy(*group, "feature", "value").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(edges), "feature")  # one row a feature
+    points = points.select(*group, "feature", "value", "n", F.size(F.filter("edges", lambda e: e <= F.col("value"))).alias("slice"))
+    keys = [*group, "feature"]
+    inside = F.sum("n").over(Window.partitionBy(*keys, "slice").orderBy("value").rowsBetween(Window.unboundedPreceding, -1))
+    sums = points.groupBy(*keys, "slice").agg(F.sum("n").alias("sn"))
+    before = F.sum("sn").over(Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(*keys, "slice", F.coalesce(before, F.lit(0)).alias("sb"), F.sum("sn").over(Window.partitionBy(*keys)).alias("total"))
+    ranked = points.withColumn("ib", F.coalesce(inside, F.lit(0))).join(sums, [*keys, "slice"]).withColumn("first", F.col("ib") + F.col("sb"))
+    at = lambda rank: F.max(F.when((F.col("first") <= rank) & (rank < F.col("first") + F.col("n")), F.col("value")))
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    return ranked.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias("median"))
+
+
+def medians(df: DataFrame, features: list[str] = MODEL_NUMERIC_FEATURES) -> dict[str, float]:
+    """A1: interpolated median per feature (one number each on the driver), all-null -> 0."""
+    found = {r["feature"]: float(r["median"]) for r in grouped_medians(df, features).collect()}
+    return {c: found.get(c, 0.0) for c in features}
 
 
 def moments(df: DataFrame, meds: dict[str, float], features: list[str] = MODEL_NUMERIC_FEATURES):
@@ -58,12 +80,11 @@ def city_categories(df: DataFrame) -> DataFrame:
             .distinct().orderBy("city"))
 
 
-def fit_preprocessor(df: DataFrame, features: list[str] = MODEL_NUMERIC_FEATURES, exact: bool = True,
-                     collect_cities: bool = True) -> Preprocessor:
-    meds = medians(df, features, exact)
+def fit_preprocessor(df: DataFrame, features: list[str] = MODEL_NUMERIC_FEATURES) -> Preprocessor:
+    """Medians, means and deviations; city categories stay a DataFrame (``city_categories``)."""
+    meds = medians(df, features)
     means, stds = moments(df, meds, features)
-    cities = [r[0] for r in city_categories(df).collect()] if collect_cities else []
-    return Preprocessor(list(features), meds, means, stds, cities)
+    return Preprocessor(list(features), meds, means, stds)
 
 
 def class_balance(df: DataFrame, targets: list[str]) -> DataFrame:

@@ -1,19 +1,16 @@
 """Expanding-window backtest (L5) and rule / ML / hybrid comparison.
 
 Backtest: per window and target, split the window's training rows at the calibration point (W4),
-choose the config and the F1 threshold on the calibration rows, refit on the whole training
-window, score the test range; all per-window metrics are unioned into one long table and reduced
-with one aggregate (E10).  The fits are MLlib jobs; the driver holds only coefficients.
+choose the config by folds before it and the F1 threshold on the calibration rows, fit on the whole training
+window, score the test range; all windows' fits run together (``batchfit``) and all metrics come from
+grouped jobs (E10).  The driver holds coefficients and one row of metrics a window and target.
 
-Comparison: the sampled holdout (W2 tail, W6 stride, W7 downsample) is assessed by rules, by the
+Comparison: the holdout (or the sampled one: W2 tail, W6 stride, W7 downsample) is assessed by rules, by the
 models and by the blend, unpivoted to (target, model, y, p) and scored by one grouped metrics job.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,59 +24,60 @@ from ..operators.features import engineered, feature_frame
 from ..operators.infer import predict
 from ..schema import TARGET_COLUMNS, TARGET_TO_SYSTEM
 from . import train as TR
+from .batchfit import Fits, Job
 
 METRICS = ["roc_auc", "pr_auc", "brier", "log_loss", "accuracy", "precision", "recall", "f1", "ece_10_bins"]
 ORDER = ["timestamp", "city", "telemetry_id"]
 
 
-def backtest(labeled: DataFrame, targets: list[str] = TARGET_COLUMNS, cv: bool = True, min_train_ratio: float = 0.5,
-             test_ratio: float = 0.1, step_ratio: float = 0.1, exact_stats: bool = True):
-    """L5.  Returns (per-window metrics long table, mean/std summary per target, macro PR-AUC)."""
+def backtest(labeled: DataFrame, targets: list[str] = TARGET_COLUMNS, min_train_ratio: float = 0.5,
+             test_ratio: float = 0.1, step_ratio: float = 0.1):
+    """L5.  Returns (per-window metrics long table, mean/std summary per target, macro PR-AUC).
+
+    One batch of fits holds every window's folds, its part before the calibration rows and its whole training part,
+    under every configuration.  One grouped job scores all folds, one all calibration rows, one all test ranges.
+    """
     feats = feature_frame(labeled, include_targets=True, keep=["timestamp", "telemetry_id"])
     idx = SP.global_index(feats, ORDER).persist(StorageLevel.MEMORY_AND_DISK)
     n = idx.count()
     windows = SP.expanding_windows(n, min_train_ratio, test_ratio, step_ratio)
     if not windows:
         raise ValueError("not enough rows for rolling backtest windows")
-    # class diversity of every (target, window, part) in one aggregate
-    r = F.col("row_idx")
-    parts = {}
-    for w, (_, train_end, test_start, test_end) in enumerate(windows):
-        split = SP.calibration_split_point(train_end)
-        parts[w] = {"tr": r < train_end, "te": (r >= test_start) & (r < test_end),
-                    "sub": r < split, "cal": (r >= split) & (r < train_end)}
-    checks = idx.agg(*[F.count_distinct(F.when(cond, F.col(t))).alias(f"{t}|{w}|{k}")
-                       for t in targets for w, d in parts.items() for k, cond in d.items()]).first().asDict()
-    jobs = [(t, w) for t in targets for w in parts
-            if min(checks[f"{t}|{w}|{k}"] for k in ("tr", "te", "sub", "cal")) >= 2]
-
-    def one(job):
-        t, w = job
-        _, train_end, test_start, test_end = windows[w]
-        split = SP.calibration_split_point(train_end)
-        tr = idx.where(r < train_end)
-        te = idx.where((r >= test_start) & (r < test_end))
-        tt = TR.fit_target(tr.where(r < split), tr.where(r >= split), split, t, cv, exact_stats=exact_stats)
-        model = TR.fit_logistic(tr, t, tt.config["l2"], exact_stats)
-        scored = predict(te, [model]).select(
-            F.lit(t).alias("target"), F.lit(w).alias("window_id"), F.lit(tt.threshold).alias("thr"),
-            F.col(t).alias("y"), F.col(f"p_{t}").alias("p"))
-        # materialise the (tiny) per-window metrics while the window's frames are cached
-        rows = M.classification_metrics(scored, ["target", "window_id"], "thr").withColumn(
-            "threshold", F.lit(tt.threshold)).collect()
-        return rows
-
-    with ThreadPoolExecutor(max_workers=max(1, min(len(jobs), TR.PARALLEL_FITS))) as pool:
-        rows = [row for part in pool.map(one, jobs) for row in part]
-    per_window = [idx.sparkSession.createDataFrame(rows)] if rows else []
+    cal = {w: SP.calibration_split_point(train_end) for w, (_, train_end, _, _) in enumerate(windows)}
+    jobs = []
+    for w, (_, train_end, _, _) in enumerate(windows):
+        jobs += TR.fold_jobs(cal[w], (w,), targets)
+        jobs += [Job((w, part, c, t), t, end, cfg["l2"]) for part, end in (("sub", cal[w]), ("full", train_end)) for c, cfg in enumerate(TR.CONFIGS) for t in targets]
+    fits = Fits(idx, jobs, targets)
+    at = {j.key: k for k, j in enumerate(jobs)}
+    asked = [(w, c, t) for w in cal for c in range(len(TR.CONFIGS)) for t in targets]
+    tags = F.broadcast(fits.spark.createDataFrame([(k, w, c, t) for k, (w, c, t) in enumerate(asked)], "asked int, window_id int, config int, target string"))  # one row a fit
+    rows_of = lambda part, lo, hi: fits.score([(at[(w, part, c, t)], lo(w), hi(w)) for w, c, t in asked]).join(tags, "asked").drop("asked")
+    calibration = rows_of("sub", lambda w: cal[w], lambda w: windows[w][1])
+    test = rows_of("full", lambda w: windows[w][2], lambda w: windows[w][3])
+    part = F.regexp_extract("part", "[0-9]+", 0).cast("int").alias("window_id")
+    best = TR.choices(TR.fold_scores(fits, {(w,): e for w, e in cal.items()}).select(part, "target", "config", "fold", "pr_auc"), ["window_id", "target"])
+    usable = [(w, t) for w, (_, train_end, _, _) in enumerate(windows) for t in targets if fits.both_classes(t, cal[w]) and fits.both_classes(t, train_end)]
+    chosen = fits.spark.createDataFrame(usable, "window_id int, target string").join(best, ["window_id", "target"], "left").fillna({"config": 0})
+    # one class among calibration or test rows (no ROC): the window does not count for the target
+    found = M.curve_metrics(calibration, ["window_id", "target", "config"]).where("roc_auc IS NOT NULL").select("window_id", "target", "config", "threshold")
+    picked = test.join(chosen.select("window_id", "target", "config").join(found, ["window_id", "target", "config"]), ["window_id", "target", "config"])
+    per = M.classification_metrics(picked, ["target", "window_id"], "threshold").where("roc_auc IS NOT NULL")
+    rows = per.join(found.join(chosen.select("window_id", "target", "config"), ["window_id", "target", "config"]).select("window_id", "target", "threshold"), ["window_id", "target"]).collect()  # one row a window and target
     idx.unpersist()
-    if not per_window:
+    fits.close()
+    if not rows:
         raise ValueError("no window could be evaluated")
-    long = reduce(lambda a, b: a.unionByName(b), per_window)
-    summary = M.mean_std(long, ["target"], METRICS).join(
-        long.groupBy("target").agg(F.count(F.lit(1)).alias("windows_evaluated")), "target")
-    macro = summary.agg(F.avg("pr_auc_mean").alias("macro_pr_auc_mean"))
-    return long, summary, macro
+    long = fits.spark.createDataFrame(rows)
+    summary = M.mean_std(long, ["target"], METRICS).join(long.groupBy("target").agg(F.count(F.lit(1)).alias("windows_evaluated")), "target")
+    return long, summary, summary.agg(F.avg("pr_auc_mean").alias("macro_pr_auc_mean"))
+
+
+def holdout(labeled: DataFrame, holdout_fraction: float = 0.2) -> DataFrame:
+    """The rows after the split, with the global chronological index."""
+    idx = SP.global_index(labeled, ORDER)
+    n = idx.count()
+    return idx.where(F.col("row_idx") >= n - SP.held_out(n, holdout_fraction))
 
 
 def sampled_holdout(labeled: DataFrame, holdout_fraction: float = 0.2, stride: int = 15,
@@ -94,12 +92,10 @@ def sampled_holdout(labeled: DataFrame, holdout_fraction: float = 0.2, stride: i
     return SP.even_downsample(strided, s_len, max_rows, "s_idx")
 
 
-def compare(labeled: DataFrame, bundle: TR.Bundle, holdout_fraction: float = 0.2, stride: int = 15,
-            max_rows: int = 1200):
-    """Rule p = score / 100, ML p, hybrid p = clip((1 - a) rule + a ml); metrics at .5, reliability
+def compare(labeled: DataFrame, bundle: TR.Bundle, holdout_fraction: float = 0.2, rows: DataFrame | None = None):
+    """L6 on the whole holdout (or on ``rows``, e.g. ``sampled_holdout``): rule p = score / 100, ML p, hybrid p = clip((1 - a) rule + a ml); metrics at .5, reliability
     bins, macro PR-AUC per model, random baseline (prevalence) and uplift."""
-    sample = sampled_holdout(labeled, holdout_fraction, stride, max_rows)
-    scored = rules.score(sample)
+    scored = rules.score(holdout(labeled, holdout_fraction) if rows is None else rows)
     feats = engineered(coerce_numeric(scored)).withColumn(
         "city", F.coalesce(F.col("city").cast("string"), F.lit("UNKNOWN")))
     models = [bundle.targets[t].model for t in TARGET_COLUMNS if t in bundle.targets]

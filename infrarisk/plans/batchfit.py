@@ -1,0 +1,235 @@
+"""Many class-weighted logistic fits in one sequence of Spark jobs (L1 in bulk).
+
+A backtest needs hundreds of fits over nested row ranges: targets x configurations x folds x windows.  Fitting them
+one after another costs one job per solver iteration *each*.  Here every iteration is one job for all of them: each
+task evaluates loss and gradient of every unfinished model on its rows (numpy, one matrix product per row range) and
+sends one partial sum a range; partial sums are added up in a second stage, and the driver, which holds nothing but
+coefficients, takes an L-BFGS step per model.  The objective is the one of ``train.fit_logistic``:
+
+    (1/n) sum w_i loss_i + l2/2 |weights|^2,  w = n / (2 positives) or n / (2 negatives), intercept unpenalised.
+
+Preprocessing (medians, means, deviations) is computed once per row range, for all ranges together.  A model of a
+range is the rows before its end in chronological order.  Cities absent from a range keep weight 0.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Hashable, Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..operators import stats as ST
+from ..operators.infer import LinearModel
+from ..schema import MODEL_NUMERIC_FEATURES, TARGET_COLUMNS
+
+TOLERANCE = 5e-5  # of the gradient's norm
+MOST_ITERATIONS = 150
+MEMORY = 10  # L-BFGS pairs
+FEW_BYTES = 64 << 20  # partial sums that the driver may add up itself
+
+
+@dataclass(frozen=True)
+class Job:
+    """One model: ``target`` on rows before ``end`` with penalty ``l2``; ``key`` names it."""
+
+    key: Hashable
+    target: str
+    end: int
+    l2: float
+
+
+@dataclass
+class _State:
+    x: np.ndarray
+    scale: np.ndarray  # inverse of the objective's diagonal curvature at balanced rows
+    best: tuple | None = None  # (loss, gradient) at x
+    step: float = 1.0
+    move: np.ndarray | None = None
+    pairs: list = field(default_factory=list)
+    rounds: int = 0
+    done: bool = False
+
+    def trial(self) -> np.ndarray:
+        return self.x if self.best is None else self.x + self.step * self.move
+
+    def _direction(self, g: np.ndarray) -> np.ndarray:
+        q, back = g.copy(), []
+        for s, y, r in reversed(self.pairs):
+            a = r * (s @ q)
+            q -= a * y
+            back.append(a)
+        s, y, _ = self.pairs[-1] if self.pairs else (None, None, None)
+        q *= self.scale * ((s @ y) / (y @ (self.scale * y)) if self.pairs else 1.0)
+        for (s, y, r), a in zip(self.pairs, reversed(back), strict=True):
+            q += (a - r * (y @ q)) * s
+        return -q
+
+    def take(self, loss: float, g: np.ndarray) -> None:
+        """Accepts a trial that lowers the loss enough, else shortens the step."""
+        if self.best is not None:
+            f, old = self.best
+            if loss > f + 1e-4 * self.step * float(old @ self.move) + 1e-13 and self.step > 1e-8:
+                self.step /= 3
+                return
+            s, y = self.step * self.move, g - old
+            if s @ y > 1e-12:
+                self.pairs = [*self.pairs[-MEMORY + 1:], (s, y, 1 / (s @ y))]
+            self.x = self.x + s
+        self.best, self.step, self.rounds = (loss, g), 1.0, self.rounds + 1
+        self.move = self._direction(g)
+        self.done = float(np.linalg.norm(g)) < TOLERANCE or self.rounds >= MOST_ITERATIONS
+
+
+class Fits:
+    """Fitted models of ``jobs`` over ``indexed`` (city, features, targets, ``row_idx``)."""
+
+    def __init__(self, indexed: DataFrame, jobs: list[Job], targets: list[str] = TARGET_COLUMNS, features: list[str] = MODEL_NUMERIC_FEATURES, idx: str = "row_idx"):
+        self.jobs, self.targets, self.features = jobs, targets, features
+        self.spark = indexed.sparkSession
+        named = indexed.withColumn("city", F.coalesce(F.col("city").cast("string"), F.lit("UNKNOWN")))
+        # one row a city, as many as every model has city weights
+        self.cities = named.select("city").distinct().withColumn("city_no", (F.row_number().over(Window.orderBy("city")) - 1).cast("int")).persist(StorageLevel.MEMORY_AND_DISK)
+        self.n_cities = self.cities.count()
+        self.ends = sorted({j.end for j in jobs})
+        self.data = named.join(self.cities, "city").select(
+            F.col(idx).cast("long").alias("row"), "city_no", *[F.col(t).cast("int").alias(f"y{k}") for k, t in enumerate(targets)],
+            *[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(features)]).persist(StorageLevel.MEMORY_AND_DISK)
+        self.tasks = self.data.rdd.getNumPartitions()
+        self._prepare()
+        self._fit()
+
+    def _prepare(self) -> None:
+        """Per range: rows, positives, medians, means, deviations."""
+        cols = [f"x{k}" for k in range(len(self.features))]
+        ranged = self.data.withColumn("range", F.explode(F.filter(F.array(*[F.lit(e) for e in self.ends]), lambda e: e > F.col("row"))))
+        med = {e: np.zeros(len(cols)) for e in self.ends}
+        for r in ST.grouped_medians(ranged, cols, ["range"]).collect():
+            med[r["range"]][int(r["feature"][1:])] = r["median"]
+        fill = self.spark.createDataFrame([(e, m.tolist()) for e, m in med.items()], "range int, med array<double>")  # one row a range
+        joined = ranged.join(F.broadcast(fill), "range")
+        value = [F.coalesce(F.when(~F.isnan(c), F.col(c)), F.col("med")[k]) for k, c in enumerate(cols)]
+        got = joined.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(v) for v in value]).alias("mean"), F.array(*[F.stddev_pop(v) for v in value]).alias("std"),
+                                          F.array(*[F.coalesce(F.sum(f"y{k}"), F.lit(0)) for k in range(len(self.targets))]).alias("pos")).collect()
+        self.pre, self.count, self.positives = {}, {e: 0 for e in self.ends}, {e: [0] * len(self.targets) for e in self.ends}
+        for r in got:
+            std = np.array([s if s is not None and s > 1e-9 else 1.0 for s in r["std"]])
+            self.pre[r["range"]] = (med[r["range"]], np.array(r["mean"]), std)
+            self.count[r["range"]], self.positives[r["range"]] = r["n"], list(r["pos"])
+        self.share = {e: np.zeros(self.n_cities) for e in self.ends}  # as large as the models themselves
+        for r in ranged.groupBy("range", "city_no").agg(F.count(F.lit(1)).alias("n")).collect():
+            self.share[r["range"]][r["city_no"]] = r["n"] / self.count[r["range"]]
+
+    def both_classes(self, target: str, end: int) -> bool:
+        return 0 < self.positives[end][self.targets.index(target)] < self.count[end]
+
+    def _fit(self) -> None:
+        f, wide = len(self.features), len(self.features) + self.n_cities + 1
+        scale = lambda j: 1 / np.concatenate([np.full(f, 0.25 + j.l2), 0.25 * self.share[j.end] + j.l2, [0.25]])
+        self.states = [_State(np.zeros(wide), scale(j)) for j in self.jobs]
+        while live := [k for k, s in enumerate(self.states) if not s.done]:
+            for k, (loss, g) in self._evaluate(live).items():
+                self.states[k].take(loss, g)
+
+    def _plan(self, live: list[int]) -> dict[int, tuple]:
+        """Per range: medians, means, deviations, and the matrices of its models at their trial points."""
+        out: dict[int, tuple] = {}
+        for e in self.ends:
+            own = [k for k in live if self.jobs[k].end == e]
+            if own:
+                w = np.stack([self.states[k].trial() for k in own], 1)
+                ys = [self.targets.index(self.jobs[k].target) for k in own]
+                n, pos = self.count[e], [max(1, self.positives[e][y]) for y in ys]
+                out[e] = (*self.pre[e], own, np.array(ys), w, np.array([n / (2 * p) for p in pos]), np.array([n / (2 * max(1, n - p)) for p in pos]))
+        return out
+
+    def _evaluate(self, live: list[int]) -> dict[int, tuple[float, np.ndarray]]:
+        plan = self._plan(live)
+        sent = self.spark.sparkContext.broadcast(plan)  # coefficients of the unfinished models
+        f, c, nt = len(self.features), self.n_cities, len(self.targets)
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = {e: np.zeros((f + c + 2, len(p[3]))) for e, p in sent.value.items()}
+            for b in batches:
+                row, city = b.column(0).to_numpy(), b.column(1).to_numpy()
+                y = np.stack([b.column(2 + k).to_numpy(zero_copy_only=False) for k in range(nt)], 1).astype(float)
+                x = np.stack([b.column(2 + nt + k).to_numpy(zero_copy_only=False) for k in range(f)], 1)
+                for e, (med, mean, std, _, ys, w, up, down) in sent.value.items():
+                    at = np.flatnonzero(row < e)
+                    if not len(at):
+                        continue
+                    own = x[at]
+                    z = (np.where(np.isnan(own), med, own) - mean) / std
+                    logit = z @ w[:f] + w[f : f + c][city[at]] + w[-1]
+                    label = y[at][:, ys]
+                    weight = np.where(label == 1, up, down)
+                    resid = (1 / (1 + np.exp(-np.clip(logit, -35, 35))) - label) * weight
+                    s = sums[e]
+                    s[:f] += z.T @ resid
+                    np.add.at(s, f + city[at], resid)
+                    s[f + c] += resid.sum(0)
+                    s[f + c + 1] += (weight * (np.logaddexp(0, logit) - label * logit)).sum(0)
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["end", "part"])
+
+        def added(t: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(p, float) for p in t.column("part").to_pylist())
+            return pa.table({"end": pa.array([t.column("end")[0].as_py()], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
+
+        schema = "end int, part binary"
+        parts = self.data.mapInArrow(partial, schema)
+        if self.tasks * len(live) * (f + c + 2) * 8 <= FEW_BYTES:  # few partial sums: one stage, added up on the driver
+            sums: dict[int, np.ndarray] = {}
+            for r in parts.collect():
+                sums[r["end"]] = sums.get(r["end"], 0) + np.frombuffer(r["part"], float)
+            rows = [{"end": e, "part": s} for e, s in sums.items()]
+        else:
+            rows = parts.groupBy("end").applyInArrow(added, schema).collect()  # one row a range
+        out = {}
+        for r in rows:
+            _, _, _, own, _, w, _, _ = plan[r["end"]]
+            s = np.frombuffer(r["part"], float).reshape(f + c + 2, len(own)) / self.count[r["end"]]
+            for k, job in enumerate(own):
+                g, l2 = s[:-1, k].copy(), self.jobs[job].l2
+                g[:-1] += l2 * w[:-1, k]
+                out[job] = (float(s[-1, k] + l2 / 2 * (w[:-1, k] @ w[:-1, k])), g)
+        sent.unpersist()
+        return out
+
+    def gradient_norm(self, k: int) -> float:
+        return float(np.linalg.norm(self.states[k].best[1]))
+
+    def score(self, asked: list[tuple[int, int, int]]) -> DataFrame:
+        """(asked, y, p) of rows lo <= row < hi under model k, for each numbered ``(k, lo, hi)``."""
+        f, c = len(self.features), self.n_cities
+        todo = [(lo, hi, self.pre[self.jobs[k].end], self.targets.index(self.jobs[k].target), self.states[k].x) for k, lo, hi in asked]
+        sent = self.spark.sparkContext.broadcast(todo)
+        nt = len(self.targets)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                row, city = b.column(0).to_numpy(), b.column(1).to_numpy()
+                x = np.stack([b.column(2 + nt + k).to_numpy(zero_copy_only=False) for k in range(f)], 1)
+                for no, (lo, hi, (med, mean, std), t, w) in enumerate(sent.value):
+                    at = np.flatnonzero((row >= lo) & (row < hi))
+                    if len(at):
+                        own = x[at]
+                        z = (np.where(np.isnan(own), med, own) - mean) / std
+                        p = 1 / (1 + np.exp(-np.clip(z @ w[:f] + w[f : f + c][city[at]] + w[-1], -35, 35)))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), no), pa.int32()), b.column(2 + t).take(pa.array(at)).cast(pa.int32()), pa.array(p)], names=["asked", "y", "p"])
+
+        return self.data.mapInArrow(run, "asked int, y int, p double")
+
+    def model(self, k: int) -> LinearModel:
+        """The fitted model in the form inference uses; its city weights are a table of one row a city."""
+        med, mean, std = self.pre[self.jobs[k].end]
+        pre = ST.Preprocessor(list(self.features), *({c: float(v) for c, v in zip(self.features, x, strict=True)} for x in (med, mean, std)))
+        x, f = self.states[k].x, len(self.features)
+        weights = self.spark.createDataFrame([(i, float(w)) for i, w in enumerate(x[f:-1])], "city_no int, weight double")
+        return LinearModel(self.jobs[k].target, pre, {c: float(w) for c, w in zip(self.features, x[:f], strict=True)}, float(x[-1]), self.cities.join(weights, "city_no").select("city", "weight"))
+
+    def close(self) -> None:
+        self.data.unpersist()

@@ -217,17 +217,13 @@ def pinned_bias(ti: int) -> float:
 
 def pinned_models(spark, sf_dir, feats: DataFrame | None = None) -> list[IN.LinearModel]:
     feats = feats if feats is not None else features_of(spark, sf_dir)
-    pre = ST.fit_preprocessor(feats, collect_cities=False)
+    pre = ST.fit_preprocessor(feats)
     pre.medians = {c: round(v, 6) for c, v in pre.medians.items()}
     pre.means = {c: round(v, 6) for c, v in pre.means.items()}
     pre.stds = {c: (round(v, 6) or 1.0) for c, v in pre.stds.items()}
-    # model parameters: one row per known city (the model's size), five weight columns
-    rows = []
-    for (city,) in ST.city_categories(feats).collect():
-        code = city[5:]
-        if code.isdigit():
-            rows.append((city, *[((int(code) * 13 + ti * 5) % 21 - 10) / 100.0 for ti in range(len(TARGET_COLUMNS))]))
-    cw = spark.createDataFrame(rows, "city string, " + ", ".join(f"w_{ti} double" for ti in range(len(TARGET_COLUMNS))))
+    # model parameters: one row per known city, by expression (a hash of the whole name, so no city is left out)
+    code = F.coalesce(F.regexp_extract("city", r"^city_([0-9]+)$", 1).try_cast("long"), F.crc32(F.col("city").cast("binary")))
+    cw = ST.city_categories(feats).select("city", *[(((code * 13 + ti * 5) % 21 - 10) / F.lit(100.0)).alias(f"w_{ti}") for ti in range(len(TARGET_COLUMNS))])
     return [IN.LinearModel(t, pre, {c: pinned_weight(j, ti) for j, c in enumerate(pre.numeric_features)},
                            pinned_bias(ti), cw, f"w_{ti}") for ti, t in enumerate(TARGET_COLUMNS)]
 
@@ -419,24 +415,19 @@ def q_k1_history_newest(spark, sf_dir, limit: int = 20):
 # ---------------------------------------------------------------------------
 def q_l1_l4_train_report(spark, sf_dir):
     from . import train as TR
-    bundle = TR.train_models(labeled(spark, sf_dir), cv=False)
-    return TR.report_table(bundle)
+    return TR.report_table(TR.train_models(labeled(spark, sf_dir)))
 
 
 def q_l2_config_choice(spark, sf_dir):
     from . import train as TR
     feats = FE.feature_frame(labeled(spark, sf_dir), include_targets=True, keep=["timestamp", "telemetry_id"])
-    idx = SP.global_index(feats, ["timestamp", "city", "telemetry_id"])
-    n = idx.count()
-    train, _, split = SP.split_train_holdout(idx, n, 0.2)
-    cfg, cv, folds = TR.choose_config(train, split, TARGET_COLUMNS[0])
-    return spark.createDataFrame([(TARGET_COLUMNS[0], float(cfg["l2"]), float(cv), len(folds))],
-                                 "target string, l2 double, cv_pr_auc double, folds int")
+    idx = SP.global_index(feats, ORDER)
+    return TR.choose_config(idx, SP.holdout_split_point(idx.count(), 0.2)).select("target", "l2", F.col("mean_pr_auc").alias("cv_pr_auc"), "folds")
 
 
 def q_l5_backtest(spark, sf_dir):
     from . import backtest as BT
-    _, summary, _ = BT.backtest(labeled(spark, sf_dir), cv=False)
+    _, summary, _ = BT.backtest(labeled(spark, sf_dir))
     return summary
 
 
@@ -444,7 +435,7 @@ def q_l6_compare(spark, sf_dir):
     from . import backtest as BT
     from . import train as TR
     lab = labeled(spark, sf_dir)
-    met, _, _, _ = BT.compare(lab, TR.train_models(lab, cv=False))
+    met, _, _, _ = BT.compare(lab, TR.train_models(lab))
     return met.select("target", "model", "n", "pr_auc", "roc_auc", "brier", "f1", "ece_10_bins")
 
 

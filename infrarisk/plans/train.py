@@ -5,9 +5,9 @@ L1  class-weighted L2 logistic regression: ``LogisticRegression(weightCol, regPa
     to n, so MLlib's objective (1/sum w) sum w_i loss_i + l2/2 |b|^2 is the gradient-descent
     objective of the modelled trainer; MLlib converges where that trainer stops after fixed
     epochs, so coefficients differ slightly and metrics are compared with a tolerance.
-L2  config choice by mean CV average precision over the expanding folds (W5), strict ``>``.
+L2  config choice by mean CV average precision over the expanding folds (W5), first of equals.
 L3  fit on train -> F1 threshold and metrics on holdout -> refit on all rows.
-L4  five independent targets over one cached feature frame.
+L4  five independent targets; all fits of L2-L4 run together in ``batchfit``.
 
 Preprocessing (median impute, population standardisation) uses ``stats``; the city one-hot uses
 ``StringIndexer(handleInvalid='keep')`` + ``OneHotEncoder(dropLast=True)`` so an unseen city maps to
@@ -17,8 +17,7 @@ weights as a small table) so inference, overlay and streaming share one expressi
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
@@ -30,10 +29,9 @@ from pyspark.sql import functions as F
 from ..operators import metrics as M
 from ..operators import splits as SP
 from ..operators import stats as ST
-from ..operators.infer import LinearModel, predict, standardized
+from ..operators.infer import LinearModel, standardized
 from ..schema import MODEL_NUMERIC_FEATURES, TARGET_COLUMNS
-
-PARALLEL_FITS = 6
+from .batchfit import Fits, Job
 
 # Candidate configurations (learning rate and epochs only matter to a fixed-epoch
 # solver; MLlib converges, so l2 is the effective choice).
@@ -44,19 +42,6 @@ CONFIGS = [
 ]
 
 
-@dataclass
-class TrainedTarget:
-    target: str
-    model: LinearModel
-    threshold: float
-    holdout_metrics: dict
-    config: dict
-    train_cv_pr_auc: float = -1.0
-    train_cv_fold_scores: list = field(default_factory=list)
-    positive_rate: float = 0.0
-    support: int = 0
-
-
 def _vectors(df: DataFrame, pre: ST.Preprocessor, target: str) -> DataFrame:
     """Standardised numeric columns + class weight column, computed from the preprocessor."""
     return df.select(
@@ -66,10 +51,9 @@ def _vectors(df: DataFrame, pre: ST.Preprocessor, target: str) -> DataFrame:
     )
 
 
-def fit_logistic(train: DataFrame, target: str, l2: float, exact_stats: bool = True,
-                 max_iter: int = 100, tol: float = 1e-6) -> LinearModel:
+def fit_logistic(train: DataFrame, target: str, l2: float, max_iter: int = 100, tol: float = 1e-6) -> LinearModel:
     """L1: preprocessing statistics + weighted MLlib fit on ``train``; returns a LinearModel."""
-    pre = ST.fit_preprocessor(train, MODEL_NUMERIC_FEATURES, exact=exact_stats, collect_cities=False)
+    pre = ST.fit_preprocessor(train, MODEL_NUMERIC_FEATURES)
     vec = _vectors(train, pre, target)
     counts = vec.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")).first()
     n, pos = int(counts["n"]), int(counts["pos"] or 0)
@@ -97,97 +81,106 @@ def fit_logistic(train: DataFrame, target: str, l2: float, exact_stats: bool = T
     return LinearModel(target, pre, weights, float(lrm.intercept), city_w)
 
 
-def _ap(model: LinearModel, valid: DataFrame, target: str) -> float:
-    scored = predict(valid, [model]).select(F.col(target).alias("y"), F.col(f"p_{target}").alias("p"),
-                                            F.lit("cv").alias("g"))
-    return float(M.curve_metrics(scored, ["g"]).first()["pr_auc"])
-
-
-def choose_config(train: DataFrame, n: int, target: str, idx: str = "row_idx", exact_stats: bool = True):
-    """L2: mean CV average precision per config over the W5 folds; first config wins ties."""
-    folds = SP.cv_folds(n)
-    # class diversity of every fold in one aggregate
-    checks = train.agg(*[x for k, (end, vend) in enumerate(folds) for x in (
-        F.count_distinct(F.when(F.col(idx) < end, F.col(target))).alias(f"t{k}"),
-        F.count_distinct(F.when((F.col(idx) >= end) & (F.col(idx) < vend), F.col(target))).alias(f"v{k}"))]).first() \
-        if folds else None
-    usable = [(end, vend) for k, (end, vend) in enumerate(folds) if checks[f"t{k}"] >= 2 and checks[f"v{k}"] >= 2]
-
-    def score(job):
-        cfg, (end, vend) = job
-        tr = train.where(F.col(idx) < end)
-        va = train.where((F.col(idx) >= end) & (F.col(idx) < vend))
-        return _ap(fit_logistic(tr, target, cfg["l2"], exact_stats), va, target)
-
-    jobs = [(cfg, f) for cfg in CONFIGS for f in usable]
-    # independent fits: submitted concurrently so the cluster (or local threads) overlap them
-    with ThreadPoolExecutor(max_workers=max(1, min(len(jobs), PARALLEL_FITS))) as pool:
-        results = list(pool.map(score, jobs))
-    best, best_cv, best_folds = None, -1.0, []
-    for i, cfg in enumerate(CONFIGS):
-        scores = results[i * len(usable):(i + 1) * len(usable)]
-        cv = sum(scores) / len(scores) if scores else -1.0
-        if cv > best_cv:
-            best, best_cv, best_folds = cfg, cv, scores
-    if best is None:
-        best, best_cv, best_folds = CONFIGS[0], -1.0, []
-    return best, best_cv, best_folds
-
-
-def fit_target(train: DataFrame, holdout: DataFrame, n_train: int, target: str, cv: bool = True,
-               idx: str = "row_idx", exact_stats: bool = True) -> TrainedTarget:
-    """L3 (without refit): config, fit on train, threshold + metrics on holdout."""
-    if cv:
-        cfg, cv_score, folds = choose_config(train, n_train, target, idx, exact_stats)
-    else:
-        cfg, cv_score, folds = CONFIGS[0], -1.0, []
-    model = fit_logistic(train, target, cfg["l2"], exact_stats)
-    scored = predict(holdout, [model]).select(F.col(target).alias("y"), F.col(f"p_{target}").alias("p"),
-                                              F.lit(target).alias("target"))
-    thr = float(M.curve_metrics(scored, ["target"]).first()["threshold"])
-    met = M.classification_metrics(scored, ["target"], thr).first().asDict()
-    rate = train.agg(F.avg(F.col(target).cast("double"))).first()[0]
-    return TrainedTarget(target, model, thr, met, cfg, cv_score, folds, float(rate or 0.0), n_train)
+@dataclass
+class Fitted:
+    """What a target's training ends with: the model, its decision threshold, and how both were found."""
+
+    model: LinearModel
+    threshold: float
+    l2: float
+    holdout: dict  # metric -> value at the threshold
+    cv: dict  # l2 -> (mean average precision, number of folds that count)
 
 
 @dataclass
 class Bundle:
-    targets: dict
+    targets: dict[str, Fitted]
     macro_pr_auc: float
     blend_weight: float
     rows: int
 
 
-def train_models(labeled: DataFrame, holdout_fraction: float = 0.2, cv: bool = True, refit: bool = True,
-                 targets: list[str] = TARGET_COLUMNS, exact_stats: bool = True,
-                 order: list[str] = ["timestamp", "city", "telemetry_id"]) -> Bundle:
-    """L4: chronological split, per-target fit/threshold/metrics, refit on all rows, blend weight."""
+def choices(scores: DataFrame, by: list[str]) -> DataFrame:
+    """L2: (by..., config, mean_pr_auc, folds), one row: the best mean over its folds, the first config of equals.
+
+    ``scores`` has one row per (by..., config, fold) with ``pr_auc``; groups without any fold take config 0.
+    """
+    mean = scores.groupBy(*by, "config").agg(F.avg("pr_auc").alias("mean_pr_auc"), F.count("pr_auc").alias("folds"))
+    best = F.max_by(F.struct("config", "mean_pr_auc", "folds"), F.struct(F.coalesce("mean_pr_auc", F.lit(-1.0)), -F.col("config")))
+    return mean.groupBy(*by).agg(best.alias("b")).select(*by, "b.config", "b.mean_pr_auc", "b.folds")
+
+
+def fold_jobs(end: int, key: tuple, targets: list[str]) -> list[Job]:
+    """A job for each configuration, target and fold of the rows before ``end``."""
+    return [Job((*key, "cv", f, c, t), t, stop, cfg["l2"]) for f, (stop, _) in enumerate(SP.cv_folds(end)) for c, cfg in enumerate(CONFIGS) for t in targets]
+
+
+def fold_scores(fits: Fits, ends: dict[tuple, int]) -> DataFrame:
+    """(part, target, config, fold, pr_auc) of all fold models whose training and validation rows have both classes."""
+    asked, tags = [], []
+    for k, j in enumerate(fits.jobs):
+        *key, kind, fold, config, target = j.key
+        if kind == "cv" and fits.both_classes(target, j.end):
+            stop, valid_end = SP.cv_folds(ends[tuple(key)])[fold]
+            tags.append((len(asked), str(key), target, config, fold))
+            asked.append((k, stop, valid_end))
+    named = fits.spark.createDataFrame(tags, "asked int, part string, target string, config int, fold int")  # one row a fit
+    curves = M.curve_metrics(fits.score(asked), ["asked"]) if asked else fits.spark.createDataFrame([], "asked int, roc_auc double, pr_auc double, threshold double")
+    return curves.where("roc_auc IS NOT NULL").join(F.broadcast(named), "asked").select("part", "target", "config", "fold", "pr_auc")
+
+
+def choose_config(indexed: DataFrame, n: int, targets: list[str] = TARGET_COLUMNS) -> DataFrame:
+    """L2: (target, config, l2, mean_pr_auc, folds) by mean CV average precision over the W5 folds of the first n rows."""
+    fits = Fits(indexed, fold_jobs(n, (), targets), targets)
+    best = choices(fold_scores(fits, {(): n}), ["target"])
+    every = fits.spark.createDataFrame([(t,) for t in targets], "target string")
+    l2 = F.element_at(F.array(*[F.lit(c["l2"]) for c in CONFIGS]), F.col("config") + 1)
+    return every.join(best, "target", "left").fillna({"config": 0, "mean_pr_auc": -1.0, "folds": 0}).withColumn("l2", l2)
+
+
+def train_models(labeled: DataFrame, holdout_fraction: float = 0.2, targets: list[str] = TARGET_COLUMNS,
+                 order: list[str] = ["timestamp", "city", "telemetry_id"], refit: bool = True, embargo_rows: int = 0) -> Bundle:
+    """L3 + L4: chronological split; per target the config by CV, threshold and metrics on the holdout, refit on all rows.
+
+    All fits of all targets run together (``batchfit``), each configuration already on the whole training part and on all
+    rows, so that nothing has to wait for the choice.  ``refit=False`` keeps the models of the training rows (a
+    strict comparison on the holdout); ``embargo_rows`` drops the last training rows, whose label horizon
+    reaches into the holdout.
+    """
     from ..operators.features import feature_frame
 
     feats = feature_frame(labeled, include_targets=True, keep=[c for c in order if c not in ("city",)])
     idx = SP.global_index(feats, order).persist(StorageLevel.MEMORY_AND_DISK)
     n = idx.count()
-    train, holdout, split = SP.split_train_holdout(idx, n, holdout_fraction)
-    checks = idx.agg(*[x for t in targets for x in (
-        F.count_distinct(F.when(F.col("row_idx") < split, F.col(t))).alias(f"tr_{t}"),
-        F.count_distinct(F.when(F.col("row_idx") >= split, F.col(t))).alias(f"ho_{t}"))]).first()
+    split = SP.holdout_split_point(n, holdout_fraction)
+    end = split - embargo_rows
+    whole = [Job((part, c, t), t, stop, cfg["l2"]) for part, stop in (("train", end), *([("all", n)] if refit else [])) for c, cfg in enumerate(CONFIGS) for t in targets]
+    fits = Fits(idx, fold_jobs(end, (), targets) + whole, targets)
+    at = {j.key: k for k, j in enumerate(fits.jobs)}
+    asked = [(t, c) for t in targets for c in range(len(CONFIGS))]
+    tags = fits.spark.createDataFrame([(k, t, c) for k, (t, c) in enumerate(asked)], "asked int, target string, config int")
+    held = fits.score([(at[("train", c, t)], split, n) for t, c in asked]).join(F.broadcast(tags), "asked")
+    thresholds = M.curve_metrics(held, ["target", "config"]).select("target", "config", F.col("threshold").alias("thr"))
+    lacking = {r["target"] for r in held.where("config = 0").groupBy("target").agg(F.count_distinct("y").alias("c")).where("c < 2").collect()} | {t for t in targets if not fits.both_classes(t, end)}
+    if lacking:
+        raise ValueError(f"one class only, before or after the split, for {sorted(lacking)}")
+    scores = fold_scores(fits, {(): end})
+    cv = {(r["target"], r["config"]): (r["m"], r["f"]) for r in scores.groupBy("target", "config").agg(F.avg("pr_auc").alias("m"), F.count(F.lit(1)).alias("f")).collect()}
+    best = fits.spark.createDataFrame([(t,) for t in targets], "target string").join(choices(scores, ["target"]), "target", "left").fillna({"config": 0})
+    picked = held.join(best.select("target", "config"), ["target", "config"]).join(thresholds, ["target", "config"])
+    found = {r["target"]: r.asDict() for r in M.classification_metrics(picked.withColumn("threshold", F.col("thr")).drop("thr"), ["target", "config"], "threshold")
+             .join(thresholds, ["target", "config"]).collect()}
+    out = {}
     for t in targets:
-        if min(checks[f"tr_{t}"], checks[f"ho_{t}"]) < 2:
-            raise ValueError(f"target {t} lacks class diversity in train/holdout split")
-
-    def one(t):
-        tt = fit_target(train, holdout, split, t, cv, exact_stats=exact_stats)
-        if refit:
-            tt.model = fit_logistic(idx, t, tt.config["l2"], exact_stats)
-        return tt
-
-    with ThreadPoolExecutor(max_workers=max(1, min(len(targets), PARALLEL_FITS))) as pool:
-        out = dict(zip(targets, pool.map(one, targets)))
-    vals = [v.holdout_metrics.get("pr_auc") for v in out.values() if v.holdout_metrics.get("pr_auc") is not None]
+        r = found[t]
+        c = r.pop("config")
+        out[t] = Fitted(fits.model(at[("all" if refit else "train", c, t)]), r.pop("thr"), CONFIGS[c]["l2"], {k: v for k, v in r.items() if k != "target"},
+                        {cfg["l2"]: cv.get((t, k), (None, 0)) for k, cfg in enumerate(CONFIGS)})
+    vals = [f.holdout["pr_auc"] for f in out.values() if f.holdout["pr_auc"] is not None]
     macro = float(sum(vals) / len(vals)) if vals else 0.0
-    blend = max(0.40, min(0.75, 0.45 + 0.40 * macro))
     idx.unpersist()
-    return Bundle(out, macro, blend, n)
+    fits.close()
+    return Bundle(out, macro, max(0.40, min(0.75, 0.45 + 0.40 * macro)), n)
 
 
 def params_table(bundle: Bundle) -> DataFrame:
@@ -206,16 +199,9 @@ def params_table(bundle: Bundle) -> DataFrame:
 
 def report_table(bundle: Bundle) -> DataFrame:
     """Long metrics table (target, metric, value) incl. macro PR-AUC and blend weight."""
-    rows = []
-    spark = None
-    for t, tt in bundle.targets.items():
-        spark = tt.model.city_weights.sparkSession
-        for k, v in tt.holdout_metrics.items():
-            if k != "target" and isinstance(v, (int, float)):
-                rows.append((t, k, float(v)))
-        rows.append((t, "threshold", tt.threshold))
-        rows.append((t, "train_cv_pr_auc", tt.train_cv_pr_auc))
-        rows.append((t, "l2", tt.config["l2"]))
-    rows.append(("__global__", "macro_pr_auc_holdout", bundle.macro_pr_auc))
-    rows.append(("__global__", "recommended_ml_blend_weight", bundle.blend_weight))
+    rows, spark = [("__global__", "macro_pr_auc_holdout", bundle.macro_pr_auc), ("__global__", "recommended_ml_blend_weight", bundle.blend_weight)], None
+    for t, f in bundle.targets.items():
+        spark = f.model.city_weights.sparkSession
+        rows += [(t, k, float(v)) for k, v in f.holdout.items() if isinstance(v, (int, float))]
+        rows += [(t, "threshold", f.threshold), (t, "l2", f.l2), (t, "train_cv_pr_auc", float(f.cv[f.l2][0]) if f.cv[f.l2][0] is not None else -1.0)]
     return spark.createDataFrame(rows, "target string, metric string, value double")

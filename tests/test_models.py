@@ -44,3 +44,39 @@ def test_unknown_city_gets_zero_weight(spark):
     top = IN.top_contributions(feats.limit(3), m).first()["top_features"]
     assert len(top) == 5 and all(x["impact"] >= 0 for x in top)
     assert abs(top[0]["logit_contribution"]) >= abs(top[-1]["logit_contribution"])
+
+
+def test_batch_of_fits_matches_single_fits(spark):
+    """All fits of a batch reach the optimum that the single MLlib fit reaches."""
+    from infrarisk.operators import splits as SP
+    from infrarisk.plans.batchfit import Fits, Job
+
+    feats = FE.feature_frame(Q.labeled(spark, SF), include_targets=True, keep=["timestamp", "telemetry_id"])
+    idx = SP.global_index(feats, Q.ORDER).cache()
+    jobs = [Job((t, e, l2), t, e, l2) for t in ("overall_failure_72h_label", "traffic_failure_72h_label") for e in (200, 300) for l2 in (0.001, 0.006)]
+    fits = Fits(idx, jobs)
+    for k, j in enumerate(jobs):
+        assert fits.gradient_norm(k) < 1e-4
+    for k in (0, 7):
+        j, m = jobs[k], fits.model(k)
+        one = TR.fit_logistic(idx.where(F.col("row_idx") < j.end), j.target, j.l2, max_iter=500, tol=1e-12)
+        assert np.allclose([m.weights[c] for c in MODEL_NUMERIC_FEATURES], [one.weights[c] for c in MODEL_NUMERIC_FEATURES], atol=5e-2)
+        rows = idx.where((F.col("row_idx") >= 300) & (F.col("row_idx") < 360))
+        p = {r.telemetry_id: r[f"p_{j.target}"] for r in IN.predict(rows, [one]).collect()}
+        q = {r.telemetry_id: r[f"p_{j.target}"] for r in IN.predict(rows, [m]).collect()}
+        assert max(abs(p[i] - q[i]) for i in p) < 0.02
+        got = sorted(r.p for r in fits.score([(k, 300, 360)]).collect())
+        assert np.allclose(got, sorted(q.values()), atol=1e-9)
+    idx.unpersist()
+
+
+def test_medians_are_exact(spark):
+    from infrarisk.operators import stats as ST
+
+    rng = np.random.default_rng(3)
+    rows = [(int(i % 3), float(rng.integers(0, 9)), None if i % 4 == 0 else float(rng.random()), None) for i in range(500)]
+    df = spark.createDataFrame(rows, "g int, a double, b double, c double")
+    pdf = df.toPandas()
+    assert ST.medians(df, ["a", "b", "c"]) == {"a": pdf.a.median(), "b": pdf.b.median(), "c": 0.0}
+    got = {(r.g, r.feature): r.median for r in ST.grouped_medians(df, ["a", "b"], ["g"]).collect()}
+    assert got == {(g, c): p[c].median() for g, p in pdf.groupby("g") for c in ("a", "b")}
