@@ -30,7 +30,8 @@ from .common import LAST_ID, table, written
 from .components import connected_components
 
 CHAIN = 2
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 4 << 20
+MOST_SLICES = 4096  # edges stand in the plan; beyond 16 GB slices grow (and spill) instead
 #: Frequent function words of the corpus languages (English, French, German, Spanish).
 COMMON = """the of and to in is that it with as for by on are this be was at or an from he his they
 le la les de des du et un une en que qui est dans pour par sur au avec ne pas ce il
@@ -148,7 +149,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 def compared(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's fingerprint against those of its edited text and of the next document."""
     total = int(docs.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0))).first()[0])
-    rows = with_next(docs, id_col, text, max(8, -(-total // SLICE_BYTES)))
+    rows = with_next(docs, id_col, text, min(MOST_SLICES, max(8, -(-total // SLICE_BYTES))))
     made = rows.select(F.col("id").alias(id_col), F.length("text").cast("long").alias("n_chars"), "text", edited(F.col("text"), F.col("next_text")).alias("changed"), "next_text")
     return made.select(id_col, "n_chars", F.sha2(F.col("changed").cast("binary"), 256).alias("edited_sha256"),
                        F.array(*[signatures(F.col(c)) for c in ("text", "changed", "next_text")]).alias("s")).select(
