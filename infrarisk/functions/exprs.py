@@ -20,6 +20,11 @@ def fmt(c, n: int) -> Column:
     return F.replace(F.format_number(col(c), n), F.lit(","), F.lit(""))
 
 
+def stripped(c) -> Column:
+    """Text without white space (tabs and line ends included) at its ends."""
+    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+
+
 def py_round(c, n: int) -> Column:
     """Python ``round(c, n)`` on doubles."""
     return fmt(c, n).cast("double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .exprs import compact
+from .exprs import compact, stripped
 from ..schema import DENSITY_RANGE, INT_FIELDS, NESTED_FIELDS, RAW_INPUT_COLUMNS, TIME_COLUMN
 
 NUMERIC_INPUTS = [c for c in RAW_INPUT_COLUMNS if c not in ("city", "heatwave_alert")]
@@ -55,7 +55,8 @@ def coerce_numeric(df: DataFrame, columns: list[str] = NUMERIC_INPUTS) -> DataFr
     for c in columns:
         if c not in types:
             continue
-        target = "int" if c in INT_FIELDS and types[c] != "string" else "double"
+        # a count that arrives as a fraction keeps it (3.5 repairs are more than 3); whole-number columns stay whole
+        target = "int" if c in INT_FIELDS and types[c] in ("tinyint", "smallint", "int", "bigint") else "double"
         v = F.col(c).try_cast("double") if types[c] == "string" else F.col(c).cast("double")
         v = F.when(F.isnan(v), F.lit(None).cast("double")).otherwise(v)
         out[c] = v.cast(target) if target == "int" else v
@@ -95,8 +96,8 @@ def to_bool(c, dtype: str = "string") -> Column:
         return F.coalesce(c, F.lit(False))
     if dtype != "string":
         return F.coalesce(c.cast("double") != 0, F.lit(False))
-    s = F.lower(F.trim(c))
+    s = F.lower(stripped(c))
     return (F.when(c.isNull(), F.lit(False))
             .when(s.isin(*TRUE_TEXT), F.lit(True))
             .when(s.isin(*FALSE_TEXT), F.lit(False))
-            .otherwise(F.length(c) > 0))
+            .otherwise(F.length(c) > 0))  # text of white space alone was matched as empty above

@@ -61,8 +61,10 @@ def nearest(
     # 1. inside the bucket: running min/max over the time-ordered union
     order = F.col("__t").desc() if forward else F.col("__t").asc()
     w = Window.partitionBy(key, "__b").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    keyed = lft.where(F.col(key).isNotNull())  # rows without a key match nothing and go round the windows
-    within = keyed.unionByName(r, allowMissingColumns=True)
+    # rows without a key match nothing: a bucket by hash spreads them, where one bucket a time would gather them
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(1 << 20))
+    keyed = lft.where(F.col(key).isNotNull())
+    within = lft.withColumn("__b", F.when(F.col(key).isNull(), spread).otherwise(F.col("__b"))).unionByName(r, allowMissingColumns=True)
     within = within.withColumns({
         f"__in_{i}": agg_fn(F.when(F.col("__side") == 1, F.col(tmp[n]))).over(w) for i, n in enumerate(names)
     }).where(F.col("__side") == 0)
@@ -81,8 +83,7 @@ def nearest(
     # plain equality: a null key has no right rows anyway, and equi-keys (key, bucket) let the join reuse
     # the window's hash partitioning of the big side instead of shuffling it again
     out = within.join(beyond, on=[F.col(key) == F.col("__k"), F.col("__b") == F.col("__bb")], how="left")
-    matched = out.select(
+    return out.select(
         *left.columns,
         *[F.coalesce(F.col(f"__in_{i}"), F.col(f"__out_{i}")).alias(n) for i, n in enumerate(names)],
     )
-    return matched.unionByName(left.where(F.col(key).isNull()), allowMissingColumns=True)

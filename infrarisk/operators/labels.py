@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import stripped
 from ..schema import SYSTEM_SYNONYMS, TARGET_COLUMNS
 from .asof import HOUR_US, epoch_us, nearest
 
@@ -19,7 +20,7 @@ DAY_US = 24 * HOUR_US
 def normalize_system(c) -> Column:
     """T4: strip all white space, lower, spaces to underscores."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.translate(F.lower(F.regexp_replace(c, r"^\s+|\s+$", "")), " ", "_")
+    return F.translate(F.lower(stripped(c)), " ", "_")
 
 
 def incident_groups(incidents: DataFrame) -> DataFrame:

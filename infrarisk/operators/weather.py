@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import level, py_round
+from ..functions.exprs import level, py_round, stripped
 from .asof import HOUR_US, epoch_us, nearest
 
 # Source label, signal type, notes
@@ -24,7 +24,7 @@ UPLIFT_SUFFIX = " Live external weather anomaly signal is active."
 
 def city_key(c="city"):
     c = F.col(c) if isinstance(c, str) else c
-    return F.lower(F.trim(c))
+    return F.lower(stripped(c))
 
 
 def asof_weather(df: DataFrame, obs: DataFrame, max_age_hours: float | None = None,

@@ -1,9 +1,8 @@
-"""End-to-end assessment (V6): rules -> model overlay -> external weather uplift -> impact.
+"""End-to-end assessment (V6): validation -> as-of weather -> rules -> model overlay -> uplift -> impact.
 
-One composed DataFrame function; every stage except the weather as-of join is a narrow
-projection, so the plan is a scan, a few codegen'd projections, the (skew-safe) as-of shuffle and
-a dimension join.  Texts computed by the rules (outlook, projection, zones, summary body) are not
-recomputed after the overlay, as in the modelled service.
+Requests are validated first; rejected ones are a result of their own.  The weather as-of join runs on (id, city, time) and
+its matches are joined to the scored rows by id; everything else is projections (and dimension joins).  Texts computed by the rules (outlook, projection, zones, summary body) are not recomputed after the
+overlay, as in the modelled service.  ``respond`` nests the flat result into the response record.
 """
 
 from __future__ import annotations
@@ -11,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import validate as V
 from ..functions.validate import coerce_numeric, flatten
 from ..operators import features as FE
 from ..operators import infer as IN
 from ..operators import overlay as OV
 from ..operators import rules
 from ..operators import weather as WE
+from ..schema import SYSTEMS
 
 
 def assess(
@@ -29,8 +30,12 @@ def assess(
     id_col: str = "telemetry_id",
     top_features: bool = False,
 ) -> DataFrame:
-    """Assess nested requests (D1) or flat telemetry."""
-    flat = coerce_numeric(flatten(requests))
+    """Assess the valid ones of nested requests (D1) or flat telemetry."""
+    flat, _ = V.split_valid(coerce_numeric(flatten(requests)))
+    external = weather_obs is not None and city_coords is not None
+    if external:
+        # the windows of the as-of join carry ids, cities and times only
+        seen = WE.asof_weather(flat.select(id_col, "city", "timestamp"), weather_obs).drop("city", "timestamp")
     out = rules.score(flat)
     if models:
         feats = FE.engineered(out).withColumn("city", F.coalesce(F.col("city").cast("string"), F.lit("UNKNOWN")))
@@ -42,8 +47,41 @@ def assess(
         # engineered feature columns are dropped again; probabilities and insights stay
         extra = [c for c in probs.columns if c not in out.columns and (c.startswith("p_") or c == "top_features")]
         out = OV.ml_overlay(probs.select(*out.columns, *extra), blend_weight, quality)
-    if weather_obs is not None and city_coords is not None:
-        out = WE.asof_weather(out, weather_obs)
+    if external:
+        # joined back by the request's id; the join also keeps the optimizer from folding scores into every use of the check
+        out = out.join(seen, id_col, "left")
         out = WE.weather_check(out.withColumn("__wk", WE.city_key("city")), city_coords)
         out = WE.anomaly_uplift(out)
     return OV.impact(out)
+
+
+def rejected(requests: DataFrame) -> DataFrame:
+    """The requests that ``assess`` leaves out, with their ``violations``."""
+    return V.split_valid(coerce_numeric(flatten(requests)))[1]
+
+
+def respond(assessed: DataFrame, id_col: str = "telemetry_id", context: dict | None = None) -> DataFrame:
+    """(id, response) with the nested record; parts that were not computed are null.
+
+    ``context`` holds the metric context of the models (macro_pr_auc_holdout, random_baseline_pr_auc, uplift_vs_baseline).
+    """
+    have = set(assessed.columns)
+    optional = lambda need, made: made if need <= have else F.lit(None).cast("string")
+    system = lambda s: F.struct(F.col(f"{s}_risk_score").alias("risk_score"), F.col(f"{s}_level").alias("risk_level"),
+                                F.col(f"{s}_drivers").alias("primary_drivers"), F.col(f"{s}_flags").alias("compound_flags")).alias(s)
+    overall = F.struct(F.col("overall_risk_score").alias("score"), F.col("overall_level").alias("level"),
+                       F.col("hour_24_outlook").alias("24_hour_outlook"), F.col("hour_72_projection").alias("72_hour_projection"))
+    context_names = ("macro_pr_auc_holdout", "random_baseline_pr_auc", "uplift_vs_baseline")
+    metric = F.struct(*[F.lit(context[k]).alias(k) for k in context_names]) if context else F.lit(None).cast("struct<" + ", ".join(f"{k}: double" for k in context_names) + ">")
+    insight = lambda t: F.struct(*[t.getField(k).alias(k) for k in ("feature", "impact", "direction", "logit_contribution")])
+    details = ("mapped_latitude", "mapped_longitude", "external_temperature_c", "external_precipitation_mm", "external_wind_speed_kmh",
+               "temperature_delta_c", "rainfall_delta_mm", "weather_anomaly_flag")
+    return assessed.select(id_col, F.struct(
+        "city", "timestamp", overall.alias("overall_risk"), F.struct(*[system(s) for s in SYSTEMS]).alias("systems"),
+        F.col("cascades").alias("cascading_failure_risks"), F.col("priority_zones").alias("priority_intervention_zones"), "executive_summary", "confidence_score",
+        optional({"top_features"}, F.struct(F.transform("top_features", insight).alias("top_features"), metric.alias("metric_context")) if "top_features" in have else None).alias("ml_insights"),
+        F.struct("estimated_cost_avoided_usd_72h", "estimated_outage_hours_avoided_72h", "estimated_response_time_gain_percent",
+                 F.col("impact_assumptions").alias("assumptions")).alias("impact_model"),
+        optional({"weather_status"}, F.struct(F.col("signal_source").alias("source"), "signal_type", F.col("weather_status").alias("status"), F.col("observed_at").alias("retrieved_at"),
+                                              F.struct(*details).alias("details"), "influence_note") if "weather_status" in have else None).alias("external_signal"),
+    ).alias("response"))

@@ -30,6 +30,7 @@ from ..schema import MODEL_NUMERIC_FEATURES, TARGET_COLUMNS
 TOLERANCE = 5e-5  # of the gradient's norm
 MOST_ITERATIONS = 150
 MEMORY = 10  # L-BFGS pairs
+ROWS_PER_TASK = 50_000
 FEW_BYTES = 64 << 20  # partial sums that the driver may add up itself
 
 
@@ -96,10 +97,13 @@ class Fits:
         self.cities = named.select("city").distinct().withColumn("city_no", (F.row_number().over(Window.orderBy("city")) - 1).cast("int")).persist(StorageLevel.MEMORY_AND_DISK)
         self.n_cities = self.cities.count()
         self.ends = sorted({j.end for j in jobs})
-        self.data = named.join(self.cities, "city").select(
+        work = indexed.count() * len(self.ends)  # rows that one evaluation goes through, over all ranges
+        data = named.join(self.cities, "city").select(
             F.col(idx).cast("long").alias("row"), "city_no", *[F.col(t).cast("int").alias(f"y{k}") for k, t in enumerate(targets)],
-            *[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(features)]).persist(StorageLevel.MEMORY_AND_DISK)
-        self.tasks = self.data.rdd.getNumPartitions()
+            *[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(features)])
+        # every iteration is a job: small data in few tasks, so that starting them isn't what it costs
+        self.tasks = max(1, min(data.rdd.getNumPartitions(), -(-work // ROWS_PER_TASK)))
+        self.data = data.coalesce(self.tasks).persist(StorageLevel.MEMORY_AND_DISK)
         self._prepare()
         self._fit()
 

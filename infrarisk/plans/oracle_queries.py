@@ -601,13 +601,66 @@ PROBS_RAW_CTE = "probs AS (SELECT f.telemetry_id, " + ", ".join(
 _PIN_W = oracle_with("telemetry", "weather_obs", "city_coords") + "," + FEAT_CTE + "," + pinned_ctes() + "," + PROBS_RAW_CTE
 
 ORACLE["v6_assessment"] = _PIN_W + "," + scored_ctes("telemetry") + "," + _OV_CTE + "," + weather_ctes("ov") + f"""
-SELECT telemetry_id,
+SELECT telemetry_id, city,
  CASE WHEN hit THEN {r('least(1e2, ' + r('ob', 2) + ' + 15e-1)', 2)} ELSE {r('ob', 2)} END AS overall_risk_score,
  CASE WHEN hit THEN {lvl('least(1e2, ' + r('ob', 2) + ' + 15e-1)')} ELSE {lvl('ob')} END AS overall_level,
  conf2 AS confidence_score, weather_status,
  {r(f'greatest(0e0, ({_AV2}) * (45000e0 * {_DF2}))', 2)} AS estimated_cost_avoided_usd_72h,
  {r(f'greatest(0e0, {_AV2})', 2)} AS estimated_outage_hours_avoided_72h,
  {r(f'greatest(0e0, least(45e0, 5e0 + (21e-2 * fr) + (18e-1 * {_N})))', 2)} AS estimated_response_time_gain_percent,
- CAST(5 AS INTEGER) AS n_top_features
-FROM (SELECT *, weather_status = 'ok' AND weather_anomaly_flag AS hit FROM wx)
+ CAST(5 AS INTEGER) AS n_top_features, 25e-2 AS uplift_vs_baseline, CAST(3 AS INTEGER) AS n_assumptions
+FROM (SELECT *, weather_status = 'ok' AND weather_anomaly_flag AS hit FROM wx WHERE humidity_percent IS NULL OR humidity_percent BETWEEN 0 AND 100)
+"""
+
+ORACLE["v6_rejected"] = oracle_with("telemetry") + "SELECT telemetry_id, 'weather.humidity_percent' AS violations FROM telemetry WHERE humidity_percent > 100"
+
+ORACLE["s2_csv_roundtrip"] = oracle_with("telemetry") + """
+SELECT city, count(*) AS n, count(temperature_c) AS n_temperature, CAST(sum(recent_repairs_last_30_days) AS BIGINT) AS repairs, max(peak_load_percent) AS max_peak,
+ CAST(sum(CASE WHEN heatwave_alert THEN 1 ELSE 0 END) AS BIGINT) AS heatwaves FROM telemetry GROUP BY city
+"""
+
+ORACLE["s5_labeled_sink"] = oracle_with("telemetry", "incidents") + "," + LABEL_CTES + """
+SELECT CAST(CAST(t.timestamp AS DATE) AS VARCHAR) AS date, count(*) AS n, """ + ", ".join(f"CAST(sum(l.{t}) AS BIGINT) AS {t}" for t in TGT) + """
+FROM telemetry t JOIN lbl l ON t.telemetry_id = l.telemetry_id GROUP BY CAST(t.timestamp AS DATE)
+"""
+
+ORACLE["s6_s7_history"] = with_scored("telemetry") + """
+SELECT city, overall_level, count(*) AS n, count(*) AS n_ids FROM scored GROUP BY city, overall_level
+"""
+
+ORACLE["s9_model_roundtrip"] = ORACLE["m2_probabilities"]
+
+ORACLE["p2_bad_text"] = """
+SELECT event_id, CASE WHEN event_id % 7 < 2 THEN NULL ELSE CAST(event_id % 100 AS DOUBLE) END AS temperature_c,
+ CAST(event_id % 9 AS DOUBLE) + CASE WHEN event_id % 2 = 0 THEN 5e-1 ELSE 0e0 END AS recent_repairs_last_30_days FROM events
+"""
+
+ORACLE["k2_sort"] = oracle_with("telemetry") + """
+SELECT telemetry_id, CAST(row_number() OVER (PARTITION BY city ORDER BY timestamp, telemetry_id) AS INTEGER) AS place FROM telemetry
+"""
+
+ORACLE["w7_downsample"] = oracle_with("telemetry") + """,
+ix AS (SELECT telemetry_id, row_number() OVER (ORDER BY timestamp, city, telemetry_id) - 1 AS row_idx, count(*) OVER () AS n FROM telemetry),
+want AS (SELECT k, (SELECT max(n) FROM ix) AS n FROM range(100) AS r(k)),
+pick AS (SELECT 100 AS wanted, CAST(CASE WHEN k = 99 THEN n - 1 ELSE floor(k * ((n - 1) / 99e0)) END AS BIGINT) AS row_idx FROM want UNION ALL SELECT 1, 0)
+SELECT CAST(p.wanted AS INTEGER) AS wanted, i.row_idx, i.telemetry_id FROM pick p JOIN ix i ON p.row_idx = i.row_idx
+"""
+
+ORACLE["w4_w5_folds"] = _LS + "," + _IX + f""",
+c AS (SELECT count(*) AS n FROM ix),
+win AS (SELECT k AS window_id, greatest(150, n // 2) + k * greatest(20, n // 10) AS train_end, n FROM c, range(20) AS r(k)),
+cal AS (SELECT window_id, train_end, least(greatest(80, CAST(floor(85e-2 * train_end) AS BIGINT)), train_end - 1) AS calibration
+ FROM win WHERE train_end + greatest(40, n // 10) <= n),
+fold AS (SELECT *, greatest(40, CAST(floor(calibration * 1e-1) AS BIGINT)) AS size FROM cal, range(4) AS r(f) WHERE calibration >= 160),
+b AS (SELECT window_id, train_end, calibration, f, size, calibration // 2 + (calibration - size - calibration // 2) * f // 3 AS a FROM fold)
+SELECT CAST(window_id AS INTEGER) AS window_id, CAST(train_end AS INTEGER) AS train_end, CAST(calibration AS INTEGER) AS calibration, CAST(f AS INTEGER) AS fold,
+ CAST(a AS INTEGER) AS fold_train_end, CAST(a + size AS INTEGER) AS fold_valid_end,
+ CAST((SELECT sum({TGT[0]}) FROM ix WHERE row_idx < a) AS BIGINT) AS positives FROM b
 """
+
+ORACLE["l1_fit_checks"] = oracle_with("telemetry", "incidents") + "," + LABEL_CTES + "\nUNION ALL\n".join(
+    f"""SELECT '{t}' AS target, count(*) AS n, CAST(sum({t}) AS BIGINT) AS positives, true AS converged,
+ {r(f"count(*) / (2e0 * greatest(sum({t}), 1))", 6)} AS pos_weight, {r(f"count(*) / (2e0 * greatest(count(*) - greatest(sum({t}), 1), 1))", 6)} AS neg_weight,
+ {r(f"sum({t}) / CAST(count(*) AS DOUBLE)", 6)} AS positive_rate FROM lbl""" for t in TGT)
+
+ORACLE["x5_stream_dedupe"] = oracle_with("telemetry") + "SELECT city, count(DISTINCT timestamp) AS n FROM telemetry GROUP BY city"

@@ -444,15 +444,136 @@ def q_u6_reasoning_prompt(spark, sf_dir):
 
 
 def q_v6_assessment(spark, sf_dir):
-    """V6 end to end: rules -> pinned-model overlay -> as-of weather uplift -> impact (rows-only)."""
-    from .assess import assess
+    """V6 end to end, read out of the nested response: validation, weather, rules, pinned models, uplift, impact."""
+    from .assess import assess, respond
 
-    t = fx.telemetry(spark, sf_dir)
-    out = assess(t, pinned_models(spark, sf_dir), BLEND, QUALITY, fx.weather_obs(spark, sf_dir),
+    out = assess(fx.telemetry(spark, sf_dir), pinned_models(spark, sf_dir), BLEND, QUALITY, fx.weather_obs(spark, sf_dir),
                  fx.city_coords(spark, sf_dir), top_features=True)
-    return out.select("telemetry_id", "overall_risk_score", "overall_level", "confidence_score", "weather_status",
-                      "estimated_cost_avoided_usd_72h", "estimated_outage_hours_avoided_72h",
-                      "estimated_response_time_gain_percent", F.size("top_features").alias("n_top_features"))
+    r = respond(out, context={"macro_pr_auc_holdout": 0.5, "random_baseline_pr_auc": 0.25, "uplift_vs_baseline": 0.25}).select("telemetry_id", "response.*")
+    return r.select("telemetry_id", "city", F.col("overall_risk.score").alias("overall_risk_score"), F.col("overall_risk.level").alias("overall_level"), "confidence_score",
+                    F.col("external_signal.status").alias("weather_status"), "impact_model.estimated_cost_avoided_usd_72h",
+                    "impact_model.estimated_outage_hours_avoided_72h", "impact_model.estimated_response_time_gain_percent",
+                    F.size("ml_insights.top_features").alias("n_top_features"), F.col("ml_insights.metric_context.uplift_vs_baseline").alias("uplift_vs_baseline"),
+                    F.size("impact_model.assumptions").alias("n_assumptions"))
+
+
+def q_v6_rejected(spark, sf_dir):
+    """Requests that the assessment quarantines, with their violations."""
+    from .assess import rejected
+
+    return rejected(fx.telemetry(spark, sf_dir)).select("telemetry_id", F.array_join("violations", SEP).alias("violations"))
+
+
+def scratch(spark) -> str:
+    """A fresh folder of the shared checkpoint folder."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/q-{uuid.uuid4().hex}"
+
+
+def q_s2_csv_roundtrip(spark, sf_dir):
+    """Telemetry written as CSV and read back with the declared schema; by city."""
+    from ..sources import io
+
+    base = scratch(spark)
+    fx.telemetry(spark, sf_dir).drop("telemetry_id").write.option("header", True).csv(base)
+    t = io.read_telemetry_csv(spark, base)
+    return t.groupBy("city").agg(F.count(F.lit(1)).alias("n"), F.count("temperature_c").alias("n_temperature"), F.sum("recent_repairs_last_30_days").cast("long").alias("repairs"),
+                                 F.max("peak_load_percent").alias("max_peak"), F.sum(F.col("heatwave_alert").cast("int")).cast("long").alias("heatwaves"))
+
+
+def q_s5_labeled_sink(spark, sf_dir):
+    """The labelled table written by date and read back; label totals by date."""
+    from ..sources import io
+
+    base = scratch(spark)
+    io.write_labeled(labeled(spark, sf_dir), base)
+    back = spark.read.parquet(base)
+    return back.groupBy(F.col("date").cast("string").alias("date")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(t).cast("long").alias(t) for t in TARGET_COLUMNS])
+
+
+def q_s6_s7_history(spark, sf_dir):
+    """Assessments appended twice in halves and read back; ids stay apart, requests and responses parse."""
+    from ..sources import io
+
+    base = scratch(spark)
+    hist = io.to_history(scored_telemetry(spark, sf_dir), ["telemetry_id", "city"], ["overall_level"])
+    for half in (0, 1):
+        io.append_history(hist.where(F.get_json_object("request", "$.telemetry_id").cast("long") % 2 == half), base)
+    back = io.read_history(spark, base)
+    return back.groupBy(F.get_json_object("request", "$.city").alias("city"), F.get_json_object("response", "$.overall_level").alias("overall_level")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("assessment_id").alias("n_ids"))
+
+
+def q_s9_model_roundtrip(spark, sf_dir):
+    """The pinned models saved, loaded and applied."""
+    from ..sources import io
+
+    base, f = scratch(spark), features_of(spark, sf_dir)
+    io.save_model(pinned_models(spark, sf_dir, f), base)
+    models, _ = io.load_model(spark, base)
+    return IN.predict(f, models).select("telemetry_id", *[py_round(f"p_{t}", R6).alias(f"p_{t}") for t in TARGET_COLUMNS])
+
+
+def q_p2_bad_text(spark, sf_dir):
+    """Numbers that arrive as text, some of them unreadable, some with a fraction."""
+    k = F.col("event_id")
+    raw = fx.table(spark, sf_dir, "events").select(k, F.when(k % 7 == 0, F.lit("n/a")).when(k % 7 == 1, F.lit("")).otherwise((k % 100).cast("string")).alias("temperature_c"),
+                                                   ((k % 9) + F.when(k % 2 == 0, F.lit(0.5)).otherwise(F.lit(0.0))).alias("recent_repairs_last_30_days"))
+    return V.coerce_numeric(raw)
+
+
+def q_k2_sort(spark, sf_dir):
+    """K2: place of each row within its city in the total order (city, time, id)."""
+    from pyspark.sql import Window
+
+    s = SP.sort_by_city_time(fx.telemetry(spark, sf_dir), id_col="telemetry_id").select("telemetry_id", "city", F.monotonically_increasing_id().alias("at"))
+    return s.select("telemetry_id", F.row_number().over(Window.partitionBy("city").orderBy("at")).alias("place"))
+
+
+def q_w7_downsample(spark, sf_dir):
+    """Evenly spaced rows of the chronological index, for 100 rows and for one (the counts are the feature)."""
+    idx = SP.global_index(fx.telemetry(spark, sf_dir), ORDER)
+    n = idx.count()
+    return (SP.even_downsample(idx, n, 100, "row_idx").select(F.lit(100).alias("wanted"), "row_idx", "telemetry_id")
+            .unionByName(SP.even_downsample(idx, n, 1, "row_idx").select(F.lit(1).alias("wanted"), "row_idx", "telemetry_id")))
+
+
+def q_w4_w5_folds(spark, sf_dir):
+    """Window, calibration and fold bounds, with the rows and positives of each fold's training part."""
+    idx = indexed_labeled(spark, sf_dir)
+    n = idx.count()
+    bounds = [(w, e, SP.calibration_split_point(e), f, a, b) for w, (_, e, _, _) in enumerate(SP.expanding_windows(n)) for f, (a, b) in enumerate(SP.cv_folds(SP.calibration_split_point(e)))]
+    t = TARGET_COLUMNS[0]
+    counts = idx.agg(*[F.sum(F.when(F.col("row_idx") < a, F.col(t))).alias(f"p{k}") for k, (*_, a, _) in enumerate(bounds)])
+    items = [F.struct(*[F.lit(v).alias(c) for v, c in zip(b, ("window_id", "train_end", "calibration", "fold", "fold_train_end", "fold_valid_end"), strict=True)],
+                      F.col(f"p{k}").cast("long").alias("positives")) for k, b in enumerate(bounds)]
+    return counts.select(F.inline(F.array(*items)))
+
+
+def q_l1_fit_checks(spark, sf_dir):
+    """L1: of each target's fit on all rows: rows, positives, class weights, positive rate, and that it converged."""
+    from .batchfit import Fits, Job
+
+    idx = SP.global_index(FE.feature_frame(labeled(spark, sf_dir), include_targets=True, keep=["timestamp", "telemetry_id"]), ORDER)
+    n = idx.count()
+    fits = Fits(idx, [Job(t, t, n, 0.001) for t in TARGET_COLUMNS])
+    rows = [(t, fits.count[n], int(fits.positives[n][k]), fits.gradient_norm(k) < 1e-4) for k, t in enumerate(TARGET_COLUMNS)]
+    fits.close()
+    made = spark.createDataFrame(rows, "target string, n long, positives long, converged boolean")
+    pos, neg = F.greatest(F.col("positives"), F.lit(1)), F.greatest(F.col("n") - F.greatest(F.col("positives"), F.lit(1)), F.lit(1))
+    return made.withColumns({"pos_weight": py_round(F.col("n") / (2 * pos), R6), "neg_weight": py_round(F.col("n") / (2 * neg), R6), "positive_rate": py_round(F.col("positives") / F.col("n"), R6)})
+
+
+def q_x5_stream_dedupe(spark, sf_dir):
+    """A stream of telemetry in which every row comes twice, deduplicated; by city."""
+    from ..streaming import stream as X
+
+    base = scratch(spark)
+    tel = X.telemetry_stream(X.events_stream(spark, sf_dir)).select("city", "timestamp", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    X.run_available_now(X.dedupe(tel), f"{base}/out", f"{base}/checkpoint")
+    return spark.read.schema("city string, timestamp timestamp, copy int").parquet(f"{base}/out").groupBy("city").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---------------------------------------------------------------------------
@@ -517,4 +638,15 @@ REGISTRY = {
     "l6_compare": q_l6_compare,
     "x1_stream_assessment": q_x1_stream_assessment,
     "v6_assessment": q_v6_assessment,
+    "v6_rejected": q_v6_rejected,
+    "s2_csv_roundtrip": q_s2_csv_roundtrip,
+    "s5_labeled_sink": q_s5_labeled_sink,
+    "s6_s7_history": q_s6_s7_history,
+    "s9_model_roundtrip": q_s9_model_roundtrip,
+    "p2_bad_text": q_p2_bad_text,
+    "k2_sort": q_k2_sort,
+    "w7_downsample": q_w7_downsample,
+    "w4_w5_folds": q_w4_w5_folds,
+    "l1_fit_checks": q_l1_fit_checks,
+    "x5_stream_dedupe": q_x5_stream_dedupe,
 }

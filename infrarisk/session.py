@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +28,7 @@ def get_spark(master: str | None = None, app: str = "infrarisk", shuffle_partiti
     )
     if master and master.startswith("local"):
         # local mode: the driver JVM is the only executor
-        builder = builder.config("spark.driver.memory", os.environ.get("INFRARISK_DRIVER_MEMORY", "16g"))
+        builder = builder.config("spark.driver.memory", os.environ.get("INFRARISK_DRIVER_MEMORY", "8g"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
@@ -52,6 +53,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Lets local-mode Python workers import this package from its checkout (a cluster has it installed)."""
+    sc, root = spark.sparkContext, str(Path(__file__).resolve().parents[1])
+    if sc.master.startswith("local") and root not in os.environ.get("PYTHONPATH", "").split(":"):
+        sc.environment["PYTHONPATH"] = root
+    return spark
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss; never localCheckpoint)."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -2,7 +2,7 @@
 
 X1  continuous assessment: the rule / overlay / impact projections are stateless, so the batch
     ``assess`` function is applied unchanged to a stream.
-X2  history append, exactly once per micro-batch: deterministic ids from (city, timestamp) and the
+X2  history append, exactly once per micro-batch: deterministic ids from the row and the
     file sink's checkpointed commit log.
 X3  live labelling: stream-stream left outer join telemetry x incidents with watermarks on both
     sides and the interval condition; unmatched telemetry is emitted as negative once t + horizon
@@ -86,12 +86,12 @@ def stream_history(assessed: DataFrame, path: str, checkpoint: str, request_cols
                    response_cols: list[str], available_now: bool = True):
     """Append assessments to the history store exactly once per micro-batch.
 
-    Ids are a hash of (city, timestamp), so a replayed batch rewrites the same ids; the file sink's
+    Ids are a hash of the row id, city and time, so a replayed batch rewrites the same ids; the file sink's
     commit log (under ``checkpoint``, on shared storage) makes each batch visible once.
     """
     from ..sources.io import to_history
 
-    hist = to_history(assessed, request_cols, response_cols, ("city", "timestamp"))
+    hist = to_history(assessed, request_cols, response_cols)
     w = (hist.writeStream.format("json").outputMode("append").partitionBy("date")
          .option("checkpointLocation", checkpoint).option("path", path))
     q = (w.trigger(availableNow=True) if available_now else w).start()

@@ -11,11 +11,11 @@ SF_MID = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from infrarisk.session import ensure_checkpoint_dir, get_spark
+    from infrarisk.session import ensure_checkpoint_dir, get_spark, importable
 
     s = get_spark("local[4]", app="infrarisk-tests", shuffle_partitions=8)
     s.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(s)
+    ensure_checkpoint_dir(importable(s))
     yield s
     s.stop()
 
