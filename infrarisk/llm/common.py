@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
-import os
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, importable  # noqa: F401
 
 #: An id that sorts after every real one; stands for a null ``doc_id`` in orders and keys.
 LAST_ID = 2**63 - 1
 
 
-def importable(spark: SparkSession) -> SparkSession:
-    """Lets local-mode Python workers import this package from its checkout (a cluster has it installed)."""
-    sc, root = spark.sparkContext, str(Path(__file__).resolve().parents[2])
-    if sc.master.startswith("local") and root not in os.environ.get("PYTHONPATH", "").split(":"):
-        sc.environment["PYTHONPATH"] = root
-    return spark
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
