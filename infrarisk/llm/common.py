@@ -7,12 +7,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, importable  # noqa: F401
+from ..session import ensure_checkpoint_dir, importable
 
 #: An id that sorts after every real one; stands for a null ``doc_id`` in orders and keys.
 LAST_ID = 2**63 - 1
 
 
+#: Rows of an Arrow batch, at most: documents are wide rows, and a batch is what a Python worker holds at once.
+BATCH_ROWS = 2000
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """The session as these operators want it: importable package, Arrow batches that fit wide rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    spark.conf.set(key, str(BATCH_ROWS if now <= 0 else min(now, BATCH_ROWS)))
+    return importable(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, minhash, mixing, pages, pieces, pii, quality, spotsigs, substrings, tokens
-from .common import importable
+from .common import ready
 
 _QUERIES = {
     "op1_pii": pii.q_op1,
@@ -24,7 +24,7 @@ _QUERIES = {
 
 
 def _registered(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: query(importable(spark), sf_dir)
+    return lambda spark, sf_dir: query(ready(spark), sf_dir)
 
 
 REGISTRY = {name: _registered(q) for name, q in _QUERIES.items()}

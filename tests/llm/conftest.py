@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from infrarisk.llm.common import importable
+from infrarisk.llm.common import ready
 
 #: Extra columns whose names clash with names the operators use inside or return.
 CLASHES = ["key", "n_words", "kept", "id", "h", "pos", "size", "target", "p", "block", "own", "row", "text_", "component_id", "spans", "ids", "rank", "copies"]
@@ -11,7 +11,7 @@ CLASHES = ["key", "n_words", "kept", "id", "h", "pos", "size", "target", "p", "b
 
 @pytest.fixture(scope="session", autouse=True)
 def _importable(spark):
-    importable(spark)
+    ready(spark)
 
 
 def words(rng, n, size=400):
