@@ -144,3 +144,73 @@ def test_stream_dedupe_and_trailing_counts(spark):
     totals = fx.repair_events(spark, SF).groupBy("city").count()
     assert out.count() > 0
     assert out.join(totals, "city").where(F.col("n") > F.col("count")).count() == 0
+
+
+def test_broken_requests_are_quarantined(spark, example_request):
+    base = scratch(spark)
+    line = example_request.select(F.to_json(F.struct("*")).alias("value"))
+    line.unionByName(spark.createDataFrame([("{broken",), ("",)], "value string")).coalesce(1).write.text(base)
+    assert io.read_requests(spark, base).count() == 1
+    assert [r.line for r in io.read_rejected_requests(spark, base).collect()] == ["{broken"]
+
+
+def test_history_errors_are_raised(spark):
+    import pytest
+
+    base = scratch(spark)
+    hist = io.to_history(rules.score(fx.telemetry(spark, SF)), ["city"], ["overall_level"])
+    two = hist.limit(1).unionByName(hist.limit(1))
+    assert two.select("assessment_id").distinct().count() == 1
+    io.append_history(two, base)
+    with pytest.raises(Exception, match="(?i)scheme|filesystem"):
+        io.read_history(spark, "nosuchscheme://x/y").count()
+
+
+def test_ids_of_equal_city_and_time(spark):
+    t = fx.telemetry(spark, SF).limit(1)
+    two = t.unionByName(t.withColumn("telemetry_id", F.col("telemetry_id") + 1))
+    assert io.to_history(rules.score(two), ["city"], ["overall_level"]).select("assessment_id").distinct().count() == 2
+
+
+def test_rejected_and_response(spark, example_request):
+    from infrarisk.plans.assess import assess, rejected, respond
+
+    flat = V.flatten(example_request).withColumn("telemetry_id", F.lit(1))
+    both = flat.unionByName(flat.withColumns({"telemetry_id": F.lit(2), "humidity_percent": F.lit(140.0)}))
+    out = respond(assess(both)).collect()
+    assert [r.telemetry_id for r in out] == [1] and [r.telemetry_id for r in rejected(both).collect()] == [2]
+    r = out[0].response
+    assert r.systems.power_grid.risk_score == 100 and r.systems.water_pipeline.risk_score == 72.94 and r.confidence_score == 95
+    assert r.impact_model.estimated_outage_hours_avoided_72h == 6.03 and r.impact_model.estimated_cost_avoided_usd_72h == 374644.75
+    assert r.ml_insights is None and r.external_signal is None and r.overall_risk["24_hour_outlook"]
+
+
+def test_fractions_and_white_space(spark):
+    from infrarisk.operators.labels import normalize_system
+
+    df = spark.createDataFrame([("3.5", 3.5, 3, " \tPower Grid\n")], "temperature_c string, recent_repairs_last_30_days double, signal_failure_reports_last_7_days int, s string")
+    r = V.coerce_numeric(df).withColumn("s", normalize_system("s")).first()
+    assert r.temperature_c == 3.5 and r.recent_repairs_last_30_days == 3.5 and r.signal_failure_reports_last_7_days == 3 and r.s == "power_grid"
+
+
+def test_json_bundle(spark):
+    import json
+
+    base = scratch(spark)
+    one = {"preprocessor": {"numeric_features": ["a", "b"], "city_categories": ["X", "Y"], "medians": {"a": 1.0, "b": 2.0}, "means": {"a": 0.5, "b": 0.0}, "stds": {"a": 2.0, "b": 0.0}},
+           "model": {"weights": [0.4, -0.2, 0.1, -0.3], "bias": 0.05}, "threshold": 0.4}
+    spark.createDataFrame([(json.dumps({"targets": {"t": one}, "global_metrics": {"macro_pr_auc_holdout": 0.3}}),)], "value string").coalesce(1).write.text(base)
+    models, thresholds, world = io.read_bundle(spark, base)
+    assert thresholds == {"t": 0.4} and world["macro_pr_auc_holdout"] == 0.3
+    import math
+
+    from infrarisk.operators.infer import predict
+
+    df = spark.createDataFrame([("X", 3.0, None), ("Z", None, 1.0)], "city string, a double, b double")
+    io.save_model(models, f"{base}-saved", thresholds)
+    loaded, again = io.load_model(spark, f"{base}-saved")
+    assert again == thresholds
+    for m in (models, loaded):
+        p = [r.p_t for r in predict(df, m).orderBy("city").collect()]
+        want = [1 / (1 + math.exp(-(0.4 * (3 - 0.5) / 2 - 0.2 * 2 + 0.1 + 0.05))), 1 / (1 + math.exp(-(0.4 * (1 - 0.5) / 2 - 0.2 * 1 + 0.05)))]
+        assert all(abs(x - y) < 1e-12 for x, y in zip(p, want, strict=True))
