@@ -119,8 +119,10 @@ def fold_scores(fits: Fits, ends: dict[tuple, int]) -> DataFrame:
     """(part, target, config, fold, pr_auc) of all fold models whose training and validation rows have both classes."""
     asked, tags = [], []
     for k, j in enumerate(fits.jobs):
-        *key, kind, fold, config, target = j.key
-        if kind == "cv" and fits.both_classes(target, j.end):
+        if len(j.key) < 4 or j.key[-4] != "cv":
+            continue
+        *key, _, fold, config, target = j.key
+        if fits.both_classes(target, j.end):
             stop, valid_end = SP.cv_folds(ends[tuple(key)])[fold]
             tags.append((len(asked), str(key), target, config, fold))
             asked.append((k, stop, valid_end))

@@ -80,3 +80,19 @@ def test_medians_are_exact(spark):
     assert ST.medians(df, ["a", "b", "c"]) == {"a": pdf.a.median(), "b": pdf.b.median(), "c": 0.0}
     got = {(r.g, r.feature): r.median for r in ST.grouped_medians(df, ["a", "b"], ["g"]).collect()}
     assert got == {(g, c): p[c].median() for g, p in pdf.groupby("g") for c in ("a", "b")}
+
+
+def test_training_run(spark):
+    """Configs by folds, thresholds and metrics on the whole holdout, refit; strict mode keeps the training models."""
+    targets = ["overall_failure_72h_label", "traffic_failure_72h_label"]
+    lab = Q.labeled(spark, SF)
+    n = lab.count()
+    b = TR.train_models(lab, targets=targets)
+    assert b.rows == n and set(b.targets) == set(targets) and 0.4 <= b.blend_weight <= 0.75
+    for f in b.targets.values():
+        assert f.holdout["n"] == max(1, int(n * 0.2))
+        assert 0.05 <= f.threshold <= 0.95 and f.l2 in f.cv and max(v[0] for v in f.cv.values() if v[0] is not None) == f.cv[f.l2][0]
+    names = {(r.target, r.metric) for r in TR.report_table(b).collect()}
+    assert ("__global__", "macro_pr_auc_holdout") in names and (targets[0], "threshold") in names
+    strict = TR.train_models(lab, targets=targets[:1], refit=False, embargo_rows=10)
+    assert strict.targets[targets[0]].model.bias != b.targets[targets[0]].model.bias
