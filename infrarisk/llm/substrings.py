@@ -19,8 +19,8 @@ number with the corpus (``BUCKET_BYTES`` of text each).  Answers go back by docu
 collected, broadcast or capped, and intermediate results are written tables.
 
 Defined cases: a null text has no words; a null ``doc_id`` sorts last; documents that share a
-``doc_id`` are ordered by a hash of their text, and rows that repeat both are one document (each gets the same
-result).  Texts shorter than a window lose nothing.  An empty table gives an empty result.  Further
+``doc_id`` are ordered by a hash of their text, and rows that repeat both, null ids included, are one document (each
+gets the same result, and none is an earlier occurrence of the others).  Texts shorter than a window lose nothing.  An empty table gives an empty result.  Further
 columns are carried as asked and may have any name.
 """
 
@@ -100,6 +100,12 @@ class _Entries:
             first[many] = rows[by][head]
         return first
 
+    def later(self, order: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """True for each entry that is not its group's first; repeated rows of a document share its starts."""
+        lead = np.empty(len(self.h), np.int64)
+        lead[order] = np.repeat(first, size)
+        return (self.id != self.id[lead]) | (self.th != self.th[lead]) | (self.pos != self.pos[lead])
+
 
 def _ramp(n: np.ndarray) -> np.ndarray:
     """0..n[0]-1, 0..n[1]-1, ... as one array."""
@@ -141,10 +147,11 @@ def _resolved(parts: list[tuple], buckets: int, first_only: bool) -> pa.RecordBa
     e = _Entries(parts)
     order, at, size = e.groups()
     first = e.earliest(order, at, size) if first_only else order[at]
-    known = np.ones(len(e.h), bool)
-    known[first] = False
-    if not first_only:
-        known[first[size > 1]] = True
+    if first_only:
+        known = e.later(order, first, size)
+    else:
+        known = np.ones(len(e.h), bool)
+        known[first[size == 1]] = False
     repeat = np.zeros(len(e.h), bool)
     repeat[first[size > 1]] = not first_only
     first = np.sort(first)  # document order
@@ -181,11 +188,7 @@ def _answers(first_only: bool):
             order, at, size = e.groups()
             say = np.zeros(len(e.h), bool)
             if first_only:
-                # the same document may be sent twice (repeated rows): its own start is no earlier one
-                first = e.earliest(order, at, size)
-                lead = np.empty(len(e.h), np.int64)
-                lead[order] = np.repeat(first, size)
-                say = (e.id != e.id[lead]) | (e.th != e.th[lead]) | (e.pos != e.pos[lead])
+                say = e.later(order, e.earliest(order, at, size), size)
             else:
                 busy = np.add.reduceat(np.where(want[order], 1, 2), at) if len(at) else np.empty(0)
                 say[order] = np.repeat(busy >= 2, size)

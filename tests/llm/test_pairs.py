@@ -123,6 +123,19 @@ def test_remove_repeats_odd(spark, odd, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("stretch", [substrings.STRETCH, 25])
+def test_remove_repeats_of_repeated_rows(spark, monkeypatch, stretch):
+    """Repeated rows, with and without an id, are no earlier occurrence of each other, wherever they meet."""
+    monkeypatch.setattr(substrings, "STRETCH", stretch)
+    t, u, v = (" ".join(f"{c}{k}" for k in range(30)) for c in "tuv")
+    again = " ".join(["again"] * 50)
+    rows = [(5, t), (5, t), (None, u), (None, u), (None, u), (6, v), (6, v), (7, v), (8, again), (8, again), (None, v), (None, v)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substrings.remove_repeats(df).collect()), key=str)
+    want = [(5, 30, 0, t)] * 2 + [(None, 30, 0, u)] * 3 + [(6, 30, 0, v)] * 2 + [(7, 30, 30, "")] + [(8, 50, 49, "again")] * 2 + [(None, 30, 30, "")] * 2
+    assert got == sorted(want, key=str)
+
+
 def brute_signature(t, chain=2):
     import regex
 
