@@ -1,7 +1,8 @@
 """Layout-aware text of HTML pages (operator 3).
 
 A tree builder over the standard tokenizer applies implied tags (paragraphs, list items, cells and options that
-end where the next one begins), drops stray end tags and closes what is left open.  The renderer then walks the
+end where the next one begins), drops stray end tags and closes what is left open.  Cells without a row get one, and whatever else stands between
+the parts of a table goes before it.  The renderer then walks the
 tree and emits all visible text: invisible elements (head, script, style, template, ``hidden``, ``display: none``,
 ...) are skipped, inline white space collapses, blocks begin on new lines with one blank line around
 paragraph-like ones, list items get bullets or numbers indented by depth, ``pre`` keeps its text, and table cells are
@@ -44,6 +45,13 @@ ENDS = {
 #: Blocks that end an open paragraph.
 ENDS_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "li", "dd", "dt", "legend", "summary", "figcaption"}
 P_SCOPE = frozenset("td th table button caption html li".split())
+#: Table parts; where a table is open, they end what stands in the way and imply the section and row that they need.
+PARTS = frozenset("caption colgroup col thead tbody tfoot tr td th".split())
+SECTIONS = frozenset("thead tbody tfoot".split())
+#: Elements that hold parts only: other content goes before their table, except what shows nothing (IN_PLACE).
+FRAMES = SECTIONS | {"table", "tr"}
+IN_PLACE = frozenset("script style template input".split())
+CHILDLESS = frozenset("form colgroup".split())  # between table parts; a form's content stays with the table
 _HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _BLANKS = re.compile(r"[ \t\n\r\f\v]+")
 
@@ -62,12 +70,57 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {})
         self.open = [self.root]
+        self.tables: list[int] = []  # places in ``open`` of tables, and of templates, whose parts are their own
+
+    def _push(self, node: Node) -> None:
+        if node.tag in ("table", "template"):
+            self.tables.append(len(self.open))
+        self.open.append(node)
+
+    def _cut(self, k: int) -> None:
+        """Ends the open elements from place ``k`` on."""
+        del self.open[k:]
+        while self.tables and self.tables[-1] >= k:
+            self.tables.pop()
+
+    def _table(self) -> int:
+        """Place of the table that a part would belong to; 0 if there is none."""
+        return self.tables[-1] if self.tables and self.open[self.tables[-1]].tag == "table" else 0
+
+    def _framed(self) -> bool:
+        """True where only table parts may stand: straight in a table, section or row."""
+        return self._table() > 0 and self.open[-1].tag in FRAMES
+
+    def _before_table(self, kid) -> None:
+        """``kid`` goes before the open table, which is the last child of its parent."""
+        kids = self.open[self._table() - 1].kids
+        kids.insert(len(kids) - 1, kid)
+
+    def _imply(self, tag: str) -> None:
+        node = Node(tag, {})
+        self.open[-1].kids.append(node)
+        self._push(node)
+
+    def _part(self, tag: str) -> None:
+        """Back to where a table part belongs, with the section and row that it implies."""
+        k = self._table() + 1
+        if tag in ("tr", "td", "th"):
+            if not (k < len(self.open) and self.open[k].tag in SECTIONS):
+                self._cut(k)
+                self._imply("tbody")
+            k += 1
+        if tag in ("td", "th"):
+            if not (k < len(self.open) and self.open[k].tag == "tr"):
+                self._cut(k)
+                self._imply("tr")
+            k += 1
+        self._cut(k)
 
     def _close(self, tags, scope) -> None:
         """Ends the innermost open element of ``tags`` and what it holds, if no tag of ``scope`` stands before it."""
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag in tags:
-                del self.open[k:]
+                self._cut(k)
                 return
             if self.open[k].tag in scope:
                 return
@@ -75,28 +128,38 @@ class _Builder(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in ENDS_P:
             self._close({"p"}, P_SCOPE)
-        if tag in ENDS:
+        if tag in PARTS and self._table():
+            self._part(tag)
+        elif tag in ENDS:
             tags, scope = ENDS[tag]
             if tag == "tr":
-                self._close({"td", "th"}, {"tr", "table"})
+                self._close({"td", "th"}, {"tr", "table", "template"})
                 tags = {"tr"}
-            self._close(tags, scope)
-        node = Node(tag, dict(attrs))
-        self.open[-1].kids.append(node)
-        if tag not in VOID:
-            self.open.append(node)
+            self._close(tags, scope | {"template"} if tag in PARTS else scope)
+        if tag == "table" and self._framed():
+            self._cut(self._table())
+        node, framed = Node(tag, dict(attrs)), self._framed()
+        if framed and tag not in PARTS | IN_PLACE | CHILDLESS:
+            self._before_table(node)
+        else:
+            self.open[-1].kids.append(node)
+        if tag not in VOID and not (framed and tag in CHILDLESS):
+            self._push(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.open[-1].tag == tag and tag in ("svg", "path", "circle", "rect", "use"):
-            self.open.pop()
+            self._cut(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         if tag not in VOID and tag not in ("html", "body"):  # text after them is shown as well
             self._close({tag}, {"table"} if tag not in ("table", "body", "html") else ())
 
     def handle_data(self, data):
-        self.open[-1].kids.append(data)
+        if self._framed() and _BLANKS.sub("", data):
+            self._before_table(data)
+        else:
+            self.open[-1].kids.append(data)
 
 
 def parse(html: str) -> Node:

@@ -114,6 +114,31 @@ def test_broken_pages():
     assert big.count("\n") == 19999
 
 
+@pytest.mark.parametrize("html", [
+    "<table><thead><th>Na0<th>Vb1</thead><tr><td>Ac2<td>Bd3</table>Ze4",
+    "<table><td>Aa0</td><tr><td>Bb1</table>",
+    "<table><tr><form><td>Aa0<td>Bb1</form></tr><tr><td>Cc2</table>Dd3",
+    "<p>Pp0<table>Xa1<tr>Xb2<td>Cc3</td>Xd4<div>Xe5<p>Xf6</div><b>Xg7<tr><td>Dh8</table>Ei9",
+    "<table><caption>Ca0<tr><td>Ab1</tbody>Xc2<colgroup><col><tbody>Xd3<td>Be4<tfoot><th>Ff5</table>",
+    "<table><tr><td>Aa0<table><td>Bb1<table>Xc2<tr><td>Cd3</table>Xe4</table>Df5<table>Xg6<table><td>Gh7</table></table>Hi8",
+    "<table>Xa0<ul><li>Xb1<table><li>Xc2<td>Cd3<td><p>De4<tr><th><form>Ef5</table><img alt=Fg6></table>Gh7",
+    "<table><tr><td>Aa0<template><tr><td>no<table>no</table>no</template>Bb1<script>no</script></table>",
+    "<ol><table><form><tr><input type=hidden value=no><td>Aa0<li>Bb1</form><tr>Xc2<br>Xd3<a>Xe4</a><h2>Xf5</table><li>Cg6</ol><tr><td>Dh7",
+])
+def test_loose_tables(html):
+    """Every visible text is in the page's text, once."""
+    text = pages.render(html)
+    want = re.findall(r"[A-Z][a-z]\d", html)
+    assert sorted(re.findall(r"[A-Z][a-z]\d", text)) == sorted(want) and "no" not in text
+
+
+def test_loose_rows():
+    assert pages.render("<table><thead><th>N<th>V</thead><td>a<td>b</table>") == "N | V\na | b"
+    assert pages.render("<table><tr><form><td>a<td>b</form>x<tr><td>c</table>y") == "a | bx\nc\n\ny"
+    assert pages.render("<table>x<form><td>a</td>y<td>b<tr>z<td>c</table>") == "xyz\n\na | b\nc"
+    assert pages.render("<table>" + "x<td>a" * 20000 + "</table>").count(" | a") == 19999
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "<p>x", "u"), (1, "<p>x", "u"), (None, None, None)], "page_id long, html string, text string")
     got = pages.extract(df, carry=["page_id"]).collect()
