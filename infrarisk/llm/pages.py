@@ -2,7 +2,7 @@
 
 A tree builder over the standard tokenizer applies implied tags (paragraphs, list items, cells and options that
 end where the next one begins), drops stray end tags and closes what is left open.  Cells without a row get one, and whatever else stands between
-the parts of a table goes before it.  The renderer then walks the
+the parts of a table goes before it; a head ends with the first text or element that it cannot hold.  The renderer then walks the
 tree and emits all visible text: invisible elements (head, script, style, template, ``hidden``, ``display: none``,
 ...) are skipped, inline white space collapses, blocks begin on new lines with one blank line around
 paragraph-like ones, list items get bullets or numbers indented by depth, ``pre`` keeps its text, and table cells are
@@ -42,6 +42,8 @@ ENDS = {
     "thead": ({"thead", "tbody", "tfoot"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot"}, {"table"}),
     "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}), "body": ({"head"}, {"html"}),
 }
+#: What a head may hold; other elements and text end it.
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
 #: Blocks that end an open paragraph.
 ENDS_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "li", "dd", "dt", "legend", "summary", "figcaption"}
 P_SCOPE = frozenset("td th table button caption html li".split())
@@ -125,7 +127,13 @@ class _Builder(HTMLParser):
             if self.open[k].tag in scope:
                 return
 
+    def _end_head(self) -> None:
+        while self.open[-1].tag == "head":
+            self._cut(len(self.open) - 1)
+
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self._end_head()
         if tag in ENDS_P:
             self._close({"p"}, P_SCOPE)
         if tag in PARTS and self._table():
@@ -156,6 +164,8 @@ class _Builder(HTMLParser):
             self._close({tag}, {"table"} if tag not in ("table", "body", "html") else ())
 
     def handle_data(self, data):
+        if data.strip(" \t\n\r\f"):
+            self._end_head()
         if self._framed() and _BLANKS.sub("", data):
             self._before_table(data)
         else:

@@ -114,6 +114,14 @@ def test_broken_pages():
     assert big.count("\n") == 19999
 
 
+def test_open_head():
+    """A head without end tags ends where content begins."""
+    head = "<html><head>\n<meta charset=utf-8><title>no</title> <link rel=x href=y><style>no</style><script>no</script><template>no<p>no</template>\n"
+    for body, want in (("<p>a<p>b", "a\n\nb"), ("a<p>b", "a\n\nb"), ("<table><td>a<td>b</table>", "a | b"), ("<img alt=a>b", "ab"), ("&lt;a", "<a"),
+                       ("<body>a", "a"), ("</head>a<head>b<title>no</title>c", "abc"), ("<head><head>a", "a")):
+        assert pages.render(head + body) == want
+
+
 @pytest.mark.parametrize("html", [
     "<table><thead><th>Na0<th>Vb1</thead><tr><td>Ac2<td>Bd3</table>Ze4",
     "<table><td>Aa0</td><tr><td>Bb1</table>",
