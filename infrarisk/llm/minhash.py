@@ -23,7 +23,8 @@ class and block, is spread over its tiles, and is never collected; no cap drops
 Defined cases: null or blank texts have an empty set, are linked with nothing and are their own
 component.  Where ``id_col`` is null or repeats, rows are told apart by a hash of id and text; the component
 id is the smallest non-null id of the component (null if there is none).  Rows that repeat an id and a
-text are copies like any other; all rows that hold the component's id are ``kept``.
+text are copies like any other; all rows that hold the component's id are ``kept``.  ``drop_near_duplicates`` keeps one
+row of each component whatever the ids: the smallest id (null last), then text hash, then the first of equal rows.
 """
 
 from __future__ import annotations
@@ -129,10 +130,11 @@ def _tile(num: int, den: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5,
-                    threshold: tuple[int, int] = (80, 100), carry: list[str] | None = None) -> DataFrame:
-    """``carry`` columns (``id_col`` by default), ``n_shingles``, ``component_id`` and ``kept``."""
-    carry = [id_col] if carry is None else carry
+def _labelled(docs: DataFrame, id_col: str, text: str, k: int, threshold: tuple[int, int], carry: list[str], order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with the ``key`` of their set, (key, id, component) of each set): both written tables.
+
+    ``order`` names a struct in ``own``; then each set has the least one of its rows as well.
+    """
     num, den = threshold
     bands = bands_for(num / den)
     key = F.col(f"`{id_col}`").cast("long")
@@ -157,7 +159,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     rows = written(source.mapInArrow(marked, marked_schema), "shingled")
     classes = written(rows.where("key IS NOT NULL").groupBy("key").agg(
-        F.min("rid").alias("node"), F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "classes")
+        F.min("rid").alias("node"), F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"),
+        *([F.min(F.col("own").getField(order)).alias(order)] if order else [])), "classes")
 
     spread = classes.select("node", F.explode("bands").alias("bucket"))
     hubs = written(spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "hub"), "hubs")
@@ -185,8 +188,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     links = written(tiles.groupBy("cc", "one", "two").applyInArrow(_tile(num, den), "a long, b long"), "links")
 
     labels = connected_components(links)
-    joined = written(classes.select("key", "node", "id").join(labels, "node", "left")
-                     .select("key", "id", F.coalesce("component", "node").alias("component")), "labels")
+    extra = [order] if order else []
+    return rows, written(classes.select("key", "node", "id", *extra).join(labels, "node", "left")
+                         .select("key", "id", F.coalesce("component", "node").alias("component"), *extra), "labels")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5,
+                    threshold: tuple[int, int] = (80, 100), carry: list[str] | None = None) -> DataFrame:
+    """``carry`` columns (``id_col`` by default), ``n_shingles``, ``component_id`` and ``kept``."""
+    carry = [id_col] if carry is None else carry
+    rows, joined = _labelled(docs, id_col, text, k, threshold, carry)
     least = joined.groupBy("component").agg(F.min("id").alias("component_id"))
     verdict = written(joined.join(least, "component").select("key", "component_id"), "verdict")
     out = rows.join(verdict, "key", "left")
@@ -198,9 +209,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """One document of each near-duplicate group, with its columns as they were."""
-    cols = docs.columns
-    packed = docs.select(F.col(f"`{id_col}`").alias("id_"), F.col(f"`{text}`").alias("text_"), F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row_"))
-    kept = near_duplicates(packed, "id_", "text_", k, threshold, ["row_"]).where("kept")
+    cols, ident = docs.columns, F.col(f"`{id_col}`").cast("long")
+    at = F.monotonically_increasing_id()  # read back from a written table only
+    order = F.struct(ident.isNull().alias("last"), ident.alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("hash"), at.alias("at"))
+    packed = docs.select(F.col(f"`{id_col}`").alias("id_"), F.col(f"`{text}`").alias("text_"), F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row_"), order.alias("order_"))
+    rows, labels = _labelled(packed, "id_", "text_", k, threshold, ["row_", "order_"], "order_")
+    firsts = labels.groupBy("component").agg(F.min("order_").alias("order_")).select(F.col("order_.at").alias("at"))
+    found = rows.select("key", F.col("own.row_").alias("row_"), F.col("own.order_.at").alias("at"))
+    kept = found.where("key IS NOT NULL").join(firsts, "at", "left_semi").unionByName(found.where("key IS NULL"))
     return kept.select(*[F.col("row_").getField(c).alias(c) for c in cols])
 
 

@@ -59,6 +59,18 @@ def test_near_duplicates_odd(odd, empty):
     assert minhash.near_duplicates(empty).columns == ["doc_id", "n_shingles", "component_id", "kept"]
 
 
+def test_drop_near_duplicates_odd(spark):
+    """One row of each component stays, also without ids and with repeated ones; texts without words are no copies."""
+    t, u, v, w = (" ".join(f"{c}{k}" for k in range(40)) for c in "tuvw")
+    rows = [(None, t, 1), (None, t, 2), (None, t + " end", 3), (None, u, 4), (5, v, 5), (5, v + " end", 6), (5, v, 7), (5, w, 8), (None, w, 9),
+            (None, None, 10), (None, "", 11), (5, "", 12), (5, "", 13), (6, v, 14)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    got = [tuple(r) for r in minhash.drop_near_duplicates(df).collect()]
+    group = lambda r: (r[1] or "").removesuffix(" end")
+    assert sorted(group(r) for r in got if r[1]) == [t, u, v, w] and set(got) <= set(rows)
+    assert {r[0] for r in got if group(r) in (v, w)} == {5} and {r[2] for r in got if not r[1]} == {10, 11, 12, 13}
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(60)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(30)] + [(300, 300), (7, 7)]
