@@ -162,20 +162,20 @@ def copies(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     return out.withColumn("copies", F.col("sure") + F.col("p").cast("long")).drop("p", "sure", "rank")
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(key, salt, id, source, size) of each document; ``key`` is the id where ids are unique, else a hash of the row."""
+def sized(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, bool]:
+    """((key, salt, id, source, size) of each document, unique): ``key`` is the id where ids are unique, else a hash of the row."""
     ident = F.col(f"`{id_col}`").cast("long")
     n, ids = docs.agg(F.count(F.lit(1)), F.countDistinct(ident)).first()
     unique = n == ids
     key = ident if unique else F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     salt = F.lit(0).cast("long") if unique else F.monotonically_increasing_id()
     size = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
-    return written(docs.select(key.alias("key"), salt.alias("salt"), ident.alias("id"), F.col(f"`{source}`").alias("source"), size.alias("size")), "sizes")
+    return written(docs.select(key.alias("key"), salt.alias("salt"), ident.alias("id"), F.col(f"`{source}`").alias("source"), size.alias("size")), "sizes"), unique
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc id, source, ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` of each document."""
-    c = copies(sized(docs, id_col, text, source))
+    c = copies(sized(docs, id_col, text, source)[0])
     return c.select(F.col("id").alias(id_col), F.col("source").alias(source), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -184,9 +184,8 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s
 
     Rows that are equal in all columns share their copies: the first gets all of them.
     """
-    cols, s = docs.columns, sized(docs, id_col, text, source)
+    cols, (s, unique) = docs.columns, sized(docs, id_col, text, source)
     c = copies(s).groupBy("key").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("rows"))
-    unique = s.agg(F.coalesce(F.max("salt"), F.lit(0))).first()[0] == 0
     key = F.col(f"`{id_col}`").cast("long") if unique else F.xxhash64(*[F.col(f"`{x}`") for x in cols])
     keyed = docs.select(key.alias("key"), F.struct(*[F.col(f"`{x}`") for x in cols]).alias("row"))
     if not unique:

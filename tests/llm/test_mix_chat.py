@@ -81,6 +81,13 @@ def test_mix_odd(odd, empty):
     assert mixing.mix(empty).count() == mixing.mix_documents(empty).count() == 0
 
 
+def test_mix_keeps_rows(spark, odd):
+    """The mix holds as many rows as it has copies, also of a single document without an id."""
+    alone = spark.createDataFrame([(None, "a b c", "s")], "doc_id long, text string, source string")
+    for docs in (alone, odd):
+        assert mixing.mix_documents(docs).count() == sum(r.copies for r in mixing.mix(docs).collect()) > 0
+
+
 # 10 ------------------------------------------------------------------------------------------------------------------
 def fold_by_hand(events):
     told = {}  # message -> [role, text, opened at]
