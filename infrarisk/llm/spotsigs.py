@@ -5,8 +5,8 @@ before a content word, the anchor and the chain of ``CHAIN`` content words that
 skipped) form one spot signature; the fingerprint is the set of hashed signatures.  Texts without such a spot take
 every chain with an empty anchor; texts with fewer content words than a chain take their whole token sequence.
 
-Likeness is the Jaccard similarity of the sets, 1 for equal fingerprints.  ``similar_pairs`` finds all pairs above
-a threshold: fingerprints are partitioned by set length, only partitions whose length ratio can reach the threshold
+Likeness is the Jaccard similarity of the sets, 1 for equal fingerprints.  ``similar_pairs``, a helper that no
+registered query runs, finds all pairs above a threshold: fingerprints are partitioned by set length, only partitions whose length ratio can reach the threshold
 meet, and inside them only documents that share one of their rarest signatures (a prefix as long as the
 threshold allows) are compared in full.
 
@@ -74,7 +74,7 @@ def fingerprint(sigs: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two signature sets; equal ones are 1, and sets of hopeless lengths are not merged."""
+    """Jaccard similarity of two signature sets, by their intersection; equal ones are 1, and an empty one is 0 to others."""
     inter = F.size(F.array_intersect(a, b))
     return F.when(a == b, F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(_let(inter, lambda i: i / (F.size(a) + F.size(b) - i)))
 
