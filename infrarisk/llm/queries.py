@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, minhash, mixing, pages, pieces, pii, quality, spotsigs, substrings, tokens
+from . import chat, licences, minhash, mixing, pages, pieces, pii, prefixes, quality, spotsigs, stripes, substrings, tokens
 from .common import ready
 
 _QUERIES = {
@@ -20,6 +20,9 @@ _QUERIES = {
     "op8_substrings": substrings.q_op8,
     "op9_mixing": mixing.q_op9,
     "op10_chat": chat.q_op10,
+    "op11_prefixes": prefixes.q_op11,
+    "op12_collocations": stripes.q_op12,
+    "op13_licences": licences.q_op13,
 }
 
 
@@ -33,4 +36,6 @@ ORACLE: dict[str, str] = {
     "op2_minhash": minhash.SQL,
     "op8_substrings": substrings.SQL,
     "op10_chat": chat.SQL,
+    "op11_prefixes": prefixes.SQL,
+    "op12_collocations": stripes.SQL,
 }
