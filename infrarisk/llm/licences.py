@@ -59,7 +59,7 @@ UNKNOWN = 0.5
 TAG = "spdx license identifier"
 _TAG = re.compile(rb"spdx-license-identifier:[ \t]*([^\r\n]*)", re.I)
 _TOKEN = re.compile(r"[()]|[a-z0-9.+:_-]+")
-_FILLER = frozenset("a an the either both any at your option license licence licenses version v of later terms international under".split())
+_FILLER = frozenset("a an the gnu either both any at your option license licence licenses version v of later terms international under".split())
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _STRENGTH = {"or": 1, "and": 2, "with": 3}
 
