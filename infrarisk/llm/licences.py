@@ -21,6 +21,7 @@ columns may have any name; the operator's columns are one struct whose name avoi
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -149,19 +150,27 @@ class Scanner:
             if label:
                 places.append((word, word + words, label, base))
             tags |= not label
-        expressions, tagged = [], []
+        expressions, tagged, lines = [], [], []
         if tags:
+            read = seen = 0
             for m in _TAG.finditer(raw):
+                seen += len(raw[read : m.start(1)].translate(_TABLE).split())
+                lines.append((seen, seen + len(m.group(1).translate(_TABLE).split())))
+                read, seen = m.end(1), lines[-1][1]
                 tokens = [t if t in _STRENGTH or t in "()" else family(t) for t in _TOKEN.findall(m.group(1).decode("utf-8", "replace").lower())]
                 rpn = postfix(tokens) or ["other"]
                 expressions.append(" ".join(rpn))
                 tagged += [t for t in rpn if t not in _STRENGTH]
-        expressions += self._prose(plain, hits, places)
+        expressions += self._prose(plain, hits, places, lines)
         return n, places, expressions, tagged
 
-    def _prose(self, plain: bytes, hits: list, places: list) -> list[str]:
-        """Expressions of mentions that only connectives and fillers part; phrases inside longer ones drop out."""
+    def _prose(self, plain: bytes, hits: list, places: list, lines: list[tuple[int, int]]) -> list[str]:
+        """Expressions of mentions that only connectives and fillers part; phrases inside longer ones or in tags drop out."""
         spans = [(at, p) for (at, *_), p in zip([h for h in hits if h[2]], places, strict=True)]
+        if lines:
+            firsts = [s for s, _ in lines]
+            tagged = lambda w: (k := bisect.bisect_right(firsts, w)) > 0 and w < lines[k - 1][1]
+            spans = [x for x in spans if not tagged(x[1][0])]
         outer, reach = [], -1
         for at, p in sorted(spans, key=lambda s: (s[1][0], -s[1][1], s[1][3])):
             if p[1] > reach:

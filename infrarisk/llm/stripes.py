@@ -6,8 +6,8 @@ words that follow it.  One structure gives all that scoring needs: an entry is a
 total of the stripe that the phrase itself heads; a stripe's largest entry tells whether some extension is as frequent
 as its prefix.
 
-1. Each order (1 to 5 words) is one pass.  A task keeps its stripes in numpy arrays and sends each as a few rows of
-   (prefix, segment, next words, counts); fragments of a stripe are sorted together and merged element by element.
+1. Each order (1 to 5 words) is one pass.  A task keeps its stripes in numpy arrays and sends them in bundles, by bucket
+   of the prefix; the bundles of a bucket are sorted together and their stripes merged element by element.
 2. A phrase can only reach ``least`` occurrences if the phrase without its last and the one without its first word do, so
    a pass skips windows whose parts failed in the pass before.  What passed is handed on as a bitmap of a fixed largest
    size: a wrong bit lets a phrase be counted in vain, never lost, and counts themselves are exact.
@@ -18,9 +18,9 @@ as its prefix.
 
 Words are told apart by 64-bit hashes (with their language), prefixes by 128 bits.
 
-Scale: tasks send one counter a prefix, never occurrences.  Stripes of languages and of prefixes that hold more than
-1/``HOT`` of all words (so at most ``HOT`` an order) are cut into segments by the next word, whose number follows the
-data; a merging task holds one segment at a time.  Everything after the passes is joins over frequent phrases only.
+Scale: tasks send one counter a prefix, never occurrences.  The number of buckets follows the data, and a merging task
+holds one bucket at a time.  Stripes of languages and of prefixes that hold more than 1/``HOT`` of all words (so fewer
+than ``HOT`` an order) are dealt over all buckets by the next word.  After the passes only frequent phrases are joined.
 
 Defined cases: a null language is ``und``; null, empty and wordless texts count nothing; ids, repeated rows and further
 columns play no part (a repeated row counts twice); an empty table gives an empty result.
@@ -44,11 +44,11 @@ from .words import SLICE_BYTES, buffers, mix, randoms, words_of
 LEAST = 100  # occurrences of a candidate
 LONGEST = 5  # words of a candidate
 TOP = 2000  # phrases reported a language
-HOT = 4096
-ROW_ENTRIES = 1024  # entries of one row of a stripe
-HELD = 1 << 21  # entries a task holds before it adds up equal ones
+HOT = 1 << 16
+ROW_ENTRIES = 1024  # entries of one row
+HELD = 1 << 20  # entries a task holds before it adds up equal ones
 MOST_BITS = 1 << 27  # largest bitmap (16 MB)
-SEGMENT_BYTES = 8 << 20
+BUCKET_BYTES, MOST_BUCKETS = 1 << 20, 1 << 16  # text of a bucket of stripes; beyond, rows would hold single entries
 _U = np.uint64
 _BREAK = np.zeros(256, bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -158,8 +158,9 @@ def _counted(data: np.ndarray, offs: np.ndarray, lang: np.ndarray, k: int, passe
     return Entries(sums[0][at], sums[1][at], h[at + k - 1], np.ones(len(at), np.int64))
 
 
-_STRIPE = T.StructType([T.StructField("p1", T.LongType()), T.StructField("p2", T.LongType()), T.StructField("segment", T.IntegerType()), T.StructField("lang", T.StringType()),
-                        T.StructField("words", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("texts", T.ArrayType(T.StringType()))])
+_BUNDLE = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("p1", T.ArrayType(T.LongType())), T.StructField("p2", T.ArrayType(T.LongType())),
+                        T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("langs", T.ArrayType(T.StringType())), T.StructField("words", T.ArrayType(T.LongType())),
+                        T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("texts", T.ArrayType(T.StringType()))])
 _ENTRY = T.StructType([T.StructField("p1", T.LongType()), T.StructField("p2", T.LongType()), T.StructField("word", T.LongType()), T.StructField("a", T.LongType()),
                        T.StructField("q1", T.LongType()), T.StructField("q2", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("text", T.StringType())])
 
@@ -168,30 +169,36 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-def _rows(e: Entries, segment: np.ndarray, names: dict[int, str]) -> Iterator[pa.RecordBatch]:
-    """Entries as stripe rows, a bounded number of entries a row and of rows a batch."""
-    order = np.lexsort((e.word, segment, e.p2, e.p1))
-    e, segment = e.take(order), segment[order]
-    change = np.ones(len(e), bool)
-    change[1:] = (e.p1[1:] != e.p1[:-1]) | (e.p2[1:] != e.p2[:-1]) | (segment[1:] != segment[:-1])
-    heads = np.flatnonzero(change)
-    inside = np.arange(len(e)) - np.repeat(heads, np.diff(np.append(heads, len(e))))
-    heads = np.flatnonzero(inside % ROW_ENTRIES == 0)
-    edges = np.append(heads, len(e))
-    for i in range(0, len(heads), 2000):
-        s, cut = edges[i], edges[i : i + 2001]
-        at, offs, rows = slice(s, cut[-1]), pa.array(cut - s, pa.int32()), heads[i : i + 2000]
-        lists = [pa.ListArray.from_arrays(offs, c) for c in (_long(e.word[at]), pa.array(e.count[at]))]
-        texts = pa.nulls(len(rows), pa.list_(pa.string())) if e.text is None else pa.ListArray.from_arrays(offs, e.text[s : cut[-1]].cast(pa.string()))
-        lang = pa.array([names.get(int(p)) for p in e.p1[rows]], pa.string())
-        yield pa.RecordBatch.from_arrays([_long(e.p1[rows]), _long(e.p2[rows]), pa.array(segment[rows], pa.int32()), lang, *lists, texts], names=_STRIPE.names)
-
-
-def _tally(k: int, passed, hot, segments: int):
-    """Order ``k`` of (lang, text) rows as stripe rows; ``passed`` and ``hot`` are broadcast arrays or None."""
+def _rows(e: Entries, bucket: np.ndarray, names: dict[int, str]) -> Iterator[pa.RecordBatch]:
+    """Entries as bundles: the stripes (or parts of them) of one bucket, a bounded number of entries a row."""
+    order = np.lexsort((e.word, e.p2, e.p1, bucket))
+    e, bucket = e.take(order), bucket[order]
+    n = len(e)
+    turn = np.ones(n, bool)
+    turn[1:] = bucket[1:] != bucket[:-1]
+    at = np.flatnonzero(turn)
+    row = (np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))) % ROW_ENTRIES == 0
+    stripe = row.copy()
+    stripe[1:] |= (e.p1[1:] != e.p1[:-1]) | (e.p2[1:] != e.p2[:-1])
+    rows, stripes = np.append(np.flatnonzero(row), n), np.append(np.flatnonzero(stripe), n)
+    for i in range(0, len(rows) - 1, 500):
+        cut = rows[i : i + 501]
+        own = np.searchsorted(stripes, cut)  # the stripes of these rows
+        heads, span = stripes[own[0] : own[-1]], slice(cut[0], cut[-1])
+        by_stripe, by_entry = pa.array(own - own[0], pa.int32()), pa.array(cut - cut[0], pa.int32())
+        sizes = pa.array(np.diff(stripes[own[0] : own[-1] + 1]), pa.int32())
+        listed = pa.ListArray.from_arrays
+        langs = pa.nulls(len(cut) - 1, pa.list_(pa.string())) if e.text is None else listed(by_stripe, pa.array([names[int(p)] for p in e.p1[heads]], pa.string()))
+        texts = pa.nulls(len(cut) - 1, pa.list_(pa.string())) if e.text is None else listed(by_entry, e.text[cut[0] : cut[-1]].cast(pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]], pa.int32()), listed(by_stripe, _long(e.p1[heads])), listed(by_stripe, _long(e.p2[heads])), listed(by_stripe, sizes),
+                                          langs, listed(by_entry, _long(e.word[span])), listed(by_entry, pa.array(e.count[span])), texts], names=_BUNDLE.names)
+
+
+def _tally(k: int, passed, hot, buckets: int):
+    """Order ``k`` of (lang, text) rows as bundles of stripes; ``passed`` and ``hot`` are broadcast arrays or None."""
     def sent(e: Entries, names: dict[int, str]) -> Iterator[pa.RecordBatch]:
-        cut = (mix(e.word) % _U(segments)).astype(np.int32)
-        return _rows(e, cut if k == 1 else np.where(np.isin(e.p1, hot.value), cut, 0), names)
+        spread = mix(e.word) if k == 1 else np.where(np.isin(e.p1, hot.value), mix(e.word), _U(0))  # hot stripes are dealt over all buckets
+        return _rows(e, ((mix(e.p1) + spread) % _U(buckets)).astype(np.int32), names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, names, total = Held(), {}, {}
@@ -220,7 +227,7 @@ def _tally(k: int, passed, hot, segments: int):
         if k == 1 and total:  # entry 0 of a language: all its words
             p = np.array(list(total), np.uint64)
             none = np.zeros(len(p), np.uint64)
-            yield from _rows(Entries(p, none, none, np.array(list(total.values()), np.int64), pa.array([""] * len(p), pa.large_string())), np.full(len(p), -1, np.int32), names)
+            yield from sent(Entries(p, none, none, np.array(list(total.values()), np.int64), pa.array([""] * len(p), pa.large_string())), names)
 
     return run
 
@@ -251,29 +258,25 @@ def _merge(k: int, least: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            p = [b.column(i).to_numpy().view(np.uint64) for i in (0, 1)]
-            segment = b.column(2).to_numpy()
-            words, counts, texts = b.column(4), b.column(5), b.column(6)
-            lens = np.diff(words.offsets.to_numpy())
-            e = Entries(np.repeat(p[0], lens), np.repeat(p[1], lens), words.flatten().to_numpy().view(np.uint64), counts.flatten().to_numpy(),
-                        texts.flatten().cast(pa.large_string()) if k == 1 else None)
+            bucket, sizes = b.column(0).to_numpy(), b.column(3).flatten().to_numpy()
+            p = [b.column(i).flatten().to_numpy().view(np.uint64) for i in (1, 2)]
+            e = Entries(np.repeat(p[0], sizes), np.repeat(p[1], sizes), b.column(5).flatten().to_numpy().view(np.uint64), b.column(6).flatten().to_numpy(),
+                        b.column(7).flatten().cast(pa.large_string()) if k == 1 else None)
             if k == 1:
-                shown = b.column(3).dictionary_encode()
-                first = {c: i for i, c in reversed(list(enumerate(shown.indices.to_pylist())))}
-                names |= {int(p[0][i]): shown.dictionary[c].as_py() for c, i in first.items() if c is not None}
-            mine = (int(p[0][-1]), int(p[1][-1]), int(segment[-1]))
-            begins = np.flatnonzero((p[0] != p[0][-1]) | (p[1] != p[1][-1]) | (segment != segment[-1]))
-            first_open = int(begins[-1]) + 1 if len(begins) else 0  # rows of the stripe that the next batch may go on with
-            edge = int(lens[:first_open].sum())
-            if first_open or last != mine:
-                if first_open:
+                for x in np.unique(p[0]):
+                    names[int(x)] = names.get(int(x)) or b.column(4).flatten()[int(np.argmax(p[0] == x))].as_py()
+            # entries of the batch's last bucket wait: the next batch may go on with it
+            open_rows = int(np.argmax(bucket == bucket[-1]))
+            edge = int(pc.sum(pc.list_value_length(b.column(5)[:open_rows])).as_py() or 0)
+            if open_rows or last != bucket[-1]:
+                if edge:
                     held.add(e.take(np.arange(edge)))
                 done = held.settle()
                 if done is not None and len(done):
                     yield from out(done, names)
                 held = Held()
             held.add(e.take(np.arange(edge, len(e))))
-            last = mine
+            last = bucket[-1]
         done = held.settle()
         if done is not None and len(done):
             yield from out(done, names)
@@ -307,12 +310,12 @@ def mine(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = L
         raise ValueError(f"phrases have 1 to {LONGEST} words")
     spark = docs.sparkSession
     source = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").alias("text"))
-    segments = max(16, min(1 << 16, text_bytes(source) // SEGMENT_BYTES))
+    buckets = max(64, min(MOST_BUCKETS, text_bytes(source) // BUCKET_BYTES))
     passed = hot = None
     orders: list[DataFrame] = []
     for k in range(1, longest + 1):
-        stripes = source.mapInArrow(_tally(k, passed, hot, segments), _STRIPE)
-        made = stripes.repartition("p1", "p2", "segment").sortWithinPartitions("p1", "p2", "segment").mapInArrow(_merge(k, least), _ENTRY)
+        stripes = source.mapInArrow(_tally(k, passed, hot, buckets), _BUNDLE)
+        made = stripes.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merge(k, least), _ENTRY)
         entries = written(made, f"stripes{k}")
         if k == 1:
             sums = entries.where("word = 0").groupBy("lang").agg(F.sum("a").alias("n"))
