@@ -3,8 +3,8 @@
 The patterns give the base spans of four kinds; they are always kept.  The tagger (``tagger.py``) is trained in numpy
 from labelled spans: windows of the corpus that hold a digit or an ``@``, labelled with their base spans, and
 the same windows with generated examples of each kind written in (forms that the patterns miss included:
-national phone formats, adjacent card numbers).  At most ``SAMPLE`` windows are drawn, by smallest hash, whatever
-the size of the corpus; this bound is the only thing that does not follow the data.
+national phone formats, adjacent card numbers).  At most ``SAMPLE`` windows are drawn, by smallest hash, from all windows
+of all texts, whatever the size of the corpus; this bound is the only thing that does not follow the data.
 
 Every whole text is tagged.  All kinds need a digit or an ``@``, so positions farther than ``MARGIN`` from
 any such character are *O* by definition and never run through the network.  The others form stretches;
@@ -13,13 +13,14 @@ window's edges, and one Viterbi pass over the whole stretch decodes the reconcil
 is added where it overlaps no base span, has the characters that its kind needs, and the reconciled scores make
 it more likely than leaving it out by odds of ``SURE``.
 
-Defined cases: null and empty texts have no spans.  Long texts are processed whole (stretches are cut only
-between windows).  A corpus without digits trains on generated windows alone.  Repeated rows get equal
-results; further columns are carried as asked.
+Defined cases: null and empty texts have no spans.  Long texts are processed whole, and a stretch of any length is
+decoded in one pass.  A corpus without digits trains on generated windows alone.  Repeated rows get equal
+results; further columns are carried as asked, and own columns get underscores in front where they would clash.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tagger
-from .common import table
+from .common import named, table
 from .tagger import KINDS
 
 SAMPLE = 600  # labelled windows drawn from the corpus, at most
@@ -40,7 +41,6 @@ WIDTH = 64
 STRIDE = 32
 SURE = 0.9
 BATCH = 2048  # windows that run through the network together
-LONG = 4096  # a stretch is decoded in pieces of at most this length, cut where no span is likely
 
 _CUE = re.compile(r"[0-9@]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -136,8 +136,8 @@ def harmless(rng) -> str:
             f"v{rng.integers(1, 9)}.{rng.integers(0, 20)}.{rng.integers(0, 20)}", f"{rng.integers(0, 24):02d}:{rng.integers(0, 60):02d}", f"Version {rng.integers(1, 9)}.0", f"@{rng.integers(1, 99)}"][rng.integers(0, 8)]
 
 
-def training_windows(pieces: list[str], seed: int = 3, generated: int = 600) -> tuple[np.ndarray, np.ndarray]:
-    """(classes, tags) of labelled windows: corpus pieces with base spans, and copies with examples written in."""
+def training_windows(labelled: list[tuple[str, list[tuple[int, int, int]]]], seed: int = 3, generated: int = 600) -> tuple[np.ndarray, np.ndarray]:
+    """(classes, tags) of labelled windows: corpus pieces with the base spans of their texts, and copies with examples written in."""
     rng = np.random.Generator(np.random.PCG64(seed))
     x, y = [], []
 
@@ -147,14 +147,14 @@ def training_windows(pieces: list[str], seed: int = 3, generated: int = 600) ->
         c[: len(own)] = own
         for s, k, e in spans:
             if s < WIDTH:
-                t[s : min(e, WIDTH)] = 2 + 2 * k
-                t[s] = 1 + 2 * k
+                t[max(s, 0) : min(e, WIDTH)] = 2 + 2 * k
+                t[max(s, 0)] = 1 + 2 * k
         x.append(c)
         y.append(t)
 
-    for p in pieces:
-        add(p, base_spans(p))
-    plain = [re.sub(r"\S*[0-9@]\S*", "", p) for p in pieces] or ["and the of a word is here to read again"]
+    for p, spans in labelled:
+        add(p, spans)
+    plain = [re.sub(r"\S*[0-9@]\S*", "", p) for p, _ in labelled] or ["and the of a word is here to read again"]
     for n in range(generated):
         around = plain[int(rng.integers(0, len(plain)))]
         at = int(rng.integers(0, max(1, min(len(around), 30))))
@@ -170,20 +170,38 @@ def training_windows(pieces: list[str], seed: int = 3, generated: int = 600) ->
     return np.stack(x), np.stack(y)
 
 
-def sample(docs: DataFrame, text: str = "text", n: int = SAMPLE) -> list[str]:
-    """At most ``n`` distinct pieces of WIDTH code points around the corpus' digits and @, by smallest hash."""
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sample(docs: DataFrame, text: str = "text", n: int = SAMPLE) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """At most ``n`` distinct windows of all windows of all texts, by smallest hash, with the spans of their text.
+
+    A task keeps its own ``n`` smallest only, so what is shuffled is bounded, too.  Spans are found on the whole text; one
+    that begins before the window or ends behind it is labelled as far as it is seen.
+    """
+    def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[str, str]] = {}
+        worst = 2**63
         for b in batches:
-            col, out = b.column(0), []
+            col = b.column(0)
             for row in np.flatnonzero(pc.fill_null(pc.match_substring_regex(col, "[0-9@]"), False).to_numpy(zero_copy_only=False)):
                 t = col[int(row)].as_py()
-                s, _ = stretches(t)[0]
-                out.append(t[s : s + WIDTH])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["piece"])
-
-    found = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(pieces, "piece string").withColumn("by", F.xxhash64("piece"))
-    seen = found.groupBy("by").agg(F.first("piece").alias("piece")).orderBy("by").limit(n).collect()
-    return [r["piece"] for r in seen]
+                spans = None
+                for s, e in stretches(t):
+                    for w in windows(e - s):
+                        piece = t[s + w : s + w + WIDTH if e - s > WIDTH else e]
+                        by = int.from_bytes(hashlib.blake2b(piece.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") >> 1
+                        if by >= worst or by in best:
+                            continue
+                        spans = base_spans(t) if spans is None else spans
+                        at = s + w
+                        best[by] = (piece, ",".join(f"{x - at}:{k}:{y - at}" for x, k, y in spans if x < at + len(piece) and y > at))
+                        if len(best) > 2 * n:
+                            best = dict(sorted(best.items())[:n])
+                            worst = max(best)
+        rows = sorted(best.items())[:n]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([v[0] for _, v in rows], pa.string()), pa.array([v[1] for _, v in rows], pa.string())], names=["by", "piece", "spans"])
+
+    found = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(windowed, "by long, piece string, spans string")
+    seen = found.groupBy("by").agg(F.min(F.struct("piece", "spans")).alias("best")).orderBy("by").limit(n).collect()
+    return [(r["best"]["piece"], [tuple(map(int, x.split(":"))) for x in r["best"]["spans"].split(",") if x]) for r in seen]
 
 
 def fit(docs: DataFrame, text: str = "text") -> tagger.Model:
@@ -195,17 +213,6 @@ def fit(docs: DataFrame, text: str = "text") -> tagger.Model:
 _WEIGHT = (1 + np.minimum(np.arange(WIDTH), np.arange(WIDTH)[::-1])).astype(np.float32)
 
 
-def _cuts(total: np.ndarray) -> list[tuple[int, int]]:
-    """Pieces of a reconciled stretch, at most LONG long, cut at the surest O of each last quarter."""
-    out, s = [], 0
-    while len(total) - s > LONG:
-        lead = total[s + 3 * LONG // 4 : s + LONG, 0] - total[s + 3 * LONG // 4 : s + LONG, 1:].max(1)
-        e = s + 3 * LONG // 4 + int(lead.argmax()) + 1
-        out.append((s, e))
-        s = e
-    return [*out, (s, len(total))]
-
-
 def tagged(model: tagger.Model, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     """(start, kind, end) decoded in each text."""
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
@@ -230,7 +237,7 @@ def tagged(model: tagger.Model, texts: list[str]) -> list[list[tuple[int, int, i
                 weight[s : s + n] += _WEIGHT[:n, None]
                 k += 1
             total /= weight
-            rows += [(row, at + s, total[s:t]) for s, t in _cuts(total)]
+            rows.append((row, at, total))
         rows.sort(key=lambda r: len(r[2]))
         i = 0
         while i < len(rows):
@@ -335,7 +342,7 @@ def find(docs: DataFrame, text: str = "text", carry: list[str] | None = None, mo
 
     made = source.mapInArrow(run, schema)
     rest = [f"n_{k}" for k in KINDS] + ["base", "spans"] + (["masked"] if mask else [])
-    return made.select(*[F.col("own").getField(c).alias(c) for c in carry], *rest)
+    return made.select(*[F.col("own").getField(c).alias(c) for c in carry], *[F.col(c).alias(n) for c, n in zip(rest, named(rest, carry), strict=True)])
 
 
 def masked_text(text: str, spans: list[tuple[int, int, int]]) -> str:

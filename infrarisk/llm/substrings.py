@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LAST_ID, table, text_bytes, written
+from .common import LAST_ID, named, table, text_bytes, written
 from .words import chained, slices
 
 WINDOW = 20
@@ -298,7 +298,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(k) for k in range(len(names))] + [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=schema.names)
 
     made = final.mapInArrow(remove, schema)
-    return made.toDF(*carry, "n_words", "n_removed", "kept_text")
+    return made.toDF(*carry, *named(["n_words", "n_removed", "kept_text"], carry))
 
 
 def q_op8(spark, sf_dir: str) -> DataFrame:

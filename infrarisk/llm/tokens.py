@@ -15,7 +15,8 @@ Scale: a narrow map; the vocabulary (its size is fixed) is broadcast.  Sections
 sorted, disjoint (start, end) structs of code points; by default they are the lines, each with its line end.
 
 Defined cases: null and empty texts have no tokens and no sections; a section without tokens counts 0; sections that
-reach beyond the text are cut there; null sections count as none.  Further columns are carried as asked.
+reach beyond the text are cut there; null sections count as none.  Further columns are carried as asked; own
+columns get underscores in front where a carried one has their name.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import named, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how text is split before merges of this vocabulary.
@@ -127,7 +128,8 @@ def count_tokens(docs: DataFrame, text: str = "text", sections: str | None = Non
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), flat, pa.array(none, pa.int64()), pa.array(cross, pa.int64())], names=schema.names)
 
     made = source.mapInArrow(run, schema)
-    return made.select(*[F.col("own").getField(c).alias(c) for c in carry], "n_tokens", "section_tokens", "n_outside", "n_crossing")
+    rest = ["n_tokens", "section_tokens", "n_outside", "n_crossing"]
+    return made.select(*[F.col("own").getField(c).alias(c) for c in carry], *[F.col(c).alias(n) for c, n in zip(rest, named(rest, carry), strict=True)])
 
 
 def q_op7(spark, sf_dir: str) -> DataFrame:
