@@ -49,8 +49,7 @@ def main() -> None:
         return LB.label(tel, inc)
 
     def trailing_counts():
-        t = LB.trailing_count(tel, fx.repair_events(spark, sf_dir), 30, "repairs_30d")
-        return LB.trailing_count(t, fx.signal_events(spark, sf_dir), 7, "signal_reports_7d")
+        return LB.trailing_counts(tel, {"repairs_30d": (fx.repair_events(spark, sf_dir), 30), "signal_reports_7d": (fx.signal_events(spark, sf_dir), 7)})
 
     models = Q.pinned_models(spark, sf_dir)
 

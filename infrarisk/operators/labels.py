@@ -52,29 +52,38 @@ def label(telemetry: DataFrame, incidents: DataFrame, horizon_hours: int = 72, k
     return out.drop(*drop)
 
 
-def trailing_count(telemetry: DataFrame, events: DataFrame, days: int, name: str, id_col: str = "telemetry_id", parts: int = 8) -> DataFrame:
-    """Events of the same city with ``t - days <= te <= t``, per telemetry row (0 without a city).
-
-    The count is (events up to t) minus (events before t - days): two running counts, linear in the rows.  Both
-    questions are narrow points (id, city, time); time is cut into buckets of ``days / parts``, running counts inside a
-    bucket are completed by prefix counts over a table of one row per (city, bucket), so a hot city is spread
-    over its buckets.  Rows without a city never enter the windows; wide rows are only joined back by id.
+def trailing_counts(telemetry: DataFrame, wanted: dict[str, tuple[DataFrame, int]], parts: int = 8) -> DataFrame:
+    """For each ``name: (events, days)`` the events of the same city with ``t - days <= te <= t``, per telemetry row.
+
+    A count depends on city and time only, so questions are distinct (city, time) points: (events up to t) minus
+    (events before t - days), two running counts, linear in the rows.  All names share one line of questions and events,
+    one window, one aggregate and one join.  Time is cut into buckets of ``days / parts``; running counts inside a
+    bucket are completed by prefix counts over a table of one row per (name, city, bucket), so a hot city is spread over
+    its buckets.  Rows without a city or a time count 0 and never enter the windows; ids play no part.
     """
-    width = days * DAY_US
-    t = epoch_us("timestamp")
-    points = telemetry.where(F.col("city").isNotNull() & F.col("timestamp").isNotNull()).select(F.col(id_col).alias("__id"), F.col("city").alias("__city"), t.alias("__at")).distinct()
+    names, t = list(wanted), epoch_us("timestamp")
+    known = F.col("city").isNotNull() & F.col("timestamp").isNotNull()
+    points = telemetry.where(known).select(F.col("city").alias("__city"), t.alias("__at")).distinct()
     # an event at the asked time counts up to t and does not count before t - days: kind orders equal times
-    asks = points.select("__id", "__city", "__at", F.inline(F.array(
-        F.struct(F.col("__at").alias("__t"), F.lit(2).alias("__kind")), F.struct((F.col("__at") - F.lit(width)).alias("__t"), F.lit(0).alias("__kind")))))
-    ev = events.where(F.col("city").isNotNull() & F.col("timestamp").isNotNull()).select(F.col("city").alias("__city"), t.alias("__t"), F.lit(1).alias("__kind"))
-    line = asks.unionByName(ev, allowMissingColumns=True).withColumn("__b", F.floor(F.col("__t") / F.lit(width // parts)))
+    both = [F.struct(F.lit(k).alias("__of"), (F.col("__at") - F.lit(DAY_US * back)).alias("__t"), F.lit(kind).alias("__kind"))
+            for k, n in enumerate(names) for back, kind in ((0, 2), (wanted[n][1], 0))]
+    line = points.select("__city", "__at", F.inline(F.array(*both)))
+    for k, n in enumerate(names):
+        line = line.unionByName(wanted[n][0].where(known).select(F.col("city").alias("__city"), F.lit(k).alias("__of"), t.alias("__t"), F.lit(1).alias("__kind")), allowMissingColumns=True)
+    width = F.element_at(F.lit([DAY_US * wanted[n][1] // parts for n in names]), F.col("__of") + 1)
+    line = line.withColumn("__b", F.floor(F.col("__t") / width))
     one = F.when(F.col("__kind") == 1, F.lit(1)).otherwise(F.lit(0))
-    w = Window.partitionBy("__city", "__b").orderBy("__t", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("__of", "__city", "__b").orderBy("__t", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = line.withColumn("__in", F.sum(one).over(w)).where(F.col("__kind") != 1)
-    wb = Window.partitionBy("__city").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    before = line.groupBy("__city", "__b").agg(F.sum(one).alias("__n")).select("__city", "__b", F.coalesce(F.sum("__n").over(wb), F.lit(0)).alias("__before"))
-    seen = inside.join(before, ["__city", "__b"])  # reuses the window's partitioning
+    wb = Window.partitionBy("__of", "__city").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = line.groupBy("__of", "__city", "__b").agg(F.sum(one).alias("__n")).select("__of", "__city", "__b", F.coalesce(F.sum("__n").over(wb), F.lit(0)).alias("__before"))
+    seen = inside.join(before, ["__of", "__city", "__b"])  # reuses the window's partitioning
     signed = (F.col("__kind") - 1) * (F.col("__in") + F.col("__before"))
-    counts = seen.groupBy("__id", "__city", "__at").agg(F.sum(signed).cast("int").alias("__count"))
-    same = (F.col(id_col) == F.col("__id")) & (F.col("city") == F.col("__city")) & (t == F.col("__at"))
-    return telemetry.join(counts, same, "left").select(*telemetry.columns, F.coalesce("__count", F.lit(0)).alias(name))
+    counts = seen.groupBy("__city", "__at").agg(*[F.sum(F.when(F.col("__of") == k, signed)).cast("int").alias(f"__count{k}") for k in range(len(names))])
+    same = (F.col("city") == F.col("__city")) & (t == F.col("__at"))
+    return telemetry.join(counts, same, "left").select(*telemetry.columns, *[F.coalesce(f"__count{k}", F.lit(0)).alias(n) for k, n in enumerate(names)])
+
+
+def trailing_count(telemetry: DataFrame, events: DataFrame, days: int, name: str, parts: int = 8) -> DataFrame:
+    """W8 for one kind of events."""
+    return trailing_counts(telemetry, {name: (events, days)}, parts)

@@ -1,8 +1,9 @@
 """End-to-end assessment (V6): validation -> as-of weather -> rules -> model overlay -> uplift -> impact.
 
-Requests are validated first; rejected ones are a result of their own.  The weather as-of join runs on (id, city, time) and
-its matches are joined to the scored rows by id; everything else is projections (and dimension joins).  Texts computed by the rules (outlook, projection, zones, summary body) are not recomputed after the
-overlay, as in the modelled service.  ``respond`` nests the flat result into the response record.
+Requests are validated first; rejected ones are a result of their own.  The weather as-of join runs on the validated input
+columns, before anything is scored, and leaves its match in the row: one row in, one row out, whatever the ids.  Everything
+else is projections and dimension joins.  Texts computed by the rules (outlook, projection, zones, summary body) are not
+recomputed after the overlay, as in the modelled service.  ``respond`` nests the flat result into the response record.
 """
 
 from __future__ import annotations
@@ -27,15 +28,28 @@ def assess(
     quality: float | None = None,
     weather_obs: DataFrame | None = None,
     city_coords: DataFrame | None = None,
-    id_col: str = "telemetry_id",
     top_features: bool = False,
 ) -> DataFrame:
     """Assess the valid ones of nested requests (D1) or flat telemetry."""
     flat, _ = V.split_valid(coerce_numeric(flatten(requests)))
     external = weather_obs is not None and city_coords is not None
     if external:
-        # the windows of the as-of join carry ids, cities and times only
-        seen = WE.asof_weather(flat.select(id_col, "city", "timestamp"), weather_obs).drop("city", "timestamp")
+        flat = WE.asof_weather(flat, weather_obs).drop("__wk")
+    return assess_matched(flat, models, blend_weight, quality, city_coords if external else None, top_features)
+
+
+def assess_matched(
+    flat: DataFrame,
+    models: list[IN.LinearModel] | None = None,
+    blend_weight: float = 0.55,
+    quality: float | None = None,
+    city_coords: DataFrame | None = None,
+    top_features: bool = False,
+) -> DataFrame:
+    """The rest of the assessment of valid telemetry, without state: the same for a table and for a stream.
+
+    With ``city_coords`` the rows carry the columns of ``asof_weather``.
+    """
     out = rules.score(flat)
     if models:
         feats = FE.engineered(out).withColumn("city", F.coalesce(F.col("city").cast("string"), F.lit("UNKNOWN")))
@@ -47,9 +61,8 @@ def assess(
         # engineered feature columns are dropped again; probabilities and insights stay
         extra = [c for c in probs.columns if c not in out.columns and (c.startswith("p_") or c == "top_features")]
         out = OV.ml_overlay(probs.select(*out.columns, *extra), blend_weight, quality)
-    if external:
-        # joined back by the request's id; the join also keeps the optimizer from folding scores into every use of the check
-        out = out.join(seen, id_col, "left")
+    if city_coords is not None:
+        # the join of the coordinates also keeps the optimizer from folding scores into every use of the check
         out = WE.weather_check(out.withColumn("__wk", WE.city_key("city")), city_coords)
         out = WE.anomaly_uplift(out)
     return OV.impact(out)

@@ -322,7 +322,8 @@ rc AS (SELECT t.telemetry_id, CAST(count(r.repair_id) AS INTEGER) AS repairs_30d
 sc AS (SELECT t.telemetry_id, CAST(count(s.report_id) AS INTEGER) AS signal_reports_7d FROM telemetry t
  LEFT JOIN signal_events s ON t.city = s.city AND s.timestamp >= t.timestamp - INTERVAL 7 DAY AND s.timestamp <= t.timestamp
  GROUP BY t.telemetry_id)
-SELECT telemetry_id, repairs_30d, signal_reports_7d FROM rc JOIN sc USING (telemetry_id)
+SELECT CASE WHEN copy < 2 THEN telemetry_id END AS telemetry_id, repairs_30d, signal_reports_7d
+FROM rc JOIN sc USING (telemetry_id), (SELECT unnest([0, 1, 2]) AS copy)
 """
 
 
@@ -601,7 +602,7 @@ PROBS_RAW_CTE = "probs AS (SELECT f.telemetry_id, " + ", ".join(
 _PIN_W = oracle_with("telemetry", "weather_obs", "city_coords") + "," + FEAT_CTE + "," + pinned_ctes() + "," + PROBS_RAW_CTE
 
 ORACLE["v6_assessment"] = _PIN_W + "," + scored_ctes("telemetry") + "," + _OV_CTE + "," + weather_ctes("ov") + f"""
-SELECT telemetry_id, city,
+SELECT CASE WHEN copy < 2 THEN telemetry_id END AS telemetry_id, city,
  CASE WHEN hit THEN {r('least(1e2, ' + r('ob', 2) + ' + 15e-1)', 2)} ELSE {r('ob', 2)} END AS overall_risk_score,
  CASE WHEN hit THEN {lvl('least(1e2, ' + r('ob', 2) + ' + 15e-1)')} ELSE {lvl('ob')} END AS overall_level,
  conf2 AS confidence_score, weather_status,
@@ -609,7 +610,7 @@ SELECT telemetry_id, city,
  {r(f'greatest(0e0, {_AV2})', 2)} AS estimated_outage_hours_avoided_72h,
  {r(f'greatest(0e0, least(45e0, 5e0 + (21e-2 * fr) + (18e-1 * {_N})))', 2)} AS estimated_response_time_gain_percent,
  CAST(5 AS INTEGER) AS n_top_features, 25e-2 AS uplift_vs_baseline, CAST(3 AS INTEGER) AS n_assumptions
-FROM (SELECT *, weather_status = 'ok' AND weather_anomaly_flag AS hit FROM wx WHERE humidity_percent IS NULL OR humidity_percent BETWEEN 0 AND 100)
+FROM (SELECT *, weather_status = 'ok' AND weather_anomaly_flag AS hit FROM wx WHERE humidity_percent IS NULL OR humidity_percent BETWEEN 0 AND 100), (SELECT unnest([0, 1, 2]) AS copy)
 """
 
 ORACLE["v6_rejected"] = oracle_with("telemetry") + "SELECT telemetry_id, 'weather.humidity_percent' AS violations FROM telemetry WHERE humidity_percent > 100"

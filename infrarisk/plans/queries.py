@@ -147,9 +147,10 @@ def q_j1b_next_incident(spark, sf_dir):
 
 
 def q_w8_trailing_counts(spark, sf_dir):
-    t = fx.telemetry(spark, sf_dir)
-    t = LB.trailing_count(t, fx.repair_events(spark, sf_dir), 30, "repairs_30d")
-    t = LB.trailing_count(t, fx.signal_events(spark, sf_dir), 7, "signal_reports_7d")
+    """Every row asks three times: as it is, once more, and without an id; the counts are the same."""
+    t = fx.telemetry(spark, sf_dir).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    t = t.withColumn("telemetry_id", F.when(F.col("copy") < 2, F.col("telemetry_id")))
+    t = LB.trailing_counts(t, {"repairs_30d": (fx.repair_events(spark, sf_dir), 30), "signal_reports_7d": (fx.signal_events(spark, sf_dir), 7)})
     return t.select("telemetry_id", "repairs_30d", "signal_reports_7d")
 
 
@@ -447,7 +448,10 @@ def q_v6_assessment(spark, sf_dir):
     """V6 end to end, read out of the nested response: validation, weather, rules, pinned models, uplift, impact."""
     from .assess import assess, respond
 
-    out = assess(fx.telemetry(spark, sf_dir), pinned_models(spark, sf_dir), BLEND, QUALITY, fx.weather_obs(spark, sf_dir),
+    tel = fx.telemetry(spark, sf_dir)
+    # every row occurs twice, and once more without an id
+    tel = tel.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("telemetry_id", F.when(F.col("copy") < 2, F.col("telemetry_id"))).drop("copy")
+    out = assess(tel, pinned_models(spark, sf_dir), BLEND, QUALITY, fx.weather_obs(spark, sf_dir),
                  fx.city_coords(spark, sf_dir), top_features=True)
     r = respond(out, context={"macro_pr_auc_holdout": 0.5, "random_baseline_pr_auc": 0.25, "uplift_vs_baseline": 0.25}).select("telemetry_id", "response.*")
     return r.select("telemetry_id", "city", F.col("overall_risk.score").alias("overall_risk_score"), F.col("overall_risk.level").alias("overall_level"), "confidence_score",
