@@ -665,3 +665,9 @@ ORACLE["l1_fit_checks"] = oracle_with("telemetry", "incidents") + "," + LABEL_CT
  {r(f"sum({t}) / CAST(count(*) AS DOUBLE)", 6)} AS positive_rate FROM lbl""" for t in TGT)
 
 ORACLE["x5_stream_dedupe"] = oracle_with("telemetry") + "SELECT city, count(DISTINCT timestamp) AS n FROM telemetry GROUP BY city"
+
+_COPIES = "(SELECT unnest([0, 1, 2]) AS copy)"
+# on streams every row occurs once
+ORACLE["x1_live_assessment"] = "SELECT * EXCLUDE (n_top_features, uplift_vs_baseline, n_assumptions) FROM (" + ORACLE["v6_assessment"].replace(_COPIES, "(SELECT 0 AS copy)") + ")"
+ORACLE["x3_live_labels"] = ORACLE["j1_labels"]
+ORACLE["x4_live_counts"] = ORACLE["w8_trailing_counts"].replace(_COPIES, "(SELECT 0 AS copy)")

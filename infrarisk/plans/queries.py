@@ -596,6 +596,45 @@ def q_x1_stream_assessment(spark, sf_dir):
     return spark.read.parquet(f"{base}/out")
 
 
+def _live(spark, sf_dir, name, build):
+    """Rows that a stream over the replayed events has written when it has ended."""
+    from ..streaming import stateful as LIVE
+    from ..streaming import stream as X
+
+    LIVE.use_rocksdb(spark)
+    base = scratch(spark)
+    events = X.replayed(spark, sf_dir, f"{base}/events")
+    X.run_available_now(build(lambda view: X.view_stream(events, view), X.closing(events), LIVE), f"{base}/{name}", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/{name}")
+
+
+def q_x1_live_assessment(spark, sf_dir):
+    """V6 on a stream: validation, as-of weather with state, rules, pinned models, uplift, impact."""
+    from ..functions.validate import coerce_numeric, flatten, split_valid
+    from .assess import assess_matched
+
+    models, coords = pinned_models(spark, sf_dir), fx.city_coords(spark, sf_dir)
+
+    def build(view, ends, live):
+        flat, _ = split_valid(coerce_numeric(flatten(view("telemetry"))))
+        out = assess_matched(live.live_weather(flat, view("weather_obs"), ends=ends), models, BLEND, QUALITY, coords)
+        return out.select("telemetry_id", "city", "overall_risk_score", "overall_level", "confidence_score", "weather_status", "estimated_cost_avoided_usd_72h",
+                          "estimated_outage_hours_avoided_72h", "estimated_response_time_gain_percent")
+
+    return _live(spark, sf_dir, "assessed", build)
+
+
+def q_x3_live_labels(spark, sf_dir):
+    """One labelled row a telemetry row, from state and timers."""
+    return _live(spark, sf_dir, "labels", lambda view, ends, live: live.live_labels(view("telemetry"), view("incidents"), ends=ends).select("telemetry_id", *TARGET_COLUMNS))
+
+
+def q_x4_live_counts(spark, sf_dir):
+    """Exact trailing counts of a stream."""
+    return _live(spark, sf_dir, "counts", lambda view, ends, live: live.live_counts(
+        view("telemetry"), {"repairs_30d": (view("repair_events"), 30), "signal_reports_7d": (view("signal_events"), 7)}, ends=ends).select("telemetry_id", "repairs_30d", "signal_reports_7d"))
+
+
 REGISTRY = {
     "flagship_city_level": q_flagship,
     "r1_r4_system_scores": q_r1_r4_system_scores,
@@ -624,6 +663,9 @@ REGISTRY = {
     "v5_impact": q_v5_impact,
     "v7_zone_scores": q_v7_zone_scores,
     "v8_zone_flows": q_v8_zone_flows,
+    "x1_live_assessment": q_x1_live_assessment,
+    "x3_live_labels": q_x3_live_labels,
+    "x4_live_counts": q_x4_live_counts,
     "v9_stress": q_v9_stress,
     "e1_e2_rule_confusion": q_e1_e2_rule_confusion,
     "e3_e4_prediction_calibration": q_e3_e4_prediction_calibration,
