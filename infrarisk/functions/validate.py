@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .exprs import compact, stripped
@@ -22,18 +22,25 @@ def require_columns(df: DataFrame, required: list[str], what: str = "input") ->
         raise ValueError(f"{what} missing required columns: {missing}")
 
 
-def parse_timestamps(df: DataFrame, column: str = TIME_COLUMN, fmt: str | None = None) -> DataFrame:
-    """Parse to UTC TIMESTAMP; fail if any non-null-source row is unparsable (one aggregate job)."""
+def parse_timestamps(df: DataFrame, column: str = TIME_COLUMN, fmt: str | None = None, strict: bool = True, counts: Observation | None = None) -> DataFrame:
+    """Parse to UTC TIMESTAMP in the same pass that uses the rows.
+
+    Null sources stay null.  An unparsable one fails the job that reads it (``strict``) or becomes null.  ``counts``
+    receives ``rows``, ``unparsable`` and ``nulls`` when that job has run.
+    """
     src = F.col(column)
     if dict(df.dtypes)[column] == "string":
         parsed = F.try_to_timestamp(src, F.lit(fmt)) if fmt else F.try_to_timestamp(src)
     else:
         parsed = src.cast("timestamp")
-    out = df.withColumn(column, parsed)
-    bad = out.where(F.col(column).isNull()).limit(1).count()
-    if bad:
-        raise ValueError(f"failed to parse one or more timestamps in column {column}")
-    return out
+    bad = src.isNotNull() & parsed.isNull()
+    if counts is not None:
+        one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+        df = df.observe(counts, F.count(F.lit(1)).alias("rows"), one(bad).alias("unparsable"), one(src.isNull()).alias("nulls"))
+    if strict:
+        message = F.concat(F.lit(f"failed to parse a timestamp in column {column}: "), src.cast("string"))
+        parsed = F.when(bad, F.raise_error(message).cast("timestamp")).otherwise(parsed)
+    return df.withColumn(column, parsed)
 
 
 def flatten(df: DataFrame) -> DataFrame:

@@ -671,3 +671,10 @@ _COPIES = "(SELECT unnest([0, 1, 2]) AS copy)"
 ORACLE["x1_live_assessment"] = "SELECT * EXCLUDE (n_top_features, uplift_vs_baseline, n_assumptions) FROM (" + ORACLE["v6_assessment"].replace(_COPIES, "(SELECT 0 AS copy)") + ")"
 ORACLE["x3_live_labels"] = ORACLE["j1_labels"]
 ORACLE["x4_live_counts"] = ORACLE["w8_trailing_counts"].replace(_COPIES, "(SELECT 0 AS copy)")
+ORACLE["x2_replayed_history"] = ORACLE["s6_s7_history"]
+ORACLE["s4_timestamp_counts"] = oracle_with("telemetry") + """
+SELECT count(*) AS rows, count(*) FILTER (WHERE telemetry_id % 50 = 0) AS unparsable, count(*) FILTER (WHERE telemetry_id % 50 <> 0 AND telemetry_id % 70 = 1) AS nulls,
+ count(*) FILTER (WHERE telemetry_id % 50 <> 0 AND telemetry_id % 70 <> 1) AS parsed,
+ CAST(sum(epoch_us(timestamp) // 1000000) FILTER (WHERE telemetry_id % 50 <> 0 AND telemetry_id % 70 <> 1) AS BIGINT) AS seconds FROM telemetry
+"""
+ORACLE["s8_report_versions"] = ORACLE["flagship_city_level"]

@@ -635,6 +635,55 @@ def q_x4_live_counts(spark, sf_dir):
         view("telemetry"), {"repairs_30d": (view("repair_events"), 30), "signal_reports_7d": (view("signal_events"), 7)}, ends=ends).select("telemetry_id", "repairs_30d", "signal_reports_7d"))
 
 
+def q_x2_replayed_history(spark, sf_dir):
+    """History of a stream whose query dies between a batch's write and its commit, and is started again."""
+    from pyspark.errors import StreamingQueryException
+
+    from ..sources import io
+    from ..streaming import stream as X
+
+    base = scratch(spark)
+    events = X.replayed(spark, sf_dir, f"{base}/events")
+    scored = rules.score(X.view_stream(events, "telemetry"))
+    hist = io.to_history(scored, ["telemetry_id", "city"], ["overall_level"])
+
+    def dies(batch_id: int) -> None:
+        if batch_id == 1:
+            raise RuntimeError("lost between write and commit")
+
+    try:
+        X.commit_batches(hist, f"{base}/history", f"{base}/checkpoint", "live", dies)
+    except StreamingQueryException:
+        X.commit_batches(hist, f"{base}/history", f"{base}/checkpoint", "live")
+    back = spark.read.parquet(f"{base}/history")
+    return back.groupBy(F.get_json_object("request", "$.city").alias("city"), F.get_json_object("response", "$.overall_level").alias("overall_level")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("assessment_id").alias("n_ids"))
+
+
+def q_s4_timestamp_counts(spark, sf_dir):
+    """Counts of one pass over telemetry whose times are text, some of it broken or missing, and what was read."""
+    from pyspark.sql import Observation
+
+    text = F.when(F.col("telemetry_id") % 50 == 0, "not a time").when(F.col("telemetry_id") % 70 != 1, F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
+    counts, base = Observation("timestamps"), scratch(spark)
+    V.parse_timestamps(fx.telemetry(spark, sf_dir).withColumn("timestamp", text), strict=False, counts=counts).select("telemetry_id", "timestamp").write.parquet(base)
+    got = counts.get
+    return spark.read.parquet(base).agg(F.lit(got["rows"]).cast("long").alias("rows"), F.lit(got["unparsable"]).cast("long").alias("unparsable"), F.lit(got["nulls"]).cast("long").alias("nulls"),
+                                        F.count("timestamp").alias("parsed"), F.sum(F.unix_seconds("timestamp")).alias("seconds"))
+
+
+def q_s8_report_versions(spark, sf_dir):
+    """Two published versions of a report and a third that never got its manifest: the second is read."""
+    from ..sources import io
+
+    base, s = scratch(spark), scored_telemetry(spark, sf_dir)
+    io.publish_report(s.groupBy("city").agg(F.count(F.lit(1)).alias("n")), base)
+    report = s.groupBy("city", "overall_level").agg(F.count(F.lit(1)).alias("n"), py_round(F.avg("overall_score"), R6).alias("mean_overall_score"))
+    io.publish_report(report, base)
+    report.where("n > 1").write.parquet(f"{base}/versions/000003-broken")
+    return io.read_report(spark, base)
+
+
 REGISTRY = {
     "flagship_city_level": q_flagship,
     "r1_r4_system_scores": q_r1_r4_system_scores,
@@ -663,7 +712,10 @@ REGISTRY = {
     "v5_impact": q_v5_impact,
     "v7_zone_scores": q_v7_zone_scores,
     "v8_zone_flows": q_v8_zone_flows,
+    "s4_timestamp_counts": q_s4_timestamp_counts,
+    "s8_report_versions": q_s8_report_versions,
     "x1_live_assessment": q_x1_live_assessment,
+    "x2_replayed_history": q_x2_replayed_history,
     "x3_live_labels": q_x3_live_labels,
     "x4_live_counts": q_x4_live_counts,
     "v9_stress": q_v9_stress,

@@ -7,7 +7,9 @@ lines (DROPMALFORMED) and a missing folder (empty result), newest-N is a top-k.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -68,6 +70,39 @@ def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
     df.coalesce(1).write.mode("overwrite").format(fmt).save(path)
 
 
+def publish_report(df: DataFrame, path: str) -> int:
+    """Writes a new version of a report and then its manifest; returns the version.
+
+    Versions are never overwritten, and readers go by manifests, so a reader sees the version before or all of this one.
+    """
+    spark = df.sparkSession
+    version = max([r["version"] for r in _manifests(spark, path).collect()], default=0) + 1  # one row a version
+    folder = f"{version:06d}-{uuid.uuid4().hex[:8]}"
+    rows = Observation("report")
+    df.observe(rows, F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/versions/{folder}")
+    manifest = spark.range(1).select(F.lit(version).alias("version"), F.lit(folder).alias("folder"), F.lit(rows.get["n"]).cast("long").alias("n"))
+    manifest.coalesce(1).write.mode("append").json(f"{path}/manifests")
+    return version
+
+
+def _manifests(spark: SparkSession, path: str) -> DataFrame:
+    schema = "version int, folder string, n long"
+    try:
+        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(f"{path}/manifests").where("folder IS NOT NULL")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version that has a manifest (of two writers of one version number, the last by folder name)."""
+    last = _manifests(spark, path).orderBy(F.col("version").desc(), F.col("folder").desc()).first()
+    if last is None:
+        raise FileNotFoundError(f"no complete report in {path}")
+    return spark.read.parquet(f"{path}/versions/{last['folder']}")
+
+
 # ---------------------------------------------------------------------------
 # History (S6, S7, K1)
 # ---------------------------------------------------------------------------

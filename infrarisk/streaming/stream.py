@@ -2,13 +2,12 @@
 
 X1  continuous assessment: the rule / overlay / impact projections are stateless, so the batch
     ``assess`` function is applied unchanged to a stream.
-X2  history append, exactly once per micro-batch: deterministic ids from the row and the
-    file sink's checkpointed commit log.
-X3  live labelling: stream-stream left outer join telemetry x incidents with watermarks on both
-    sides and the interval condition; unmatched telemetry is emitted as negative once t + horizon
-    is behind the watermark.  A row may match several incidents: ``labels_from_matches`` reduces.
-X4  trailing counts on a stream: sliding ``window(30 days, 1 day)`` with a watermark -- a day-aligned
-    approximation of the exact batch trailing window (W8).
+X2  history append, exactly once per micro-batch: ``stream_history`` by the file sink's checkpointed commit log,
+    ``commit_batches`` by replacing a batch's own folder, for sinks that do more than append.
+X3  live labelling: ``stateful.live_labels``.  The stream-stream join here gives the (telemetry, incident) pairs
+    themselves; ``labels_from_matches`` reduces them.
+X4  trailing counts: ``stateful.live_counts`` is exact.  The sliding ``window(30 days, 1 day)`` here is the
+    day-aligned aggregate of a dashboard.
 X5  duplicate telemetry: ``dropDuplicatesWithinWatermark`` on (city, timestamp).
 """
 
@@ -127,3 +126,17 @@ def stream_history(assessed: DataFrame, path: str, checkpoint: str, request_cols
     if available_now:
         q.awaitTermination()
     return q
+
+
+def commit_batches(df: DataFrame, path: str, checkpoint: str, name: str, after_write=None) -> None:
+    """Runs the stream to its end; each micro-batch replaces ``path/query=<name>/batch=<id>``.
+
+    A batch that was written but not committed to the checkpoint is replayed under its own id after a restart and
+    overwrites what it had written, so no row is lost or doubled.  ``after_write(batch_id)`` runs between write and commit.
+    """
+    def commit(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/query={name}/batch={batch_id}")
+        if after_write is not None:
+            after_write(batch_id)
+
+    df.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

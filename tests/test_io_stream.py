@@ -108,8 +108,11 @@ def test_parse_timestamps_and_sort(spark):
     parsed = V.parse_timestamps(df)
     assert dict(parsed.dtypes)["timestamp"] == "timestamp"
     assert [r["city"] for r in SP.sort_by_city_time(parsed).collect()] == ["a", "b"]
-    with pytest.raises(ValueError):
-        V.parse_timestamps(spark.createDataFrame([("not a time",)], "timestamp string"))
+    broken = spark.createDataFrame([("not a time",), (None,), ("2024-01-01 00:00:00",)], "timestamp string")
+    with pytest.raises(Exception, match="not a time"):
+        V.parse_timestamps(broken).collect()
+    assert V.parse_timestamps(broken.where("timestamp IS NULL")).collect()[0][0] is None  # a null source passes
+    assert sum(r[0] is None for r in V.parse_timestamps(broken, strict=False).collect()) == 2
 
 
 def test_stream_live_labels_driven(spark):
@@ -214,3 +217,59 @@ def test_json_bundle(spark):
         p = [r.p_t for r in predict(df, m).orderBy("city").collect()]
         want = [1 / (1 + math.exp(-(0.4 * (3 - 0.5) / 2 - 0.2 * 2 + 0.1 + 0.05))), 1 / (1 + math.exp(-(0.4 * (1 - 0.5) / 2 - 0.2 * 1 + 0.05)))]
         assert all(abs(x - y) < 1e-12 for x, y in zip(p, want, strict=True))
+
+
+def _live(spark, build, slices=3):
+    base = scratch(spark)
+    events = X.replayed(spark, SF, f"{base}/events", slices)
+    X.run_available_now(build(lambda v: X.view_stream(events, v), X.closing(events)), f"{base}/out", f"{base}/ck")
+    return spark.read.parquet(f"{base}/out")
+
+
+def test_live_processors_equal_batch(spark):
+    """Labels, weather matches and trailing counts from state equal the batch operators, rows without a city or id included."""
+    from pyspark.sql import functions as F
+
+    from infrarisk.operators import labels as LB
+    from infrarisk.operators import weather as WE
+    from infrarisk.streaming import stateful as S
+
+    S.use_rocksdb(spark)
+    odd = lambda t: t.withColumns({"city": F.when(F.col("telemetry_id") % 17 != 0, F.col("city")), "telemetry_id": F.when(F.col("telemetry_id") % 13 != 0, F.col("telemetry_id"))})
+    tel = odd(fx.telemetry(spark, SF))
+
+    def same(got, want):
+        got = got.select(*want.columns)
+        assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+    same(_live(spark, lambda view, ends: S.live_labels(odd(view("telemetry")), view("incidents"), ends=ends)), LB.label(tel, fx.incidents(spark, SF)))
+    same(_live(spark, lambda view, ends: S.live_weather(odd(view("telemetry")), view("weather_obs"), 24, ends=ends)), WE.asof_weather(tel, fx.weather_obs(spark, SF), 24).drop("__wk"))
+    kinds = {"a": ("repair_events", 30), "b": ("signal_events", 7)}
+    same(_live(spark, lambda view, ends: S.live_counts(odd(view("telemetry")), {k: (view(v), d) for k, (v, d) in kinds.items()}, ends=ends)),
+         LB.trailing_counts(tel, {k: (fx.view(spark, SF, v), d) for k, (v, d) in kinds.items()}))
+
+
+def test_assess_keeps_rows(spark):
+    """Repeated and null ids: one row in, one row out, with the weather of its own city and time."""
+    from pyspark.sql import functions as F
+
+    from infrarisk.plans.assess import assess
+
+    obs, coords = fx.weather_obs(spark, SF), fx.city_coords(spark, SF)
+    tel = fx.telemetry(spark, SF)
+    once = assess(tel, weather_obs=obs, city_coords=coords).groupBy("weather_status").count().collect()
+    thrice = tel.withColumn("copy", F.explode(F.array(*map(F.lit, range(3))))).withColumn("telemetry_id", F.when(F.col("copy") > 0, F.col("telemetry_id"))).drop("copy")
+    assert {r[0]: r[1] for r in assess(thrice, weather_obs=obs, city_coords=coords).groupBy("weather_status").count().collect()} == {r[0]: 3 * r[1] for r in once}
+
+
+def test_reports_without_a_manifest_are_not_read(spark):
+    import pytest
+
+    from infrarisk.sources import io
+
+    base = scratch(spark)
+    with pytest.raises(FileNotFoundError):
+        io.read_report(spark, base)
+    assert [io.publish_report(spark.range(n), base) for n in (2, 5)] == [1, 2]
+    spark.range(9).write.parquet(f"{base}/versions/000003-lost")
+    assert io.read_report(spark, base).count() == 5
