@@ -8,16 +8,19 @@ pieces.  On that table
   lengths kept as backpointers;
 * a *BPE* model merges: in each round every word of the batch joins its best-scored adjacent pair (the leftmost of
   equals).  The sum of scores that Viterbi maximises is not what a BPE model's segmentation maximises, so
-  Viterbi would give other ids than the model defines; the table and the batching are shared.
+  Viterbi gives other ids than the model defines; the table and the batching are shared.
 
-The vocabulary file's type decides.  Characters without a piece become byte pieces.  Words are runs of the blank mark and
-what follows it, which no piece may cross (checked when the model is read); each task encodes a word once.
+``ids`` are the model's own (the vocabulary file's type decides).  The Viterbi path over the same pieces is to be had
+of every model (``viterbi``); both decode to the text.  Characters without a piece become byte pieces.  Words are runs of
+the blank mark and what follows it, which no piece may cross (checked when the model is read).
 
 Scale: a narrow map over documents, in slices of a few MB; the piece table (its size is the vocabulary's) is broadcast.
+A slice's words are byte spans, told apart by 64-bit hashes; only words that the task has not seen are encoded.
 Words longer than ``LONG_WORD`` take a heap (BPE) or the same Viterbi alone, so one huge word costs n log n.
 
 Defined cases: null and empty texts have no ids and decode to the empty text.  A blank mark (U+2581) in the text
-encodes like a blank and decodes as one.  Carried columns may have any name.
+encodes like a blank and decodes as one.  Carried columns may have any name: the result's own columns get
+underscores in front where they would clash.
 """
 
 from __future__ import annotations
@@ -29,21 +32,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
-from .words import mix, randoms
+from .common import fresh, table
+from .words import _BYTE, _powers, buffers, mix, randoms
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 LONG_WORD = 48
-SLICE_CHARS = 2 << 20
-BATCH_CELLS = 1 << 20  # substrings of one batch of equal-length words
-WORDS_KEPT = 150_000  # words whose ids a task remembers
+SLICE_BYTES = 2 << 20
+BATCH_CELLS = 1 << 19  # substrings of one batch of equal-length words
+WORDS_KEPT = 500_000  # words whose ids a task remembers
 UNIGRAM, BPE = 1, 2
-_WORD = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
+FILTER_BITS = 21  # a first look-up by the lowest bits of a substring's hash; most substrings are no pieces
+_NEVER = np.int32(2**31 - 1)
 _U = np.uint64
 _BASE = _U(0x2545F4914F6CDD1D)
 _INVERSE = _U(pow(0x2545F4914F6CDD1D, -1, 2**64))
@@ -63,6 +68,14 @@ class Pieces:
     unknown: int
     shown: list  # bytes that each id stands for
 
+    def __post_init__(self):
+        order = np.argsort(-self.scores, kind="stable")  # equal scores share a rank: the leftmost pair wins
+        best = self.scores[order]
+        self.ranks = np.empty(len(order), np.int32)
+        self.ranks[order] = np.cumsum(np.concatenate([[0], best[1:] != best[:-1]]))
+        self.maybe = np.zeros(1 << FILTER_BITS, bool)
+        self.maybe[(self.keys & _U((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
+
 
 def _fields(b: bytes) -> Iterator[tuple[int, object]]:
     """(number, value) of the fields of a serialised message."""
@@ -162,8 +175,11 @@ def _substrings(p: Pieces, codes: np.ndarray) -> np.ndarray:
     found = np.full((n, length, most), -1, np.int32)
     for size in range(1, most + 1):
         part = _key((h[:, size:] - h[:, :-size]) * back[: length - size + 1], size)
+        row, col = np.nonzero(p.maybe[(part & _U((1 << FILTER_BITS) - 1)).astype(np.int64)])
+        part = part[row, col]
         at = np.minimum(np.searchsorted(p.keys, part), len(p.keys) - 1)
-        found[:, : length - size + 1, size - 1] = np.where((p.keys[at] == part) & (p.lens[at] == size), at, -1)
+        good = (p.keys[at] == part) & (p.lens[at] == size)
+        found[row[good], col[good], size - 1] = at[good]
     return found
 
 
@@ -194,22 +210,37 @@ def _merge(p: Pieces, found: np.ndarray) -> np.ndarray:
     """Length of the symbol at each position after joining best pairs until none is a piece."""
     n, length, most = found.shape
     size = np.ones((n, length), np.int32)  # 0: inside a symbol
-    scores = np.where(found >= 0, p.scores[np.maximum(found, 0)], -np.inf)
-    rows, cols = np.arange(n), np.arange(length)
-    while len(rows):
-        s = size[rows]
-        end = cols + s
-        after = np.where((s > 0) & (end < length), np.take_along_axis(s, np.minimum(end, length - 1), 1), 0)
-        both = s + after
-        ok = (after > 0) & (both <= most)
-        pair = np.where(ok, np.take_along_axis(scores[rows], np.where(ok, both - 1, 0)[:, :, None], 2)[:, :, 0], -np.inf)
-        best = pair.argmax(1)
-        at = np.arange(len(rows))
-        live = pair[at, best] > -np.inf
-        rows, best, at = rows[live], best[live], at[live]
-        size[rows, end[at, best]] = 0
-        size[rows, best] = both[at, best]
-    return size
+    if length == 1:
+        return size
+    rank = np.where(found >= 0, p.ranks[np.maximum(found, 0)], _NEVER)
+    before = np.tile(np.arange(-1, length - 1, dtype=np.int32), (n, 1))
+    pair = np.full((n, length), _NEVER)  # rank of each symbol joined with the next one
+    if most > 1:
+        pair[:, :-1] = rank[:, :-1, 1]
+    rows = np.arange(n)
+
+    def offered(r: np.ndarray, i: np.ndarray, total: np.ndarray) -> np.ndarray:
+        return np.where(total <= most, rank[r, i, np.minimum(total, most) - 1], _NEVER)
+
+    while True:
+        best = pair[rows].argmin(1)
+        live = pair[rows, best] < _NEVER
+        rows, i = rows[live], best[live]
+        if not len(rows):
+            return size
+        a = size[rows, i]
+        b = size[rows, i + a]
+        both = a + b
+        size[rows, i + a], pair[rows, i + a] = 0, _NEVER
+        size[rows, i] = both
+        end = i + both
+        inside = end < length
+        after = np.where(inside, size[rows, np.minimum(end, length - 1)], 0)
+        pair[rows, i] = np.where(inside, offered(rows, i, both + after), _NEVER)
+        before[rows[inside], end[inside]] = i[inside]
+        left = before[rows, i]
+        r, k, own = rows[left >= 0], left[left >= 0], both[left >= 0]
+        pair[r, k] = offered(r, k, size[r, k] + own)
 
 
 def _long_merge(p: Pieces, word: str) -> list[int]:
@@ -240,82 +271,114 @@ def _long_merge(p: Pieces, word: str) -> list[int]:
     return size
 
 
-def _ids_of(p: Pieces, word: str, size) -> list[int]:
-    out = []
-    for i in range(len(word)):
-        if size[i]:
-            found = p.by_text.get(word[i : i + size[i]])
-            if found:
-                out.append(found[0])
-            else:
-                out += p.byte_ids[list(word[i : i + size[i]].encode("utf-8", "surrogatepass"))].tolist()
-    return out
+def _byte_ids(p: Pieces, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the UTF-8 bytes of code points, number of each one's bytes)."""
+    raw = codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+    lens = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+    return p.byte_ids[np.frombuffer(raw, np.uint8)], lens
+
 
+def encode_words(p: Pieces, words: list[str], ways: tuple[bool, ...] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(all ids, number of each word's ids) for each way: Viterbi (True) or merges; by default the way of the model's type.
 
-def encode_words(p: Pieces, words: list[str]) -> list[np.ndarray]:
-    """Ids of each word (no blank inside, but leading ones)."""
-    out: list = [None] * len(words)
+    Words hold no blank but leading ones.  All ways share one look-up of substrings.
+    """
+    ways = (p.kind == UNIGRAM,) if ways is None else ways
     by_len: dict[int, list[int]] = {}
     for k, w in enumerate(words):
         by_len.setdefault(len(w), []).append(k)
+    made: list[list] = [[] for _ in ways]
+    counts: list[list] = [[] for _ in ways]
+    order: list[int] = []
     for length, rows in by_len.items():
-        if length > LONG_WORD and p.kind == BPE:
-            for k in rows:
-                out[k] = np.array(_ids_of(p, words[k], _long_merge(p, words[k])), np.int32)
-            continue
         step = max(1, BATCH_CELLS // (length * min(length, p.longest)))
         for i in range(0, len(rows), step):
             part = rows[i : i + step]
             codes = np.frombuffer("".join(words[k] for k in part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), length)
             found = _substrings(p, codes)
-            size = _merge(p, found) if p.kind == BPE else _viterbi(p, found)
-            row, col = np.nonzero(size)
-            at = found[row, col, size[row, col] - 1]
-            ids = np.where(at >= 0, p.ids[np.maximum(at, 0)], -1)
-            ends = np.searchsorted(row, np.arange(1, len(part) + 1))
-            plain = np.ones(len(part), bool)
-            plain[row[at < 0]] = False
-            begin = 0
-            for k, word, whole, end in zip(range(len(part)), part, plain, ends, strict=True):
-                out[word] = ids[begin:end] if whole else np.array(_ids_of(p, words[word], size[k]), np.int32)
-                begin = end
+            for way, ids_made, lens_made in zip(ways, made, counts, strict=True):
+                if way:
+                    size = _viterbi(p, found)
+                elif length > LONG_WORD:
+                    size = np.array([_long_merge(p, words[k]) for k in part], np.int32)
+                else:
+                    size = _merge(p, found)
+                row, col = np.nonzero(size)
+                at = found[row, col, size[row, col] - 1]
+                lens = np.ones(len(at), np.int64)
+                lone = np.flatnonzero(at < 0)  # single characters without a piece
+                spelled, lens[lone] = _byte_ids(p, codes[row[lone], col[lone]])
+                ids = np.repeat(np.where(at >= 0, p.ids[np.maximum(at, 0)], p.unknown), lens)
+                ids[np.repeat(at < 0, lens)] = spelled
+                ids_made.append(ids.astype(np.int32))
+                lens_made.append(np.bincount(row, lens, minlength=len(part)).astype(np.int64))
+            order += part
+    if not order:
+        return [(np.empty(0, np.int32), np.empty(0, np.int64)) for _ in ways]
+    back = np.argsort(order)
+    out = []
+    for ids_made, lens_made in zip(made, counts, strict=True):
+        flat, lens = np.concatenate(ids_made), np.concatenate(lens_made)
+        starts, lens = (np.cumsum(lens) - lens)[back], lens[back]
+        out.append((flat[np.repeat(starts - np.cumsum(lens) + lens, lens) + np.arange(len(flat))], lens))
     return out
 
 
+def _word_spans(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """First bytes of the words: where blanks begin, and where texts do."""
+    blank = data == 0x20
+    first = blank.copy()
+    first[1:] &= ~blank[:-1]
+    first[offs[:-1][offs[:-1] < offs[1:]]] = True
+    return np.flatnonzero(first)
+
+
 class Encoder:
     """Encodes slices of texts; remembers the ids of words it has seen, up to a bound."""
 
-    def __init__(self, pieces: Pieces):
-        self.p = pieces
-        self.seen: dict[str, int] = {}
-        self.flat, self.starts, self.lens = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def words(self, text: str) -> list[str]:
-        if not text:
-            return []
-        marked = text.replace(" ", BLANK)
-        return _WORD.findall(BLANK + marked if self.p.prefix else marked)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, offsets of each text's ids)."""
-        if len(self.seen) > WORDS_KEPT:
-            self.__init__(self.p)
-        seen, known = self.seen, len(self.seen)
-        rows, ends = [], [0]
-        for t in texts:
-            rows += [seen.setdefault(w, len(seen)) for w in self.words(t)]
-            ends.append(len(rows))
-        made = encode_words(self.p, list(seen)[known:])
-        if made:
-            lens = np.array([len(x) for x in made], np.int64)
-            flat = np.concatenate(made).astype(np.int32)
-            self.starts = np.append(self.starts, len(self.flat) + np.cumsum(lens) - lens)
-            self.lens, self.flat = np.append(self.lens, lens), np.append(self.flat, flat)
-        at = np.array(rows, np.int64)
-        lens = self.lens[at]
-        upto = np.concatenate([[0], np.cumsum(lens)])
-        ids = self.flat[np.repeat(self.starts[at] - upto[:-1], lens) + np.arange(upto[-1])]
-        return ids, upto[np.array(ends)]
+    def __init__(self, pieces: Pieces, ways: tuple[bool, ...] | None = None):
+        self.p, self.ways = pieces, (pieces.kind == UNIGRAM,) if ways is None else ways
+        self.keys = np.empty(0, np.uint64)
+        self.flat = [np.empty(0, np.int32) for _ in self.ways]
+        self.starts, self.lens = ([np.empty(0, np.int64) for _ in self.ways] for _ in range(2))
+
+    def marked(self, texts: pa.Array) -> pa.Array:
+        """Texts with plain blanks for blank marks, and the blank that the model puts before a text."""
+        put = lambda x: pa.scalar(x, texts.type)
+        texts = pc.replace_substring(pc.fill_null(texts, put("")), BLANK, " ")
+        return pc.if_else(pc.equal(texts, put("")), texts, pc.binary_join_element_wise(put(""), texts, put(" "))) if self.p.prefix else texts
+
+    def encode(self, texts: pa.Array | list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(all ids, offsets of each text's ids) for each way."""
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        data, offs = buffers(self.marked(texts))
+        data, offs = data[offs[0] : offs[-1]], offs - offs[0]
+        starts = _word_spans(data, offs)
+        if not len(starts):
+            return [(np.empty(0, np.int32), np.zeros(len(offs), np.int64)) for _ in self.ways]
+        lens = np.diff(np.append(starts, len(data)))
+        v = _BYTE[0][data] * _powers(int(lens.max()), 0)[np.arange(len(data)) - np.repeat(starts, lens)]
+        keys, first, word = np.unique(mix(np.add.reduceat(v, starts) + lens.astype(np.uint64) * randoms(1, 22)), return_index=True, return_inverse=True)
+        if len(self.keys) > WORDS_KEPT:
+            self.__init__(self.p, self.ways)
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        new = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), bool)
+        if new.any():
+            text = [data[s : s + n].tobytes().decode("utf-8", "replace").replace(" ", BLANK) for s, n in zip(starts[first[new]].tolist(), lens[first[new]].tolist(), strict=True)]
+            every = np.concatenate([self.keys, keys[new]])
+            order = np.argsort(every)
+            self.keys = every[order]
+            for k, (flat, n) in enumerate(encode_words(self.p, text, self.ways)):
+                self.starts[k] = np.concatenate([self.starts[k], len(self.flat[k]) + np.cumsum(n) - n])[order]
+                self.lens[k] = np.concatenate([self.lens[k], n])[order]
+                self.flat[k] = np.concatenate([self.flat[k], flat])
+            at = np.searchsorted(self.keys, keys)
+        at, text_at, out = at[word], np.searchsorted(starts, offs), []
+        for k in range(len(self.ways)):
+            n = self.lens[k][at]
+            upto = np.concatenate([[0], np.cumsum(n)])
+            out.append((self.flat[k][np.repeat(self.starts[k][at] - upto[:-1], n) + np.arange(upto[-1])], upto[text_at]))
+        return out
 
 
 def decode(p: Pieces, ids: np.ndarray, offs: np.ndarray) -> list[str]:
@@ -333,35 +396,47 @@ def decode(p: Pieces, ids: np.ndarray, offs: np.ndarray) -> list[str]:
     return out
 
 
-def encode_documents(docs: DataFrame, text: str = "text", carry: list[str] | None = None, model: str = MODEL) -> DataFrame:
-    """``carry`` columns (all but the text by default), ``n_tokens``, ``ids`` and ``decoded``."""
+def encode_documents(docs: DataFrame, text: str = "text", carry: list[str] | None = None, model: str = MODEL, decoded: bool = True, viterbi: bool = False) -> DataFrame:
+    """``carry`` columns (all but the text by default), ``n_tokens``, ``ids`` and, as asked, ``viterbi_ids`` and ``decoded``.
+
+    ``decoded`` is the text that ``ids`` stand for; null if ``viterbi_ids`` stand for another.
+    """
     p = docs.sparkSession.sparkContext.broadcast(read_model(model))  # as large as the vocabulary
     carry = [c for c in docs.columns if c != text] if carry is None else carry
     own = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
     source = docs.select(own.alias("own"), F.col(f"`{text}`").alias("text"))
-    schema = T.StructType([source.schema["own"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    lists = T.ArrayType(T.IntegerType())
+    made = [("n_tokens", T.LongType()), ("ids", lists)] + [("viterbi_ids", lists)] * viterbi + [("decoded", T.StringType())] * decoded
+    schema = T.StructType([source.schema["own"], *[T.StructField(*m) for m in made]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(p.value)
+        encoder = Encoder(p.value, (p.value.kind == UNIGRAM, True) if viterbi else None)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            i = 0
-            while i < len(texts):
-                j, chars = i, 0
-                while j < len(texts) and (j == i or chars + len(texts[j]) <= SLICE_CHARS):
-                    chars += len(texts[j])
-                    j += 1
-                ids, offs = encoder.encode(texts[i:j])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(offs)), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids)),
-                                                  pa.array(decode(p.value, ids, offs), pa.string())], names=schema.names)
+            ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy())
+            i, n = 0, b.num_rows
+            while i < n:
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + SLICE_BYTES, "right")))
+                texts = b.column(1).slice(i, j - i)
+                (ids, offs), *more = encoder.encode(texts)
+                cols = [b.column(0).slice(i, j - i), pa.array(np.diff(offs)), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids))]
+                shown = decode(p.value, ids, offs) if decoded else None
+                for best, cut in more:
+                    cols.append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(best)))
+                    if decoded:
+                        shown = [x if x == y else None for x, y in zip(shown, decode(p.value, best, cut), strict=True)]
+                yield pa.RecordBatch.from_arrays(cols + ([pa.array(shown, pa.string())] if decoded else []), names=schema.names)
                 i = j
 
-    made = source.mapInArrow(run, schema)
-    return made.select(*[F.col("own").getField(c).alias(c) for c in carry], "n_tokens", "ids", "decoded")
+    out = source.mapInArrow(run, schema)
+    names = []
+    for m, _ in made:
+        names.append(fresh(m, carry + names))
+    return out.select(*[F.col("own").getField(c).alias(c) for c in carry], *[F.col(m).alias(x) for (m, _), x in zip(made, names, strict=True)])
 
 
 def q_op4(spark, sf_dir: str) -> DataFrame:
-    """Ids of every document, and whether they decode to it."""
+    """Ids of every document, its Viterbi path over the same pieces, and whether both decode to it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    made = encode_documents(docs.withColumn("given", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)), carry=["doc_id", "given"])
-    return made.select("doc_id", "n_tokens", "ids", (F.sha2(F.col("decoded").cast("binary"), 256) == F.col("given")).alias("round_trip"))
+    made = encode_documents(docs.withColumn("given", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)), carry=["doc_id", "given"], viterbi=True)
+    right = F.coalesce(F.sha2(F.col("decoded").cast("binary"), 256) == F.col("given"), F.lit(False))
+    return made.select("doc_id", "n_tokens", "ids", "viterbi_ids", right.alias("round_trip"))

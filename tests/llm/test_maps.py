@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from infrarisk.llm import pages, pieces, pii, quality, tagger, tokens
 
@@ -160,7 +161,7 @@ def test_like_the_library(corpus):
 
     p, lib = pieces.read_model(), sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     texts = [t or "" for _, t, _ in corpus[0]] + ["   ", "a  b\t\n é 日本語 😀 <s>", "x" * 400 + " " + "ab" * 300, "\x00", "#" * 90, " " * 40 + "z", "Hello World"]
-    ids, offs = pieces.Encoder(p).encode(texts)
+    ids, offs = pieces.Encoder(p).encode(texts)[0]
     assert [ids[a:b].tolist() for a, b in zip(offs, offs[1:], strict=False)] == lib.encode(texts)
     assert pieces.decode(p, ids, offs) == texts
 
@@ -173,14 +174,43 @@ def test_unigram_viterbi():
     def best(w):
         return 0.0 if not w else max(score[w[:n]] + best(w[n:]) for n in range(1, 4) if w[:n] in score)
 
-    for w, ids in zip(words, pieces.encode_words(p, words), strict=True):
+    [(flat, lens)] = pieces.encode_words(p, words)
+    for w, ids in zip(words, np.split(flat, np.cumsum(lens)[:-1]), strict=True):
         assert "".join(table[i][0] for i in ids) == w and sum(table[i][1] for i in ids) == pytest.approx(best(w))
 
 
-def test_encode_documents(odd, empty):
-    got = pieces.encode_documents(odd, carry=["doc_id", "text", "ids"])
-    rows = got.collect()
-    assert len(rows) == odd.count() and all(r[4 + 1 - 0] == (r.text or "") for r in rows)
+def test_viterbi_of_the_file(corpus):
+    """The best path over the file's pieces: found by a plain search, and it decodes to the text."""
+    p = pieces.read_model()
+    texts = [(t or "")[:400] for _, t, _ in corpus[0][:25]] + ["", " a  ▁b\n", "né 日本 😀", "x" * 90 + " y"]
+    ids, offs = pieces.Encoder(p, (False, True)).encode(texts)[1]
+    assert pieces.decode(p, ids, offs) == [t.replace(pieces.BLANK, " ") for t in texts]
+    for word in ("▁Hello", "▁▁tokens", "▁unbelievable", "▁w123", "▁né"):
+        best = [0.0]
+        for end in range(1, len(word) + 1):
+            best.append(max(best[s] + (p.by_text[word[s:end]][1] if word[s:end] in p.by_text else p.scores.min() - 10) for s in range(end) if word[s:end] in p.by_text or end - s == 1))
+        [(got, _)] = pieces.encode_words(p, [word], (True,))
+        known = {i: score for i, score in p.by_text.values()}
+        assert sum(known.get(int(i), p.scores.min() - 10) for i in got) == pytest.approx(best[-1])
+
+
+def test_words_seen_before(monkeypatch):
+    """Ids do not depend on what a task remembers, nor on where slices end."""
+    p, rng = pieces.read_model(), random.Random(9)
+    texts = [" ".join(rng.choice(["ab", "cde", "x" * 60, "é", "Word", f"n{rng.randrange(99)}"]) for _ in range(rng.randrange(0, 40))) for _ in range(80)]
+    whole, offs = pieces.Encoder(p).encode(texts)[0]
+    monkeypatch.setattr(pieces, "WORDS_KEPT", 5)
+    e = pieces.Encoder(p)
+    assert np.concatenate([e.encode(texts[i : i + 7])[0][0] for i in range(0, 80, 7)]).tolist() == whole.tolist() and offs[-1] == len(whole)
+
+
+def test_encode_documents(odd, empty, tmp_path):
+    got = pieces.encode_documents(odd, carry=["doc_id", "text", "ids"], viterbi=True)
+    assert got.columns == ["doc_id", "text", "ids", "n_tokens", "_ids", "viterbi_ids", "decoded"]
+    got.write.parquet(str(tmp_path / "out"))
+    rows = odd.sparkSession.read.parquet(str(tmp_path / "out")).collect()
+    assert len(rows) == odd.count() and all(r.decoded == (r.text or "") and r.n_tokens == len(r._ids) for r in rows)
+    assert pieces.encode_documents(odd, decoded=False).columns[-2:] == ["n_tokens", "_ids"]
     assert pieces.encode_documents(empty).count() == 0
 
 
@@ -218,6 +248,8 @@ def test_quality_odd(odd):
     got = quality.score(odd).collect()
     assert len(got) == odd.count() and all(r.base_failed and not r.kept for r in got)
     assert quality.filter_documents(odd).columns == odd.columns
+    dotted = odd.withColumn("a.b", F.lit(1))
+    assert quality.score(dotted).count() == len(got) and quality.filter_documents(dotted.limit(0)).columns == dotted.columns
 
 
 def test_quality_against_labels(spark):
@@ -261,3 +293,32 @@ def test_count_tokens(spark, odd, empty):
     df = spark.createDataFrame([(1, "alpha beta gamma", [(0, 6), (6, 99)]), (2, "x", None), (3, None, [(0, 3)])], "doc_id long, text string, parts array<struct<start:int,end:int>>")
     got = {r.doc_id: r for r in tokens.count_tokens(df, sections="parts").collect()}
     assert sum(got[1].section_tokens) == got[1].n_tokens and got[2].n_outside == got[2].n_tokens == 1 and got[3].section_tokens == [0]
+
+
+def test_results_have_one_column_a_name(spark, odd, tmp_path):
+    """Whatever the carried columns are called, results can be written and read by name."""
+    from infrarisk.llm import minhash, substrings
+
+    some = odd.withColumns({c: F.lit(1) for c in ("base", "spans", "component_id", "kept", "n_tokens", "n_words", "n_shingles", "a.b", "n_removed")})
+    every = [c for c in some.columns if c != "text"]
+    for name, made in {"pii": pii.find(some, carry=every), "pairs": minhash.near_duplicates(some, carry=every), "tokens": tokens.count_tokens(some, carry=every),
+                       "repeats": substrings.remove_repeats(some, carry=every), "quality": quality.score(some), "pieces": pieces.encode_documents(some, carry=every)}.items():
+        assert len({c.lower() for c in made.columns}) == len(made.columns)
+        made.write.parquet(str(tmp_path / name))
+        assert spark.read.parquet(str(tmp_path / name)).count() == some.count()
+
+
+def test_training_windows_see_whole_texts(spark):
+    """Windows come from everywhere in a text, and a span that a window cuts is labelled as far as it is seen."""
+    far = "word " * 400 + "call +1 (212) 555-0100 now " + "word " * 400 + "mail someone.with.a.long.name.that.goes.on.and.on@example.com today"
+    drawn = pii.sample(spark.createDataFrame([(far,), (None,), ("",)], "text string"))
+    assert any("555-0100" in p for p, _ in drawn) and any("@example" in p for p, _ in drawn)
+    spans = pii.base_spans(far)
+    for p, own in drawn:
+        at = far.index(p)
+        assert own == [(s - at, k, e - at) for s, k, e in spans if s < at + len(p) and e > at]
+
+
+def test_long_stretch_is_decoded_whole(model):
+    text = " ".join(f"{k % 10}" for k in range(6000)) + " reach a.b@example.org now"
+    assert pii.with_added(pii.base_spans(text), pii.tagged(model, [text])[0]).count((text.index("a.b@"), 0, text.index(" now"))) == 1
