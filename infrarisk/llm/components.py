@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -19,7 +19,10 @@ def _least(pairs: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return written(both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+    least = _least(both)
+    out = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+    discard(least, edges)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -27,7 +30,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
     least = _least(down)
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = least.select("u", F.col("m").alias("v"))
-    return written(moved.unionByName(own).where("u <> v").distinct(), "small")
+    out = written(moved.unionByName(own).where("u <> v").distinct(), "small")
+    discard(least, edges)
+    return out
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -36,7 +41,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Each step groups by node with map-side combine and joins the minimum back; both inputs of the join are
     written tables, so a node with very many edges is split by the adaptive skew join.  Rounds grow with
     the logarithm of the longest path, never with the number of edges; only a count and a checksum reach
-    the driver.
+    the driver.  A round's tables are removed when the next one is written.
     """
     every = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
     now = written(every.where("u <> v").distinct(), "edges")

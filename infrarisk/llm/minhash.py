@@ -23,7 +23,8 @@ class and block, is spread over its tiles, and is never collected; no cap drops
 Defined cases: null or blank texts have an empty set, are linked with nothing and are their own
 component.  Where ``id_col`` is null or repeats, rows are told apart by a hash of id and text; the component
 id is the smallest non-null id of the component (null if there is none).  Rows that repeat an id and a
-text are copies like any other; all rows that hold the component's id are ``kept``.  ``drop_near_duplicates`` keeps one
+text are copies like any other; all rows that hold the component's id are ``kept``.  Own columns get underscores in
+front where a carried one has their name.  ``drop_near_duplicates`` keeps one
 row of each component whatever the ids: the smallest id (null last), then text hash, then the first of equal rows.
 """
 
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, written
+from .common import FEW_ROWS, discard, fresh, named, prefiltered, table, written
 from .components import connected_components
 from .words import chained, mix, randoms, slices
 
@@ -164,14 +165,13 @@ def _labelled(docs: DataFrame, id_col: str, text: str, k: int, threshold: tuple[
 
     spread = classes.select("node", F.explode("bands").alias("bucket"))
     hubs = written(spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "hub"), "hubs")
-    cand = spread.join(hubs, "bucket").select("node", "hub").distinct()
+    cand = prefiltered(spread, "bucket", hubs, "bucket").join(hubs, "bucket").select("node", "hub").distinct()
     groups = written(connected_components(cand, "node", "hub").withColumnRenamed("component", "cc"), "candidates")
     sized = groups.join(classes.select("node", "n_shingles"), "node")
     cuts = sized.groupBy("cc").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_CLASSES, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = groups.join(cuts, "cc").select("node", "cc", "blocks")
 
-    set_schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("cc", T.LongType()), T.StructField("blocks", T.IntegerType()),
-                               T.StructField("items", T.BinaryType()), T.StructField("sig", T.BinaryType())])
+    set_schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("items", T.BinaryType()), T.StructField("sig", T.BinaryType())])
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -179,9 +179,10 @@ def _labelled(docs: DataFrame, id_col: str, text: str, k: int, threshold: tuple[
             for _, s in _sets(b.column(b.schema.get_field_index("text")), k):
                 items.append(s.tobytes())
                 sigs.append(_minima(s, bands * ROWS).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in ("node", "cc", "blocks")] + [pa.array(items, pa.binary()), pa.array(sigs, pa.binary())], names=set_schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in ("node",)] + [pa.array(items, pa.binary()), pa.array(sigs, pa.binary())], names=set_schema.names)
 
-    held = source.select(F.col("rid").alias("node"), "text").join(members, "node").mapInArrow(with_sets, set_schema)
+    # texts of classes without a candidate are left behind before anything is shuffled; copies of a class drop out
+    held = prefiltered(source.select(F.col("rid").alias("node"), "text"), "node", members, "node").mapInArrow(with_sets, set_schema).join(members, "node")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     tiles = (held.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")))
@@ -189,8 +190,10 @@ def _labelled(docs: DataFrame, id_col: str, text: str, k: int, threshold: tuple[
 
     labels = connected_components(links)
     extra = [order] if order else []
-    return rows, written(classes.select("key", "node", "id", *extra).join(labels, "node", "left")
-                         .select("key", "id", F.coalesce("component", "node").alias("component"), *extra), "labels")
+    named_ = written(classes.select("key", "node", "id", *extra).join(labels, "node", "left")
+                     .select("key", "id", F.coalesce("component", "node").alias("component"), *extra), "labels")
+    discard(classes, hubs, groups, links)
+    return rows, named_
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5,
@@ -200,16 +203,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rows, joined = _labelled(docs, id_col, text, k, threshold, carry)
     least = joined.groupBy("component").agg(F.min("id").alias("component_id"))
     verdict = written(joined.join(least, "component").select("key", "component_id"), "verdict")
+    discard(joined)
     out = rows.join(verdict, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    size, comp, kept = named(["n_shingles", "component_id", "kept"], carry)
     return (out.withColumn("c_", component)
-            .select(*[F.col("own").getField(c).alias(c) for c in carry], "n_shingles", F.col("c_").alias("component_id"),
-                    F.col("id").eqNullSafe(F.col("c_")).alias("kept")))
+            .select(*[F.col("own").getField(c).alias(c) for c in carry], F.col("n_shingles").alias(size), F.col("c_").alias(comp),
+                    F.col("id").eqNullSafe(F.col("c_")).alias(kept)))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
-    """One document of each near-duplicate group, with its columns as they were."""
+    """One document of each near-duplicate group, with its columns as they were.
+
+    Where ids are unique, helper tables hold ids only and the documents to drop are taken off by id; else rows are carried.
+    """
     cols, ident = docs.columns, F.col(f"`{id_col}`").cast("long")
+    n, ids = docs.agg(F.count(F.lit(1)), F.countDistinct(ident)).first()
+    if n == ids:
+        slim = docs.select(ident.alias("id_"), F.col(f"`{text}`").alias("text_"))
+        gone = written(near_duplicates(slim, "id_", "text_", k, threshold).where("NOT kept").select(F.col("id_").alias(fresh("gone", cols))), "gone")
+        few = gone.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+        return docs.join(F.broadcast(gone) if few else gone, ident == F.col(gone.columns[0]), "left_anti")
     at = F.monotonically_increasing_id()  # read back from a written table only
     order = F.struct(ident.isNull().alias("last"), ident.alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("hash"), at.alias("at"))
     packed = docs.select(F.col(f"`{id_col}`").alias("id_"), F.col(f"`{text}`").alias("text_"), F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row_"), order.alias("order_"))

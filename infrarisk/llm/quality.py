@@ -111,7 +111,7 @@ def statistics(docs: DataFrame, text: str = "text", carry: list[str] | None = No
     """``carry`` columns (all by default) plus the nine statistics of each whole text."""
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in STATS]
     hidden = fresh("text_", carry)
-    schema = T.StructType([docs.select(c).schema[0] for c in carry] + [T.StructField(c, T.LongType()) for c in STATS])
+    schema = T.StructType([T.StructField(f"c{k}", docs.select(F.col(f"`{c}`")).schema[0].dataType) for k, c in enumerate(carry)] + [T.StructField(c, T.LongType()) for c in STATS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,9 +120,10 @@ def statistics(docs: DataFrame, text: str = "text", carry: list[str] | None = No
                 own = col.slice(i, j - i)
                 parts.append(_text_stats(w, lambda k, own=own: own[k].as_py() or ""))
             made = np.concatenate(parts) if parts else np.zeros((0, len(STATS)), np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(k) for k in range(len(carry))] + [pa.array(made[:, k]) for k in range(len(STATS))], names=carry + list(STATS))
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in range(len(carry))] + [pa.array(made[:, k]) for k in range(len(STATS))], names=schema.names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`").alias(hidden)).mapInArrow(run, schema)
+    given = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)], F.col(f"`{text}`").alias(hidden))
+    return given.mapInArrow(run, schema).toDF(*carry, *STATS)
 
 
 def with_votes(stats: DataFrame) -> DataFrame:
@@ -156,29 +157,39 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, prior: float = PRIOR_GOOD
     return prior, rates, post
 
 
-def score(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """``carry`` columns, statistics, votes, ``base_failed``, ``posterior`` and ``kept``."""
-    spark = docs.sparkSession
+def _posteriors(voted: DataFrame) -> DataFrame:
+    """Posterior of every vote pattern that occurs: at most 3 ** len(RULES) rows."""
     votes = [f"vote_{k}" for k in RULES]
-    own = {*STATS, *votes, "base_failed", "posterior", "kept"}
-    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in own]
-    voted = with_votes(written(statistics(docs, text, carry), "quality"))
-    seen = sorted(tuple(r) for r in voted.groupBy(*votes).count().collect())  # at most 3 ** len(RULES) rows
+    seen = sorted(tuple(r) for r in voted.groupBy(*votes).count().collect())
     patterns = np.array([r[:-1] for r in seen], dtype=np.int64).reshape(len(seen), len(votes))
     _, _, post = estimate(patterns, np.array([r[-1] for r in seen]))
     schema = T.StructType([T.StructField(v, T.IntegerType()) for v in votes] + [T.StructField("posterior", T.DoubleType())])
-    table = spark.createDataFrame([(*map(int, p), float(q)) for p, q in zip(patterns, post, strict=True)], schema)
+    return voted.sparkSession.createDataFrame([(*map(int, p), float(q)) for p, q in zip(patterns, post, strict=True)], schema)
+
+
+def _judged(voted: DataFrame, table: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return (voted.join(F.broadcast(table), votes, "left").withColumn("base_failed", failed)
+    return (voted.join(F.broadcast(table), [f"vote_{k}" for k in RULES], "left").withColumn("base_failed", failed)
             .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= KEEP_AT)))
 
 
+def score(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``carry`` columns, statistics, votes, ``base_failed``, ``posterior`` and ``kept``."""
+    own = {*STATS, *[f"vote_{k}" for k in RULES], "base_failed", "posterior", "kept"}
+    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in own]
+    voted = with_votes(written(statistics(docs, text, carry), "quality"))
+    return _judged(voted, _posteriors(voted))
+
+
 def filter_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that the rules keep, with their columns as they were."""
-    keep, inner = fresh("kept_", docs.columns), fresh("row_", docs.columns)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(inner), F.col(f"`{text}`").alias("text"))
-    return (score(packed, "text", [inner]).withColumnRenamed("kept", keep).where(F.col(keep))
-            .select(*[F.col(inner).getField(c).alias(c) for c in docs.columns]))
+    """The documents that the rules keep, with their columns as they were.
+
+    Statistics are worked out twice, once for the estimate and once beside the rows: that costs less than a copy of the corpus.
+    """
+    posteriors = _posteriors(with_votes(statistics(docs, text, [])))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), F.col(f"`{text}`").alias("text"))
+    kept = _judged(with_votes(statistics(packed, "text", ["row_"])), posteriors).where("kept")
+    return kept.select(*[F.col("row_").getField(c).alias(c) for c in docs.columns])
 
 
 def q_op5(spark, sf_dir: str) -> DataFrame:

@@ -167,16 +167,16 @@ def test_planted_conversation(spark):
     assert row.loss_chars == len(t) and row.loss_sha256 == hashlib.sha256(t.encode()).hexdigest()
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from infrarisk.llm import minhash, pii, quality
-    from infrarisk.llm.common import written
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     made, now = [], docs
     for name, stage in corpus_pipeline.STAGES:
-        now = written(stage(spark, now, sf), name)
+        stage(spark, now, sf).write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
         made.append(now)
     given = {r.doc_id: r for r in docs.collect()}
     verdict = {r.doc_id for r in quality.score(docs, carry=["doc_id"]).where("kept").collect()}
