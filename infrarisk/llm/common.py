@@ -14,7 +14,7 @@ LAST_ID = 2**63 - 1
 
 
 #: Rows of an Arrow batch, at most: documents are wide rows, and a batch is what a Python worker holds at once.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def ready(spark: SparkSession) -> SparkSession:

@@ -43,9 +43,9 @@ from .words import _BYTE, _powers, buffers, mix, randoms
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 LONG_WORD = 48
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 BATCH_CELLS = 1 << 19  # substrings of one batch of equal-length words
-WORDS_KEPT = 500_000  # words whose ids a task remembers
+WORDS_KEPT = 200_000  # words whose ids a task remembers
 UNIGRAM, BPE = 1, 2
 FILTER_BITS = 21  # a first look-up by the lowest bits of a substring's hash; most substrings are no pieces
 _NEVER = np.int32(2**31 - 1)
