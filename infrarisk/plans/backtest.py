@@ -2,7 +2,7 @@
 
 Backtest: per window and target, split the window's training rows at the calibration point (W4),
 choose the config by folds before it and the F1 threshold on the calibration rows, fit on the whole training
-window, score the test range; all windows' fits run together (``batchfit``) and all metrics come from
+window, score the test range; all windows' fits run together (``fits``) and all metrics come from
 grouped jobs (E10).  The driver holds coefficients and one row of metrics a window and target.
 
 Comparison: the holdout (or the sampled one: W2 tail, W6 stride, W7 downsample) is assessed by rules, by the
@@ -24,7 +24,7 @@ from ..operators.features import engineered, feature_frame
 from ..operators.infer import predict
 from ..schema import TARGET_COLUMNS, TARGET_TO_SYSTEM
 from . import train as TR
-from .batchfit import Fits, Job
+from .fits import Fits, Job
 
 METRICS = ["roc_auc", "pr_auc", "brier", "log_loss", "accuracy", "precision", "recall", "f1", "ece_10_bins"]
 ORDER = ["timestamp", "city", "telemetry_id"]
@@ -34,8 +34,9 @@ def backtest(labeled: DataFrame, targets: list[str] = TARGET_COLUMNS, min_train_
              test_ratio: float = 0.1, step_ratio: float = 0.1):
     """L5.  Returns (per-window metrics long table, mean/std summary per target, macro PR-AUC).
 
-    One batch of fits holds every window's folds, its part before the calibration rows and its whole training part,
-    under every configuration.  One grouped job scores all folds, one all calibration rows, one all test ranges.
+    One batch of fits holds every window's folds; the next one, under the chosen configurations, every window's part before
+    the calibration rows and its whole training part.  One grouped job scores all folds, one all calibration rows, one all
+    test ranges.
     """
     feats = feature_frame(labeled, include_targets=True, keep=["timestamp", "telemetry_id"])
     idx = SP.global_index(feats, ORDER).persist(StorageLevel.MEMORY_AND_DISK)
@@ -44,26 +45,21 @@ def backtest(labeled: DataFrame, targets: list[str] = TARGET_COLUMNS, min_train_
     if not windows:
         raise ValueError("not enough rows for rolling backtest windows")
     cal = {w: SP.calibration_split_point(train_end) for w, (_, train_end, _, _) in enumerate(windows)}
-    jobs = []
-    for w, (_, train_end, _, _) in enumerate(windows):
-        jobs += TR.fold_jobs(cal[w], (w,), targets)
-        jobs += [Job((w, part, c, t), t, end, cfg["l2"]) for part, end in (("sub", cal[w]), ("full", train_end)) for c, cfg in enumerate(TR.CONFIGS) for t in targets]
-    fits = Fits(idx, jobs, targets)
-    at = {j.key: k for k, j in enumerate(jobs)}
-    asked = [(w, c, t) for w in cal for c in range(len(TR.CONFIGS)) for t in targets]
-    tags = F.broadcast(fits.spark.createDataFrame([(k, w, c, t) for k, (w, c, t) in enumerate(asked)], "asked int, window_id int, config int, target string"))  # one row a fit
-    rows_of = lambda part, lo, hi: fits.score([(at[(w, part, c, t)], lo(w), hi(w)) for w, c, t in asked]).join(tags, "asked").drop("asked")
-    calibration = rows_of("sub", lambda w: cal[w], lambda w: windows[w][1])
-    test = rows_of("full", lambda w: windows[w][2], lambda w: windows[w][3])
+    ends = tuple(e for w, (_, train_end, _, _) in enumerate(windows) for e in (cal[w], train_end))
+    fits = Fits(idx, [j for w, e in cal.items() for j in TR.fold_jobs(e, (w,), targets)], targets, ends=ends)
     part = F.regexp_extract("part", "[0-9]+", 0).cast("int").alias("window_id")
     best = TR.choices(TR.fold_scores(fits, {(w,): e for w, e in cal.items()}).select(part, "target", "config", "fold", "pr_auc"), ["window_id", "target"])
+    config = {(r["window_id"], r["target"]): r["config"] for r in best.collect()}  # one row a window and target
     usable = [(w, t) for w, (_, train_end, _, _) in enumerate(windows) for t in targets if fits.both_classes(t, cal[w]) and fits.both_classes(t, train_end)]
-    chosen = fits.spark.createDataFrame(usable, "window_id int, target string").join(best, ["window_id", "target"], "left").fillna({"config": 0})
+    at = fits.more([Job((w, name, t), t, end, TR.CONFIGS[config.get((w, t), 0)]["l2"]) for w, t in usable for name, end in (("sub", cal[w]), ("full", windows[w][1]))])
+    tags = F.broadcast(fits.spark.createDataFrame([(k, w, t) for k, (w, t) in enumerate(usable)], "asked int, window_id int, target string"))  # one row a fit
+    rows_of = lambda name, lo, hi: fits.score([(at[(w, name, t)], lo(w), hi(w)) for w, t in usable]).join(tags, "asked").drop("asked")
+    calibration = rows_of("sub", lambda w: cal[w], lambda w: windows[w][1])
+    test = rows_of("full", lambda w: windows[w][2], lambda w: windows[w][3])
     # one class among calibration or test rows (no ROC): the window does not count for the target
-    found = M.curve_metrics(calibration, ["window_id", "target", "config"]).where("roc_auc IS NOT NULL").select("window_id", "target", "config", "threshold")
-    picked = test.join(chosen.select("window_id", "target", "config").join(found, ["window_id", "target", "config"]), ["window_id", "target", "config"])
-    per = M.classification_metrics(picked, ["target", "window_id"], "threshold").where("roc_auc IS NOT NULL")
-    rows = per.join(found.join(chosen.select("window_id", "target", "config"), ["window_id", "target", "config"]).select("window_id", "target", "threshold"), ["window_id", "target"]).collect()  # one row a window and target
+    found = M.curve_metrics(calibration, ["window_id", "target"]).where("roc_auc IS NOT NULL").select("window_id", "target", "threshold")
+    per = M.classification_metrics(test.join(found, ["window_id", "target"]), ["target", "window_id"], "threshold").where("roc_auc IS NOT NULL")
+    rows = per.join(found, ["window_id", "target"]).collect()  # one row a window and target
     idx.unpersist()
     fits.close()
     if not rows:

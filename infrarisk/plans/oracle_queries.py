@@ -664,6 +664,19 @@ ORACLE["l1_fit_checks"] = oracle_with("telemetry", "incidents") + "," + LABEL_CT
  {r(f"count(*) / (2e0 * greatest(sum({t}), 1))", 6)} AS pos_weight, {r(f"count(*) / (2e0 * greatest(count(*) - greatest(sum({t}), 1), 1))", 6)} AS neg_weight,
  {r(f"sum({t}) / CAST(count(*) AS DOUBLE)", 6)} AS positive_rate FROM lbl""" for t in TGT)
 
+# What holds of any fitted models: the folds that count, one chosen family a target, and that its mean is the best
+ORACLE["l7_family_choice"] = _LS + "," + _IX + """,
+p AS (SELECT split AS n, least(5, greatest(2, split // 40)) AS k, split // (least(5, greatest(2, split // 40)) + 1) AS part FROM sp),
+f AS (SELECT i, n - part * i AS a, n - part * (i - 1) AS b FROM p, range(1, 6) AS r(i) WHERE i <= k AND n >= 80),
+y AS (""" + " UNION ALL ".join(f"SELECT '{t}' AS target, row_idx, {t} AS y FROM ix" for t in TGT) + """),
+o AS (SELECT target, i, min(y) FILTER (WHERE row_idx < a) <> max(y) FILTER (WHERE row_idx < a)
+  AND min(y) FILTER (WHERE row_idx >= a AND row_idx < b) <> max(y) FILTER (WHERE row_idx >= a AND row_idx < b) AS counts FROM y, f GROUP BY ALL),
+g AS (SELECT target, count(*) FILTER (WHERE counts) AS folds FROM o GROUP BY target)
+SELECT target, family, CAST(n AS BIGINT) AS rows, folds, CAST(CASE WHEN folds > 0 THEN 1 ELSE 0 END AS BIGINT) AS n_chosen,
+ CASE WHEN folds > 0 THEN true END AS chosen_is_best, CASE WHEN folds > 0 THEN true END AS in_range
+FROM g, p, (SELECT unnest(['logistic_balanced', 'random_forest_balanced', 'extra_trees_balanced']) AS family)
+"""
+
 ORACLE["x5_stream_dedupe"] = oracle_with("telemetry") + "SELECT city, count(DISTINCT timestamp) AS n FROM telemetry GROUP BY city"
 
 _COPIES = "(SELECT unnest([0, 1, 2]) AS copy)"

@@ -8,7 +8,7 @@ summation order is not fixed across engines).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import validate as V
@@ -432,6 +432,18 @@ def q_l5_backtest(spark, sf_dir):
     return summary
 
 
+def q_l7_family_choice(spark, sf_dir):
+    """Of each target's families: rows, folds that count, and whether the chosen one has the best mean."""
+    from . import families as FM
+    idx = SP.global_index(FE.feature_frame(labeled(spark, sf_dir), include_targets=True, keep=["timestamp", "telemetry_id"]), ORDER)
+    n = SP.holdout_split_point(idx.count(), 0.2)
+    got = FM.choose_family(idx, n)
+    best = F.max("mean_pr_auc").over(Window.partitionBy("target"))
+    chosen = F.max(F.when(F.col("chosen"), F.col("mean_pr_auc"))).over(Window.partitionBy("target"))
+    return got.select("target", "family", F.lit(n).cast("long").alias("rows"), "folds", F.sum(F.col("chosen").cast("long")).over(Window.partitionBy("target")).alias("n_chosen"),
+                      (chosen == best).alias("chosen_is_best"), F.col("mean_pr_auc").between(0, 1).alias("in_range"))
+
+
 def q_l6_compare(spark, sf_dir):
     from . import backtest as BT
     from . import train as TR
@@ -558,12 +570,12 @@ def q_w4_w5_folds(spark, sf_dir):
 
 def q_l1_fit_checks(spark, sf_dir):
     """L1: of each target's fit on all rows: rows, positives, class weights, positive rate, and that it converged."""
-    from .batchfit import Fits, Job
+    from .fits import Fits, Job
 
     idx = SP.global_index(FE.feature_frame(labeled(spark, sf_dir), include_targets=True, keep=["timestamp", "telemetry_id"]), ORDER)
     n = idx.count()
     fits = Fits(idx, [Job(t, t, n, 0.001) for t in TARGET_COLUMNS])
-    rows = [(t, fits.count[n], int(fits.positives[n][k]), fits.gradient_norm(k) < 1e-4) for k, t in enumerate(TARGET_COLUMNS)]
+    rows = [(t, fits.count[n], int(fits.positives[n][k]), k in fits.weights and fits.weights[k].converged) for k, t in enumerate(TARGET_COLUMNS)]
     fits.close()
     made = spark.createDataFrame(rows, "target string, n long, positives long, converged boolean")
     pos, neg = F.greatest(F.col("positives"), F.lit(1)), F.greatest(F.col("n") - F.greatest(F.col("positives"), F.lit(1)), F.lit(1))
@@ -734,6 +746,7 @@ REGISTRY = {
     "l2_config_choice": q_l2_config_choice,
     "l5_backtest": q_l5_backtest,
     "l6_compare": q_l6_compare,
+    "l7_family_choice": q_l7_family_choice,
     "x1_stream_assessment": q_x1_stream_assessment,
     "v6_assessment": q_v6_assessment,
     "v6_rejected": q_v6_rejected,

@@ -7,7 +7,7 @@ L1  class-weighted L2 logistic regression: ``LogisticRegression(weightCol, regPa
     epochs, so coefficients differ slightly and metrics are compared with a tolerance.
 L2  config choice by mean CV average precision over the expanding folds (W5), first of equals.
 L3  fit on train -> F1 threshold and metrics on holdout -> refit on all rows.
-L4  five independent targets; all fits of L2-L4 run together in ``batchfit``.
+L4  five independent targets; all fits of L2-L4 run together in ``fits``.
 
 Preprocessing (median impute, population standardisation) uses ``stats``; the city one-hot uses
 ``StringIndexer(handleInvalid='keep')`` + ``OneHotEncoder(dropLast=True)`` so an unseen city maps to
@@ -31,7 +31,7 @@ from ..operators import splits as SP
 from ..operators import stats as ST
 from ..operators.infer import LinearModel, standardized
 from ..schema import MODEL_NUMERIC_FEATURES, TARGET_COLUMNS
-from .batchfit import Fits, Job
+from .fits import Fits, Job
 
 # Candidate configurations (learning rate and epochs only matter to a fixed-epoch
 # solver; MLlib converges, so l2 is the effective choice).
@@ -90,6 +90,7 @@ class Fitted:
     l2: float
     holdout: dict  # metric -> value at the threshold
     cv: dict  # l2 -> (mean average precision, number of folds that count)
+    converged: bool = True
 
 
 @dataclass
@@ -144,8 +145,7 @@ def train_models(labeled: DataFrame, holdout_fraction: float = 0.2, targets: lis
                  order: list[str] = ["timestamp", "city", "telemetry_id"], refit: bool = True, embargo_rows: int = 0) -> Bundle:
     """L3 + L4: chronological split; per target the config by CV, threshold and metrics on the holdout, refit on all rows.
 
-    All fits of all targets run together (``batchfit``), each configuration already on the whole training part and on all
-    rows, so that nothing has to wait for the choice.  ``refit=False`` keeps the models of the training rows (a
+    All fold models run together (``fits``), then the chosen configurations' models.  ``refit=False`` keeps the models of the training rows (a
     strict comparison on the holdout); ``embargo_rows`` drops the last training rows, whose label horizon
     reaches into the holdout.
     """
@@ -156,28 +156,26 @@ def train_models(labeled: DataFrame, holdout_fraction: float = 0.2, targets: lis
     n = idx.count()
     split = SP.holdout_split_point(n, holdout_fraction)
     end = split - embargo_rows
-    whole = [Job((part, c, t), t, stop, cfg["l2"]) for part, stop in (("train", end), *([("all", n)] if refit else [])) for c, cfg in enumerate(CONFIGS) for t in targets]
-    fits = Fits(idx, fold_jobs(end, (), targets) + whole, targets)
-    at = {j.key: k for k, j in enumerate(fits.jobs)}
-    asked = [(t, c) for t in targets for c in range(len(CONFIGS))]
-    tags = fits.spark.createDataFrame([(k, t, c) for k, (t, c) in enumerate(asked)], "asked int, target string, config int")
-    held = fits.score([(at[("train", c, t)], split, n) for t, c in asked]).join(F.broadcast(tags), "asked")
-    thresholds = M.curve_metrics(held, ["target", "config"]).select("target", "config", F.col("threshold").alias("thr"))
-    lacking = {r["target"] for r in held.where("config = 0").groupBy("target").agg(F.count_distinct("y").alias("c")).where("c < 2").collect()} | {t for t in targets if not fits.both_classes(t, end)}
-    if lacking:
+    fits = Fits(idx, fold_jobs(end, (), targets), targets, ends=(end, n) if refit else (end,))
+    lacking = {t for t in targets if not fits.both_classes(t, end)}
+    held_out = idx.where(F.col("row_idx") >= split).agg(*[F.count_distinct(t).alias(t) for t in targets]).first()
+    if lacking := lacking | {t for t in targets if held_out[t] < 2}:
         raise ValueError(f"one class only, before or after the split, for {sorted(lacking)}")
     scores = fold_scores(fits, {(): end})
     cv = {(r["target"], r["config"]): (r["m"], r["f"]) for r in scores.groupBy("target", "config").agg(F.avg("pr_auc").alias("m"), F.count(F.lit(1)).alias("f")).collect()}
-    best = fits.spark.createDataFrame([(t,) for t in targets], "target string").join(choices(scores, ["target"]), "target", "left").fillna({"config": 0})
-    picked = held.join(best.select("target", "config"), ["target", "config"]).join(thresholds, ["target", "config"])
-    found = {r["target"]: r.asDict() for r in M.classification_metrics(picked.withColumn("threshold", F.col("thr")).drop("thr"), ["target", "config"], "threshold")
-             .join(thresholds, ["target", "config"]).collect()}
+    best = dict.fromkeys(targets, 0) | {r["target"]: r["config"] for r in choices(scores, ["target"]).collect()}  # one row a target
+    at = fits.more([Job((part, t), t, stop, CONFIGS[best[t]]["l2"]) for part, stop in (("train", end), *([("all", n)] if refit else [])) for t in targets])
+    tags = fits.spark.createDataFrame(list(enumerate(targets)), "asked int, target string")
+    held = fits.score([(at[("train", t)], split, n) for t in targets]).join(F.broadcast(tags), "asked")
+    thresholds = M.curve_metrics(held, ["target"]).select("target", F.col("threshold").alias("thr"))
+    picked = held.join(thresholds, "target")
+    found = {r["target"]: r.asDict() for r in M.classification_metrics(picked.withColumn("threshold", F.col("thr")).drop("thr"), ["target"], "threshold").join(thresholds, "target").collect()}
     out = {}
     for t in targets:
         r = found[t]
-        c = r.pop("config")
-        out[t] = Fitted(fits.model(at[("all" if refit else "train", c, t)]), r.pop("thr"), CONFIGS[c]["l2"], {k: v for k, v in r.items() if k != "target"},
-                        {cfg["l2"]: cv.get((t, k), (None, 0)) for k, cfg in enumerate(CONFIGS)})
+        k = at[("all" if refit else "train", t)]
+        out[t] = Fitted(fits.model(k), r.pop("thr"), CONFIGS[best[t]]["l2"], {k: v for k, v in r.items() if k != "target"},
+                        {cfg["l2"]: cv.get((t, c), (None, 0)) for c, cfg in enumerate(CONFIGS)}, fits.weights[k].converged)
     vals = [f.holdout["pr_auc"] for f in out.values() if f.holdout["pr_auc"] is not None]
     macro = float(sum(vals) / len(vals)) if vals else 0.0
     idx.unpersist()
@@ -205,5 +203,5 @@ def report_table(bundle: Bundle) -> DataFrame:
     for t, f in bundle.targets.items():
         spark = f.model.city_weights.sparkSession
         rows += [(t, k, float(v)) for k, v in f.holdout.items() if isinstance(v, (int, float))]
-        rows += [(t, "threshold", f.threshold), (t, "l2", f.l2), (t, "train_cv_pr_auc", float(f.cv[f.l2][0]) if f.cv[f.l2][0] is not None else -1.0)]
+        rows += [(t, "threshold", f.threshold), (t, "l2", f.l2), (t, "converged", float(f.converged)), (t, "train_cv_pr_auc", float(f.cv[f.l2][0]) if f.cv[f.l2][0] is not None else -1.0)]
     return spark.createDataFrame(rows, "target string, metric string, value double")

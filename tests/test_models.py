@@ -46,18 +46,20 @@ def test_unknown_city_gets_zero_weight(spark):
     assert abs(top[0]["logit_contribution"]) >= abs(top[-1]["logit_contribution"])
 
 
-def test_batch_of_fits_matches_single_fits(spark):
-    """All fits of a batch reach the optimum that the single MLlib fit reaches."""
+def test_fits_over_ranges_match_single_fits(spark):
+    """All fits of a run converge to the optimum of the single fit; scoring and the inference model agree."""
     from infrarisk.operators import splits as SP
-    from infrarisk.plans.batchfit import Fits, Job
+    from infrarisk.plans.fits import Fits, Job
 
     feats = FE.feature_frame(Q.labeled(spark, SF), include_targets=True, keep=["timestamp", "telemetry_id"])
     idx = SP.global_index(feats, Q.ORDER).cache()
-    jobs = [Job((t, e, l2), t, e, l2) for t in ("overall_failure_72h_label", "traffic_failure_72h_label") for e in (200, 300) for l2 in (0.001, 0.006)]
-    fits = Fits(idx, jobs)
-    for k, j in enumerate(jobs):
-        assert fits.gradient_norm(k) < 1e-4
-    for k in (0, 7):
+    jobs = [Job((t, e, 0.006), t, e, 0.006) for t in ("overall_failure_72h_label", "traffic_failure_72h_label") for e in (200, 300)]
+    fits = Fits(idx, jobs[:3], ends=(300,))
+    at = fits.more(jobs[3:])
+    assert at == {j.key: k for k, j in enumerate(jobs)}
+    report = fits.report().collect()
+    assert len(report) == 4 and all(r.converged and r.iterations > 0 for r in report) and {r.rows for r in report} == {200, 300}
+    for k in (0, 3):
         j, m = jobs[k], fits.model(k)
         one = TR.fit_logistic(idx.where(F.col("row_idx") < j.end), j.target, j.l2, max_iter=500, tol=1e-12)
         assert np.allclose([m.weights[c] for c in MODEL_NUMERIC_FEATURES], [one.weights[c] for c in MODEL_NUMERIC_FEATURES], atol=5e-2)
@@ -67,9 +69,52 @@ def test_batch_of_fits_matches_single_fits(spark):
         assert max(abs(p[i] - q[i]) for i in p) < 0.02
         got = sorted(r.p for r in fits.score([(k, 300, 360)]).collect())
         assert np.allclose(got, sorted(q.values()), atol=1e-9)
+    assert fits.score([(0, 300, 300)]).count() == 0
+    fits.close()
     idx.unpersist()
 
 
+def test_one_class_gives_no_model(spark):
+    from infrarisk.operators import splits as SP
+    from infrarisk.plans.fits import Fits, Job
+
+    t = "overall_failure_72h_label"
+    feats = FE.feature_frame(Q.labeled(spark, SF), include_targets=True, keep=["timestamp", "telemetry_id"])
+    idx = SP.global_index(feats, Q.ORDER).withColumn(t, F.lit(0))
+    fits = Fits(idx, [Job(t, t, 100, 0.001), Job("none", t, 0, 0.001)])
+    assert not fits.weights and fits.report().count() == 0 and fits.score([(0, 0, 50)]).count() == 0
+    fits.close()
+
+
+def test_backtest_of_one_target(spark):
+    from infrarisk.plans import backtest as BT
+
+    t = "overall_failure_72h_label"
+    long, summary, macro = BT.backtest(Q.labeled(spark, SF), [t], 0.5, 0.2, 0.3)
+    rows = long.collect()
+    assert len(rows) == 2 and {r.window_id for r in rows} == {0, 1} and all(0.05 <= r.threshold <= 0.95 for r in rows)
+    s = summary.first()
+    assert s.windows_evaluated == 2 and abs(s.pr_auc_mean - sum(r.pr_auc for r in rows) / 2) < 1e-12
+    assert macro.first()[0] == s.pr_auc_mean
+
+
+def test_family_choice(spark):
+    from infrarisk.operators import splits as SP
+    from infrarisk.plans import families as FM
+
+    assert FM.time_series_folds(79) == [] and FM.time_series_folds(80) == [(28, 54), (54, 80)]
+    assert FM.time_series_folds(600) == [(100, 200), (200, 300), (300, 400), (400, 500), (500, 600)]
+    feats = FE.feature_frame(Q.labeled(spark, SF), include_targets=True, keep=["timestamp", "telemetry_id"])
+    idx = SP.global_index(feats, Q.ORDER)
+    t = ["overall_failure_72h_label"]
+    got = {r.family: r for r in FM.choose_family(idx, 100, t, forest=FM.Forest(trees=3, depth=2)).collect()}
+    assert set(got) == set(FM.FAMILIES) and sum(r.chosen for r in got.values()) == 1
+    best = max(got.values(), key=lambda r: r.mean_pr_auc)
+    assert [r.mean_pr_auc for r in got.values() if r.chosen] == [best.mean_pr_auc]
+    none = FM.choose_family(idx, 50, t).collect()
+    assert len(none) == 3 and not any(r.chosen or r.folds for r in none)
+
+
 def test_medians_are_exact(spark):
     from infrarisk.operators import stats as ST
 
