@@ -61,7 +61,7 @@ def main() -> None:
         return M.classification_metrics(Q.rule_long(spark, sf_dir), ["target"], 0.5)
 
     def stress_what_if():
-        return rules.score(OV.stress_scenarios(tel, "telemetry_id"))
+        return rules.score(OV.stress_scenarios(tel))
 
     def rule_backtest():
         return Q.q_w3_e10_rule_backtest(spark, sf_dir)

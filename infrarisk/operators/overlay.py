@@ -6,7 +6,7 @@ literal arrays instead of joins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import add_all, clip, fmt, level, nz, py_round
@@ -130,51 +130,47 @@ def zone_flows(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# Stress scenario override ranges, in application order
-# (field, low, high, is_int)
+# Scenario types in order; what each stage overrides, in application order
 # ---------------------------------------------------------------------------
 SCENARIO_TYPES = ["baseline", "heatwave", "high_density", "failure_event", "compound"]
-HEATWAVE = [
-    ("temperature_c", 38, 46, False), ("humidity_percent", 25, 60, False), ("heatwave_alert", None, None, False),
-    ("rainfall_mm", 0, 8, False), ("current_load_percent", 86, 97, False), ("peak_load_percent", 92, 100, False),
-    ("congestion_index", 70, 90, False),
-]
-HIGH_DENSITY = [
-    ("population_density_per_km2", 11500, 18000, False), ("congestion_index", 78, 96, False),
-    ("signal_failure_reports_last_7_days", 6, 16, True), ("pressure_variance_percent", 22, 45, False),
-]
-FAILURE_EVENT = [
-    ("historical_failure_rate_percent", 15, 28, False), ("transformer_age_years", 21, 40, False),
-    ("recent_repairs_last_30_days", 4, 10, True), ("rainfall_mm", 35, 90, False),
-    ("pressure_variance_percent", 30, 60, False),
-]
-STAGES = [("heatwave", HEATWAVE), ("high_density", HIGH_DENSITY), ("failure_event", FAILURE_EVENT)]
-HASH_MOD = 1000003
+# (field, percentile of the city's own values); the heat alert is set
+STAGES = {
+    "heatwave": [("temperature_c", 95), ("humidity_percent", 25), ("rainfall_mm", 5), ("current_load_percent", 95), ("peak_load_percent", 95), ("congestion_index", 75)],
+    "high_density": [("population_density_per_km2", 95), ("congestion_index", 95), ("signal_failure_reports_last_7_days", 95), ("pressure_variance_percent", 75)],
+    "failure_event": [("historical_failure_rate_percent", 95), ("transformer_age_years", 95), ("recent_repairs_last_30_days", 95), ("rainfall_mm", 95), ("pressure_variance_percent", 95)],
+}
 
 
-def uniform(id_col: str, salt: int) -> Column:
-    """Deterministic uniform in [0, 1) from a row id (same in every engine: integer arithmetic)."""
-    k = (F.col(id_col) % F.lit(HASH_MOD)) * F.lit(7919) + F.lit(salt * 104729)
-    return (k % F.lit(HASH_MOD)).cast("double") / F.lit(float(HASH_MOD))
+def stress_levels(df: DataFrame) -> DataFrame:
+    """V9: (stress_city, stress_levels), one row a city: the smallest value of a field, rounded to 1, that the
+    stage's percentage of the city's values does not exceed; null where a city has no value of a field.
 
+    Values are counted by (city, field, value) before the shuffle, so the running counts of a city go through the
+    distinct values of a validated field (its range in steps of 0.1), not through its rows.
+    """
+    pairs = sorted({pair for fields in STAGES.values() for pair in fields})
+    value = lambda c: F.when(~F.isnan(F.col(c).cast("double")), py_round(F.col(c).cast("double"), 1))
+    long = df.select(F.col("city").alias("stress_city"), F.inline(F.array(*[F.struct(F.lit(c).alias("field"), value(c).alias("value")) for c in sorted({c for c, _ in pairs})])))
+    points = long.where("value IS NOT NULL").groupBy("stress_city", "field", "value").agg(F.count(F.lit(1)).alias("n"))
+    group = Window.partitionBy("stress_city", "field")
+    ranked = points.withColumns({"upto": F.sum("n").over(group.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(group)})
+    level = [F.min(F.when((F.col("field") == c) & (F.col("upto") * 100 >= F.col("total") * q), F.col("value"))).alias(f"{c}_{q}") for c, q in pairs]
+    return ranked.groupBy("stress_city").agg(F.struct(*level).alias("stress_levels"))
 
-def stress_scenarios(df: DataFrame, id_col: str) -> DataFrame:
-    """V9: each row x 5 scenario types; overrides drawn per (row, stage, field) inside the stated
-    ranges (values rounded to 1 like the scenario generator); compound applies heatwave, high
-    density, failure event in that order, later wins.  Rescore with ``rules.score`` afterwards."""
-    out = df.withColumn("scenario_type", F.explode(F.array(*[F.lit(s) for s in SCENARIO_TYPES])))
-    salt = 0
-    for stage, fields in STAGES:
+
+def stress_scenarios(df: DataFrame, levels: DataFrame | None = None) -> DataFrame:
+    """V9: each row x 5 scenario types, under its city's own extremes (``levels``, by default those of ``df``).
+
+    Compound applies heatwave, high density, failure event in that order, later wins; a field without a level keeps its
+    value.  Rescore with ``rules.score`` afterwards.
+    """
+    levels = stress_levels(df) if levels is None else levels
+    out = df.join(levels, F.col("city").eqNullSafe(F.col("stress_city")), "left")
+    out = out.withColumn("scenario_type", F.explode(F.array(*[F.lit(s) for s in SCENARIO_TYPES])))
+    for stage, fields in STAGES.items():
         on = F.col("scenario_type").isin(stage, "compound")
-        cols = {}
-        for name, lo, hi, is_int in fields:
-            salt += 1
-            if lo is None:
-                val = F.lit(True)
-            elif is_int:
-                val = (F.lit(lo) + F.floor(uniform(id_col, salt) * F.lit(hi - lo + 1))).cast("int")
-            else:
-                val = py_round(F.lit(float(lo)) + F.lit(float(hi - lo)) * uniform(id_col, salt), 1)
-            cols[name] = F.when(on, val).otherwise(F.col(name))
+        cols = {c: F.when(on, F.coalesce(F.col(f"stress_levels.{c}_{q}").cast(df.schema[c].dataType), F.col(c))).otherwise(F.col(c)) for c, q in fields}
+        if stage == "heatwave":
+            cols["heatwave_alert"] = F.when(on, F.lit(True)).otherwise(F.col("heatwave_alert"))
         out = out.withColumns(cols)
-    return out
+    return out.drop("stress_city", "stress_levels")

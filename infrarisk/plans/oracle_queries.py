@@ -7,7 +7,8 @@ generated from that list, but every formula is written in SQL here.
 
 from __future__ import annotations
 
-from ..schema import MODEL_NUMERIC_FEATURES, SYSTEM_SYNONYMS, TARGET_COLUMNS, ZONES
+from ..operators.overlay import STAGES
+from ..schema import INT_FIELDS, MODEL_NUMERIC_FEATURES, SYSTEM_SYNONYMS, TARGET_COLUMNS, ZONES
 from ..sources.fixtures import oracle_with
 from .oracle_sql import lvl, r, scored_ctes, with_scored
 
@@ -463,40 +464,26 @@ ORACLE["v8_zone_flows"] = with_scored("telemetry") + "\nUNION ALL\n".join(
                       ("east_residential", "south_logistics", "Water -> Traffic")])
 
 
-def _u(salt: int) -> str:
-    return f"(CAST(((telemetry_id % 1000003) * 7919 + {salt * 104729}) % 1000003 AS DOUBLE) / 1000003e0)"
+_LEVELS = sorted({pair for fields in STAGES.values() for pair in fields})
+_STRESSED = sorted({c for c, _ in _LEVELS})
 
 
-def _fl(lo, hi, salt):
-    return r(f"{lo}e0 + {hi - lo}e0 * {_u(salt)}", 1)
+def _stage(stage: str) -> str:
+    on = f"scenario_type IN ('{stage}', 'compound')"
+    cast = lambda c, x: f"CAST({x} AS INTEGER)" if c in INT_FIELDS else x
+    cols = [f"CASE WHEN {on} THEN coalesce({cast(c, f'{c}_{q}')}, {c}) ELSE {c} END AS {c}" for c, q in STAGES[stage]]
+    return ", ".join(cols + ([f"CASE WHEN {on} THEN true ELSE heatwave_alert END AS heatwave_alert"] if stage == "heatwave" else []))
 
 
-def _it(lo, hi, salt):
-    return f"CAST({lo} + floor({_u(salt)} * {hi - lo + 1}e0) AS INTEGER)"
-
-
-_STRESS = oracle_with("telemetry") + f""",
-sx AS (SELECT t.*, s.scenario_type FROM telemetry t CROSS JOIN (VALUES ('baseline'), ('heatwave'), ('high_density'),
+_STRESS = oracle_with("telemetry") + ",\nsv AS (" + " UNION ALL ".join(f"SELECT city, '{c}' AS field, {r(f'CAST({c} AS DOUBLE)', 1)} AS value FROM telemetry" for c in _STRESSED) + f"""),
+sp AS (SELECT city, field, value, count(*) AS n FROM sv WHERE value IS NOT NULL GROUP BY ALL),
+sr AS (SELECT *, sum(n) OVER (PARTITION BY city, field ORDER BY value) AS upto, sum(n) OVER (PARTITION BY city, field) AS total FROM sp),
+sl AS (SELECT city AS stress_city, {", ".join(f"min(value) FILTER (field = '{c}' AND upto * 100 >= total * {q}) AS {c}_{q}" for c, q in _LEVELS)} FROM sr GROUP BY city),
+sx AS (SELECT t.*, sl.*, s.scenario_type FROM telemetry t LEFT JOIN sl ON t.city IS NOT DISTINCT FROM sl.stress_city CROSS JOIN (VALUES ('baseline'), ('heatwave'), ('high_density'),
  ('failure_event'), ('compound')) s(scenario_type)),
-sh AS (SELECT * REPLACE (
- CASE WHEN scenario_type IN ('heatwave', 'compound') THEN {_fl(38, 46, 1)} ELSE temperature_c END AS temperature_c,
- CASE WHEN scenario_type IN ('heatwave', 'compound') THEN {_fl(25, 60, 2)} ELSE humidity_percent END AS humidity_percent,
- CASE WHEN scenario_type IN ('heatwave', 'compound') THEN true ELSE heatwave_alert END AS heatwave_alert,
- CASE WHEN scenario_type IN ('heatwave', 'compound') THEN {_fl(0, 8, 4)} ELSE rainfall_mm END AS rainfall_mm,
- CASE WHEN scenario_type IN ('heatwave', 'compound') THEN {_fl(86, 97, 5)} ELSE current_load_percent END AS current_load_percent,
- CASE WHEN scenario_type IN ('heatwave', 'compound') THEN {_fl(92, 100, 6)} ELSE peak_load_percent END AS peak_load_percent,
- CASE WHEN scenario_type IN ('heatwave', 'compound') THEN {_fl(70, 90, 7)} ELSE congestion_index END AS congestion_index) FROM sx),
-sd AS (SELECT * REPLACE (
- CASE WHEN scenario_type IN ('high_density', 'compound') THEN {_fl(11500, 18000, 8)} ELSE population_density_per_km2 END AS population_density_per_km2,
- CASE WHEN scenario_type IN ('high_density', 'compound') THEN {_fl(78, 96, 9)} ELSE congestion_index END AS congestion_index,
- CASE WHEN scenario_type IN ('high_density', 'compound') THEN {_it(6, 16, 10)} ELSE signal_failure_reports_last_7_days END AS signal_failure_reports_last_7_days,
- CASE WHEN scenario_type IN ('high_density', 'compound') THEN {_fl(22, 45, 11)} ELSE pressure_variance_percent END AS pressure_variance_percent) FROM sh),
-stressed AS (SELECT * REPLACE (
- CASE WHEN scenario_type IN ('failure_event', 'compound') THEN {_fl(15, 28, 12)} ELSE historical_failure_rate_percent END AS historical_failure_rate_percent,
- CASE WHEN scenario_type IN ('failure_event', 'compound') THEN {_fl(21, 40, 13)} ELSE transformer_age_years END AS transformer_age_years,
- CASE WHEN scenario_type IN ('failure_event', 'compound') THEN {_it(4, 10, 14)} ELSE recent_repairs_last_30_days END AS recent_repairs_last_30_days,
- CASE WHEN scenario_type IN ('failure_event', 'compound') THEN {_fl(35, 90, 15)} ELSE rainfall_mm END AS rainfall_mm,
- CASE WHEN scenario_type IN ('failure_event', 'compound') THEN {_fl(30, 60, 16)} ELSE pressure_variance_percent END AS pressure_variance_percent) FROM sd),
+sh AS (SELECT * REPLACE ({_stage('heatwave')}) FROM sx),
+sd AS (SELECT * REPLACE ({_stage('high_density')}) FROM sh),
+stressed AS (SELECT * REPLACE ({_stage('failure_event')}) FROM sd),
 """ + scored_ctes("stressed")
 
 ORACLE["v9_stress"] = _STRESS + f"""

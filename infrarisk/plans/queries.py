@@ -304,7 +304,7 @@ def q_v8_zone_flows(spark, sf_dir):
 
 
 def q_v9_stress(spark, sf_dir):
-    st = OV.stress_scenarios(fx.telemetry(spark, sf_dir), "telemetry_id")
+    st = OV.stress_scenarios(fx.telemetry(spark, sf_dir))
     s = rules.score(st)
     return s.select("telemetry_id", "scenario_type", "overall_risk_score", "overall_level",
                     *[f"{x}_risk_score" for x in SYSTEMS])
