@@ -1,6 +1,7 @@
 """Rule scoring: goldens for the example request, threshold boundaries, properties."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from infrarisk.functions.validate import flatten
 from infrarisk.operators import overlay as OV
@@ -116,3 +117,19 @@ def test_python_rounding_semantics(spark):
     got = df.select(py_round("v", 2).alias("r"), fmt("v", 1).alias("f")).collect()
     assert [g["r"] for g in got] == [round(v, 2) for v in vals]
     assert [g["f"] for g in got] == [f"{v:.1f}" for v in vals]
+
+
+def test_stress_levels_are_the_citys_own(spark):
+    """Percentiles by city against sorting; a null city is a group; a field without values keeps the row's own (null)."""
+    from infrarisk.sources import fixtures as fx
+
+    tel = fx.telemetry(spark, "/root/testdata/sf0.001")
+    tel = tel.withColumn("city", F.when(F.col("telemetry_id") % 3 > 0, F.lit("hot"))).withColumn("rainfall_mm", F.when(F.col("city") == "hot", F.col("rainfall_mm"))).cache()
+    out = OV.stress_scenarios(tel).cache()
+    assert out.columns == tel.columns + ["scenario_type"] and out.count() == 5 * tel.count()
+    temp = sorted(round(r[0], 1) for r in tel.where("city = 'hot' AND temperature_c IS NOT NULL").select("temperature_c").collect())
+    want = temp[-(-95 * len(temp) // 100) - 1]
+    assert {r[0] for r in out.where("city = 'hot' AND scenario_type IN ('heatwave', 'compound')").select("temperature_c").collect()} == {want}
+    assert out.where("city IS NULL AND rainfall_mm IS NOT NULL").count() == 0
+    assert out.where("scenario_type = 'baseline'").drop("scenario_type").exceptAll(tel).count() == 0
+    assert OV.stress_scenarios(tel.limit(0)).count() == 0
