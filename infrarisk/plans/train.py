@@ -156,11 +156,11 @@ def train_models(labeled: DataFrame, holdout_fraction: float = 0.2, targets: lis
     n = idx.count()
     split = SP.holdout_split_point(n, holdout_fraction)
     end = split - embargo_rows
-    fits = Fits(idx, fold_jobs(end, (), targets), targets, ends=(end, n) if refit else (end,))
-    lacking = {t for t in targets if not fits.both_classes(t, end)}
-    held_out = idx.where(F.col("row_idx") >= split).agg(*[F.count_distinct(t).alias(t) for t in targets]).first()
-    if lacking := lacking | {t for t in targets if held_out[t] < 2}:
+    before, after = F.col("row_idx") < end, F.col("row_idx") >= split
+    classes = idx.agg(*[F.count_distinct(F.when(part, F.col(t))).alias(f"{t}_{k}") for t in targets for k, part in enumerate((before, after))]).first()
+    if lacking := {t for t in targets if min(classes[f"{t}_0"], classes[f"{t}_1"]) < 2}:
         raise ValueError(f"one class only, before or after the split, for {sorted(lacking)}")
+    fits = Fits(idx, fold_jobs(end, (), targets), targets, ends=(end, n) if refit else (end,))
     scores = fold_scores(fits, {(): end})
     cv = {(r["target"], r["config"]): (r["m"], r["f"]) for r in scores.groupBy("target", "config").agg(F.avg("pr_auc").alias("m"), F.count(F.lit(1)).alias("f")).collect()}
     best = dict.fromkeys(targets, 0) | {r["target"]: r["config"] for r in choices(scores, ["target"]).collect()}  # one row a target
