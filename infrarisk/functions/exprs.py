@@ -30,6 +30,16 @@ def py_round(c, n: int) -> Column:
     return fmt(c, n).cast("double")
 
 
+def json_number(c) -> Column:
+    """Shortest decimal text that reads back as the same double, as JSON writers print it (``0.0``, ``87.25``).
+
+    For 0 and sizes from 1e-4 up to 1e16, where that text has no exponent; null stays null.
+    """
+    x = col(c).cast("double")
+    texts = F.transform(F.sequence(F.lit(1), F.lit(20)), lambda n: F.replace(F.call_function("format_number", x, n), F.lit(","), F.lit("")))
+    return F.get(F.filter(texts, lambda t: t.cast("double") == x), F.lit(0))
+
+
 def clip(c, lo: float = 0.0, hi: float = 100.0) -> Column:
     """``max(lo, min(hi, c))``; null stays null."""
     return F.least(F.greatest(col(c), F.lit(float(lo))), F.lit(float(hi)))

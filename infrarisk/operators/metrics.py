@@ -187,10 +187,22 @@ def curve_metrics(df: DataFrame, group: list[str], y: str = "y", p: str = "p", p
     )
 
 
-def classification_metrics(df: DataFrame, group: list[str], threshold=0.5, y: str = "y", p: str = "p") -> DataFrame:
-    """E1-E7 in one table per group, all from one (group, p) aggregate of ``df``."""
+def merged_points(pts: DataFrame, keep: list[str], block: str | None = None, spans: list[list[int]] | None = None, name: str = "window_id", p: str = "p") -> DataFrame:
+    """Points of unions of blocks: the counts of a (group, p) add up, so the rows behind them are not read again.
+
+    ``spans[b]`` lists the windows that hold block ``b``; overlapping windows share its points.  Without ``spans`` the
+    points of all blocks are added up.  ``keep`` names the other group columns.
+    """
+    if spans is not None:
+        pts = pts.withColumn(name, F.explode(F.get(F.lit(spans).cast("array<array<int>>"), F.col(block))))
+        keep = [*keep, name]
+    return pts.groupBy(*keep, p).agg(F.sum("tp").alias("tp"), F.sum("cnt").alias("cnt"))
+
+
+def classification_metrics(df: DataFrame | None, group: list[str], threshold=0.5, y: str = "y", p: str = "p", pts: DataFrame | None = None) -> DataFrame:
+    """E1-E7 in one table per group, all from one (group, p) aggregate of ``df`` (or from given ``points``)."""
     keys = group + ([threshold] if isinstance(threshold, str) else [])
-    pts = points(df, keys, y, p)
+    pts = pts if pts is not None else points(df, keys, y, p)
     base = confusion(df, group, threshold, y, p, pts)
     gp = pts.drop(threshold) if isinstance(threshold, str) else pts  # threshold is constant per group
     return (base.join(curve_metrics(df, group, y, p, gp).drop("threshold"), on=group, how="left")
@@ -211,11 +223,11 @@ def mean_std(df: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(*aggs)
 
 
-def stability(per_window_summary: DataFrame, per_target_metrics: DataFrame, model_col: str = "model") -> tuple[DataFrame, DataFrame]:
-    """PR-AUC std per target (from the E10 summary) and mean ECE across targets per model."""
-    prauc_std = per_window_summary.select("target", "pr_auc_std")
-    by = [model_col] if model_col in per_target_metrics.columns else []
-    mean_ece = per_target_metrics.groupBy(*by).agg(F.avg("ece_10_bins").alias("mean_ece_10_bins"))
+def stability(per_window_summary: DataFrame, per_target_metrics: DataFrame, model_col: str = "model", by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """PR-AUC std per target (or per ``by``, from the E10 summary) and mean ECE across targets per model."""
+    prauc_std = per_window_summary.select(*(by or ["target"]), "pr_auc_std")
+    models = [model_col] if model_col in per_target_metrics.columns else []
+    mean_ece = per_target_metrics.groupBy(*models).agg(F.avg("ece_10_bins").alias("mean_ece_10_bins"))
     return prauc_std, mean_ece
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import add_all, clip, compact, flag, fmt, level, nz, py_round
+from ..functions.exprs import add_all, clip, compact, flag, fmt, json_number, level, nz, py_round
 from ..schema import NESTED_FIELDS, SYSTEMS
 
 # ---------------------------------------------------------------------------
@@ -341,16 +341,14 @@ def top_drivers_text(system: str) -> Column:
 
 
 def reasoning_prompt(df: DataFrame) -> DataFrame:
-    """The briefing prompt as a column (JSON blobs of systems, cascades, missing fields)."""
-    systems = F.struct(*[
-        F.struct(F.col(f"{s}_score").alias("risk_score"), F.col(f"{s}_level").alias("risk_level"),
-                 F.col(f"{s}_drivers").alias("primary_drivers"), F.col(f"{s}_flags").alias("compound_flags")).alias(s)
-        for s in SYSTEMS
-    ])
+    """The briefing prompt as a column (JSON blobs of systems with unrounded scores, cascades, missing fields)."""
+    blobs = [F.concat(F.lit(f'"{s}":{{"risk_score":'), json_number(f"{s}_score"), F.lit(',"risk_level":"'), F.col(f"{s}_level"),
+                      F.lit('","primary_drivers":'), F.to_json(f"{s}_drivers"), F.lit(',"compound_flags":'), F.to_json(f"{s}_flags"), F.lit("}"))
+             for s in SYSTEMS]
     return df.withColumn("reasoning_prompt", F.concat(
         F.lit("Generate an executive city infrastructure risk briefing.\ncity="), F.col("city"),
         F.lit("\noverall_score="), fmt("overall_score", 1), F.lit("\noverall_level="), F.col("overall_level"),
-        F.lit("\nsystems="), F.to_json(systems), F.lit("\ncascades="), F.to_json(F.col("cascades")),
+        F.lit("\nsystems={"), F.concat_ws(",", *blobs), F.lit("}\ncascades="), F.to_json(F.col("cascades")),
         F.lit("\nconfidence_score="), F.col("confidence_score").cast("string"),
         F.lit("\nmissing_fields="), F.to_json(F.col("missing_fields")),
         F.lit("\nRequired style: concise, technical, actionable, no disclaimers."),

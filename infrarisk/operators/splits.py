@@ -81,6 +81,22 @@ def window_test_membership(indexed: DataFrame, n: int, idx: str = "row_idx", **r
                             "test_end": F.lit(e0 + ts) + F.col("window_id") * F.lit(step)})
 
 
+def window_blocks(indexed: DataFrame, n: int, idx: str = "row_idx", **ratios) -> tuple[DataFrame, list[list[int]]]:
+    """Rows of any window's test range, once each, with ``block_id``; and the windows that hold each block.
+
+    Blocks lie between neighbouring bounds of the test ranges, so every test range is a union of blocks, and whatever
+    adds up over rows is found once a block (``metrics.merged_points``), however much the ranges overlap.
+    """
+    wins = expanding_windows(n, **ratios)
+    if not wins:
+        raise ValueError("not enough rows for rolling backtest windows")
+    bounds = sorted({b for w in wins for b in w[2:]})
+    spans = [[k for k, w in enumerate(wins) if w[2] <= lo and hi <= w[3]] for lo, hi in zip(bounds, bounds[1:])]
+    rows = indexed.where(F.col(idx).between(bounds[0], bounds[-1] - 1)).withColumn("block_id", edge_slice(F.col(idx), bounds[1:-1]))
+    held = [b for b, ks in enumerate(spans) if ks]
+    return (rows if len(held) == len(spans) else rows.where(F.col("block_id").isin(held))), spans
+
+
 def calibration_split_point(length: int) -> int:
     """Rows before the calibration part: 85 %, 80 at least, and never all of them."""
     return min(max(80, math.floor(0.85 * length)), length - 1)
@@ -133,3 +149,16 @@ def sort_by_city_time(df: DataFrame, city: str = "city", time: str = "timestamp"
     keys = [city, time] + ([id_col] if id_col else [])
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+
+
+def place_in_group(table: DataFrame, group: str, at: str, name: str = "place", parts: int = 64) -> DataFrame:
+    """1-based place of each row within its group by the unique number ``at``; a group is spread over ``parts`` slices and more.
+
+    ``table`` is read several times, so ``at`` must be stored.  Slices are cuts of ``at`` at quantile edges: rows are numbered inside
+    (group, slice) and completed by the counts of the group's earlier slices, a table of one row a (group, slice).
+    """
+    cut = table.withColumn("__slice", edge_slice(F.col(at), slice_edges(table, F.col(at), parts)))
+    w = Window.partitionBy(group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = cut.groupBy(group, "__slice").agg(F.count(F.lit(1)).alias("__n")).select(F.col(group).alias("__g"), F.col("__slice").alias("__s"), F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
+    inside = cut.withColumn("__local", F.row_number().over(Window.partitionBy(group, "__slice").orderBy(at)))
+    return inside.join(before, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__slice") == F.col("__s"))).select(*table.columns, (F.col("__off") + F.col("__local")).alias(name))

@@ -534,15 +534,27 @@ ORACLE["w1_w2_split"] = _LS + "," + _IX + """
 SELECT telemetry_id, row_idx, CASE WHEN row_idx < split THEN 'train' ELSE 'holdout' END AS split FROM ix, sp
 """
 
-ORACLE["w3_e10_rule_backtest"] = _LS + "," + _IX + """,
+_TESTS = _LS + "," + _IX + """,
 par AS (SELECT n, greatest(150, CAST(floor(n * 5e-1) AS BIGINT)) AS mt, greatest(40, CAST(floor(n * 1e-1) AS BIGINT)) AS ts,
  greatest(20, CAST(floor(n * 1e-1) AS BIGINT)) AS st FROM nn),
 wins AS (SELECT k, mt + k * st AS e, mt + k * st + ts AS te FROM (SELECT unnest(generate_series(0, (n - mt - ts) // st)) AS k, * FROM par)),
 tests AS (SELECT ix.*, CAST(wins.k AS INTEGER) AS window_id FROM ix JOIN wins ON ix.row_idx >= wins.e AND ix.row_idx < wins.te),
-""" + rule_long_cte("tests", ", window_id") + "," + metrics_ctes("rl", ["target", "window_id"]) + "SELECT target, " + ", ".join(
+"""
+
+ORACLE["w3_e10_rule_backtest"] = _TESTS + rule_long_cte("tests", ", window_id") + "," + metrics_ctes("rl", ["target", "window_id"]) + "SELECT target, " + ", ".join(
     f"{r(f'avg({m})', 6)} AS {m}_mean, {r(f'stddev_pop({m})', 6)} AS {m}_std"
     for m in ("roc_auc", "pr_auc", "brier", "f1", "ece_10_bins")) + " FROM met GROUP BY target"
 
+_MODELS = ("SELECT 'rule' AS model, target, y, p{k} FROM rl UNION ALL SELECT 'predictions', target, y, CAST(telemetry_id * 7919 % 1001 AS DOUBLE) / 1e3{k} FROM rl")
+
+# windows repeat the rows of overlapping ranges; all ranges together hold each row once
+ORACLE["e11_stability"] = _TESTS + rule_long_cte("tests", ", window_id") + ", wm AS (" + _MODELS.format(k=", window_id") + ")," + metrics_ctes("wm", ["model", "target", "window_id"], name="mw") + """,
+um AS (SELECT model, target, y, p FROM (""" + _MODELS.format(k=", telemetry_id, window_id") + """) QUALIFY row_number() OVER (PARTITION BY model, target, telemetry_id ORDER BY window_id) = 1),
+""" + metrics_ctes("um", ["model", "target"], name="mu") + f"""
+SELECT model, target, 'pr_auc_std' AS measure, {r('stddev_pop(pr_auc)', 6)} AS value FROM mw GROUP BY model, target
+UNION ALL SELECT model, 'all', 'mean_ece_10_bins', {r('avg(ece_10_bins)', 6)} FROM mu GROUP BY model
+"""
+
 ORACLE["w6_w7_l6_rule_compare"] = _LS + "," + _IX + """,
 h AS (SELECT ix.*, row_idx - split AS h_idx FROM ix, sp WHERE row_idx >= split),
 s AS (SELECT *, h_idx // 15 AS s_idx FROM h WHERE h_idx % 15 = 0),
@@ -559,6 +571,22 @@ SELECT 'asm_' || substr(sha256(concat_ws('|', CAST(telemetry_id AS VARCHAR), cit
 FROM scored ORDER BY timestamp DESC, assessment_id LIMIT 20
 """
 
+def _texts(x: str) -> str:
+    return f"CASE WHEN len({x}) = 0 THEN '[]' ELSE '[\"' || array_to_string({x}, '\",\"') || '\"]' END"
+
+
+def _system_json(name: str, pfx: str) -> str:
+    return (f"""'"{name}":{{"risk_score":' || CAST({pfx}_score AS VARCHAR) || ',"risk_level":"' || {lvl(f'{pfx}_score')} || '","primary_drivers":' || {_texts(f'{pfx}_drivers')}"""
+            f""" || ',"compound_flags":' || {_texts(f'{pfx}_flags')} || '}}'""")
+
+
+ORACLE["u6_reasoning_prompt"] = with_scored("telemetry") + f"""
+SELECT telemetry_id, 'Generate an executive city infrastructure risk briefing.' || chr(10) || 'city=' || city || chr(10) || 'overall_score=' || printf('%.1f', overall_score) || chr(10)
+ || 'overall_level=' || overall_level || chr(10) || 'systems={{' || """ + " || ',' || ".join(_system_json(SYS_NAME[k], k) for k in "ptwr") + f""" || '}}' || chr(10)
+ || 'cascades=' || {_texts('cascades')} || chr(10) || 'confidence_score=' || CAST(confidence_score AS VARCHAR) || chr(10) || 'missing_fields=' || {_texts('missing_fields')} || chr(10)
+ || 'Required style: concise, technical, actionable, no disclaimers.' AS reasoning_prompt FROM scored
+"""
+
 ORACLE["x1_stream_assessment"] = with_scored("telemetry") + """
 SELECT telemetry_id, overall_risk_score, overall_level, confidence_score FROM scored
 """
@@ -616,6 +644,22 @@ ORACLE["s6_s7_history"] = with_scored("telemetry") + """
 SELECT city, overall_level, count(*) AS n, count(*) AS n_ids FROM scored GROUP BY city, overall_level
 """
 
+ORACLE["s2_csv_incidents_labeled"] = oracle_with("telemetry", "incidents") + "," + LABEL_CTES + f"""
+SELECT city, 'incidents' AS source, count(*) AS n, CAST(sum(severity) AS BIGINT) AS total, CAST(sum(length(system)) AS BIGINT) AS text FROM incidents GROUP BY city
+UNION ALL SELECT city, 'labeled', count(*), CAST(sum({' + '.join(TGT)}) AS BIGINT), count(temperature_c) FROM lab GROUP BY city
+"""
+
+# the labels are those of all incidents at once
+ORACLE["s5_relabel"] = oracle_with("telemetry", "incidents") + "," + LABEL_CTES + """,
+ends AS (SELECT CAST(min(timestamp) AS DATE) AS a, CAST(max(timestamp) AS DATE) AS b FROM incidents),
+late AS (SELECT timestamp AS ti FROM incidents, ends WHERE city IS NOT NULL AND timestamp >= a + CAST((b - a) * 9 // 10 AS INTEGER)),
+days AS (SELECT CAST(timestamp AS DATE) AS day, count(*) AS n, """ + ", ".join(f"CAST(sum({t}) AS BIGINT) AS {t}" for t in TGT) + """ FROM lab GROUP BY ALL)
+SELECT CAST(day AS VARCHAR) AS date, n, """ + ", ".join(TGT) + """,
+ EXISTS (SELECT 1 FROM late WHERE day BETWEEN CAST(ti - INTERVAL 72 HOURS AS DATE) AND CAST(ti AS DATE)) AS rewritten FROM days
+"""
+
+ORACLE["s9_pipeline_model"] = ORACLE["m2_probabilities"]
+
 ORACLE["s9_model_roundtrip"] = ORACLE["m2_probabilities"]
 
 ORACLE["p2_bad_text"] = """

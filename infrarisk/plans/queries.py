@@ -22,7 +22,7 @@ from ..operators import rules
 from ..operators import splits as SP
 from ..operators import stats as ST
 from ..operators import weather as WE
-from ..schema import MODEL_NUMERIC_FEATURES, REQUEST, SYSTEM_SYNONYMS, SYSTEMS, TARGET_COLUMNS, TARGET_TO_SYSTEM
+from ..schema import INCIDENTS, LABELED, MODEL_NUMERIC_FEATURES, REQUEST, SYSTEM_SYNONYMS, SYSTEMS, TARGET_COLUMNS, TARGET_TO_SYSTEM
 from ..sources import fixtures as fx
 
 SEP = " | "
@@ -377,15 +377,41 @@ def q_w1_w2_split(spark, sf_dir):
 
 def q_w3_e10_rule_backtest(spark, sf_dir):
     """Expanding windows (W3); rule-probability metrics on each test range; mean/std over windows."""
-    idx = indexed_labeled(spark, sf_dir)
-    n = idx.count()
-    tests = SP.window_test_membership(idx, n)
-    long = rule_long(spark, sf_dir, rules.score(tests), keep=["window_id"])
-    per = M.classification_metrics(long, ["target", "window_id"], 0.5)
+    pts, spans = rule_block_points(spark, sf_dir)
+    per = M.classification_metrics(None, ["target", "window_id"], 0.5, pts=M.merged_points(pts, ["target"], "block_id", spans))
     ms = M.mean_std(per, ["target"], ["roc_auc", "pr_auc", "brier", "f1", "ece_10_bins"])
     return rounded(ms, ["target"])
 
 
+def rule_block_points(spark, sf_dir, predictions: bool = False):
+    """(points of the rule probability by target and block of the test ranges, windows of each block): one scan of scored rows.
+
+    With ``predictions`` the points of the fixture's predicted probability stand beside them, by model.
+    """
+    from ..session import written
+
+    idx = indexed_labeled(spark, sf_dir)
+    tests, spans = SP.window_blocks(idx, idx.count())
+    long, by = rule_long(spark, sf_dir, rules.score(tests), keep=["block_id"]), ["target", "block_id"]
+    if predictions:
+        other = (F.col("telemetry_id") * 7919 % 1001) / F.lit(1000.0)
+        both = F.array(F.struct(F.lit("rule").alias("model"), F.col("p")), F.struct(F.lit("predictions").alias("model"), other.alias("p")))
+        long, by = long.select("telemetry_id", "target", "block_id", "y", F.inline(both)), ["model", *by]
+    # one row a (group, block, distinct p)
+    return written(M.points(long, by), "block-points"), spans
+
+
+def q_e11_stability(spark, sf_dir):
+    """Spread of PR-AUC over windows by model and target, and mean ECE over targets by model on all test ranges together."""
+    pts, spans = rule_block_points(spark, sf_dir, predictions=True)
+    per = M.classification_metrics(None, ["model", "target", "window_id"], 0.5, pts=M.merged_points(pts, ["model", "target"], "block_id", spans))
+    whole = M.classification_metrics(None, ["model", "target"], 0.5, pts=M.merged_points(pts, ["model", "target"]))
+    spread = M.mean_std(per, ["model", "target"], ["pr_auc"])
+    std, mean_ece = M.stability(spread, whole, by=["model", "target"])
+    return (std.select("model", "target", F.lit("pr_auc_std").alias("measure"), py_round("pr_auc_std", R6).alias("value"))
+            .unionByName(mean_ece.select("model", F.lit("all").alias("target"), F.lit("mean_ece_10_bins").alias("measure"), py_round("mean_ece_10_bins", R6).alias("value"))))
+
+
 def q_w6_w7_l6_rule_compare(spark, sf_dir, stride: int = 15, max_rows: int = 1200):
     """L6 rule-only arm: holdout (last 20 %), every 15th row, even downsample to <= 1200 rows,
     metrics at threshold .5 against the labels, macro PR-AUC vs the random baseline."""
@@ -499,6 +525,42 @@ def q_s2_csv_roundtrip(spark, sf_dir):
                                  F.max("peak_load_percent").alias("max_peak"), F.sum(F.col("heatwave_alert").cast("int")).cast("long").alias("heatwaves"))
 
 
+def q_s2_csv_incidents_labeled(spark, sf_dir):
+    """Incidents and the labelled table written as CSV and read back with their declared schemas; by city."""
+    from ..sources import io
+
+    base = scratch(spark)
+    io.write_csv(fx.incidents(spark, sf_dir).select(*[f.name for f in INCIDENTS.fields]), f"{base}/incidents")
+    io.write_csv(labeled(spark, sf_dir).select(*[f.name for f in LABELED.fields]), f"{base}/labeled")
+    inc, lab = io.read_incidents_csv(spark, f"{base}/incidents"), io.read_labeled_csv(spark, f"{base}/labeled")
+    a = inc.groupBy("city").agg(F.lit("incidents").alias("source"), F.count("timestamp").alias("n"), F.sum("severity").cast("long").alias("total"), F.sum(F.length("system")).cast("long").alias("text"))
+    b = lab.groupBy("city").agg(F.lit("labeled").alias("source"), F.count("timestamp").alias("n"), F.sum(sum((F.col(t) for t in TARGET_COLUMNS[1:]), F.col(TARGET_COLUMNS[0]))).cast("long").alias("total"),
+                                F.count("temperature_c").alias("text"))
+    return a.unionByName(b)
+
+
+def q_s5_relabel(spark, sf_dir):
+    """The table labelled without the newest tenth of the incidents' days, then brought up to date with them; by date, with what was rewritten."""
+    from ..session import written
+    from ..sources import io
+    from .relabel import relabel
+
+    base, inc = scratch(spark), fx.incidents(spark, sf_dir)
+    late = F.col("timestamp") >= late_from(inc)
+    io.write_labeled(LB.label(fx.telemetry(spark, sf_dir), inc.where(~late)), base)
+    before = written(spark.read.parquet(base).select(F.input_file_name().alias("file")).distinct(), "files").withColumn("same", F.lit(True))
+    relabel(spark, base, inc.where(late))
+    back = spark.read.parquet(base).withColumn("file", F.input_file_name()).groupBy("date", "file").agg(F.count(F.lit(1)).alias("n"), *[F.sum(t).alias(t) for t in TARGET_COLUMNS])
+    return back.join(before, "file", "left").groupBy(F.col("date").cast("string").alias("date")).agg(
+        F.sum("n").cast("long").alias("n"), *[F.sum(t).cast("long").alias(t) for t in TARGET_COLUMNS], F.max("same").isNull().alias("rewritten"))
+
+
+def late_from(incidents: DataFrame):
+    """Start of the day from which incidents count as late: nine tenths of the way from the first incident's day to the last one's."""
+    ends = incidents.agg(F.to_date(F.min("timestamp")).alias("a"), F.to_date(F.max("timestamp")).alias("b")).first()
+    return F.date_add(F.lit(ends["a"]), (ends["b"] - ends["a"]).days * 9 // 10).cast("timestamp")
+
+
 def q_s5_labeled_sink(spark, sf_dir):
     """The labelled table written by date and read back; label totals by date."""
     from ..sources import io
@@ -510,13 +572,16 @@ def q_s5_labeled_sink(spark, sf_dir):
 
 
 def q_s6_s7_history(spark, sf_dir):
-    """Assessments appended twice in halves and read back; ids stay apart, requests and responses parse."""
+    """Assessments appended twice in halves, lines cut off half-way among them, and read back; ids stay apart, requests and responses parse."""
     from ..sources import io
 
     base = scratch(spark)
     hist = io.to_history(scored_telemetry(spark, sf_dir), ["telemetry_id", "city"], ["overall_level"])
     for half in (0, 1):
         io.append_history(hist.where(F.get_json_object("request", "$.telemetry_id").cast("long") % 2 == half), base)
+    # each stored line once more, as a writer that died would leave it, in a folder of the same day
+    lines = hist.select("date", F.to_json(F.struct("assessment_id", "saved_at", "request", "response")).alias("line"))
+    lines.select("date", F.left("line", F.expr("length(line) div 2")).alias("value")).write.mode("append").partitionBy("date").text(base)
     back = io.read_history(spark, base)
     return back.groupBy(F.get_json_object("request", "$.city").alias("city"), F.get_json_object("response", "$.overall_level").alias("overall_level")).agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("assessment_id").alias("n_ids"))
@@ -532,6 +597,17 @@ def q_s9_model_roundtrip(spark, sf_dir):
     return IN.predict(f, models).select("telemetry_id", *[py_round(f"p_{t}", R6).alias(f"p_{t}") for t in TARGET_COLUMNS])
 
 
+def q_s9_pipeline_model(spark, sf_dir):
+    """The pinned models as a saved and loaded ``PipelineModel``."""
+    from pyspark.ml import PipelineModel
+
+    from ..operators.stages import pipeline_of
+
+    base, f = scratch(spark), features_of(spark, sf_dir)
+    pipeline_of(pinned_models(spark, sf_dir, f)).write().overwrite().save(base)
+    return PipelineModel.load(base).transform(f).select("telemetry_id", *[py_round(f"p_{t}", R6).alias(f"p_{t}") for t in TARGET_COLUMNS])
+
+
 def q_p2_bad_text(spark, sf_dir):
     """Numbers that arrive as text, some of them unreadable, some with a fraction."""
     k = F.col("event_id")
@@ -542,10 +618,10 @@ def q_p2_bad_text(spark, sf_dir):
 
 def q_k2_sort(spark, sf_dir):
     """K2: place of each row within its city in the total order (city, time, id)."""
-    from pyspark.sql import Window
+    from ..session import written
 
     s = SP.sort_by_city_time(fx.telemetry(spark, sf_dir), id_col="telemetry_id").select("telemetry_id", "city", F.monotonically_increasing_id().alias("at"))
-    return s.select("telemetry_id", F.row_number().over(Window.partitionBy("city").orderBy("at")).alias("place"))
+    return SP.place_in_group(written(s, "sorted"), "city", "at").select("telemetry_id", F.col("place").cast("int").alias("place"))
 
 
 def q_w7_downsample(spark, sf_dir):
@@ -739,6 +815,7 @@ REGISTRY = {
     "e8_e9_e12_rule_macro": q_e8_e9_e12_rule_macro,
     "w1_w2_split": q_w1_w2_split,
     "w3_e10_rule_backtest": q_w3_e10_rule_backtest,
+    "e11_stability": q_e11_stability,
     "w6_w7_l6_rule_compare": q_w6_w7_l6_rule_compare,
     "k1_history_newest": q_k1_history_newest,
     "u6_reasoning_prompt": q_u6_reasoning_prompt,
@@ -751,9 +828,12 @@ REGISTRY = {
     "v6_assessment": q_v6_assessment,
     "v6_rejected": q_v6_rejected,
     "s2_csv_roundtrip": q_s2_csv_roundtrip,
+    "s2_csv_incidents_labeled": q_s2_csv_incidents_labeled,
     "s5_labeled_sink": q_s5_labeled_sink,
+    "s5_relabel": q_s5_relabel,
     "s6_s7_history": q_s6_s7_history,
     "s9_model_roundtrip": q_s9_model_roundtrip,
+    "s9_pipeline_model": q_s9_pipeline_model,
     "p2_bad_text": q_p2_bad_text,
     "k2_sort": q_k2_sort,
     "w7_downsample": q_w7_downsample,

@@ -62,7 +62,15 @@ def read_labeled_csv(spark, path):
 def write_labeled(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Labeled dataset, partitioned by date (partition pruning on time filters)."""
     out = df.withColumn("date", F.to_date(TIME_COLUMN))
-    out.write.mode("overwrite").partitionBy("date").format(fmt).option("header", True).save(path)
+    out.write.mode("overwrite").partitionBy("date").format(fmt).options(**(AS_CSV if fmt == "csv" else {})).save(path)
+
+
+AS_CSV = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}  # the writer would trim texts
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with header, texts as they are; ``read_csv`` reads it back."""
+    df.write.options(**AS_CSV).csv(path)
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:

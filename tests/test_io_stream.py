@@ -273,3 +273,34 @@ def test_reports_without_a_manifest_are_not_read(spark):
     assert [io.publish_report(spark.range(n), base) for n in (2, 5)] == [1, 2]
     spark.range(9).write.parquet(f"{base}/versions/000003-lost")
     assert io.read_report(spark, base).count() == 5
+
+
+def test_relabel_equals_a_full_run(spark):
+    """Late incidents: same labels as all at once; other days' files stay; repeated rows, odd rows and a second run change nothing."""
+    import datetime as dt
+
+    from infrarisk.operators import labels as LB
+    from infrarisk.plans.relabel import relabel, touched_dates
+    from infrarisk.schema import TARGET_COLUMNS
+
+    t0 = dt.datetime(2024, 3, 1)
+    tel = [(i, t0 + dt.timedelta(hours=5 * i) if i % 17 else None, f"c{i % 3}" if i % 11 else None) for i in range(120)]
+    tel = spark.createDataFrame(tel + tel[:30], "telemetry_id long, timestamp timestamp, city string")
+    early = spark.createDataFrame([(t0 + dt.timedelta(hours=40), "c1", "power")], "timestamp timestamp, city string, system string")
+    late = spark.createDataFrame([(t0 + dt.timedelta(days=12, hours=1), "c2", " Water Pipeline"), (t0 + dt.timedelta(days=3), "c0", "signals"),
+                                  (t0 + dt.timedelta(days=12, hours=1), "c2", " Water Pipeline"), (None, "c1", "power"), (t0 + dt.timedelta(days=20), None, "power")], early.schema)
+    path = f"{ensure_checkpoint_dir(spark)}/relabel-{uuid.uuid4().hex}"
+    io.write_labeled(LB.label(tel, early), path)
+    files = lambda: {(r["date"], r["f"]) for r in spark.read.parquet(path).select("date", F.input_file_name().alias("f")).distinct().collect()}
+    before = files()
+    days = relabel(spark, path, late)
+    assert days == touched_dates(late) == [dt.date(2024, 3, d) for d in (1, 2, 3, 4, 10, 11, 12, 13)]
+    kept = {x for x in before if x[0] not in days}
+    assert kept and kept == {x for x in files() if x[0] not in days} and not {x for x in before if x[0] in days} & files()
+    key = lambda df: sorted(map(str, df.select("telemetry_id", "timestamp", "city", *TARGET_COLUMNS).collect()))
+    full = key(LB.label(tel, early.unionByName(late)))
+    assert key(spark.read.parquet(path)) == full
+    relabel(spark, path, late)
+    assert key(spark.read.parquet(path)) == full
+    settled = files()
+    assert relabel(spark, path, late.where("city IS NULL")) == [] and files() == settled

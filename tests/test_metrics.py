@@ -145,3 +145,29 @@ def test_folds():
         folds = SP.cv_folds(n)
         assert len(folds) == 4 and folds[0][0] == n // 2 and folds[-1][1] == n and all(v - e == max(40, int(n * 0.1)) for e, v in folds)
     assert SP.cv_folds(159) == [] and SP.cv_folds(400, valid_size=40)[0] == (200, 240)
+
+
+@pytest.mark.parametrize("ratios", [{}, {"test_ratio": 0.25, "step_ratio": 0.05}, {"min_train_ratio": 0.3, "test_ratio": 0.07, "step_ratio": 0.02}])
+def test_blocks_add_up_to_windows(spark, ratios):
+    """Metrics of overlapping windows from blocks equal those from the rows of every window."""
+    n = 1500
+    idx = spark.range(n).select(F.col("id").alias("row_idx"), (F.xxhash64("id") % 40 / 80 + 0.5).alias("p"), (F.xxhash64("id", F.lit(1)) % 3 == 0).cast("int").alias("y"))
+    rows = M.points(SP.window_test_membership(idx, n, **ratios), ["window_id"]).collect()
+    cut, spans = SP.window_blocks(idx, n, **ratios)
+    pts = M.points(cut, ["block_id"])
+    got = M.merged_points(pts, [], "block_id", spans).collect()
+    key = lambda r: (r["window_id"], r["p"], r["tp"], r["cnt"])
+    assert sorted(map(key, rows)) == sorted(map(key, got)) and rows
+    assert sum(r["cnt"] for r in M.merged_points(pts, []).collect()) == cut.count()
+
+
+def test_place_in_group(spark):
+    """A group of two thirds of the rows, groups without a name, gaps in the numbers."""
+    df = spark.range(900).select((F.col("id") * 7).alias("at"), F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 2 == 0, F.concat(F.lit("c"), (F.col("id") % 5).cast("string"))).alias("g"))
+    got = SP.place_in_group(df, "g", "at").collect()
+    assert len(got) == 900
+    seen = {}
+    for r in sorted(got, key=lambda r: r["at"]):
+        seen[r["g"]] = seen.get(r["g"], 0) + 1
+        assert r["place"] == seen[r["g"]]
+    assert SP.place_in_group(df.where("false"), "g", "at").count() == 0

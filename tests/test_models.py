@@ -141,3 +141,32 @@ def test_training_run(spark):
     assert ("__global__", "macro_pr_auc_holdout") in names and (targets[0], "threshold") in names
     strict = TR.train_models(lab, targets=targets[:1], refit=False, embargo_rows=10)
     assert strict.targets[targets[0]].model.bias != b.targets[targets[0]].model.bias
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Learned stages equal the functions, survive saving, and give unknown and missing cities no weight."""
+    import uuid
+
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from infrarisk.operators import stages as SG
+    from infrarisk.operators import stats as ST
+    from infrarisk.session import ensure_checkpoint_dir
+
+    rows = [(i, f"c{i % 3}" if i % 7 else None, float(i % 5) if i % 4 else None, float(i), 2.0) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, city string, a double, b double, constant double")
+    names, scaled = ["a", "b", "constant"], ["za", "zb", "zc"]
+    last = SG.LinearProbability(inputCols=scaled, outputCol="p", weights=[0.5, -0.25, 3.0], bias=0.125, cities=["c0", "c1"], cityWeights=[1.0, -2.0])
+    fitted = Pipeline(stages=[SG.MedianScaler(inputCols=names, outputCols=scaled), last]).fit(df)
+    pre = fitted.stages[0].preprocessor()
+    assert (pre.medians, pre.means, pre.stds) == (lambda p: (p.medians, p.means, p.stds))(ST.fit_preprocessor(df, names))
+    assert pre.stds["constant"] == 1.0
+    path = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    fitted.write().save(path)
+    got = {r["id"]: r["p"] for r in PipelineModel.load(path).transform(df).collect()}
+    for i, city, a, b, _ in rows:
+        za = ((pre.medians["a"] if a is None else a) - pre.means["a"]) / pre.stds["a"]
+        z = 0.5 * za - 0.25 * (b - pre.means["b"]) / pre.stds["b"] + {"c0": 1.0, "c1": -2.0}.get(city, 0.0) + 0.125
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-12
+    nobody = SG.LinearProbability(inputCols=["b"], outputCol="p", weights=[0.0])
+    assert {r["p"] for r in nobody.transform(df).collect()} == {0.5}

@@ -133,3 +133,16 @@ def test_stress_levels_are_the_citys_own(spark):
     assert out.where("city IS NULL AND rainfall_mm IS NOT NULL").count() == 0
     assert out.where("scenario_type = 'baseline'").drop("scenario_type").exceptAll(tel).count() == 0
     assert OV.stress_scenarios(tel.limit(0)).count() == 0
+
+
+def test_json_numbers(spark):
+    """Texts of doubles as JSON writers print them."""
+    import json
+    import random
+
+    from infrarisk.functions.exprs import json_number
+
+    rnd = random.Random(5)
+    values = [0.0, 0.5, 100.0, 2e-3, 87.25, 1 / 3, 0.1 + 0.2, 66.00000000000001, 1234567.0, 12345678.9, 1e-4] + [max(1e-4, rnd.random() * 10 ** rnd.randint(-2, 4)) for _ in range(2000)]
+    got = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double").select("x", json_number("x").alias("t")).collect()
+    assert [r["t"] for r in got] == [json.dumps(v) for v in values] + [None]
