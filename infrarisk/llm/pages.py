@@ -3,10 +3,13 @@
 A tree builder over the standard tokenizer applies implied tags (paragraphs, list items, cells and options that
 end where the next one begins), drops stray end tags and closes what is left open.  Cells without a row get one, and whatever else stands between
 the parts of a table goes before it; a head ends with the first text or element that it cannot hold.  The renderer then walks the
-tree and emits all visible text: invisible elements (head, script, style, template, ``hidden``, ``display: none``,
-...) are skipped, inline white space collapses, blocks begin on new lines with one blank line around
+tree and emits all visible text: invisible elements (head, script, style, template, a closed ``dialog``, ``hidden``, ``display: none``,
+...) are skipped with all they hold, ``visibility`` is inherited and a visible child of a hidden element shows, inline white space collapses,
+blocks begin on new lines with one blank line around
 paragraph-like ones, list items get bullets or numbers indented by depth, ``pre`` keeps its text, and table cells are
-padded to the width of their column.
+padded to the width of their column.  ``colspan`` and ``rowspan`` move cells to their columns; a cell spans the columns' joint width,
+rows that its span reaches leave its columns blank, and no span leaves its table section.  Cells longer than ``ALIGNED`` characters
+do not set their column's width, so padding stays in proportion to the cells.
 
 Tree building and rendering are iterative, so depth is limited by memory only; columns are aligned within one table.
 Scale: a narrow map, one page at a time; nothing is shuffled.
@@ -30,7 +33,8 @@ from pyspark.sql import types as T
 from .common import table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INVISIBLE = frozenset("head title script style template noscript iframe object svg math canvas audio video select datalist dialog".split())
+INVISIBLE = frozenset("head title script style template noscript iframe object canvas audio video datalist desc metadata defs".split())
+FOREIGN = ("svg", "math")  # any element inside may end itself by a slash
 BLOCKS = frozenset("""address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption""".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl figure".split())
@@ -54,7 +58,11 @@ SECTIONS = frozenset("thead tbody tfoot".split())
 FRAMES = SECTIONS | {"table", "tr"}
 IN_PLACE = frozenset("script style template input".split())
 CHILDLESS = frozenset("form colgroup".split())  # between table parts; a form's content stays with the table
-_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_HIDDEN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
+#: The largest spans that a page may ask for.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+ALIGNED = 200
 _BLANKS = re.compile(r"[ \t\n\r\f\v]+")
 
 
@@ -72,16 +80,19 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {})
         self.open = [self.root]
+        self.places: dict[str, list[int]] = {}  # places in ``open`` of each tag, ascending
         self.tables: list[int] = []  # places in ``open`` of tables, and of templates, whose parts are their own
 
     def _push(self, node: Node) -> None:
         if node.tag in ("table", "template"):
             self.tables.append(len(self.open))
+        self.places.setdefault(node.tag, []).append(len(self.open))
         self.open.append(node)
 
     def _cut(self, k: int) -> None:
         """Ends the open elements from place ``k`` on."""
-        del self.open[k:]
+        while len(self.open) > k:
+            self.places[self.open.pop().tag].pop()
         while self.tables and self.tables[-1] >= k:
             self.tables.pop()
 
@@ -120,12 +131,14 @@ class _Builder(HTMLParser):
 
     def _close(self, tags, scope) -> None:
         """Ends the innermost open element of ``tags`` and what it holds, if no tag of ``scope`` stands before it."""
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in tags:
-                self._cut(k)
-                return
-            if self.open[k].tag in scope:
-                return
+        at = max((self._last(t) for t in tags), default=0)
+        if at and at >= max((self._last(t) for t in scope), default=0):
+            self._cut(at)
+
+    def _last(self, tag: str) -> int:
+        """Place of the innermost open element of a tag; 0 if none is open."""
+        places = self.places.get(tag)
+        return places[-1] if places else 0
 
     def _end_head(self) -> None:
         while self.open[-1].tag == "head":
@@ -156,7 +169,7 @@ class _Builder(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.open[-1].tag == tag and tag in ("svg", "path", "circle", "rect", "use"):
+        if tag not in VOID and self.open[-1].tag == tag and any(self._last(t) for t in FOREIGN):
             self._cut(len(self.open) - 1)
 
     def handle_endtag(self, tag):
@@ -180,8 +193,16 @@ def parse(html: str) -> Node:
 
 
 def visible(n: Node) -> bool:
+    """Whether the element takes part in the layout; see ``shown`` for what it may still hide."""
     a = n.attrs
-    return not (n.tag in INVISIBLE or "hidden" in a or (n.tag == "input") or (a.get("aria-hidden") or "").lower() == "true" or _HIDDEN.search(a.get("style") or ""))
+    closed = n.tag == "dialog" and "open" not in a
+    return not (n.tag in INVISIBLE or closed or "hidden" in a or (n.tag == "input") or (a.get("aria-hidden") or "").lower() == "true" or _HIDDEN.search(a.get("style") or ""))
+
+
+def shown(n: Node, inherited: bool) -> bool:
+    """Whether the element's own text is visible: by its style (the last word counts), else as its parent's."""
+    said = _VISIBILITY.findall(n.attrs.get("style") or "")
+    return said[-1].lower() == "visible" if said else inherited
 
 
 class _Lines:
@@ -218,29 +239,67 @@ class _Lines:
         self.blank = bool(self.done)
 
 
-def _cells(node: Node) -> list[list[Node]]:
-    """Rows of cells of a table, not of tables inside it."""
-    rows: list[list[Node]] = []
-    todo = [(node, False)]
+def _span(n: Node, name: str, least: int, most: int) -> int:
+    said = re.match(r"\s*(\d{1,9})", n.attrs.get(name) or "")
+    value = int(said.group(1)) if said else 1
+    return min(max(value, least), most)
+
+
+def _cells(node: Node, seen: bool) -> list[tuple[int, list[tuple[Node, bool]]]]:
+    """(section, cells with whether their text shows) of each row of a table, not of tables inside it."""
+    rows: list[tuple[int, list[tuple[Node, bool]]]] = []
+    todo, section = [(node, False, seen)], 0
     while todo:
-        n, inside = todo.pop()
+        n, inside, seen = todo.pop()
         if isinstance(n, str) or not visible(n) or (inside and n.tag == "table"):
             continue
+        seen = shown(n, seen) if inside else seen
         if n.tag == "tr":
-            rows.append([c for c in n.kids if not isinstance(c, str) and c.tag in ("td", "th") and visible(c)])
+            cells = [c for c in n.kids if not isinstance(c, str) and c.tag in ("td", "th") and visible(c)]
+            rows.append((section, [(c, shown(c, seen)) for c in cells]))
         elif n.tag not in ("td", "th", "caption"):
-            todo += [(k, True) for k in reversed(n.kids)]
-    return [r for r in rows if r]
-
-
-def _aligned(rows: list[list[str]]) -> list[str]:
-    widths: list[int] = []
-    for r in rows:
-        for k, c in enumerate(r):
-            if k == len(widths):
-                widths.append(0)
-            widths[k] = max(widths[k], len(c))
-    return [" | ".join(c.ljust(w) for c, w in zip(r, widths, strict=False)).rstrip() for r in rows]
+            section += n.tag in SECTIONS
+            todo += [(k, True, seen) for k in reversed(n.kids)]
+    return rows if any(cells for _, cells in rows) else []
+
+
+def _placed(rows: list[tuple[int, list[tuple[str, int, int]]]]) -> list[list[tuple[int, int, str]]]:
+    """(first column, columns, text) of each row's cells in order; cells of rows above that reach down have an empty text."""
+    out: list[list[tuple[int, int, str]]] = []
+    above: list[tuple[int, int, int]] = []  # (first column, columns, last row) of cells that reach beyond their row, by column
+    before = None
+    for k, (section, cells) in enumerate(rows):
+        above = [x for x in above if x[2] >= k] if section == before else []
+        before, at, taken, down = section, 0, 0, []
+        line: list[tuple[int, int, str]] = []
+        for text, across, deep in cells:
+            while taken < len(above) and above[taken][0] <= at:
+                first, wide, _ = above[taken]
+                line.append((first, wide, ""))
+                at, taken = max(at, first + wide), taken + 1
+            if taken < len(above):
+                across = min(across, above[taken][0] - at)  # a wide cell ends where one from above stands
+            line.append((at, across, text))
+            if deep != 1:
+                down.append((at, across, k + deep - 1 if deep else len(rows)))
+            at += across
+        above = sorted([*above, *down]) if down else above
+        out.append(line)
+    return out
+
+
+def _aligned(rows: list[tuple[int, list[tuple[str, int, int]]]]) -> list[str]:
+    """Lines of a table of (section, [(text, columns, rows)]); rows without text show nothing."""
+    placed = _placed(rows)
+    widths: dict[int, int] = {}
+    for line in placed:
+        for first, across, text in line:
+            if across == 1 and widths.get(first, 0) < len(text) <= ALIGNED:
+                widths[first] = len(text)
+    width = lambda first, across: widths.get(first, 0) if across == 1 else sum(widths.get(c, 0) for c in range(first, first + across)) + 3 * (across - 1)
+    wide = {span: width(*span) for span in {(first, across) for line in placed for first, across, _ in line}}
+    return [" | ".join(text.ljust(min(wide[first, across], ALIGNED)) for first, across, text in line).rstrip()
+            for line, (_, cells) in zip(placed, rows, strict=True) if any(text for text, _, _ in cells)]
 
 
 def render(html: str | None) -> str:
@@ -252,23 +311,29 @@ def render(html: str | None) -> str:
     frames: list[_Lines] = []  # outer lines, while a cell is laid out in lines of its own
     lists: list[list] = []  # [tag, next number]
     grids: list[list[str]] = []  # cells so far of each open table
-    keep = 0
+    keep, seen = 0, True
     todo: list[tuple[str, object]] = [("in", root)]
     while todo:
         do, n = todo.pop()
         if do == "text":
             out.text(n, keep > 0)
+        elif do == "seen":
+            seen = n
         elif do == "in":
             if isinstance(n, str):
-                out.text(n, keep > 0)
+                if seen:
+                    out.text(n, keep > 0)
                 continue
             if not visible(n):
                 continue
+            before, seen = seen, shown(n, seen)
+            if seen != before:
+                todo.append(("seen", before))
             if n.tag == "br":
                 out.line()
                 continue
             if n.tag == "img":
-                if n.attrs.get("alt"):
+                if n.attrs.get("alt") and seen:
                     out.text(n.attrs["alt"], False)
                 continue
             block = n.tag in BLOCKS
@@ -277,12 +342,13 @@ def render(html: str | None) -> str:
                 out.lead = "  " * len(lists)
                 if n.tag in SPACED and not (n.tag in LISTS and lists):
                     out.space()
-            if n.tag == "table" and (rows := _cells(n)):
+            if n.tag == "table" and (rows := _cells(n, seen)):
                 captions = [k for k in n.kids if not isinstance(k, str) and k.tag == "caption"]
-                todo.append(("table", [len(r) for r in rows]))
-                for r in reversed(rows):
-                    for c in reversed(r):
-                        todo += [("cell", None), *[("in", k) for k in reversed(c.kids)], ("frame", None)]
+                todo.append(("seen", seen))
+                todo.append(("table", [(section, [(_span(c, "colspan", 1, MOST_COLUMNS), _span(c, "rowspan", 0, MOST_ROWS)) for c, _ in cells]) for section, cells in rows]))
+                for _, cells in reversed(rows):
+                    for c, own in reversed(cells):
+                        todo += [("cell", None), *[("in", k) for k in reversed(c.kids)], ("seen", own), ("frame", None)]
                 todo.append(("grid", None))
                 todo += [("in", c) for c in reversed(captions)]
                 continue
@@ -319,10 +385,8 @@ def render(html: str | None) -> str:
             out, lists, keep = frames.pop()
             grids[-1].append(cell)
         else:
-            cells, at, rows = grids.pop(), 0, []
-            for s in n:
-                rows.append(cells[at : at + s])
-                at += s
+            cells = iter(grids.pop())
+            rows = [(section, [(next(cells), across, deep) for across, deep in spans]) for section, spans in n]
             for r in _aligned(rows):
                 out.text(r, True)
                 out.line(keep=True)

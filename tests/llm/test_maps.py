@@ -1,6 +1,7 @@
 """Operators 1, 3, 4, 5 and 7 against brute force, libraries and fixed pages."""
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -148,6 +149,62 @@ def test_loose_rows():
     assert pages.render("<table>" + "x<td>a" * 20000 + "</table>").count(" | a") == 19999
 
 
+def test_spans():
+    table = lambda s: pages.render(f"<table>{s}</table>").split("\n")
+    assert table("<tr><td rowspan=2>a<td>b<tr><td>2") == ["a | b", "  | 2"]
+    assert table("<tr><td colspan=2>head<td>c<tr><td>x<td>y<td>z") == ["head  | c", "x | y | z"]
+    assert table("<tr><td>p<td rowspan=0>q<td>r<tr><td>s<td>t<tr><td>u<td>v") == ["p | q | r", "s |   | t", "u |   | v"]
+    assert table("<thead><tr><th rowspan=9>n<th>m</thead><tbody><tr><td>a<td>b") == ["n | m", "a | b"]
+    assert table("<tr><td rowspan=2>a<tr></tr><tr><td>b<td>c") == ["a", "b | c"]
+    assert table("<tr><td>a<td rowspan=2>b<tr><td colspan=3>wide<td>d") == ["a    | b", "wide |   | d"]
+    assert table("<tr><td colspan=x rowspan=-1>a<td colspan=0>b<tr><td>" + "l" * 300 + "<td>c")[0] == "a | b"
+    assert table("<tr><td colspan=1000 rowspan=65534>a<td>b" + "<tr><td>c" * 2000)[-1].strip() == "| c"
+
+
+def test_visibility():
+    assert pages.render("<div style='visibility:hidden'>no<b style='visibility: visible'>a</b>no</div>b") == "a\nb"
+    assert pages.render("<div style='display:none'>no<b style='visibility:visible'>no</b></div>b") == "b"
+    assert pages.render("<dialog>no</dialog><dialog open>a</dialog>") == "a"
+    assert pages.render("<select><option>a<option>b</select>c") == "a\nb\nc"
+    assert pages.render("<svg><title>no</title><defs/><text>a</text><path/><style>no</style></svg>b<math><mi>x</mi></math>") == "abx"
+    assert pages.render("<table><tr style='visibility:hidden'><td>no<td style='visibility:visible'>a<tr><td>b<td>c</table>") == "  | a\nb | c"
+    assert pages.render("<table style='visibility:hidden'><tr><td>no</table>b") == "b"
+
+
+def walked(n, seen=True):
+    """Visible words of a tree, recursively."""
+    if isinstance(n, str):
+        return n.split() if seen else []
+    style = (n.attrs.get("style") or "").replace(" ", "")
+    if n.tag in pages.INVISIBLE or n.tag == "input" or "hidden" in n.attrs or "display:none" in style or (n.tag == "dialog" and "open" not in n.attrs):
+        return []
+    seen = False if "visibility:hidden" in style else True if "visibility:visible" in style else seen
+    return (n.attrs.get("alt", "").split() if n.tag == "img" and seen else []) + [w for k in n.kids for w in walked(k, seen)]
+
+
+def test_random_pages():
+    """Every visible word of any tag soup is in the text once, and no other."""
+    rnd = random.Random(11)
+    tags = "div p b span ul ol li table tr td th tbody thead caption pre h1 a form dl dt dd select option svg text dialog template script".split()
+    odd = ["", "", "", " hidden", " style='display: none'", " style='visibility: hidden'", " style='color:red;visibility: visible'", " open", " colspan=2", " rowspan=3", " colspan=3 rowspan=0"]
+    for _ in range(1500):
+        parts = []
+        for k in range(rnd.randint(1, 40)):
+            tag = rnd.choice(tags)
+            parts.append(rnd.choice([f"<{tag}{rnd.choice(odd)}>", f"</{tag}>", f" W{k}x ", f"<img alt=A{k}x>", f"<{tag}/>", "<br>"]))
+        html = "".join(parts)
+        assert sorted(re.findall(r"[WA]\d+x", pages.render(html))) == sorted(re.findall(r"[WA]\d+x", " ".join(walked(pages.parse(html))))), html
+
+
+def test_deep_pages_in_linear_time():
+    took = []
+    for n in (10_000, 40_000):
+        start = time.perf_counter()
+        assert pages.render("<div>" * n + "x" + "<p><li><td>y</b>" * n).count("y") == n
+        took.append(time.perf_counter() - start)
+    assert took[1] < 12 * took[0] + 1
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "<p>x", "u"), (1, "<p>x", "u"), (None, None, None)], "page_id long, html string, text string")
     got = pages.extract(df, carry=["page_id"]).collect()
