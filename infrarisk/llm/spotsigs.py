@@ -31,7 +31,7 @@ from .components import connected_components
 
 CHAIN = 2
 SLICE_BYTES = 4 << 20
-MOST_SLICES = 4096  # edges stand in the plan; beyond 16 GB slices grow (and spill) instead
+MOST_SLICES = 1 << 16  # edges stand in the plan (0.5 MB); a slice is 4 MB or this share of the table, 1.6 GB of 100 TB, whichever is more
 #: Frequent function words of the corpus languages (English, French, German, Spanish).
 COMMON = """the of and to in is that it with as for by on are this be was at or an from he his they
 le la les de des du et un une en que qui est dans pour par sur au avec ne pas ce il
@@ -88,10 +88,14 @@ def with_next(docs: DataFrame, id_col: str, text: str, slices: int) -> DataFrame
     edges = sorted(set(docs.select(F.coalesce(ident, F.lit(LAST_ID)).alias("key")).agg(F.percentile_approx("key", asked, 10 * slices).alias("e")).first()["e"] or [0]))
     least = docs.agg(F.min(F.coalesce(ident, F.lit(LAST_ID)))).first()[0]
     edges = sorted({*edges, least if least is not None else 0})
-    at, last = F.lit(edges).cast("array<bigint>"), len(edges) - 1
-    own = F.size(F.filter(at, lambda e: e <= F.col("key"))) - 1
+    last, width = len(edges) - 1, math.isqrt(len(edges) - 1) + 1
+    # edges in runs of ``width``: a row looks through the runs' first edges, then through one run
+    runs = F.lit([edges[i:i + width] for i in range(0, len(edges), width)]).cast("array<array<bigint>>")
+    heads = F.lit(edges[::width]).cast("array<bigint>")
+    up_to = lambda found: F.size(F.filter(found, lambda e: e <= F.col("key"))) - 1
+    own = _let(up_to(heads), lambda k: k * width + up_to(F.get(runs, k)))
     guest = F.when(F.col("own") == 0, F.lit(last)).otherwise(F.col("own") - 1)
-    first = F.get(at, F.col("own")) == F.col("key")  # an edge is an id of the data: the smallest of its slice
+    first = F.get(F.get(runs, F.floor(F.col("own") / width).cast("int")), F.col("own") % width) == F.col("key")  # an edge is an id of the data: the smallest of its slice
     dealt = (keyed.withColumn("own", own).withColumn("slice", F.explode(F.when(first, F.array("own", guest)).otherwise(F.array("own"))))
              if last else keyed.withColumn("own", F.lit(0)).withColumn("slice", F.explode(F.when(F.col("key") == edges[0], F.array(F.lit(0), F.lit(-1))).otherwise(F.array(F.lit(0))))))
     # guests come after the slice's own documents

@@ -204,3 +204,13 @@ def test_fingerprints_odd(spark, odd, empty):
 def test_signature_is_stable():
     assert np.array_equal(minhash._minima(np.arange(9, dtype=np.uint64), 12), minhash._minima(np.arange(9, dtype=np.uint64), 12))
     assert minhash.bands_for(0.85) == 30
+
+
+@pytest.mark.parametrize("slices", [1, 2, 7, 50, 700])
+def test_next_documents(spark, slices):
+    """Neighbours by ascending id, for few and many slices, gaps in the ids and one id alone at the end."""
+    ids = [i * i - 300 for i in range(400)] + [10**12]
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").repartition(5)
+    got = {r["id"]: r["next_text"] for r in spotsigs.with_next(df, "doc_id", "text", slices).collect()}
+    order = sorted(ids)
+    assert got == {a: f"t{b}" for a, b in zip(order, order[1:] + order[:1], strict=True)}
