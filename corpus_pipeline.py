@@ -37,8 +37,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document of the mix."""
-    return pieces.encode_documents(docs, carry=["doc_id", "source"], decoded=False)
+    """Piece ids of every document of the mix, their Viterbi path over the same pieces, and whether both decode to the text."""
+    return pieces.encode_checked(docs, ["doc_id", "source"])
 
 
 #: Helper tables of the stages so far.

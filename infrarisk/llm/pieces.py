@@ -434,9 +434,17 @@ def encode_documents(docs: DataFrame, text: str = "text", carry: list[str] | Non
     return out.select(*[F.col("own").getField(c).alias(c) for c in carry], *[F.col(m).alias(x) for (m, _), x in zip(made, names, strict=True)])
 
 
+def encode_checked(docs: DataFrame, carry: list[str], model: str = MODEL) -> DataFrame:
+    """``carry``, ``n_tokens``, ``ids``, ``viterbi_ids`` (the best path over the same pieces) and ``round_trip``: whether both decode to the text.
+
+    The decoded text itself is compared by its digest and not kept.
+    """
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("given")
+    made = encode_documents(docs.select(F.struct(*carry).alias("of"), digest, "text"), carry=["of", "given"], model=model, viterbi=True)
+    right = F.coalesce(F.sha2(F.col("decoded").cast("binary"), 256) == F.col("given"), F.lit(False))
+    return made.select(*[F.col("of").getField(c).alias(c) for c in carry], "n_tokens", "ids", "viterbi_ids", right.alias("round_trip"))
+
+
 def q_op4(spark, sf_dir: str) -> DataFrame:
     """Ids of every document, its Viterbi path over the same pieces, and whether both decode to it."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    made = encode_documents(docs.withColumn("given", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)), carry=["doc_id", "given"], viterbi=True)
-    right = F.coalesce(F.sha2(F.col("decoded").cast("binary"), 256) == F.col("given"), F.lit(False))
-    return made.select("doc_id", "n_tokens", "ids", "viterbi_ids", right.alias("round_trip"))
+    return encode_checked(table(spark, sf_dir, "documents"), ["doc_id"])

@@ -271,6 +271,18 @@ def test_encode_documents(odd, empty, tmp_path):
     assert pieces.encode_documents(empty).count() == 0
 
 
+def test_encoding_stage_takes_every_step(odd):
+    """The pipeline's last stage searches the best path and decodes, too, as the operator's query does."""
+    import corpus_pipeline
+
+    got = corpus_pipeline.encoding(odd.sparkSession, odd, "")
+    assert got.columns == ["doc_id", "source", "n_tokens", "ids", "viterbi_ids", "round_trip"]
+    rows = got.collect()
+    encoder = pieces.Encoder(pieces.read_model(), (False, True))
+    want = sorted((str(r.doc_id), *[x.tolist() for x, _ in encoder.encode([r.text or ""])], True) for r in odd.collect())
+    assert sorted((str(r.doc_id), r.ids, r.viterbi_ids, r.round_trip) for r in rows) == want
+
+
 # 5 -------------------------------------------------------------------------------------------------------------------
 def brute_stats(t):
     w = split(t)
