@@ -31,23 +31,26 @@ def events_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int =
             .withColumn("ts", F.col("ts").cast("timestamp")))  # streaming event time must be TIMESTAMP
 
 
-def replayed(spark: SparkSession, sf_dir: str, folder: str, slices: int = 4) -> DataFrame:
-    """The given events as a folder of ``slices`` files in order of time, and a last file of one ``close`` event, as a stream.
+def replayed(spark: SparkSession, sf_dir: str, folder: str, slices: int = 4, rows_per_file: int = 250_000) -> DataFrame:
+    """The given events as a folder of ``slices`` slices in order of time, and a last file of one ``close`` event, as a stream.
 
-    Slices are cut at quantiles of time and written one after the other, as events would arrive; the closing event lies far
-    behind the last one, so that the watermark passes everything.
+    Slices are cut at quantiles of time and written one after the other, as events would arrive, all in the same number of
+    files, which is what a trigger takes; the closing event lies far behind the last one, so that the watermark passes everything.
     """
     events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    cuts = events.agg(F.percentile_approx(at, [k / slices for k in range(1, slices)], 10_000).alias("c"), F.max(at).alias("last")).first()
-    edges = [None, *(cuts["c"] or []), None]
-    for lo, hi in zip(edges, edges[1:], strict=False):
+    cuts = events.agg(F.percentile_approx(at, [k / slices for k in range(1, slices)], 10_000).alias("c"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n")).first()
+    edges, files = [None, *(cuts["c"] or []), None], max(1, -(-cuts["n"] // (slices * rows_per_file)))
+    for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
         part = events if lo is None else events.where(at > lo)
-        (part if hi is None else part.where(at <= hi)).coalesce(1).write.mode("append").parquet(folder)
+        part = part if hi is None else part.where(at <= hi)
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.mode("append").parquet(folder)
+        for _ in range(files * (k + 1) - len(spark.read.schema(events.schema).parquet(folder).inputFiles())):  # a part without rows has no file
+            events.limit(0).coalesce(1).write.mode("append").parquet(folder)
     if cuts["last"] is not None:
         end = F.timestamp_micros(F.lit(cuts["last"] + 400 * 86_400_000_000)).cast(events.schema["ts"].dataType)
         spark.range(1).select(*[(end if c == "ts" else F.lit("close") if c == "event_type" else F.lit(None).cast(events.schema[c].dataType)).alias(c) for c in events.columns]).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def closing(events: DataFrame) -> DataFrame:

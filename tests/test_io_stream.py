@@ -249,6 +249,26 @@ def test_live_processors_equal_batch(spark):
          LB.trailing_counts(tel, {k: (fx.view(spark, SF, v), d) for k, (v, d) in kinds.items()}))
 
 
+def test_live_processors_share_slots(spark):
+    """Cities share slots of state, so keys do not grow with cities; slices in several files arrive whole."""
+    from infrarisk.operators import labels as LB
+    from infrarisk.operators import weather as WE
+    from infrarisk.streaming import stateful as S
+
+    S.use_rocksdb(spark)
+    base, tel = scratch(spark), fx.telemetry(spark, SF)
+    events = X.replayed(spark, SF, f"{base}/events", 2, rows_per_file=200)
+    view, ends = lambda v: X.view_stream(events, v), X.closing(events)
+    assert tel.select("city").distinct().count() > 2
+    made = {"labels": S.live_labels(view("telemetry"), view("incidents"), ends=ends, slots=2, bucket_hours=24), "weather": S.live_weather(view("telemetry"), view("weather_obs"), ends=ends, slots=2),
+            "counts": S.live_counts(view("telemetry"), {"a": (view("repair_events"), 30)}, ends=ends, slots=2)}
+    want = {"labels": LB.label(tel, fx.incidents(spark, SF)), "weather": WE.asof_weather(tel, fx.weather_obs(spark, SF)).drop("__wk"), "counts": LB.trailing_counts(tel, {"a": (fx.repair_events(spark, SF), 30)})}
+    for name, got in made.items():
+        X.run_available_now(got, f"{base}/{name}", f"{base}/ck-{name}")
+        back = spark.read.parquet(f"{base}/{name}").select(*want[name].columns)
+        assert back.count() == tel.count() and back.exceptAll(want[name]).count() == 0
+
+
 def test_assess_keeps_rows(spark):
     """Repeated and null ids: one row in, one row out, with the weather of its own city and time."""
     from pyspark.sql import functions as F
