@@ -8,6 +8,7 @@ tables (``sources/io.save_model``, ``infer.predict``).
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -78,12 +79,17 @@ class LinearProbability(Transformer, HasInputCols, HasOutputCol, DefaultParamsRe
         cities, own = self.getOrDefault(self.cities), self.getOrDefault(self.cityWeights)
         if len(cities) != len(own) or len(cities) > MOST_CITIES:
             raise ValueError(f"{len(cities)} cities and {len(own)} weights; at most {MOST_CITIES} cities, one weight each")
-        city = F.lit(0.0)
-        if cities:
-            known = F.map_from_arrays(F.lit(cities).cast("array<string>"), F.lit(own).cast("array<double>"))
-            city = F.coalesce(F.try_element_at(known, F.col("city")), F.lit(0.0))
+        if len(set(cities)) != len(cities):
+            raise ValueError("a city has one weight")
         terms = [F.lit(w) * F.col(c) for w, c in zip(self.getOrDefault(self.weights), self.getInputCols(), strict=True)]
-        return dataset.withColumn(self.getOutputCol(), clip(infer.sigmoid(add_all([*terms, city, F.lit(self.getOrDefault(self.bias))])), 0.0, 1.0))
+        known, weight, out = f"__city_{self.uid}", F.lit(0.0), dataset
+        if cities:
+            # a hash join of a bounded table; a map literal is searched from its start for every row
+            table = pa.table({known: pa.array(cities, pa.string()), f"{known}_w": pa.array(own, pa.float64())})
+            out = dataset.join(F.broadcast(dataset.sparkSession.createDataFrame(table)), F.col("city") == F.col(known), "left")
+            weight = F.coalesce(F.col(f"{known}_w"), F.lit(0.0))
+        made = clip(infer.sigmoid(add_all([*terms, weight, F.lit(self.getOrDefault(self.bias))])), 0.0, 1.0)
+        return out.withColumn(self.getOutputCol(), made).drop(known, f"{known}_w")
 
 
 def pipeline_of(models: list[infer.LinearModel], prefix: str = "p_"):
@@ -96,12 +102,13 @@ def pipeline_of(models: list[infer.LinearModel], prefix: str = "p_"):
     names = pre.numeric_features
     scaled = [f"__z_{c}" for c in names]
     made = [MedianScalerModel(inputCols=names, outputCols=scaled, **{k: [float(getattr(pre, k)[c]) for c in names] for k in ("medians", "means", "stds")})]
+    read: dict[int, list] = {}  # models may share a table
     for m in models:
-        rows = []
-        if m.city_weights is not None:
-            rows = m.city_weights.where("city IS NOT NULL").select("city", F.col(m.city_weight_col).alias("w")).limit(MOST_CITIES + 1).collect()
+        if m.city_weights is not None and id(m.city_weights) not in read:
+            read[id(m.city_weights)] = m.city_weights.where("city IS NOT NULL").limit(MOST_CITIES + 1).collect()
+        rows = read.get(id(m.city_weights), [])
         if len(rows) > MOST_CITIES:
             raise ValueError(f"more than {MOST_CITIES} cities: keep the model as tables")
         made.append(LinearProbability(inputCols=scaled, outputCol=f"{prefix}{m.target}", weights=[float(m.weights[c]) for c in names], bias=float(m.bias),
-                                      cities=[r["city"] for r in rows], cityWeights=[float(r["w"]) for r in rows]))
+                                      cities=[r["city"] for r in rows], cityWeights=[float(r[m.city_weight_col]) for r in rows]))
     return PipelineModel(made)

@@ -1,6 +1,7 @@
 """MLlib fit reaches the same optimum as the weighted gradient objective; inference path."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from infrarisk.operators import features as FE
@@ -170,3 +171,17 @@ def test_pipeline_stages(spark, tmp_path):
         assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-12
     nobody = SG.LinearProbability(inputCols=["b"], outputCol="p", weights=[0.0])
     assert {r["p"] for r in nobody.transform(df).collect()} == {0.5}
+
+
+def test_city_weights_are_joined(spark):
+    """Thousands of known cities cost a row one look-up: a broadcast join in the plan, no map searched from its start."""
+    from infrarisk.operators import stages as SG
+
+    n = 3000
+    stage = SG.LinearProbability(inputCols=["b"], outputCol="p", weights=[1.0], cities=[f"c{k}" for k in range(n)], cityWeights=[k / n for k in range(n)])
+    df = spark.createDataFrame([("c7", 0.0), ("c2999", 0.5), ("c3000", 0.5), (None, 0.5)], "city string, b double")
+    got = stage.transform(df)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" in plan and "map(" not in plan and got.columns == ["city", "b", "p"]
+    want = {"c7": 7 / n, "c2999": 0.5 + 2999 / n, "c3000": 0.5, None: 0.5}
+    assert {r.city: r.p for r in got.collect()} == pytest.approx({c: 1 / (1 + 2.718281828459045 ** -z) for c, z in want.items()}, abs=1e-12)
