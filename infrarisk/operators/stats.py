@@ -53,6 +53,36 @@ def grouped_medians(df: DataFrame, features: list[str] = MODEL_NUMERIC_FEATURES,
     return ranked.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias("median"))
 
 
+def prefix_medians(df: DataFrame, block: str, blocks: int, features: list[str] = MODEL_NUMERIC_FEATURES) -> DataFrame:
+    """A1 of nested ranges: (feature, medians), where medians[b] is the median of the rows whose ``block`` is at most b.
+
+    As ``grouped_medians``, but a value is one row with its running counts over blocks, however many ranges hold it: rows are
+    read and shuffled once, not once a range.  A range without a value of the feature has a null.
+    """
+    shares = F.lit([i / MEDIAN_SLICES for i in range(1, MEDIAN_SLICES)]).cast("array<double>")
+    edge = df.agg(*[F.percentile_approx(F.col(c).cast("double"), shares, 1000).alias(c) for c in features]).first()
+    edges = df.sparkSession.createDataFrame([(c, sorted(set(edge[c] or []))) for c in features], "feature string, edges array<double>")
+    value = lambda c: F.when(F.isnan(F.col(c).cast("double")), F.lit(None)).otherwise(F.col(c).cast("double"))
+    long = df.select(F.col(block).alias("b"), F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), value(c).alias("value")) for c in features]))).where("value IS NOT NULL")
+    ns, ss = [f"n{b}" for b in range(blocks)], [f"s{b}" for b in range(blocks)]
+    counted = long.groupBy("feature", "value", "b").agg(F.count(F.lit(1)).alias("n"))
+    points = counted.groupBy("feature", "value").agg(*[F.sum(F.when(F.col("b") <= b, F.col("n")).otherwise(F.lit(0))).alias(n) for b, n in enumerate(ns)]).join(F.broadcast(edges), "feature")
+    points = points.withColumn("slice", F.size(F.filter("edges", lambda e: e <= F.col("value")))).drop("edges")
+    inside = Window.partitionBy("feature", "slice").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("feature").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("feature")
+    sums = points.groupBy("feature", "slice").agg(*[F.sum(n).alias(s) for n, s in zip(ns, ss, strict=True)])  # at most MEDIAN_SLICES rows a feature
+    sums = sums.select("feature", "slice", *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"before_{s}") for s in ss], *[F.sum(s).over(whole).alias(f"total_{s}") for s in ss])
+    ranked = points.select("*", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"in_{n}") for n in ns]).join(F.broadcast(sums), ["feature", "slice"])
+
+    def median(n: str, s: str):
+        first, total = F.col(f"in_{n}") + F.col(f"before_{s}"), F.col(f"total_{s}")
+        at = lambda rank: F.max(F.when((first <= rank) & (rank < first + F.col(n)), F.col("value")))
+        return (at(F.floor((total - 1) / 2)) + at(F.floor(total / 2))) / 2
+
+    return ranked.groupBy("feature").agg(F.array(*[median(n, s) for n, s in zip(ns, ss, strict=True)]).alias("medians"))
+
+
 def medians(df: DataFrame, features: list[str] = MODEL_NUMERIC_FEATURES) -> dict[str, float]:
     """A1: interpolated median per feature (one number each on the driver), all-null -> 0."""
     found = {r["feature"]: float(r["median"]) for r in grouped_medians(df, features).collect()}

@@ -28,6 +28,7 @@ from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.exprs import edge_slice
 from ..operators import stats as ST
 from ..operators.infer import LinearModel
 from ..schema import MODEL_NUMERIC_FEATURES, TARGET_COLUMNS
@@ -37,7 +38,9 @@ CITY_WIDTH = 4096
 TOLERANCE = 1e-6  # relative decrease of the objective at which a fit has converged
 MOST_ITERATIONS = 1000  # a fit that needs more is reported as not converged
 FITS_AT_ONCE = 8
+RANGES_AT_ONCE = 3  # tables of vectors that stand at a time
 ROWS_PER_TASK = 50_000
+FIT_ROWS_PER_TASK = 200_000  # fits run side by side, so small ones need no tasks of their own beside each other
 
 
 @dataclass(frozen=True)
@@ -98,24 +101,37 @@ class Ranges:
         self._prepare()
 
     def _prepare(self) -> None:
-        """Per range: rows, positives, medians, means, deviations (one row a range on the driver)."""
-        cols = [f"x{k}" for k in range(len(self.features))]
-        ranged = self.data.withColumn("range", F.explode(F.filter(F.array(*[F.lit(e) for e in self.ends]), lambda e: e > F.col("row"))))
-        med = {e: np.zeros(len(cols)) for e in self.ends}
-        for r in ST.grouped_medians(ranged, cols, ["range"]).collect():
-            med[r["range"]][int(r["feature"][1:])] = r["median"]
-        fill = self.spark.createDataFrame([(e, m.tolist()) for e, m in med.items()], "range int, med array<double>")
-        joined = ranged.join(F.broadcast(fill), "range")
-        value = [F.coalesce(F.when(~F.isnan(c), F.col(c)), F.col("med")[k]) for k, c in enumerate(cols)]
-        got = joined.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(v) for v in value]).alias("mean"), F.array(*[F.stddev_pop(v) for v in value]).alias("std"),
-                                          F.array(*[F.coalesce(F.sum(f"y{k}"), F.lit(0)) for k in range(len(self.targets))]).alias("pos")).collect()
-        zeros = np.zeros(len(cols))
-        self.pre = {e: (med[e], zeros, zeros + 1) for e in self.ends}
-        self.count, self.positives = {e: 0 for e in self.ends}, {e: [0] * len(self.targets) for e in self.ends}
+        """Per range: rows, positives, medians, means, deviations (one row a block on the driver).
+
+        Blocks lie between neighbouring ends, so a range is the first of them: each row is read once for all its ranges, and
+        what blocks know (counts, means, sums of squares) adds up.
+        """
+        cols, ys = [f"x{k}" for k in range(len(self.features))], [f"y{k}" for k in range(len(self.targets))]
+        blocks = self.data.where(F.col("row") < self.ends[-1]).withColumn("block", edge_slice(F.col("row"), self.ends[:-1])) if self.ends else self.data.where("false").withColumn("block", F.lit(0))
+        med = np.zeros((len(self.ends), len(cols)))
+        for r in ST.prefix_medians(blocks, "block", len(self.ends), cols).collect():
+            med[:, int(r["feature"][1:])] = [0.0 if m is None else m for m in r["medians"]]
+        valid = [F.when(~F.isnan(c), F.col(c)) for c in cols]
+        got = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n"), *[F.array(*[F.coalesce(f(v).cast("double"), F.lit(0.0)) for v in valid]).alias(name) for name, f in (("seen", F.count), ("mean", F.avg), ("var", F.var_pop))],
+                                          F.array(*[F.coalesce(F.sum(y), F.lit(0)) for y in ys]).alias("pos")).collect()
+        n, pos = np.zeros(len(self.ends), np.int64), np.zeros((len(self.ends), len(ys)), np.int64)
+        seen, mean, var = (np.zeros((len(self.ends), len(cols))) for _ in range(3))
         for r in got:
-            std = np.array([s if s is not None and s > 1e-9 else 1.0 for s in r["std"]])
-            self.pre[r["range"]] = (med[r["range"]], np.array(r["mean"]), std)
-            self.count[r["range"]], self.positives[r["range"]] = r["n"], list(r["pos"])
+            k = r["block"]
+            n[k], pos[k], seen[k], mean[k], var[k] = r["n"], r["pos"], r["seen"], r["mean"], r["var"]
+        zeros = np.zeros(len(cols))
+        self.pre, self.count, self.positives = {}, {}, {}
+        for k, e in enumerate(self.ends):
+            rows, s, m = int(n[: k + 1].sum()), seen[: k + 1], mean[: k + 1]
+            self.count[e], self.positives[e] = rows, pos[: k + 1].sum(0).tolist()
+            self.pre[e] = (med[k], zeros, zeros + 1)
+            if rows:
+                known = s.sum(0)
+                own = (s * m).sum(0) / np.maximum(known, 1)  # mean of what is there
+                whole = (known * own + (rows - known) * med[k]) / rows
+                squares = (s * (var[: k + 1] + (m - own) ** 2)).sum(0) + known * (own - whole) ** 2 + (rows - known) * (med[k] - whole) ** 2
+                std = np.sqrt(squares / rows)
+                self.pre[e] = (med[k], whole, np.where(std > 1e-9, std, 1.0))
 
     def both_classes(self, target: str, end: int) -> bool:
         return 0 < self.positives[end][self.targets.index(target)] < self.count[end]
@@ -160,15 +176,20 @@ class Fits(Ranges):
         self.more(jobs)
 
     def more(self, jobs: list[Job]) -> dict[Hashable, int]:
-        """Fits further jobs over the prepared ranges; the number of each of all jobs, by key."""
+        """Fits further jobs over the prepared ranges, a few ranges at a time; the number of each of all jobs, by key."""
         first = len(self.jobs)
         self.jobs += jobs
-        for end in self.ends:
-            own = [k for k, j in enumerate(self.jobs) if k >= first and j.end == end and self.both_classes(j.target, end)]
-            if own:
-                vectors = written(self.vectors(end), "vectors")
-                self.weights |= dict(zip(own, in_threads(lambda k, v=vectors: self._fit(v, self.jobs[k]), own), strict=True))
-                dropped(vectors)
+        asked = {end: [k for k, j in enumerate(self.jobs) if k >= first and j.end == end and self.both_classes(j.target, end)] for end in self.ends}
+
+        def fitted(end: int) -> dict[int, Weights]:
+            own, table = asked[end], written(self.vectors(end), "vectors")
+            vectors = table.coalesce(-(-self.count[end] // FIT_ROWS_PER_TASK))
+            made = dict(zip(own, in_threads(lambda k: self._fit(vectors, self.jobs[k]), own), strict=True))
+            dropped(table)
+            return made
+
+        for made in in_threads(fitted, [e for e in self.ends if asked[e]], RANGES_AT_ONCE):
+            self.weights |= made
         return {j.key: k for k, j in enumerate(self.jobs)}
 
     def _fit(self, vectors: DataFrame, job: Job) -> Weights:

@@ -128,6 +128,32 @@ def test_medians_are_exact(spark):
     assert got == {(g, c): p[c].median() for g, p in pdf.groupby("g") for c in ("a", "b")}
 
 
+def test_ranges_know_their_rows(spark):
+    """Medians, means, deviations and classes of nested ranges, each row being read once: as of each range alone."""
+    from infrarisk.operators import splits as SP
+    from infrarisk.operators import stats as ST
+    from infrarisk.plans.fits import Ranges
+
+    feats = FE.feature_frame(Q.labeled(spark, SF), include_targets=True, keep=["timestamp", "telemetry_id"])
+    gap = F.when(F.col("row_idx") % 3 == 0, F.lit(float("nan"))).when(F.col("row_idx") >= 120, F.col("humidity_percent"))
+    idx = SP.global_index(feats, Q.ORDER).withColumn("humidity_percent", gap).cache()
+    ends = [0, 101, 10**6]
+    ranges = Ranges(idx, ends)
+    assert ranges.count[0] == 0 and ranges.count[101] == 101 and ranges.count[10**6] == idx.count()
+    for e in ends[1:]:
+        rows = idx.where(F.col("row_idx") < e)
+        clean = rows.withColumn("humidity_percent", F.when(~F.isnan("humidity_percent"), F.col("humidity_percent")))
+        pre = ST.fit_preprocessor(clean, MODEL_NUMERIC_FEATURES)
+        med, mean, std = ranges.pre[e]
+        assert med.tolist() == [pre.medians[c] for c in MODEL_NUMERIC_FEATURES]
+        assert np.allclose(mean, [pre.means[c] for c in MODEL_NUMERIC_FEATURES], rtol=1e-9, atol=1e-12) and np.allclose(std, [pre.stds[c] for c in MODEL_NUMERIC_FEATURES], rtol=1e-9)
+        assert ranges.positives[e][0] == rows.agg(F.sum("overall_failure_72h_label")).first()[0]
+    # a value is one row, not a row a range: the widest table does not grow with ranges
+    assert ST.prefix_medians(ranges.data.withColumn("block", F.lit(0)), "block", 30, ["x0"]).count() == 1
+    ranges.close()
+    idx.unpersist()
+
+
 def test_training_run(spark):
     """Configs by folds, thresholds and metrics on the whole holdout, refit; strict mode keeps the training models."""
     targets = ["overall_failure_72h_label", "traffic_failure_72h_label"]
