@@ -87,26 +87,30 @@ def top_contributions(df: DataFrame, model: LinearModel, k: int = 5, name: str =
     """M3: top-k |x_j w_j| of one model as an array of structs (rank, feature, impact, direction,
     logit_contribution); ties keep feature order.  Row-local: arrays, no shuffle, no collect.
 
-    Uses higher-order functions (interpreted, not whole-stage codegen'd) on purpose: element-wise
-    access to a sorted array makes the optimizer copy the sort into every access.
+    Sizes and positions are sorted as one zipped array, and every step is a projection of its own whose columns the next one
+    uses more than once, so the optimizer keeps the steps apart: a sum inside the lambda of the result, or a result used once,
+    was computed again for each element.
     """
-    out = _with_city_weight(df, model, "__cw")
-    items = [F.struct(F.lit(i).alias("pos"), F.lit(c).alias("feature"),
-                      (standardized(model.pre, c) * F.lit(model.weights[c])).alias("c"))
-             for i, c in enumerate(model.pre.numeric_features)]
-    items.append(F.struct(F.lit(len(items)).alias("pos"), F.concat(F.lit("city="), F.col("city")).alias("feature"),
-                          F.col("__cw").alias("c")))
-    ranked = F.array_sort(F.transform(F.array(*items), lambda s: F.struct(
-        (-F.abs(s["c"])).alias("k"), s["pos"].alias("pos"), s["feature"].alias("feature"), s["c"].alias("c"))))
-    out = out.withColumn("__ranked", ranked)
-    denom = F.aggregate("__ranked", F.lit(0.0), lambda acc, s: acc + F.abs(s["c"]))
-    out = out.withColumn("__denom", F.when(denom == 0, F.lit(1.0)).otherwise(denom))
-    top = F.transform(F.slice("__ranked", 1, k), lambda s, i: F.struct(
-        (i + 1).alias("rank"), s["feature"].alias("feature"),
-        py_round(F.abs(s["c"]) / F.col("__denom"), 4).alias("impact"),
-        F.when(s["c"] >= 0, F.lit("increases_risk")).otherwise(F.lit("reduces_risk")).alias("direction"),
-        py_round(s["c"], 4).alias("logit_contribution")))
-    return out.withColumn(name, top).drop("__cw", "__ranked", "__denom")
+    terms = [standardized(model.pre, c) * F.lit(model.weights[c]) for c in model.pre.numeric_features]
+    n = len(terms) + 1
+    out = _with_city_weight(df, model, "__cw").withColumn("__c", F.array(*terms, F.col("__cw")))
+    out = out.withColumn("__size", F.transform("__c", lambda c: -F.abs(c)))
+    out = out.withColumn("__ranked", F.sort_array(F.arrays_zip(F.col("__size").alias("k"), F.array(*[F.lit(i) for i in range(n)]).alias("pos"))))
+    denom = F.aggregate("__ranked", F.lit(0.0), lambda acc, s: acc - s["k"])
+    out = out.withColumn("__denom", denom)
+    names = F.array(*[F.lit(c) for c in model.pre.numeric_features])
+
+    def entry(i: int):
+        pos = F.get("__ranked", F.lit(i))["pos"]
+        c = F.get("__c", pos)
+        return F.struct(
+            F.lit(i + 1).alias("rank"), F.coalesce(F.get(names, pos), F.concat(F.lit("city="), F.col("city"))).alias("feature"),
+            py_round(F.abs(c) / F.when(F.col("__denom") == 0, F.lit(1.0)).otherwise(F.col("__denom")), 4).alias("impact"),
+            F.when(c >= 0, F.lit("increases_risk")).otherwise(F.lit("reduces_risk")).alias("direction"),
+            py_round(c, 4).alias("logit_contribution"))
+
+    top = F.array(*[entry(i) for i in range(min(k, n))])
+    return out.withColumn(name, top).drop("__cw", "__c", "__size", "__ranked", "__denom")
 
 
 def rule_probability(score: Column, base: float, scale: float) -> Column:
