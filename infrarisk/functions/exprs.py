@@ -16,8 +16,8 @@ def col(c) -> Column:
 
 
 def fmt(c, n: int) -> Column:
-    """Text of ``c`` with ``n`` decimals, as Python's ``f"{c:.nf}"``."""
-    return F.replace(F.format_number(col(c), n), F.lit(","), F.lit(""))
+    """Text of ``c`` with ``n`` decimals, as Python's ``f"{c:.nf}"``: a pattern without groups, so no commas to remove."""
+    return F.call_function("format_number", col(c), F.lit("0." + "0" * n if n else "0"))
 
 
 def stripped(c) -> Column:

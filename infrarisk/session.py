@@ -10,6 +10,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+# the JIT leaves methods of more bytecode alone, so a compiled stage beyond it runs interpreted, row by row, however long the job
+METHOD_LIMIT = "8000"
+
+
 def get_spark(master: str | None = None, app: str = "infrarisk", shuffle_partitions: int | None = None) -> SparkSession:
     """Session with the settings every job here assumes: UTC, AQE, skew joins, no UI."""
     builder = SparkSession.builder.appName(app)
@@ -23,7 +27,7 @@ def get_spark(master: str | None = None, app: str = "infrarisk", shuffle_partiti
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        .config("spark.sql.codegen.hugeMethodLimit", METHOD_LIMIT)
         # no Python call-site capture per Column call (plan building of the wide scoring projections)
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
@@ -37,6 +41,13 @@ def get_spark(master: str | None = None, app: str = "infrarisk", shuffle_partiti
     return spark
 
 
+def settled(spark: SparkSession) -> SparkSession:
+    """The settings that the queries assume, in a caller's session too: UTC, and projections too large for the JIT in split form."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", METHOD_LIMIT)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; only local sessions get a scratch dir."""
     sc = spark.sparkContext
