@@ -7,8 +7,11 @@ thing brought to the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,34 +56,103 @@ def grouped_medians(df: DataFrame, features: list[str] = MODEL_NUMERIC_FEATURES,
     return ranked.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias("median"))
 
 
+DIGIT = 11  # bits of a value told apart in a pass
+COMPACT = 2_000_000  # entries that a task collects before it adds them up
+
+
 def prefix_medians(df: DataFrame, block: str, blocks: int, features: list[str] = MODEL_NUMERIC_FEATURES) -> DataFrame:
     """A1 of nested ranges: (feature, medians), where medians[b] is the median of the rows whose ``block`` is at most b.
 
-    As ``grouped_medians``, but a value is one row with its running counts over blocks, however many ranges hold it: rows are
-    read and shuffled once, not once a range.  A range without a value of the feature has a null.
+    Exact, by digits: a double's bits, the sign turned over, sort as numbers do.  A pass counts the rows of each (block, feature, next
+    digit) among the values that begin as the middle ranks so far; blocks add up to ranges on the driver, which goes
+    on to the digit that holds each rank.  Values are never shuffled, only counts.  A range without a value of the feature has
+    a null.  ``df`` is read once a pass, so it should be stored.
     """
-    shares = F.lit([i / MEDIAN_SLICES for i in range(1, MEDIAN_SLICES)]).cast("array<double>")
-    edge = df.agg(*[F.percentile_approx(F.col(c).cast("double"), shares, 1000).alias(c) for c in features]).first()
-    edges = df.sparkSession.createDataFrame([(c, sorted(set(edge[c] or []))) for c in features], "feature string, edges array<double>")
-    value = lambda c: F.when(F.isnan(F.col(c).cast("double")), F.lit(None)).otherwise(F.col(c).cast("double"))
-    long = df.select(F.col(block).alias("b"), F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), value(c).alias("value")) for c in features]))).where("value IS NOT NULL")
-    ns, ss = [f"n{b}" for b in range(blocks)], [f"s{b}" for b in range(blocks)]
-    counted = long.groupBy("feature", "value", "b").agg(F.count(F.lit(1)).alias("n"))
-    points = counted.groupBy("feature", "value").agg(*[F.sum(F.when(F.col("b") <= b, F.col("n")).otherwise(F.lit(0))).alias(n) for b, n in enumerate(ns)]).join(F.broadcast(edges), "feature")
-    points = points.withColumn("slice", F.size(F.filter("edges", lambda e: e <= F.col("value")))).drop("edges")
-    inside = Window.partitionBy("feature", "slice").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy("feature").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("feature")
-    sums = points.groupBy("feature", "slice").agg(*[F.sum(n).alias(s) for n, s in zip(ns, ss, strict=True)])  # at most MEDIAN_SLICES rows a feature
-    sums = sums.select("feature", "slice", *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"before_{s}") for s in ss], *[F.sum(s).over(whole).alias(f"total_{s}") for s in ss])
-    ranked = points.select("*", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"in_{n}") for n in ns]).join(F.broadcast(sums), ["feature", "slice"])
-
-    def median(n: str, s: str):
-        first, total = F.col(f"in_{n}") + F.col(f"before_{s}"), F.col(f"total_{s}")
-        at = lambda rank: F.max(F.when((first <= rank) & (rank < first + F.col(n)), F.col("value")))
-        return (at(F.floor((total - 1) / 2)) + at(F.floor(total / 2))) / 2
-
-    return ranked.groupBy("feature").agg(F.array(*[median(n, s) for n, s in zip(ns, ss, strict=True)]).alias("medians"))
+    spark, nf = df.sparkSession, len(features)
+    data = df.select(F.col(block).cast("int").alias("b"), *[F.col(c).cast("double").alias(f"v{k}") for k, c in enumerate(features)])
+    left = 64
+    begun: list[np.ndarray] = [np.zeros(1, np.uint64)] * nf  # distinct beginnings still looked at, sorted
+    at: dict[tuple[int, int, int], tuple[int, int]] = {}  # (feature, range, low or high) -> beginning, rank within it
+    while left:
+        bits = min(DIGIT, left)
+        left -= bits
+        first = left + bits == 64
+
+        def run(batches: Iterator[pa.RecordBatch], left=left, bits=bits, begun=begun, first=first) -> Iterator[pa.RecordBatch]:
+            seen: list[tuple[np.ndarray, np.ndarray]] = []
+            held = 0
+            for batch in batches:
+                of = batch.column(0).to_numpy().astype(np.int64)
+                for k in range(nf):
+                    x = batch.column(1 + k).to_numpy(zero_copy_only=False)
+                    raw = np.ascontiguousarray(x).view(np.int64)
+                    key = (raw ^ ((raw >> 63) | np.int64(-(2**63)))).view(np.uint64) >> np.uint64(left)
+                    inside = ~np.isnan(x)
+                    if first:
+                        no = np.zeros(len(key), np.int64)
+                    else:
+                        start = key >> np.uint64(bits)
+                        no = np.searchsorted(begun[k], start)
+                        inside &= begun[k][np.minimum(no, len(begun[k]) - 1)] == start if len(begun[k]) else False
+                    digit = (key & np.uint64(2**bits - 1)).astype(np.int64)
+                    code, n = np.unique((((no * blocks + of) * nf + k) << DIGIT | digit)[inside], return_counts=True)
+                    seen.append((code, n))
+                    held += len(code)
+                if held > COMPACT:
+                    seen = [_added(seen)]
+                    held = len(seen[0][0])
+                    if held > COMPACT // 2:  # few repeats: Spark adds them up
+                        yield _counts(seen.pop())
+                        held = 0
+            if seen:
+                yield _counts(_added(seen))
+
+        got = data.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+        code, n = got["code"].to_numpy(), got["n"].to_numpy()
+        digit, rest = code & (2**DIGIT - 1), code >> DIGIT
+        k, of, no = rest % nf, rest // nf % blocks, rest // nf // blocks
+        following: list[set[int]] = [set() for _ in range(nf)]
+        went: dict[tuple[int, int, int], tuple[int, int]] = {}
+        for feature in range(nf):
+            for which, start in enumerate(begun[feature].tolist()):
+                mine = (k == feature) & (no == which)
+                if not mine.any():
+                    continue
+                counts = np.zeros((blocks, 2**bits), np.int64)
+                np.add.at(counts, (of[mine], digit[mine]), n[mine])
+                upto = counts.cumsum(0).cumsum(1)  # rows of the range up to the digit
+                for r in range(blocks):
+                    total = int(upto[r, -1])
+                    for side in (0, 1):
+                        if first:
+                            if not total:
+                                continue
+                            rank = (total - 1 + side) // 2
+                        elif at.get((feature, r, side), (None,))[0] == start:
+                            rank = at[feature, r, side][1]
+                        else:
+                            continue
+                        d = int(np.searchsorted(upto[r], rank, side="right"))
+                        found = start << bits | d
+                        went[feature, r, side] = found, rank - (int(upto[r, d - 1]) if d else 0)
+                        following[feature].add(found)
+        at, begun = went, [np.array(sorted(s), np.uint64) for s in following]
+
+    def value(key: int) -> float:
+        key ^= (1 << 63) if key >> 63 else (1 << 64) - 1
+        return float(np.array([key], np.uint64).view(np.float64)[0])
+
+    rows = [(c, [(value(at[k, r, 0][0]) + value(at[k, r, 1][0])) / 2 if (k, r, 0) in at else None for r in range(blocks)]) for k, c in enumerate(features)]
+    return spark.createDataFrame(rows, "feature string, medians array<double>")
+
+
+def _added(seen: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    code, where = np.unique(np.concatenate([c for c, _ in seen]), return_inverse=True)
+    return code, np.bincount(where, weights=np.concatenate([n for _, n in seen]), minlength=len(code)).astype(np.int64)
+
+
+def _counts(pair: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in pair], names=["code", "n"])
 
 
 def medians(df: DataFrame, features: list[str] = MODEL_NUMERIC_FEATURES) -> dict[str, float]:

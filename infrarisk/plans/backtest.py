@@ -11,7 +11,6 @@ models and by the blend, unpivoted to (target, model, y, p) and scored by one gr
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +22,7 @@ from ..functions.validate import coerce_numeric
 from ..operators.features import engineered, feature_frame
 from ..operators.infer import predict
 from ..schema import TARGET_COLUMNS, TARGET_TO_SYSTEM
+from ..session import dropped, written
 from . import train as TR
 from .fits import Fits, Job
 
@@ -38,15 +38,15 @@ def backtest(labeled: DataFrame, targets: list[str] = TARGET_COLUMNS, min_train_
     the calibration rows and its whole training part.  One grouped job scores all folds, one all calibration rows, one all
     test ranges.
     """
-    feats = feature_frame(labeled, include_targets=True, keep=["timestamp", "telemetry_id"])
-    idx = SP.global_index(feats, ORDER).persist(StorageLevel.MEMORY_AND_DISK)
-    n = idx.count()
+    table = written(feature_frame(labeled, include_targets=True, keep=["timestamp", "telemetry_id"]), "features")
+    n = table.count()
     windows = SP.expanding_windows(n, min_train_ratio, test_ratio, step_ratio)
     if not windows:
         raise ValueError("not enough rows for rolling backtest windows")
     cal = {w: SP.calibration_split_point(train_end) for w, (_, train_end, _, _) in enumerate(windows)}
     ends = tuple(e for w, (_, train_end, _, _) in enumerate(windows) for e in (cal[w], train_end))
-    fits = Fits(idx, [j for w, e in cal.items() for j in TR.fold_jobs(e, (w,), targets)], targets, ends=ends)
+    fits = Fits(SP.global_index(table, ORDER), [j for w, e in cal.items() for j in TR.fold_jobs(e, (w,), targets)], targets, ends=ends)
+    dropped(table)
     part = F.regexp_extract("part", "[0-9]+", 0).cast("int").alias("window_id")
     best = TR.choices(TR.fold_scores(fits, {(w,): e for w, e in cal.items()}).select(part, "target", "config", "fold", "pr_auc"), ["window_id", "target"])
     config = {(r["window_id"], r["target"]): r["config"] for r in best.collect()}  # one row a window and target
@@ -60,7 +60,6 @@ def backtest(labeled: DataFrame, targets: list[str] = TARGET_COLUMNS, min_train_
     found = M.curve_metrics(calibration, ["window_id", "target"]).where("roc_auc IS NOT NULL").select("window_id", "target", "threshold")
     per = M.classification_metrics(test.join(found, ["window_id", "target"]), ["target", "window_id"], "threshold").where("roc_auc IS NOT NULL")
     rows = per.join(found, ["window_id", "target"]).collect()  # one row a window and target
-    idx.unpersist()
     fits.close()
     if not rows:
         raise ValueError("no window could be evaluated")

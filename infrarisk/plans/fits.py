@@ -1,14 +1,16 @@
-"""Many class-weighted logistic fits on MLlib (L1 in bulk).
+"""Many class-weighted logistic fits at once (L1 in bulk).
 
 A training run or backtest needs the same fit over nested row ranges: targets x configurations x folds x windows.  A
-range is the rows before its end in chronological order.  Preprocessing (medians, means, deviations) is computed once a
-range, for all ranges together; a range's standardised vectors are written in the shared checkpoint folder while its fits
-run (a plan as short as a scan makes each of a solver's many jobs cheap to send, and lost executors reread it), and
-``LogisticRegression`` runs from a few driver threads at a time, so that small fits share the executors.  The
-objective is the one of ``train.fit_logistic``:
+range is the rows before its end in chronological order.  Rows are stored once (``data``); preprocessing (medians, means,
+deviations) is computed once a range, for all ranges together.  The objective is the one of ``train.fit_logistic``:
 
     (1/n) sum w_i loss_i + l2/2 |weights|^2,  w = n / (2 positives) or n / (2 negatives), intercept unpenalised.
 
+MLlib's solver runs a Spark job for each of the hundreds of L-BFGS iterations of each fit, and the jobs are what time goes into.
+Here a pass over the rows is one job for a group of fits (``newton.py``): it adds up each fit's loss, gradient and
+second derivatives, and a Newton step from them takes a fit to the optimum within some passes.  ``train.fit_logistic`` is the
+same fit on MLlib, which the tests compare.
+
 The city is one-hot over ``CITY_WIDTH`` hash buckets, a fixed number: coefficients, gradients and what scoring
 broadcasts do not grow with the number of cities.  Cities that share a bucket share a weight; buckets without
 training rows keep weight 0.  Each fit says whether it converged (``report``); none is cut off silently.
@@ -22,8 +24,7 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.classification import LogisticRegression
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,14 +34,13 @@ from ..operators import stats as ST
 from ..operators.infer import LinearModel
 from ..schema import MODEL_NUMERIC_FEATURES, TARGET_COLUMNS
 from ..session import dropped, written
+from .newton import Problem, newton, packed
 
 CITY_WIDTH = 4096
 TOLERANCE = 1e-6  # relative decrease of the objective at which a fit has converged
 MOST_ITERATIONS = 1000  # a fit that needs more is reported as not converged
 FITS_AT_ONCE = 8
-RANGES_AT_ONCE = 3  # tables of vectors that stand at a time
-ROWS_PER_TASK = 50_000
-FIT_ROWS_PER_TASK = 200_000  # fits run side by side, so small ones need no tasks of their own beside each other
+MODELS_AT_ONCE = 32  # of a pass; a task holds some 1 MB of sums for each
 
 
 @dataclass(frozen=True)
@@ -94,9 +94,7 @@ class Ranges:
         data = indexed.select(
             F.col(idx).cast("long").alias("row"), city.alias("city"), city_bucket(city, width).alias("bucket"), *[F.col(t).cast("int").alias(f"y{k}") for k, t in enumerate(targets)],
             *[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(features)])
-        # every iteration of a fit is a job: small data in few tasks, so that starting them isn't what it costs
-        self.tasks = max(1, min(data.rdd.getNumPartitions(), -(-indexed.count() // ROWS_PER_TASK)))
-        self.data = data.coalesce(self.tasks).persist(StorageLevel.MEMORY_AND_DISK)
+        self.data = written(data, "ranges")
         self.encoder = one_hot(self.spark, width)
         self._prepare()
 
@@ -107,7 +105,7 @@ class Ranges:
         what blocks know (counts, means, sums of squares) adds up.
         """
         cols, ys = [f"x{k}" for k in range(len(self.features))], [f"y{k}" for k in range(len(self.targets))]
-        blocks = self.data.where(F.col("row") < self.ends[-1]).withColumn("block", edge_slice(F.col("row"), self.ends[:-1])) if self.ends else self.data.where("false").withColumn("block", F.lit(0))
+        blocks = self.blocks()
         med = np.zeros((len(self.ends), len(cols)))
         for r in ST.prefix_medians(blocks, "block", len(self.ends), cols).collect():
             med[:, int(r["feature"][1:])] = [0.0 if m is None else m for m in r["medians"]]
@@ -133,6 +131,12 @@ class Ranges:
                 std = np.sqrt(squares / rows)
                 self.pre[e] = (med[k], whole, np.where(std > 1e-9, std, 1.0))
 
+    def blocks(self) -> DataFrame:
+        """Rows of any range, with ``block``: the number of ends up to the row."""
+        if not self.ends:
+            return self.data.where("false").withColumn("block", F.lit(0))
+        return self.data.where(F.col("row") < self.ends[-1]).withColumn("block", edge_slice(F.col("row"), self.ends[:-1]))
+
     def both_classes(self, target: str, end: int) -> bool:
         return 0 < self.positives[end][self.targets.index(target)] < self.count[end]
 
@@ -151,13 +155,17 @@ class Ranges:
 
     def labelled(self, vectors: DataFrame, target: str, end: int) -> DataFrame:
         """Adds the target's ``label`` and balanced class weight ``w``."""
-        y, n = self.targets.index(target), self.count[end]
-        pos = max(1, self.positives[end][y])
-        up, down = n / (2 * pos), n / (2 * max(1, n - pos))
+        y, (up, down) = self.targets.index(target), self.class_weights(target, end)
         return vectors.select("row", "features", F.col(f"y{y}").cast("double").alias("label"), F.when(F.col(f"y{y}") == 1, F.lit(up)).otherwise(F.lit(down)).alias("w"))
 
+    def class_weights(self, target: str, end: int) -> tuple[float, float]:
+        """Balanced weights of a positive and of another row."""
+        n = self.count[end]
+        pos = max(1, self.positives[end][self.targets.index(target)])
+        return n / (2 * pos), n / (2 * max(1, n - pos))
+
     def close(self) -> None:
-        self.data.unpersist()
+        dropped(self.data)
 
 
 class Fits(Ranges):
@@ -168,35 +176,46 @@ class Fits(Ranges):
 
     def __init__(self, indexed: DataFrame, jobs: list[Job], targets: list[str] = TARGET_COLUMNS, features: list[str] = MODEL_NUMERIC_FEATURES, idx: str = "row_idx", width: int = CITY_WIDTH, ends: tuple[int, ...] = ()):
         super().__init__(indexed, [*ends, *(j.end for j in jobs)], targets, features, idx, width)
-        # one row a city, with the first row that it occurs in
-        self.cities = self.data.groupBy("city", "bucket").agg(F.min("row").alias("first_row")).persist(StorageLevel.MEMORY_AND_DISK)
-        self.cities.count()
+        # one row a city, with the first row that it occurs in; models read it after the rows are gone
+        self.cities = written(self.data.groupBy("city", "bucket").agg(F.min("row").alias("first_row")), "cities")
         self.jobs: list[Job] = []
         self.weights: dict[int, Weights] = {}
+        self.packed: DataFrame | None = None
         self.more(jobs)
 
     def more(self, jobs: list[Job]) -> dict[Hashable, int]:
-        """Fits further jobs over the prepared ranges, a few ranges at a time; the number of each of all jobs, by key."""
+        """Fits further jobs over the prepared ranges, a group of fits at a time; the number of each of all jobs, by key.
+
+        Shorter ranges come first, and a fit starts where the target's fit on the nearest range so far has ended.
+        """
         first = len(self.jobs)
         self.jobs += jobs
-        asked = {end: [k for k, j in enumerate(self.jobs) if k >= first and j.end == end and self.both_classes(j.target, end)] for end in self.ends}
-
-        def fitted(end: int) -> dict[int, Weights]:
-            own, table = asked[end], written(self.vectors(end), "vectors")
-            vectors = table.coalesce(-(-self.count[end] // FIT_ROWS_PER_TASK))
-            made = dict(zip(own, in_threads(lambda k: self._fit(vectors, self.jobs[k]), own), strict=True))
-            dropped(table)
-            return made
-
-        for made in in_threads(fitted, [e for e in self.ends if asked[e]], RANGES_AT_ONCE):
-            self.weights |= made
+        asked = sorted((k for k in range(first, len(self.jobs)) if self.both_classes(self.jobs[k].target, self.jobs[k].end)), key=lambda k: self.jobs[k].end)
+        if asked and self.packed is None:
+            self.packed = packed(self.blocks(), len(self.targets), len(self.features))
+        for at in range(0, len(asked), MODELS_AT_ONCE):
+            group = asked[at : at + MODELS_AT_ONCE]
+            done = newton(self.packed, [self._problem(k) for k in group], self.width, TOLERANCE, MOST_ITERATIONS)
+            for k, (w, bias, steps, converged) in zip(group, done, strict=True):
+                self.weights[k] = Weights(w, bias, steps, converged)
         return {j.key: k for k, j in enumerate(self.jobs)}
 
-    def _fit(self, vectors: DataFrame, job: Job) -> Weights:
-        lr = LogisticRegression(weightCol="w", regParam=job.l2, elasticNetParam=0.0, standardization=False, maxIter=MOST_ITERATIONS, tol=TOLERANCE)
-        m = lr.fit(self.labelled(vectors, job.target, job.end))
-        steps = len(m.summary.objectiveHistory) - 1
-        return Weights(m.coefficients.toArray(), float(m.intercept), steps, steps < MOST_ITERATIONS)
+    def _problem(self, k: int) -> Problem:
+        j, f = self.jobs[k], len(self.features)
+        med, mean, std = self.pre[j.end]
+        w, bias = np.zeros(f + self.width), 0.0
+        if near := [m for m in self.weights if self.jobs[m].target == j.target]:
+            m = min(near, key=lambda m: (abs(self.jobs[m].end - j.end), abs(self.jobs[m].l2 - j.l2)))
+            _, its_mean, its_std = self.pre[self.jobs[m].end]
+            slope = self.weights[m].coefficients[:f] / its_std
+            w = np.concatenate([slope * std, self.weights[m].coefficients[f:]])
+            bias = self.weights[m].intercept + float(slope @ (mean - its_mean))
+        return Problem(self.ends.index(j.end), self.targets.index(j.target), self.count[j.end], self.class_weights(j.target, j.end), j.l2, self.pre[j.end], w, bias)
+
+    def close(self) -> None:
+        if self.packed is not None:
+            self.packed.unpersist()
+        super().close()
 
     def report(self) -> DataFrame:
         """(target, rows, l2, iterations, converged), one row a fit."""
@@ -222,7 +241,8 @@ class Fits(Ranges):
                         p = 1 / (1 + np.exp(-np.clip(z @ w[:f] + w[f:][bucket[at]] + bias, -35, 35)))
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), no), pa.int32()), b.column(2 + t).take(pa.array(at)).cast(pa.int32()), pa.array(p)], names=["asked", "y", "p"])
 
-        return self.data.drop("city").mapInArrow(run, "asked int, y int, p double")
+        span = self.data.where(F.col("row").between(min((lo for _, lo, *_ in todo), default=0), max((hi for _, _, hi, *_ in todo), default=0)))
+        return span.drop("city").mapInArrow(run, "asked int, y int, p double")
 
     def model(self, k: int) -> LinearModel:
         """The fitted model in the form inference uses; its city weights are a table of one row a city of its range."""

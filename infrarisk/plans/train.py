@@ -31,6 +31,7 @@ from ..operators import splits as SP
 from ..operators import stats as ST
 from ..operators.infer import LinearModel, standardized
 from ..schema import MODEL_NUMERIC_FEATURES, TARGET_COLUMNS
+from ..session import dropped, written
 from .fits import Fits, Job
 
 # Candidate configurations (learning rate and epochs only matter to a fixed-epoch
@@ -134,8 +135,10 @@ def fold_scores(fits: Fits, ends: dict[tuple, int]) -> DataFrame:
 
 def choose_config(indexed: DataFrame, n: int, targets: list[str] = TARGET_COLUMNS) -> DataFrame:
     """L2: (target, config, l2, mean_pr_auc, folds) by mean CV average precision over the W5 folds of the first n rows."""
-    fits = Fits(indexed, fold_jobs(n, (), targets), targets)
-    best = choices(fold_scores(fits, {(): n}), ["target"])
+    fits = Fits(indexed.where(F.col("row_idx") < n), fold_jobs(n, (), targets), targets)
+    chosen = choices(fold_scores(fits, {(): n}), ["target"])
+    best = fits.spark.createDataFrame(chosen.collect(), chosen.schema)  # one row a target
+    fits.close()
     every = fits.spark.createDataFrame([(t,) for t in targets], "target string")
     l2 = F.element_at(F.array(*[F.lit(c["l2"]) for c in CONFIGS]), F.col("config") + 1)
     return every.join(best, "target", "left").fillna({"config": 0, "mean_pr_auc": -1.0, "folds": 0}).withColumn("l2", l2)
@@ -151,16 +154,16 @@ def train_models(labeled: DataFrame, holdout_fraction: float = 0.2, targets: lis
     """
     from ..operators.features import feature_frame
 
-    feats = feature_frame(labeled, include_targets=True, keep=[c for c in order if c not in ("city",)])
-    idx = SP.global_index(feats, order).persist(StorageLevel.MEMORY_AND_DISK)
-    n = idx.count()
+    table = written(feature_frame(labeled, include_targets=True, keep=[c for c in order if c not in ("city",)]), "features")
+    n = table.count()
     split = SP.holdout_split_point(n, holdout_fraction)
     end = split - embargo_rows
-    before, after = F.col("row_idx") < end, F.col("row_idx") >= split
-    classes = idx.agg(*[F.count_distinct(F.when(part, F.col(t))).alias(f"{t}_{k}") for t in targets for k, part in enumerate((before, after))]).first()
-    if lacking := {t for t in targets if min(classes[f"{t}_0"], classes[f"{t}_1"]) < 2}:
+    fits = Fits(SP.global_index(table, order), [], targets, ends=(end, split, n, *(stop for stop, _ in SP.cv_folds(end))))
+    dropped(table)
+    after = [a - b for a, b in zip(fits.positives[n], fits.positives[split], strict=True)]
+    if lacking := {t for t, held in zip(targets, after, strict=True) if not fits.both_classes(t, end) or not 0 < held < n - split}:
         raise ValueError(f"one class only, before or after the split, for {sorted(lacking)}")
-    fits = Fits(idx, fold_jobs(end, (), targets), targets, ends=(end, n) if refit else (end,))
+    fits.more(fold_jobs(end, (), targets))
     scores = fold_scores(fits, {(): end})
     cv = {(r["target"], r["config"]): (r["m"], r["f"]) for r in scores.groupBy("target", "config").agg(F.avg("pr_auc").alias("m"), F.count(F.lit(1)).alias("f")).collect()}
     best = dict.fromkeys(targets, 0) | {r["target"]: r["config"] for r in choices(scores, ["target"]).collect()}  # one row a target
@@ -178,7 +181,6 @@ def train_models(labeled: DataFrame, holdout_fraction: float = 0.2, targets: lis
                         {cfg["l2"]: cv.get((t, c), (None, 0)) for c, cfg in enumerate(CONFIGS)}, fits.weights[k].converged)
     vals = [f.holdout["pr_auc"] for f in out.values() if f.holdout["pr_auc"] is not None]
     macro = float(sum(vals) / len(vals)) if vals else 0.0
-    idx.unpersist()
     fits.close()
     return Bundle(out, macro, max(0.40, min(0.75, 0.45 + 0.40 * macro)), n)
 
