@@ -93,7 +93,7 @@ class Ranges:
         city = F.coalesce(F.col("city").cast("string"), F.lit("UNKNOWN"))
         data = indexed.select(
             F.col(idx).cast("long").alias("row"), city.alias("city"), city_bucket(city, width).alias("bucket"), *[F.col(t).cast("int").alias(f"y{k}") for k, t in enumerate(targets)],
-            *[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(features)])
+            *[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(features)], edge_slice(F.col(idx), self.ends[:-1]).alias("block"))
         self.data = written(data, "ranges")
         self.encoder = one_hot(self.spark, width)
         self._prepare()
@@ -132,10 +132,8 @@ class Ranges:
                 self.pre[e] = (med[k], whole, np.where(std > 1e-9, std, 1.0))
 
     def blocks(self) -> DataFrame:
-        """Rows of any range, with ``block``: the number of ends up to the row."""
-        if not self.ends:
-            return self.data.where("false").withColumn("block", F.lit(0))
-        return self.data.where(F.col("row") < self.ends[-1]).withColumn("block", edge_slice(F.col("row"), self.ends[:-1]))
+        """Rows of any range; ``block`` is the number of ends up to the row."""
+        return self.data.where(F.col("row") < (self.ends[-1] if self.ends else 0))
 
     def both_classes(self, target: str, end: int) -> bool:
         return 0 < self.positives[end][self.targets.index(target)] < self.count[end]
@@ -242,7 +240,7 @@ class Fits(Ranges):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), no), pa.int32()), b.column(2 + t).take(pa.array(at)).cast(pa.int32()), pa.array(p)], names=["asked", "y", "p"])
 
         span = self.data.where(F.col("row").between(min((lo for _, lo, *_ in todo), default=0), max((hi for _, _, hi, *_ in todo), default=0)))
-        return span.drop("city").mapInArrow(run, "asked int, y int, p double")
+        return span.drop("city", "block").mapInArrow(run, "asked int, y int, p double")
 
     def model(self, k: int) -> LinearModel:
         """The fitted model in the form inference uses; its city weights are a table of one row a city of its range."""

@@ -128,9 +128,12 @@ def fold_scores(fits: Fits, ends: dict[tuple, int]) -> DataFrame:
             stop, valid_end = SP.cv_folds(ends[tuple(key)])[fold]
             tags.append((len(asked), str(key), target, config, fold))
             asked.append((k, stop, valid_end))
-    named = fits.spark.createDataFrame(tags, "asked int, part string, target string, config int, fold int")  # one row a fit
-    curves = M.curve_metrics(fits.score(asked), ["asked"]) if asked else fits.spark.createDataFrame([], "asked int, roc_auc double, pr_auc double, threshold double")
-    return curves.where("roc_auc IS NOT NULL").join(F.broadcast(named), "asked").select("part", "target", "config", "fold", "pr_auc")
+    found = {}
+    if asked:
+        points = M.points(fits.score(asked), ["asked"]).persist(StorageLevel.MEMORY_AND_DISK)  # curves read them some times
+        found = {r["asked"]: r["pr_auc"] for r in M.curve_metrics(None, ["asked"], pts=points).where("roc_auc IS NOT NULL").collect()}  # one row a fit
+        points.unpersist()
+    return fits.spark.createDataFrame([(*of, found[no]) for no, *of in tags if no in found], "part string, target string, config int, fold int, pr_auc double")
 
 
 def choose_config(indexed: DataFrame, n: int, targets: list[str] = TARGET_COLUMNS) -> DataFrame:
@@ -170,9 +173,11 @@ def train_models(labeled: DataFrame, holdout_fraction: float = 0.2, targets: lis
     at = fits.more([Job((part, t), t, stop, CONFIGS[best[t]]["l2"]) for part, stop in (("train", end), *([("all", n)] if refit else [])) for t in targets])
     tags = fits.spark.createDataFrame(list(enumerate(targets)), "asked int, target string")
     held = fits.score([(at[("train", t)], split, n) for t in targets]).join(F.broadcast(tags), "asked")
-    thresholds = M.curve_metrics(held, ["target"]).select("target", F.col("threshold").alias("thr"))
-    picked = held.join(thresholds, "target")
-    found = {r["target"]: r.asDict() for r in M.classification_metrics(picked.withColumn("threshold", F.col("thr")).drop("thr"), ["target"], "threshold").join(thresholds, "target").collect()}
+    points = M.points(held, ["target"]).persist(StorageLevel.MEMORY_AND_DISK)
+    thresholds = {r["target"]: r["threshold"] for r in M.curve_metrics(None, ["target"], pts=points).collect()}
+    picked = points.join(F.broadcast(fits.spark.createDataFrame(list(thresholds.items()), "target string, threshold double")), "target")
+    found = {r["target"]: r.asDict() | {"thr": thresholds[r["target"]]} for r in M.classification_metrics(None, ["target"], "threshold", pts=picked).collect()}
+    points.unpersist()
     out = {}
     for t in targets:
         r = found[t]
