@@ -23,6 +23,7 @@ from ..operators import splits as SP
 from ..operators import stats as ST
 from ..operators import weather as WE
 from ..schema import INCIDENTS, LABELED, MODEL_NUMERIC_FEATURES, REQUEST, SYSTEM_SYNONYMS, SYSTEMS, TARGET_COLUMNS, TARGET_TO_SYSTEM
+from ..session import written
 from ..sources import fixtures as fx
 
 SEP = " | "
@@ -368,6 +369,12 @@ def indexed_labeled(spark, sf_dir):
     return SP.global_index(lab, ORDER)
 
 
+def indexed_features(spark, sf_dir):
+    """Features and labels with the chronological index, and their number; labelling runs once, the index reads its rows some times."""
+    table = written(FE.feature_frame(labeled(spark, sf_dir), include_targets=True, keep=["timestamp", "telemetry_id"]), "features")
+    return SP.global_index(table, ORDER), table.count()
+
+
 def q_w1_w2_split(spark, sf_dir):
     idx = indexed_labeled(spark, sf_dir)
     n = idx.count()
@@ -448,9 +455,8 @@ def q_l1_l4_train_report(spark, sf_dir):
 
 def q_l2_config_choice(spark, sf_dir):
     from . import train as TR
-    feats = FE.feature_frame(labeled(spark, sf_dir), include_targets=True, keep=["timestamp", "telemetry_id"])
-    idx = SP.global_index(feats, ORDER)
-    return TR.choose_config(idx, SP.holdout_split_point(idx.count(), 0.2)).select("target", "l2", F.col("mean_pr_auc").alias("cv_pr_auc"), "folds")
+    idx, n = indexed_features(spark, sf_dir)
+    return TR.choose_config(idx, SP.holdout_split_point(n, 0.2)).select("target", "l2", F.col("mean_pr_auc").alias("cv_pr_auc"), "folds")
 
 
 def q_l5_backtest(spark, sf_dir):
@@ -462,8 +468,8 @@ def q_l5_backtest(spark, sf_dir):
 def q_l7_family_choice(spark, sf_dir):
     """Of each target's families: rows, folds that count, and whether the chosen one has the best mean."""
     from . import families as FM
-    idx = SP.global_index(FE.feature_frame(labeled(spark, sf_dir), include_targets=True, keep=["timestamp", "telemetry_id"]), ORDER)
-    n = SP.holdout_split_point(idx.count(), 0.2)
+    idx, n = indexed_features(spark, sf_dir)
+    n = SP.holdout_split_point(n, 0.2)
     got = FM.choose_family(idx, n)
     best = F.max("mean_pr_auc").over(Window.partitionBy("target"))
     chosen = F.max(F.when(F.col("chosen"), F.col("mean_pr_auc"))).over(Window.partitionBy("target"))
@@ -474,7 +480,7 @@ def q_l7_family_choice(spark, sf_dir):
 def q_l6_compare(spark, sf_dir):
     from . import backtest as BT
     from . import train as TR
-    lab = labeled(spark, sf_dir)
+    lab = written(labeled(spark, sf_dir), "labeled")  # training and holdout read it some times
     met, _, _, _ = BT.compare(lab, TR.train_models(lab))
     return met.select("target", "model", "n", "pr_auc", "roc_auc", "brier", "f1", "ece_10_bins")
 
@@ -649,8 +655,7 @@ def q_l1_fit_checks(spark, sf_dir):
     """L1: of each target's fit on all rows: rows, positives, class weights, positive rate, and that it converged."""
     from .fits import Fits, Job
 
-    idx = SP.global_index(FE.feature_frame(labeled(spark, sf_dir), include_targets=True, keep=["timestamp", "telemetry_id"]), ORDER)
-    n = idx.count()
+    idx, n = indexed_features(spark, sf_dir)
     fits = Fits(idx, [Job(t, t, n, 0.001) for t in TARGET_COLUMNS])
     rows = [(t, fits.count[n], int(fits.positives[n][k]), k in fits.weights and fits.weights[k].converged) for k, t in enumerate(TARGET_COLUMNS)]
     fits.close()
