@@ -11,6 +11,7 @@ models and by the blend, unpivoted to (target, model, y, p) and scored by one gr
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,9 +58,15 @@ def backtest(labeled: DataFrame, targets: list[str] = TARGET_COLUMNS, min_train_
     calibration = rows_of("sub", lambda w: cal[w], lambda w: windows[w][1])
     test = rows_of("full", lambda w: windows[w][2], lambda w: windows[w][3])
     # one class among calibration or test rows (no ROC): the window does not count for the target
-    found = M.curve_metrics(calibration, ["window_id", "target"]).where("roc_auc IS NOT NULL").select("window_id", "target", "threshold")
-    per = M.classification_metrics(test.join(found, ["window_id", "target"]), ["target", "window_id"], "threshold").where("roc_auc IS NOT NULL")
-    rows = per.join(found, ["window_id", "target"]).collect()  # one row a window and target
+    by, both = ["window_id", "target"], "roc_auc IS NOT NULL"
+    points = M.points(calibration, by).persist(StorageLevel.MEMORY_AND_DISK)  # curves read them some times
+    kept = M.curve_metrics(None, by, pts=points).where(both).select(*by, "threshold").collect()  # one row a window and target
+    points.unpersist()
+    found = F.broadcast(fits.spark.createDataFrame(kept, "window_id int, target string, threshold double"))
+    points = M.points(test, by).join(found, by).persist(StorageLevel.MEMORY_AND_DISK)
+    per = M.classification_metrics(None, ["target", "window_id"], "threshold", pts=points).where(both)
+    rows = per.join(found, by).collect()  # one row a window and target
+    points.unpersist()
     fits.close()
     if not rows:
         raise ValueError("no window could be evaluated")
@@ -105,9 +112,10 @@ def compare(labeled: DataFrame, bundle: TR.Bundle, holdout_fraction: float = 0.2
         for name, p in (("rule_only", rule_p), ("ml_only", ml_p), ("hybrid", hyb)):
             items.append(F.struct(F.lit(t).alias("target"), F.lit(name).alias("model"), F.col(t).alias("y"), p.alias("p")))
     long = probs.select("telemetry_id", F.inline(F.array(*items)))
-    met = M.classification_metrics(long, ["target", "model"], 0.5)
-    rel = M.reliability(long, ["target", "model"])
-    prevalence = long.where(F.col("model") == "rule_only").groupBy("target").agg(F.avg("y").alias("class_prevalence"))
+    points = written(M.points(long, ["target", "model"]), "compared")  # rows are scored once for all that follows
+    met = M.classification_metrics(None, ["target", "model"], 0.5, pts=points)
+    rel = M.reliability(None, ["target", "model"], pts=points)
+    prevalence = points.where(F.col("model") == "rule_only").groupBy("target").agg((F.sum("tp") / F.sum("cnt")).alias("class_prevalence"))
     macro = met.groupBy("model").agg(F.avg("pr_auc").alias("macro_pr_auc"))
     base = prevalence.agg(F.avg("class_prevalence")).first()[0]  # one number
     macro = macro.withColumns({"macro_random_baseline": F.lit(base),
