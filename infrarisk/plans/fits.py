@@ -189,15 +189,19 @@ class Fits(Ranges):
         first = len(self.jobs)
         self.jobs += jobs
         asked = sorted((k for k in range(first, len(self.jobs)) if self.both_classes(self.jobs[k].target, self.jobs[k].end)), key=lambda k: self.jobs[k].end)
-        if asked and self.packed is None:
-            self.packed = packed(self.blocks(), len(self.targets), len(self.features))
         for at in range(0, len(asked), MODELS_AT_ONCE):
             group = asked[at : at + MODELS_AT_ONCE]
-            done = newton(self.packed, [self._problem(k) for k in group], self.width, TOLERANCE, MOST_ITERATIONS)
+            done = newton(self.matrices(), [self._problem(k) for k in group], self.width, TOLERANCE, MOST_ITERATIONS)
             for k, (w, bias, steps, converged) in zip(group, done, strict=True):
                 self.weights[k] = Weights(w, bias, steps, converged)
         return {j.key: k for k, j in enumerate(self.jobs)}
 
+    def matrices(self) -> DataFrame:
+        """The rows of all ranges as passes read them."""
+        if self.packed is None:
+            self.packed = packed(self.blocks(), len(self.targets), len(self.features), self.count[self.ends[-1]] if self.ends else 0)
+        return self.packed
+
     def _problem(self, k: int) -> Problem:
         j, f = self.jobs[k], len(self.features)
         med, mean, std = self.pre[j.end]

@@ -41,11 +41,11 @@ class Problem:
     bias: float
 
 
-def packed(rows: DataFrame, targets: int, features: int) -> DataFrame:
-    """(block, n, bucket, y, x): rows (block, bucket, y..., x...) as matrices of a block each, in the order of buckets; stored."""
+def packed(rows: DataFrame, targets: int, features: int, n: int | None = None) -> DataFrame:
+    """(block, n, bucket, y, x, row): rows (block, bucket, y..., x..., and ``row`` if there) as matrices of a block each, in the order of buckets; stored."""
     def cut(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
-        block, bucket = t["block"].to_numpy(), t["bucket"].to_numpy()
+        block, bucket, row = t["block"].to_numpy(), t["bucket"].to_numpy(), t["row"].to_numpy()
         y = np.stack([t[f"y{k}"].to_numpy() == 1 for k in range(targets)])
         x = np.stack([t[f"x{k}"].to_numpy() for k in range(features)])  # null is NaN
         order = np.lexsort((bucket, block))
@@ -53,7 +53,7 @@ def packed(rows: DataFrame, targets: int, features: int) -> DataFrame:
         for lo, hi in zip(bounds, bounds[1:]):
             at = order[lo:hi]
             yield pa.RecordBatch.from_pydict({"block": pa.array([block[at[0]]], pa.int32()), "n": pa.array([len(at)], pa.int32()),
-                                              **{c: pa.array([v.tobytes()], pa.binary()) for c, v in (("bucket", bucket[at].astype("<i4")), ("y", y[:, at].astype("i1")), ("x", x[:, at].astype("<f8")))}})
+                                              **{c: pa.array([v.tobytes()], pa.binary()) for c, v in (("bucket", bucket[at].astype("<i4")), ("y", y[:, at].astype("i1")), ("x", x[:, at].astype("<f8")), ("row", row[at].astype("<i8")))}})
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -65,12 +65,12 @@ def packed(rows: DataFrame, targets: int, features: int) -> DataFrame:
         if sum(h.num_rows for h in held):
             yield from cut(held)
 
-    wanted = rows.select("block", "bucket", *[f"y{k}" for k in range(targets)], *[f"x{k}" for k in range(features)])
-    made = wanted.mapInArrow(pack, "block int, n int, bucket binary, y binary, x binary").persist(StorageLevel.MEMORY_AND_DISK)
-    n = made.agg(F.sum("n")).first()[0] or 0
-    # small data in few tasks, so that starting them isn't what a pass costs; large data in tasks of a bounded size
-    wide = max(min(made.sparkSession.sparkContext.defaultParallelism, -(-n // LEAST_TASK_ROWS)), -(-n // MOST_TASK_ROWS), 1)
-    return made.coalesce(wide)
+    wanted = rows.select("block", "bucket", *[f"y{k}" for k in range(targets)], *[f"x{k}" for k in range(features)], F.col("row").cast("long") if "row" in rows.columns else F.lit(0).cast("long").alias("row"))
+    # small data in few tasks, so that starting them isn't what a pass costs; large data in whole waves of equal tasks of a bounded size
+    n, cores = rows.count() if n is None else n, rows.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(cores, -(-n // LEAST_TASK_ROWS))) if n <= cores * MOST_TASK_ROWS else cores * -(-n // (cores * MOST_TASK_ROWS))
+    dealt = wanted.repartition(tasks, "row") if "row" in rows.columns else wanted.repartition(tasks)
+    return dealt.mapInArrow(pack, "block int, n int, bucket binary, y binary, x binary, row binary").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _sums(problems: list[tuple[int, Problem]], width: int):
